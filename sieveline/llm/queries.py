@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
 from .packing import Capacities, pack
+from .planes import encode_and_read
+from .sharding import shard_documents
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -20,8 +22,18 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), vocabulary(), Capacities(2048, 2048, 2048 * 2048), end_id=0)
 
 
+def op7_bit_plane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_and_read(read_table(spark, sf_dir, "documents"), vocabulary(), end_id=2)
+
+
+def op8_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(read_table(spark, sf_dir, "documents"), shards=8)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op7_bit_plane_ids": op7_bit_plane_ids,
+    "op8_minimax_shards": op8_minimax_shards,
 }
 
 ORACLE: dict[str, str] = {}
