@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
+from .media import store_and_resolve
+from .mixing import mix
 from .packing import Capacities, pack
 from .planes import encode_and_read
 from .sharding import shard_documents
+from .wordpiece import count_tokens
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -22,6 +25,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), vocabulary(), Capacities(2048, 2048, 2048 * 2048), end_id=0)
 
 
+def op2_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(read_table(spark, sf_dir, "documents")).drop("positions")
+
+
 def op7_bit_plane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_read(read_table(spark, sf_dir, "documents"), vocabulary(), end_id=2)
 
@@ -30,10 +37,22 @@ def op8_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read_table(spark, sf_dir, "documents"), shards=8)
 
 
+def op4_longest_match_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(read_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+def op10_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = store_and_resolve(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_curriculum_mix": op2_curriculum_mix,
+    "op4_longest_match_counts": op4_longest_match_counts,
     "op7_bit_plane_ids": op7_bit_plane_ids,
     "op8_minimax_shards": op8_minimax_shards,
+    "op10_interleaved_media": op10_interleaved_media,
 }
 
 ORACLE: dict[str, str] = {}
