@@ -10,6 +10,7 @@ from .common import read_table
 from .media import store_and_resolve
 from .mixing import mix
 from .packing import Capacities, pack
+from .pii import detect
 from .planes import encode_and_read
 from .sharding import shard_documents
 from .wordpiece import count_tokens
@@ -29,6 +30,10 @@ def op2_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents")).drop("positions")
 
 
+def op6_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect(read_table(spark, sf_dir, "documents")).drop("found")
+
+
 def op7_bit_plane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_read(read_table(spark, sf_dir, "documents"), vocabulary(), end_id=2)
 
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_curriculum_mix": op2_curriculum_mix,
     "op4_longest_match_counts": op4_longest_match_counts,
+    "op6_pii_spans": op6_pii_spans,
     "op7_bit_plane_ids": op7_bit_plane_ids,
     "op8_minimax_shards": op8_minimax_shards,
     "op10_interleaved_media": op10_interleaved_media,
