@@ -115,8 +115,8 @@ def references(sequences: DataFrame) -> DataFrame:
 
 
 def resolve(refs: DataFrame, media: DataFrame) -> DataFrame:
-    """Joins references with what `media` holds for their digest, once a digest; unknown digests keep nulls. Skewed digests are left to adaptive execution, which splits them: neither side is aggregated on the join's own exchange."""
-    known = media.dropDuplicates(["digest"]).withColumnRenamed("digest", "d").repartition(F.col("d"))
+    """Joins references with what `media` holds for their digest, once a digest; unknown digests keep nulls. Skewed digests are left to adaptive execution, which splits them: the key is an expression, so that both sides get exchanges of the join's own."""
+    known = media.dropDuplicates(["digest"]).withColumn("d", F.concat(F.col("digest"), F.lit(""))).drop("digest")
     return refs.join(known, F.col("digest") == F.col("d"), "left").drop("d")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import read_table
 from .media import store_and_resolve
@@ -13,6 +14,7 @@ from .packing import Capacities, pack
 from .pii import detect
 from .planes import encode_and_read
 from .sharding import shard_documents
+from .simhash import near_duplicates
 from .wordpiece import count_tokens
 
 
@@ -46,6 +48,11 @@ def op4_longest_match_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(read_table(spark, sf_dir, "documents"), words=3, n_words=1, radius=2, parts=4)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("node")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op10_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = store_and_resolve(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
@@ -58,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_pii_spans": op6_pii_spans,
     "op7_bit_plane_ids": op7_bit_plane_ids,
     "op8_minimax_shards": op8_minimax_shards,
+    "op9_simhash_components": op9_simhash_components,
     "op10_interleaved_media": op10_interleaved_media,
 }
 
