@@ -13,8 +13,10 @@ from .mixing import mix
 from .packing import Capacities, pack
 from .pii import detect
 from .planes import encode_and_read
+from .quality import judge
 from .sharding import shard_documents
 from .simhash import near_duplicates
+from .urls import judge_urls
 from .wordpiece import count_tokens
 
 
@@ -32,6 +34,14 @@ def op2_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents")).drop("positions")
 
 
+def op3_url_language_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(read_table(spark, sf_dir, "pages"))
+
+
+def op5_decision_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op6_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect(read_table(spark, sf_dir, "documents")).drop("found")
 
@@ -62,6 +72,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_curriculum_mix": op2_curriculum_mix,
     "op4_longest_match_counts": op4_longest_match_counts,
+    "op3_url_language_ratio": op3_url_language_ratio,
+    "op5_decision_lists": op5_decision_lists,
     "op6_pii_spans": op6_pii_spans,
     "op7_bit_plane_ids": op7_bit_plane_ids,
     "op8_minimax_shards": op8_minimax_shards,
