@@ -58,7 +58,7 @@ def invert(share: Column, schedule: Column) -> Column:
 
 
 def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: Sequence[float] = WEIGHTS, schedules: Sequence[Sequence[float]] = SCHEDULES, seed: int = 17, slice_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target, taken, copies, position (of its first copy, null if none), positions, in the order of position.
+    """Per document: doc_id, source, text_hash, size, source_size, target, taken, copies, position (of its first copy, null if none), positions, in the order of position.
 
     Null texts have size 0; null sources are a source, the last; null ids stay; repeated rows are documents of
     their own, which may change places among themselves. A document without words takes nothing
@@ -69,6 +69,7 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: Sequenc
             F.col(id_col).cast("long").alias("doc_id"),
             F.col(source_col).cast("string").alias("source"),
             n_words(F.col(text_col)).alias("size"),
+            F.xxhash64(F.col(text_col)).alias("text_hash"),
             F.xxhash64(F.lit(seed), F.col(id_col).cast("long"), F.col(text_col)).alias("h"),
         )
     )
@@ -91,4 +92,4 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: Sequenc
     taken = F.aggregate("starts", F.lit(0).cast("long"), lambda acc, u: acc + F.least(F.col("size"), F.col("limit") - u))
     positions = F.transform("starts", lambda u: invert(u / F.col("target"), F.col("schedule")))
     out = joined.withColumn("taken", taken).withColumn("positions", positions).withColumn("copies", F.size("starts"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "taken", "copies", F.get("positions", F.lit(0)).alias("position"), "positions").orderBy(F.col("position").asc_nulls_last(), "doc_id")
+    return out.select("doc_id", "source", "text_hash", "size", "source_size", "target", "taken", "copies", F.get("positions", F.lit(0)).alias("position"), "positions").orderBy(F.col("position").asc_nulls_last(), "doc_id")

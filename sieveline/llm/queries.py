@@ -31,7 +31,7 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(read_table(spark, sf_dir, "documents")).drop("positions")
+    return mix(read_table(spark, sf_dir, "documents")).drop("positions", "text_hash")
 
 
 def op3_url_language_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
