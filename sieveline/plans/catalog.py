@@ -1,6 +1,6 @@
 """Every registered query with its SQL, by name."""
 
-from __future__ import annotations
+from . import curation, evaluation  # noqa: F401
+from .registry import ORACLE, QUERIES
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
