@@ -25,12 +25,12 @@ def with_ordinal(df: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str | Sequence[str], sep: str = ",", header: bool = True, names: Sequence[str] | None = None, encoding: str = "UTF-8") -> DataFrame:
-    """Everything as text; quoted fields may span lines; malformed records are left out."""
-    reader = spark.read.options(header=header, sep=sep, multiLine=True, quote='"', escape='"', encoding=encoding, mode="DROPMALFORMED", columnPruning=False, nullValue="\u0000", emptyValue="", maxCharsPerColumn=-1)
-    if names:
-        reader = reader.schema(T.StructType([T.StructField(n, T.StringType()) for n in names]))
-    df = reader.csv(list(path) if not isinstance(path, str) else path)
-    return df.toDF(*[c.lstrip("﻿") for c in df.columns])
+    """Everything as text; quoted fields may span lines; records with too many fields are left out, missing ones are null."""
+    paths = list(path) if not isinstance(path, str) else path
+    options = dict(header=header, sep=sep, multiLine=True, quote='"', escape='"', encoding=encoding, mode="PERMISSIVE", columnPruning=False, nullValue="\u0000", emptyValue="", maxCharsPerColumn=-1)
+    names = list(names or [c.lstrip("\ufeff") for c in spark.read.options(**options).csv(paths).columns])
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "_extra"]])
+    return spark.read.options(**options).schema(schema).csv(paths).filter(F.col("_extra").isNull()).drop("_extra")
 
 
 def pick(df: DataFrame, *names: str) -> Column:
@@ -85,14 +85,14 @@ def nested_json(spark: SparkSession, path: str, source: str = "nus_sms") -> Data
     return raw(m, source, text=clean_str(text), canonical_label=ham, original_label=ham, label_mapping_rule=F.lit("implicit_ham"), source_id=F.coalesce(clean_str(F.col("`@id`")), F.col("ordinal").cast("string")), language_hint=F.lit("en"))
 
 
-#: Cells read of a record without a header; a message with more commas keeps all its cells in one text.
-CELLS = 64
+#: Cells read of a record without a header.
+CELLS = 256
 
 
 def positional_csv(spark: SparkSession, path: str | Sequence[str], source: str = "exais_sms") -> DataFrame:
     """Records without a header: the label is the first cell that is one, the text the cells from the eighth on, or else the cell with most letters, the time the first cell with a slash and a colon. Files in the order of their names."""
     df = with_ordinal(read_csv(spark, path, header=False, names=[f"c{k}" for k in range(CELLS)]))
-    cells = F.filter(F.transform(F.array(*[F.col(f"c{k}") for k in range(CELLS)]), lambda c: F.trim(F.regexp_replace(c, "^﻿", ""))), lambda c: c.isNotNull())
+    cells = F.filter(F.transform(F.array(*[F.col(f"c{k}") for k in range(CELLS)]), lambda c: F.trim(F.regexp_replace(c, "^\ufeff", ""))), lambda c: c.isNotNull())
     df = df.select("ordinal", cells.alias("cells"))
     label = F.get(F.filter("cells", lambda c: F.lower(c).isin("spam", "ham")), F.lit(0))
     letters = lambda c: F.length(F.regexp_replace(c, r"(?U)[^\p{IsAlphabetic}]", ""))
