@@ -52,7 +52,8 @@ def invert(share: Column, schedule: Column) -> Column:
     def within(start: Column, end: Column, rest: Column) -> Column:
         # start * x + (end - start) * x * x = rest, over a half from x = 0 to 1/2
         slope = end - start
-        return 2 * rest / (start + F.sqrt(F.greatest(start * start + 4 * slope * rest, F.lit(0.0))))
+        speed = start + F.sqrt(F.greatest(start * start + 4 * slope * rest, F.lit(0.0)))
+        return F.when(speed > 0, 2 * rest / speed).otherwise(0.0)
 
     return F.when(need <= first, within(a, b, need)).otherwise(0.5 + within(b, c, need - first))
 

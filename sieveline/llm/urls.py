@@ -125,13 +125,13 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
 
 
 def calibrate(hist: Sequence[tuple[int, int, int]]) -> float:
-    """The threshold with the greatest share of held-out accepted URLs at or above it plus rejected ones below it; the one nearest 0 of several. hist: (score * BINS, accepted, rejected), ascending."""
+    """The threshold with the greatest share of held-out accepted URLs at or above it plus rejected ones below it; of all that split alike, and of splits that are equally good, the one nearest 0. hist: (score * BINS, accepted, rejected), ascending."""
     a, b = sum(x[1] for x in hist), sum(x[2] for x in hist)
     if not a or not b:
         return 0.0
-    best, above, below = (-1.0, 0.0, 0.0), a, 0
-    for spot, x, y in [*hist, (hist[-1][0] + 1, 0, 0)]:
-        value = above / a + below / b
-        best = max(best, (round(value, 9), -abs(spot / BINS), spot / BINS))
-        above, below = above - x, below + y
+    best, above, below, low = (-1.0, 0.0, 0.0), a, 0, -100 * BINS
+    for spot, x, y in [*hist, (100 * BINS, 0, 0)]:
+        at = min(max(0, low), spot)  # any place above the bin before and not above this one
+        best = max(best, (round(above / a + below / b, 9), -abs(at / BINS), at / BINS))
+        above, below, low = above - x, below + y, spot + 1
     return best[2]
