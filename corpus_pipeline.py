@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sieveline.llm.common import free_name, new_path, read_table
@@ -39,16 +39,13 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's target takes them, in the order of training."""
     mixed = mix(docs)
-    key, source, place, text = (free_name(docs, f"_mix_{x}") for x in ("key", "source", "position", "hash"))
+    key, source, text, number, nth, places, place = (free_name(docs, f"_mix_{x}") for x in ("key", "source", "hash", "number", "nth", "places", "place"))
     # equal rows of one id and text are told apart by number on both sides
-    placed = mixed.select(F.col("doc_id").alias(key), F.col("source").alias(source), "text_hash", "positions").withColumnRenamed("text_hash", text)
-    from pyspark.sql import Window
-
-    number = free_name(docs, "_mix_number")
     left = docs.withColumn(number, F.row_number().over(Window.partitionBy("doc_id", "source", F.xxhash64("text")).orderBy(F.lit(0))))
-    right = placed.withColumn("_n", F.row_number().over(Window.partitionBy(key, source, text).orderBy(F.lit(0))))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & F.col("source").eqNullSafe(F.col(source)) & (F.xxhash64("text") == F.col(text)) & (F.col(number) == F.col("_n"))
-    copies = left.join(right, same).withColumn(place, F.explode("positions"))
+    right = mixed.select(F.col("doc_id").alias(key), F.col("source").alias(source), F.col("text_hash").alias(text), F.col("positions").alias(places))
+    right = right.withColumn(nth, F.row_number().over(Window.partitionBy(key, source, text).orderBy(F.lit(0))))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & F.col("source").eqNullSafe(F.col(source)) & (F.xxhash64("text") == F.col(text)) & (F.col(number) == F.col(nth))
+    copies = left.join(right, same).withColumn(place, F.explode(places))
     return copies.repartitionByRange(place).sortWithinPartitions(place).select(*docs.columns)
 
 

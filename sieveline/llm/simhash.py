@@ -16,15 +16,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, free_name
 
 SEED = 42
 #: Nodes of one tile: a unit compares at most the square of this.
 TILE = 2048
-#: Rounds after which components give up; each at least halves the longest path.
+#: Rounds after which components give up: far more than the logarithm of any path needs.
 ROUNDS = 60
 
 
@@ -265,11 +265,8 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, n_words: int = 4, radi
     misses one such pair in a thousand, and unrelated texts differ in 128 bits with a deviation of 8.
     """
     found = near_duplicates(docs, words, n_words, radius, parts, True, size_ratio, tile, id_col, text_col)
-    stays = found.filter("is_first").select(F.col("doc_id").alias("_stay_id"), F.col("text_hash").alias("_stay_hash")).distinct()
-    known = docs.columns
-    key, place, number = "_dup_key", "_dup_hash", "_dup_number"
+    key, place, number, stay_id, stay_hash = (free_name(docs, f"_dup_{x}") for x in ("key", "hash", "number", "stay_id", "stay_hash"))
+    stays = found.filter("is_first").select(F.col("doc_id").alias(stay_id), F.col("text_hash").alias(stay_hash)).distinct()
     marked = docs.withColumn(key, F.col(id_col).cast("long")).withColumn(place, F.xxhash64(F.col(text_col)))
-    kept = marked.join(stays, F.col(key).eqNullSafe(F.col("_stay_id")) & (F.col(place) == F.col("_stay_hash")), "left_semi")
-    from pyspark.sql import Window
-
-    return kept.withColumn(number, F.row_number().over(Window.partitionBy(key, place).orderBy(key))).filter(F.col(number) == 1).select(*known)
+    kept = marked.join(stays, F.col(key).eqNullSafe(F.col(stay_id)) & (F.col(place) == F.col(stay_hash)), "left_semi")
+    return kept.withColumn(number, F.row_number().over(Window.partitionBy(key, place).orderBy(key))).filter(F.col(number) == 1).select(*docs.columns)
