@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors of the searched set in one block.
-BLOCK = 512
-
-
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -18,12 +14,14 @@ def normalized(v: Column) -> Column:
     return F.transform(v, lambda x: F.when(size > 0, x.cast("double") / size).otherwise(0.0))
 
 
-def top_similar(queries: DataFrame, vectors: DataFrame, k: int = 3, id_col: str = "vec_id", vector_col: str = "embedding", blocks: int = 8) -> DataFrame:
+def top_similar(queries: DataFrame, vectors: DataFrame, k: int = 3, id_col: str = "vec_id", vector_col: str = "embedding", blocks: int | None = None) -> DataFrame:
     """(query_id, vec_id, similarity, rank): cosine, ties by id, a vector not with itself.
 
     Queries meet the vectors block by block: each block's best k are chosen before blocks meet, so what moves is
-    queries x blocks x k rows. The query set is stated by the caller, and bounded.
+    queries x blocks x k rows. The query set is stated by the caller, and bounded. There are as many blocks as the
+    shuffle has partitions unless the caller says otherwise.
     """
+    blocks = blocks or max(8, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     q = queries.select(F.col(id_col).alias("query_id"), normalized(F.col(vector_col)).alias("q"))
     q = q.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     v = vectors.select(F.col(id_col).alias("vec_id"), normalized(F.col(vector_col)).alias("v")).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
