@@ -36,6 +36,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Inputs up to this size are dealt anew before work on whole texts.
+SMALL_BYTES = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where it is so small that its scan may have fewer tasks than there are cores; larger inputs stay as they are read."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_BYTES else df
+
+
 def new_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, spread
 from .tokens import encoder
 
 
@@ -94,7 +94,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int | None =
                 salt += 1
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32", "salt"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
+    return spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(run, PIECES)
 
 
 def pack_pieces(items: DataFrame, n_blocks: int, capacities: Capacities, weights=(1.0, 0.1, 0.1), score: str = "norm", base: int = 0) -> DataFrame:

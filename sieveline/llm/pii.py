@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import spread
+
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "ssn", "mac", "key", "secret")
 KINDS = BASE + ADDED
@@ -174,7 +176,7 @@ def detect(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([batch.column(0), structs, *counts, pa.array(sums, pa.string()), pa.array(list(map(listed, found)), pa.string())], ["doc_id", "found", *(f"n_{k}" for k in BASE), "base_sha256", "spans"])
 
     schema = "doc_id long, found array<struct<kind:string,start:long,end:long,score:double>>, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(run, schema)
 
 
 def mask_documents(docs: DataFrame, least: float = 0.5, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:

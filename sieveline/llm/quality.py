@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, UPPER, cut
+from .common import SPACES, UPPER, cut, spread
 
 SYMBOLS = "#*$%&|<>"
 #: Labelled rows, least by hash, from which rules are learned.
@@ -204,7 +204,7 @@ def judge(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id
     an empty table gives no rows, and without labels the base rules alone decide. Other columns are not looked at.
     """
     rules = learn(labelled_sample(docs, labels, sample_rows, id_col, text_col))
-    stats = with_statistics(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    stats = with_statistics(spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))))
     return stats.select("doc_id", *BASE, base_failed().alias("base_failed"), (~base_failed() & verdict(rules)).alias("kept"))
 
 

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import spread
+
 #: Words whose counts are kept per Python worker, and the longest kept.
 CACHE_WORDS, CACHE_CHARS = 500_000, 40
 
@@ -114,4 +116,4 @@ def count_tokens(docs: DataFrame, vocabulary: str, mark: str = "▁", id_col: st
                 tokens.append(sum(counts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], ["doc_id", "n_words", "n_tokens"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_words long, n_tokens long")
+    return spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(run, "doc_id long, n_words long, n_tokens long")
