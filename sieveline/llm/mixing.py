@@ -10,6 +10,7 @@ Sums along a stream take two steps, slices of the hash first, so that no task ho
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -40,7 +41,7 @@ def source_targets(sources: DataFrame, share: float = 1.5, most: float = 2.0, we
     # the first source, in this order, whose limit is above the level sets it for itself and all after it
     found = F.min(F.when(F.col("level") <= F.col("limit") / F.col("weight"), F.struct(*by, F.col("level")))).over(everything)
     target = F.least(F.col("limit"), F.coalesce(found["level"] * F.col("weight"), F.col("limit")))
-    return leveled.withColumn("target", F.greatest(target, F.lit(0.0))).drop("limit", "level")
+    return leveled.withColumn("target", F.round(F.greatest(target, F.lit(0.0)), 6)).drop("limit", "level")
 
 
 def invert(share: Column, schedule: Column) -> Column:
@@ -58,7 +59,7 @@ def invert(share: Column, schedule: Column) -> Column:
     return F.when(need <= first, within(a, b, need)).otherwise(0.5 + within(b, c, need - first))
 
 
-def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: Sequence[float] = WEIGHTS, schedules: Sequence[Sequence[float]] = SCHEDULES, seed: int = 17, slice_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: Sequence[float] = WEIGHTS, schedules: Sequence[Sequence[float]] = SCHEDULES, seed: int = 17, slice_rows: int = 1000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Per document: doc_id, source, text_hash, size, source_size, target, taken, copies, position (of its first copy, null if none), positions, in the order of position.
 
     Null texts have size 0; null sources are a source, the last; null ids stay; repeated rows are documents of
@@ -71,12 +72,13 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: Sequenc
             F.col(source_col).cast("string").alias("source"),
             n_words(F.col(text_col)).alias("size"),
             F.xxhash64(F.col(text_col)).alias("text_hash"),
-            F.xxhash64(F.lit(seed), F.col(id_col).cast("long"), F.col(text_col)).alias("h"),
+            F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("long").cast("string"), F.col(text_col))).alias("h"),
         )
     )
     n = rows.count()
-    slices = max(1, -(-n // slice_rows))
-    placed = rows.withColumn("slice", F.pmod("h", F.lit(slices)))
+    # slices are ranges of the hash, so that the order is the hash's whatever their number; there are about as many as a slice has rows, where these are more than slice_rows
+    slices = max(1, n // max(slice_rows, math.isqrt(n)))
+    placed = rows.withColumn("slice", F.shiftright(F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * F.lit(slices), 32))
     sizes = placed.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
     before = cut(sizes.withColumn("before", F.sum("slice_size").over(Window.partitionBy("source").orderBy("slice")) - F.col("slice_size")))
     targets = source_targets(before.groupBy("source").agg(F.sum("slice_size").alias("source_size")), share, most, weights)
@@ -91,6 +93,20 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: Sequenc
     starts = F.filter(starts, lambda u: (u < limit) & (F.col("size") > 0))
     joined = joined.withColumn("starts", starts).withColumn("limit", limit)
     taken = F.aggregate("starts", F.lit(0).cast("long"), lambda acc, u: acc + F.least(F.col("size"), F.col("limit") - u))
-    positions = F.transform("starts", lambda u: invert(u / F.col("target"), F.col("schedule")))
+    positions = F.transform("starts", lambda u: F.round(invert(u / F.col("target"), F.col("schedule")), 9))
     out = joined.withColumn("taken", taken).withColumn("positions", positions).withColumn("copies", F.size("starts"))
     return out.select("doc_id", "source", "text_hash", "size", "source_size", "target", "taken", "copies", F.get("positions", F.lit(0)).alias("position"), "positions").orderBy(F.col("position").asc_nulls_last(), "doc_id")
+
+
+#: The rows of `mix` over documents with its parameters as they are, in DuckDB's SQL.
+MIX_SQL = r"""WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, md5(concat_ws('|', '17', CAST(doc_id AS VARCHAR), text)) AS h FROM documents),
+a AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM d GROUP BY source),
+w AS (SELECT *, CASE rank % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, source_size * 2.0::DOUBLE AS lim FROM a),
+l AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(lim) OVER (ORDER BY lim / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY lim / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+f AS (SELECT arg_min(level, lim / weight) AS level FROM l WHERE level <= lim / weight),
+t AS (SELECT source, source_size, rank, round(greatest(least(lim, coalesce((SELECT level FROM f) * weight, lim)), 0), 6) AS target FROM l),
+c AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, t.rank, CAST(floor(t.target) AS BIGINT) AS stop, CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS BIGINT) - d.size AS first FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+p AS (SELECT *, CASE WHEN size > 0 AND first < stop THEN 1 ELSE 0 END + CASE WHEN size > 0 AND first + source_size < stop THEN 1 ELSE 0 END AS copies, CASE rank % 3 WHEN 0 THEN 1.5::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS w0, CASE rank % 3 WHEN 0 THEN 0.5::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 1.5::DOUBLE END AS w2, first / target AS share FROM c),
+q AS (SELECT *, share * ((w0 + 1) / 4 + (1 + w2) / 4) AS need FROM p)
+SELECT doc_id, source, CAST(size AS BIGINT) AS size, source_size, target, CAST(CASE WHEN size = 0 THEN 0 ELSE least(size, greatest(stop - first, 0)) + least(size, greatest(stop - first - source_size, 0)) END AS BIGINT) AS taken, copies,
+round(CASE WHEN copies = 0 THEN NULL WHEN need <= (w0 + 1) / 4 THEN 2 * need / (w0 + sqrt(greatest(w0 * w0 + 4 * (1 - w0) * need, 0))) ELSE 0.5 + 2 * (need - (w0 + 1) / 4) / (1 + sqrt(greatest(1 + 4 * (w2 - 1) * (need - (w0 + 1) / 4), 0))) END, 9) AS position FROM q"""
