@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import new_path, spread
 
 #: Samples in a row of the picture, and bytes to which a payload is padded: 24 rows of 24.
 ROW, TILE = 24, 576
@@ -115,9 +115,13 @@ def references(sequences: DataFrame) -> DataFrame:
 
 
 def resolve(refs: DataFrame, media: DataFrame) -> DataFrame:
-    """Joins references with what `media` holds for their digest, once a digest; unknown digests keep nulls. Skewed digests are left to adaptive execution, which splits them: the key is an expression, so that both sides get exchanges of the join's own."""
-    known = media.dropDuplicates(["digest"]).withColumn("d", F.concat(F.col("digest"), F.lit(""))).drop("digest")
-    return refs.join(known, F.col("digest") == F.col("d"), "left").drop("d")
+    """Joins references with what `media` holds for their digest, once a digest; unknown digests keep nulls.
+
+    The join has a second key, a hash of the digest, so that the media, one a digest by an exchange on the digest
+    alone, are exchanged once more for it: adaptive execution splits skewed digests only between two such exchanges.
+    """
+    known = media.dropDuplicates(["digest"]).withColumnRenamed("digest", "d").withColumn("dh", F.xxhash64("d"))
+    return refs.withColumn("rh", F.xxhash64("digest")).join(known, (F.col("rh") == F.col("dh")) & (F.col("digest") == F.col("d")), "left").drop("d", "dh", "rh")
 
 
 def pad(octets: bytes) -> bytes:
@@ -166,7 +170,7 @@ def picture_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 part = rows[k : k + 256]
                 yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in part], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.binary(), PARTS))], ["doc_id", "n_bytes", "digest", "picture", "parts"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, STORED)
+    return spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(run, STORED)
 
 
 def inspect(media: DataFrame) -> DataFrame:
