@@ -224,11 +224,12 @@ _WORDS = "list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: l
 def vocabulary_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     # distinct words within a row, so that no shuffle is needed before the count
     words = F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: F.length(x) > 1))
-    return table(spark, sf_dir, "documents").select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("df")).filter("df >= 2")
+    return table(spark, sf_dir, "documents").select(F.explode_outer(words).alias("word")).filter("word is not null").groupBy("word").agg(F.count("*").alias("df")).filter("df >= 2")
 
 
 @query(f"WITH w AS (SELECT lang, {_WORDS} AS ws FROM documents), g AS (SELECT lang, unnest(list_concat(ws, list_transform(generate_series(1, greatest(len(ws) - 1, 0)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS gram FROM w) SELECT lang, gram, count(*) AS n FROM g GROUP BY lang, gram HAVING count(*) >= 20")
 def bigrams_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: F.length(x) > 1)
     rows = table(spark, sf_dir, "documents").select("lang", words.alias("ws"))
-    return rows.select("lang", F.explode(X.ngrams(F.col("ws"))).alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("n")).filter("n >= 20")
+    # outer, as a plain explode would bring a filter that repeats the splitting inside each step
+    return rows.select("lang", F.explode_outer(X.ngrams(F.col("ws"))).alias("gram")).filter("gram is not null").groupBy("lang", "gram").agg(F.count("*").alias("n")).filter("n >= 20")
