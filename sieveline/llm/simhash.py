@@ -109,19 +109,15 @@ def _forest(a: np.ndarray, b: np.ndarray | None, ids_a: np.ndarray, ids_b: np.nd
         return x
 
     links = []
-    step = max(1, (1 << 18) // max(1, len(b)))
+    step = max(1, (1 << 17) // max(1, len(b)))
     for at in range(0, len(a), step):
         rows = a[at : at + step]
         distance = np.bitwise_count(rows[:, None, 0] ^ b[None, :, 0])
-        if a.shape[1] > 1:  # the first word rules out nearly all
-            i, j = np.nonzero(distance <= radius)
-            total = distance[i, j].astype(np.int64)
+        if a.shape[1] > 1:
+            distance = distance.astype(np.uint16)
             for k in range(1, a.shape[1]):
-                total += np.bitwise_count(rows[i, k] ^ b[j, k])
-            near = total <= radius
-            i, j = i[near], j[near]
-        else:
-            i, j = np.nonzero(distance <= radius)
+                distance += np.bitwise_count(rows[:, None, k] ^ b[None, :, k])
+        i, j = np.nonzero(distance <= radius)
         i = i + at
         if same:
             i, j = i[i < j], j[i < j]
@@ -183,22 +179,28 @@ def links(nodes: DataFrame, radius: int, parts: int, n_words: int = 1, size_rati
                     out.append(",".join(map(str, [*to, band + s])))
         return out
 
-    # a tile looks for the cells that hold nodes; only then does it travel
-    present = tiles.select("cell").distinct().withColumnRenamed("cell", "want")
+    # keys first: which tile meets which, a row a unit; tiles then meet by cell and number, so that a cell with very
+    # many nodes is as many keys as it has tiles
+    present = tiles.select("cell", "tiles").distinct()
 
-    def seek_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            want, own = [], []
-            for cell in batch.column(0).to_pylist():
+            want, own, own_tiles = [], [], []
+            for cell, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = partner_cells(cell)
                 want += found
                 own += [cell] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(want, pa.string()), pa.array(own, pa.string())], ["want", "own"])
+                own_tiles += [n] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(want, pa.string()), pa.array(own, pa.string()), pa.array(own_tiles, pa.int32())], ["want", "own", "own_tiles"])
 
-    pairs = present.select(F.col("want").alias("cell")).mapInArrow(seek_keys, "want string, own string").join(present, "want", "left_semi")
+    met = present.mapInArrow(seek, "want string, own string, own_tiles int").join(present.toDF("cell", "tiles"), F.col("want") == F.col("cell"))
+    keys = met.select("own", "want", "tiles", F.explode(F.sequence(F.lit(0), F.col("own_tiles") - 1)).alias("number")).select("own", "want", "number", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
+    keys = keys.filter((F.col("own") != F.col("want")) | (F.col("number") <= F.col("tile")))
     mine = tiles.select(F.col("cell").alias("own"), F.col("tile").alias("number"), F.col("ids").alias("own_ids"), F.col("fps").alias("own_fps"))
-    units = mine.join(pairs, "own").join(tiles.select(F.col("cell").alias("want"), "tile", "ids", "fps"), "want")
-    units = units.filter((F.col("own") != F.col("want")) | (F.col("number") <= F.col("tile")))
+    theirs = tiles.select(F.col("cell").alias("want"), "tile", "ids", "fps")
+    # units are few bytes and much work: their partitions must not be merged by size
+    n_parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    units = keys.join(mine, ["own", "number"]).repartition(n_parts, "want", "tile").join(theirs.repartition(n_parts, "want", "tile"), ["want", "tile"])
     units = units.select((F.col("own") == F.col("want")).alias("same_cell"), "number", "own_ids", "own_fps", "tile", "ids", "fps")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
