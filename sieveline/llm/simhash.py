@@ -254,7 +254,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, n_words: int = 1, radius: i
     nodes = cut(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.min("n").alias("n"), F.min("doc_id").alias("smallest"), F.min(F.struct("doc_id", "text_hash")).alias("stays")))
     roots = components(cut(links(nodes, radius, parts, n_words, size_ratio, tile=tile)))
     rooted = nodes.join(roots.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select("node", F.coalesce("root", "node").alias("root"), "smallest", "stays")
-    whole = rooted.groupBy("root").agg(F.min("smallest").alias("component_id"), F.min("stays").alias("stays")).withColumnRenamed("root", "r")
+    # r is an expression of the root, as k above: a component with very many fingerprints can be split
+    whole = rooted.groupBy("root").agg(F.min("smallest").alias("component_id"), F.min("stays").alias("stays")).select(F.col("root").bitwiseXOR(F.lit(0)).alias("r"), "component_id", "stays")
     named = rooted.select("node", "root").join(whole, F.col("root") == F.col("r")).select(F.col("node").alias("k"), "root", "component_id", "stays")
     first = F.struct("doc_id", "text_hash").eqNullSafe(F.col("stays"))
     return rows.join(named, F.col("node") == F.col("k")).withColumn("is_first", first).drop("k", "stays")
