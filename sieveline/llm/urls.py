@@ -58,7 +58,9 @@ def _explode(rows: DataFrame, order: int, outer: bool = False) -> DataFrame:
     rows = rows.withColumn("_chars", runs(F.col("url"), order))
     pieces = F.transform(F.sequence(F.lit(order), F.array_size("_chars") - 1), lambda i: F.concat(*[F.get("_chars", i - k) for k in range(order, -1, -1)]))
     rows = rows.withColumn("_runs", F.filter(F.when(F.array_size("_chars") > order, pieces), lambda r: F.length(r) == order + 1)).drop("_chars")
-    return rows.withColumn("run", (F.explode_outer if outer else F.explode)("_runs")).drop("_runs")
+    # for a plain explode the optimizer would add a filter on the array and move it below these steps, inlined in each other
+    rows = rows.withColumn("run", F.explode_outer("_runs")).drop("_runs")
+    return rows if outer else rows.filter(F.col("run").isNotNull())
 
 
 def run_scores(counted: DataFrame, seen: DataFrame, order: int = ORDER) -> DataFrame:
