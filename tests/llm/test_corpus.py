@@ -300,3 +300,23 @@ def test_similarity_and_radius_agree():
         missed += sum((x ^ y).bit_count() for x, y in zip(bits(a), bits(b))) > 56
         far += sum((x ^ y).bit_count() for x, y in zip(bits(a), bits(own))) <= 56
     assert missed <= 1 and far == 0 and math.isclose(320 / 400, 0.8)
+
+
+@pytest.mark.parametrize("tile", [3, 2048])
+def test_only_pairs_of_the_contracts_similarity_go(spark, tile):
+    """Pairs at 0.5 to 0.79 stay, those from 0.8 up go, also in long chains and in small sets; components are those of all pairs."""
+    rows = []
+    for k in range(40):
+        words = [f"{w}{k}" for w in text(k + 700, 120 + k).split()]
+        # the tail is another text's: similarities from about 0.5 to about 0.95
+        shared = len(words) * (68 + k * 3 // 4) // 100
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:shared], *(f"{w}x{k}" for w in text(k + 900, len(words) - shared).split())]))]
+    base = text(77, 200).split()
+    base = [f"{w}{k}" for k, w in enumerate(base)]
+    rows += [(1000 + k, " ".join(base[k * 10 : k * 10 + 104])) for k in range(10)]
+    rows += [(2000, "a b c d e f g h"), (2001, "a b c d e f g h i"), (2002, "a b c d e f g"), (2003, "a b c d e f"), (2004, "a b c d e"), (2005, "a b c d"), (2006, ""), (2007, None), (2008, " "), (2009, "one two"), (2009, "one two")]
+    roots = plain_components([t or "" for _, t in rows], lambda a, b: jaccard(a, b) >= 0.8)
+    seen = [jaccard(rows[2 * k][1], rows[2 * k + 1][1]) for k in range(40)]
+    assert sum(0.56 <= j < 0.8 for j in seen) >= 10 and sum(j >= 0.8 for j in seen) >= 5
+    want = sorted(min(i for (i, _), r in zip(rows, roots) if r == root) for root in set(roots))
+    assert sorted(r["doc_id"] for r in table_of(N.drop_near_duplicates(frame(spark, rows), tile=tile))) == want
