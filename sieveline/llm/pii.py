@@ -32,7 +32,7 @@ _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _MAC = re.compile(r"(?<![0-9A-Fa-f:-])[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}(?![0-9A-Fa-f:-])")
 _KEY = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![A-Za-z0-9])")
-_SECRET = re.compile(r"(?i:token|password|passwd|secret|api[_-]?key)\x20{0,3}[=:]\x20{0,3}[\"']?([A-Za-z0-9+/_-]{8,512})")
+_SECRET = re.compile(r"(?i:token|password|passwd|secret|api[_-]?key)\x20{0,3}[=:]\x20{0,3}[\"']?([A-Za-z0-9+/_-]{8,}+)")
 _DIGITS = re.compile(r"[0-9]")
 
 #: Words that raise a kind's score when they stand within WINDOW characters before or after, and by how much.
@@ -112,14 +112,24 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """The longest run of whole tokens from each start whose check holds: words behind a number, or in front of it, may look like parts of it. A start is tried over a bounded length."""
+    at = 0
+    while m := _IBAN.search(text, at):
+        at = m.start() + 1
+        ends = [m.end(), *(k for k in range(m.end() - 1, m.start(), -1) if text[k] == " ")]
+        for end in ends:
+            plain = text[m.start() : end].replace(" ", "")
+            if 15 <= len(plain) <= 34 and mod97(plain):
+                yield m.start(), end
+                at = end
+                break
+
+
 def added_spans(text: str) -> list[tuple[str, int, int]]:
     if not _DIGITS.search(text):
         return []
-    out = []
-    for m in _IBAN.finditer(text):
-        plain = m[0].replace(" ", "")
-        if 15 <= len(plain) <= 34 and mod97(plain):
-            out.append(("iban", *m.span()))
+    out = [("iban", *span) for span in _ibans(text)]
     out += [("ssn", *m.span()) for m in _SSN.finditer(text) if m[0][:3] not in ("000", "666") and m[0][0] != "9" and m[0][4:6] != "00" and m[0][7:] != "0000"]
     out += [("mac", *m.span()) for m in _MAC.finditer(text)]
     out += [("key", *m.span()) for m in _KEY.finditer(text)]

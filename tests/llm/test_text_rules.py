@@ -117,6 +117,35 @@ def test_checks():
     assert near.score > far.score
 
 
+@pytest.mark.parametrize("number", ["BE68 5390 0754 7034", "AT611904300234573201", "ES91 2100 0418 4502 0005 1332", "SE45 5000 0000 0583 9825 7466", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"])
+@pytest.mark.parametrize("before, after", [("IBAN ", " BIC KREDBEBB"), ("", " 2024"), ("", " 2024 EUR 1000 VISA"), ("REF XY34 ", " OK"), ("", ""), ("to ", ", thanks")])
+def test_account_numbers_among_tokens(number, before, after):
+    found = [s for s in P.find(before + number + after) if s.kind == "iban"]
+    assert [(s.start, s.end) for s in found] == [(len(before), len(before) + len(number))]
+
+
+def test_neighbouring_account_numbers():
+    one, two = "BE68 5390 0754 7034", "AT611904300234573201"
+    t = f"{one} {two} 2024"
+    assert [t[s.start : s.end] for s in P.find(t) if s.kind == "iban"] == [one, two]
+
+
+@pytest.mark.parametrize("n", [8, 512, 513, 5000])
+def test_secrets_run_to_their_end(n):
+    t = "password=" + "a1" * (n // 2) + "b" * (n % 2) + " rest"
+    assert [(s.start, s.end) for s in P.find(t) if s.kind == "secret"] == [(9, 9 + n)]
+    assert P.mask(t, P.find(t)) == "password=<SECRET> rest"
+
+
+def test_account_and_secret_runs_take_linear_time():
+    import time
+
+    began = time.time()
+    for t in ("AB12 " * 200_000, "AB12" * 250_000, "password=" + "a1" * 1_000_000, "token=" * 200_000 + "1"):
+        P.find(t)
+    assert time.time() - began < 60
+
+
 def test_detect_hard_rows(spark):
     rows = [*HARD, (50, "é a@b.co, 1.2.3.4 +1 (302) 555-8032, or 4111 1111 1111 1111"), (50, None)]
     got = table_of(P.detect(frame(spark, rows)))
