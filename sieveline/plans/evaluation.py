@@ -254,20 +254,22 @@ def similarity_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- models and streams ----
 
 
-def _grid(classifier: str):
+def _grid(encoder: str, classifier: str, name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = labeled(spark, sf_dir).select(F.col("doc_id").alias("id"), X.normalize_text(F.col("text")).alias("text"), "canonical_label")
         df = ml.prepare(rows).persist()
-        encoder = "bow" if classifier == "nb" else "tfidf"
-        out, _ = ml.evaluate(df, encoder, classifier, {"vocabulary": 2000, "trees": 20, "depth": 8, "iterations": 20})
+        out, _ = ml.evaluate(df, encoder, classifier)
         return _rounded(M.scores(out, by=("split",)))
 
-    run.__name__ = f"ml_grid_{classifier}"
+    run.__name__ = name
     return run
 
 
-for _c in ml.CLASSIFIERS:
-    query()(_grid(_c))
+#: The encoder of the queries that are named by their classifier alone.
+_FIRST = {"nb": "bow", "logreg": "tfidf", "rf": "tfidf", "svm": "tfidf"}
+for _e in ml.ENCODERS:
+    for _c in ml.CLASSIFIERS:
+        query()(_grid(_e, _c, f"ml_grid_{_c}" if _FIRST[_c] == _e else f"ml_grid_{_e}_{_c}"))
 
 
 @query(r"SELECT DISTINCT sha256(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS dedupe_key FROM documents WHERE length(trim(regexp_replace(text, '\s+', ' ', 'g'))) <= 1600 AND " + " AND ".join(f"NOT contains(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), '{p}')" for p in X.EMAIL_PHRASES))

@@ -49,3 +49,16 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_model_queries_use_the_operators_settings(spark, monkeypatch):
+    from sieveline.operators import ml
+
+    seen = []
+    monkeypatch.setattr(ml, "prepare", lambda rows: rows)
+    monkeypatch.setattr(ml, "evaluate", lambda df, encoder, classifier, settings=None: seen.append((encoder, classifier, settings)) or (spark.createDataFrame([("test", "ham", "ham")], "split string, true_label string, predicted_label string"), 0.0))
+    for name in QUERIES:
+        if name.startswith("ml_grid_"):
+            QUERIES[name](spark, SF)
+    assert sorted((e, c) for e, c, _ in seen) == sorted((e, c) for e in ml.ENCODERS for c in ml.CLASSIFIERS)
+    assert not any(settings for _, _, settings in seen)
