@@ -229,7 +229,13 @@ def vocabulary_df(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH w AS (SELECT lang, {_WORDS} AS ws FROM documents), g AS (SELECT lang, unnest(list_concat(ws, list_transform(generate_series(1, greatest(len(ws) - 1, 0)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS gram FROM w) SELECT lang, gram, count(*) AS n FROM g GROUP BY lang, gram HAVING count(*) >= 20")
 def bigrams_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bigrams_all(spark, sf_dir).filter("n >= 20")
+
+
+@query(f"WITH w AS (SELECT lang, {_WORDS} AS ws FROM documents), g AS (SELECT lang, unnest(list_concat(ws, list_transform(generate_series(1, greatest(len(ws) - 1, 0)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS gram FROM w) SELECT lang, gram, count(*) AS n FROM g GROUP BY lang, gram")
+def bigrams_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word and bigram of a language, also those that bigrams_count leaves out."""
     words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: F.length(x) > 1)
     rows = table(spark, sf_dir, "documents").select("lang", words.alias("ws"))
     # outer, as a plain explode would bring a filter that repeats the splitting inside each step
-    return rows.select("lang", F.explode_outer(X.ngrams(F.col("ws"))).alias("gram")).filter("gram is not null").groupBy("lang", "gram").agg(F.count("*").alias("n")).filter("n >= 20")
+    return rows.select("lang", F.explode_outer(X.ngrams(F.col("ws"))).alias("gram")).filter("gram is not null").groupBy("lang", "gram").agg(F.count("*").alias("n"))

@@ -62,3 +62,9 @@ def test_model_queries_use_the_operators_settings(spark, monkeypatch):
             QUERIES[name](spark, SF)
     assert sorted((e, c) for e, c, _ in seen) == sorted((e, c) for e in ml.ENCODERS for c in ml.CLASSIFIERS)
     assert not any(settings for _, _, settings in seen)
+
+
+def test_all_grams_hold_the_rare_ones(spark):
+    every, frequent = QUERIES["bigrams_all"](spark, SF), QUERIES["bigrams_count"](spark, SF)
+    assert every.filter("n = 1").count() and every.filter("n between 2 and 19").count()
+    assert every.filter("n >= 20").exceptAll(frequent).count() == 0 and frequent.exceptAll(every).count() == 0
