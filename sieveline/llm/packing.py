@@ -5,6 +5,9 @@ number of documents by a salt of their place in the input (so that equal rows sp
 by itself: pieces by decreasing size, each into the open sequence that the score selects among those with room in
 every capacity. Sequences that stay below `refill` of the token capacity are opened again and packed once more in
 blocks `merge` times as large, so that what is lost at the blocks' edges falls with their size, not their number.
+
+Capacities that are wished for but must not cost a sequence (`wished`: fewer documents, less attention) hold in the
+first pass alone: where they leave a sequence under-filled, the second pass goes by the binding ones.
 """
 
 from __future__ import annotations
@@ -14,13 +17,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, spread
+from .common import cut
 from .tokens import encoder
 
 
@@ -58,7 +60,9 @@ def best_fit(lengths: np.ndarray, capacities: Capacities, weights=(1.0, 0.1, 0.1
         left = open_res[:n_open] - size
         fits = np.flatnonzero((left >= -eps).all(axis=1))
         if fits.size:
-            value = ((left[fits] ** 2) @ w) if score == "norm" else -((open_res[fits] * size) @ w)
+            # column by column, so that equal bins score the same to the last digit
+            x = left[fits] ** 2 if score == "norm" else -(open_res[fits] * size)
+            value = x[:, 0] * w[0] + x[:, 1] * w[1] + x[:, 2] * w[2]
             at = fits[int(np.argmin(value))]
             open_res[at] = left[at]
             b = open_id[at]
@@ -94,33 +98,37 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int | None =
                 salt += 1
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32", "salt"])
 
-    return spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(run, PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
 
 
 def pack_pieces(items: DataFrame, n_blocks: int, capacities: Capacities, weights=(1.0, 0.1, 0.1), score: str = "norm", base: int = 0) -> DataFrame:
     """Packs each of n_blocks blocks by itself; adds sequence_id, offset and filled (tokens in the sequence)."""
 
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(["salt", "piece"], kind="stable")
-        bins, offsets = best_fit(block["length"].to_numpy(), capacities, weights, score)
-        filled = np.bincount(bins, weights=block["length"].to_numpy()).astype(np.int64)
-        number = (np.int64(block["block"].iloc[0]) << 32) + np.int64(base) + bins
-        return block.drop(columns="block").assign(sequence_id=number, offset=offsets, filled=filled[bins])
+    def run(block: pa.Table) -> pa.Table:
+        # Arrow throughout: ids beside nulls stay whole numbers
+        block = block.sort_by([("salt", "ascending"), ("piece", "ascending")])
+        lengths = block["length"].to_numpy()
+        bins, offsets = best_fit(lengths, capacities, weights, score)
+        filled = np.bincount(bins, weights=lengths).astype(np.int64)
+        number = (np.int64(block["block"][0].as_py()) << 32) + np.int64(base) + bins
+        return block.drop_columns("block").append_column("sequence_id", pa.array(number)).append_column("offset", pa.array(offsets)).append_column("filled", pa.array(filled[bins]))
 
     blocked = items.withColumn("block", F.pmod(F.xxhash64("salt"), F.lit(n_blocks)))
-    return blocked.groupBy("block").applyInPandas(run, f"{PIECES}, sequence_id long, offset long, filled long")
+    return blocked.groupBy("block").applyInArrow(run, f"{PIECES}, sequence_id long, offset long, filled long")
 
 
-def pack(docs: DataFrame, tokenizer: str, capacities: Capacities = Capacities(), end_id: int | None = 0, weights=(1.0, 0.1, 0.1), score: str = "norm", block_docs: int = 2048, merge: int = 16, refill: float = 0.97, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacities: Capacities = Capacities(), end_id: int | None = 0, weights=(1.0, 0.1, 0.1), score: str = "norm", block_docs: int = 2048, merge: int = 16, refill: float = 0.97, wished: Capacities | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Packs documents into sequences: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Null and empty texts are a piece of the end id alone. Null ids stay null, and repeated rows are packed as
-    rows of their own. An empty table gives no rows. Other columns are not looked at.
+    Null and empty texts are a piece of the end id alone. Null ids stay null, whatever ids stand beside them, and
+    repeated rows are packed as rows of their own; pieces of equal size keep the order of the input. A very long text
+    is encoded in one go by one task, about 20 bytes of memory a character, and its pieces are spread like others. An
+    empty table gives no rows. Other columns are not looked at.
     """
     n_blocks = max(1, -(-docs.count() // block_docs))
-    first = cut(pack_pieces(pieces(docs, tokenizer, capacities.tokens, end_id, id_col, text_col), n_blocks, capacities, weights, score))
+    first = cut(pack_pieces(pieces(docs, tokenizer, capacities.tokens, end_id, id_col, text_col), n_blocks, wished or capacities, weights, score))
     out = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-    if n_blocks == 1:
+    if n_blocks == 1 and not wished:
         return first.select(*out)
     low = F.col("filled") < refill * capacities.tokens
     again = first.filter(low).drop("sequence_id", "offset", "filled")

@@ -20,6 +20,10 @@ from .urls import judge_urls
 from .wordpiece import count_tokens
 
 
+#: At most 32 documents and 95 % of a full sequence's attention cost, where that costs no sequence of 2048 tokens.
+WISHED = Capacities(2048, 32, 2048 * 2048 * 95 // 100)
+
+
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -27,7 +31,7 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(read_table(spark, sf_dir, "documents"), vocabulary(), Capacities(2048, 2048, 2048 * 2048), end_id=0)
+    return pack(read_table(spark, sf_dir, "documents"), vocabulary(), Capacities(2048, 2048, 2048 * 2048), end_id=0, wished=WISHED)
 
 
 def op2_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

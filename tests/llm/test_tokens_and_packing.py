@@ -62,6 +62,64 @@ def test_every_capacity_holds(lengths, docs, score):
             assert sum(n for _, n in members) <= 100 and len(members) <= docs and sum(n * n for _, n in members) <= 5000
 
 
+def plain_best_fit(lengths, cap, weights, score):
+    """Vector best fit by its definition: every bin ever opened is looked at for every piece."""
+    limit = np.array([cap.tokens, cap.documents, cap.attention], float)
+    sizes = [np.array([n, 1, n * n], float) / limit for n in lengths]
+    left, out = [], {}
+    for i in sorted(range(len(lengths)), key=lambda i: -sum(w * x for w, x in zip(weights, sizes[i]))):
+        options = []
+        for b, r in enumerate(left):
+            after = r - sizes[i]
+            if (after >= -1e-12).all():
+                value = sum(w * x * x for w, x in zip(weights, after)) if score == "norm" else -sum(w * x * y for w, x, y in zip(weights, r, sizes[i]))
+                options.append((round(value, 12), b))
+        if options:
+            b = min(options)[1]
+            left[b] = left[b] - sizes[i]
+        else:
+            b = len(left)
+            left.append(1.0 - sizes[i])
+        out[i] = b
+    return [out[i] for i in range(len(lengths))]
+
+
+@settings(max_examples=150, deadline=None)
+@given(lengths=st.lists(st.integers(1, 100), min_size=1, max_size=70), docs=st.integers(1, 6), cost=st.integers(3_000, 10_000), score=st.sampled_from(["norm", "dot"]))
+def test_best_fit_equals_its_definition(lengths, docs, cost, score):
+    """With document and attention capacities that bind."""
+    cap, weights = Capacities(100, docs, cost), (1.0, 0.25, 0.5)
+    assert best_fit(np.array(lengths), cap, weights, score)[0].tolist() == plain_best_fit(lengths, cap, weights, score)
+
+
+def test_packing_under_binding_capacities(spark, library):
+    rows = [(k, text(k, 3 + k * 7 % 400)) for k in range(300)]
+    cap = Capacities(2048, 3, 1_500_000)
+    got = table_of(pack(frame(spark, rows), PATH, cap, block_docs=64))
+    check_pieces(got, rows, library)
+    by = defaultdict(list)
+    for r in got:
+        by[r["sequence_id"]].append(r["length"])
+    assert all(len(x) == 1 or (len(x) <= 3 and sum(n * n for n in x) <= 1_500_000) for x in by.values())
+    assert sum(len(x) == 3 for x in by.values()) > 10 and any(1_300_000 < sum(n * n for n in x) for x in by.values() if len(x) > 1)
+
+
+def test_wished_capacities_cost_no_sequence(spark, library):
+    """Many short documents: few of them in a sequence would cost many sequences."""
+    rows = [(k, text(k, 5 + k % 700 if k % 4 == 0 else 2)) for k in range(600)]
+    count = lambda wished: len({r["sequence_id"] for r in table_of(pack(frame(spark, rows), PATH, block_docs=100, wished=wished))})
+    got = table_of(pack(frame(spark, rows), PATH, block_docs=100, wished=Capacities(2048, 8, 2048 * 2048 * 9 // 10)))
+    check_pieces(got, rows, library)
+    assert len({r["sequence_id"] for r in got}) <= count(None) + 1
+
+
+def test_large_ids_beside_nulls(spark, library):
+    rows = [(2**53 + 1, "a b"), (None, "c"), (2**60 + 1, "d e f"), (-(2**63), None), (2**63 - 1, "")]
+    got = table_of(pack(frame(spark, rows).coalesce(1), PATH))
+    check_pieces(got, rows, library)
+    assert {r["doc_id"] for r in got} == {i for i, _ in rows}
+
+
 def test_packing_is_tight_and_whole(spark, library):
     rows = [(k, text(k, 5 + k % 700)) for k in range(400)]
     got = table_of(pack(frame(spark, rows), PATH, block_docs=64))
