@@ -16,8 +16,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread
-
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "ssn", "mac", "key", "secret")
 KINDS = BASE + ADDED
@@ -31,7 +29,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _MAC = re.compile(r"(?<![0-9A-Fa-f:-])[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}(?![0-9A-Fa-f:-])")
-_KEY = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![A-Za-z0-9])")
+_KEY = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}+)(?![A-Za-z0-9])")
+KEY_PREFIXES = ("AKIA", "ghp_", "sk-")
 _SECRET = re.compile(r"(?i:token|password|passwd|secret|api[_-]?key)\x20{0,3}[=:]\x20{0,3}[\"']?([A-Za-z0-9+/_-]{8,}+)")
 _DIGITS = re.compile(r"[0-9]")
 
@@ -127,13 +126,16 @@ def _ibans(text: str) -> Iterator[tuple[int, int]]:
 
 
 def added_spans(text: str) -> list[tuple[str, int, int]]:
-    if not _DIGITS.search(text):
-        return []
-    out = [("iban", *span) for span in _ibans(text)]
-    out += [("ssn", *m.span()) for m in _SSN.finditer(text) if m[0][:3] not in ("000", "666") and m[0][0] != "9" and m[0][4:6] != "00" and m[0][7:] != "0000"]
-    out += [("mac", *m.span()) for m in _MAC.finditer(text)]
-    out += [("key", *m.span()) for m in _KEY.finditer(text)]
-    if "=" in text or ":" in text:
+    """Each kind is looked for where the text has what the kind can't be without."""
+    digits, out = bool(_DIGITS.search(text)), []
+    if digits:
+        out += [("iban", *span) for span in _ibans(text)]
+        out += [("ssn", *m.span()) for m in _SSN.finditer(text) if m[0][:3] not in ("000", "666") and m[0][0] != "9" and m[0][4:6] != "00" and m[0][7:] != "0000"]
+    if text.count(":") >= 5 or text.count("-") >= 5:
+        out += [("mac", *m.span()) for m in _MAC.finditer(text)]
+    if any(prefix in text for prefix in KEY_PREFIXES):
+        out += [("key", *m.span()) for m in _KEY.finditer(text)]
+    if digits and ("=" in text or ":" in text):
         out += [("secret", *m.span(1)) for m in _SECRET.finditer(text) if _DIGITS.search(m[1])]
     return out
 
@@ -163,6 +165,11 @@ def mask(text: str, spans: Sequence[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
+def scored(spans: Sequence[Span]) -> str:
+    """The scores of spans, in the same order as `listed` names them."""
+    return ",".join(f"{s.score:.2f}" for s in spans)
+
+
 def listed(spans: Sequence[Span]) -> str:
     return ",".join(f"{s.kind}:{s.start}:{s.end}" for s in spans)
 
@@ -171,10 +178,11 @@ SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end"
 
 
 def detect(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, found (its spans), n_email, n_ip, n_card, n_phone, base_sha256, spans.
+    """Per document: doc_id, found (its spans), n_email, n_ip, n_card, n_phone, base_sha256, spans, scores (of the spans, in their order).
 
     Null and empty texts have none; null ids stay; repeated rows stay rows of their own; an empty table gives no
-    rows. Other columns are not looked at.
+    rows. Spans of different kinds may overlap, and all are named. A text is searched in time in proportion to its
+    length, in one task. Other columns are not looked at.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,14 +191,19 @@ def detect(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col
             counts = [pa.array([sum(s.kind == k for s in spans) for spans in found], pa.int64()) for k in BASE]
             sums = [hashlib.sha256(listed([s for s in spans if s.kind in BASE]).encode()).hexdigest() for spans in found]
             structs = pa.array([[{"kind": s.kind, "start": s.start, "end": s.end, "score": s.score} for s in spans] for spans in found], SPANS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), structs, *counts, pa.array(sums, pa.string()), pa.array(list(map(listed, found)), pa.string())], ["doc_id", "found", *(f"n_{k}" for k in BASE), "base_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), structs, *counts, pa.array(sums, pa.string()), pa.array(list(map(listed, found)), pa.string()), pa.array(list(map(scored, found)), pa.string())], ["doc_id", "found", *(f"n_{k}" for k in BASE), "base_sha256", "spans", "scores"])
 
-    schema = "doc_id long, found array<struct<kind:string,start:long,end:long,score:double>>, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
-    return spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(run, schema)
+    schema = "doc_id long, found array<struct<kind:string,start:long,end:long,score:double>>, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, scores string"
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def mask_documents(docs: DataFrame, least: float = 0.5, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """docs with every span in its text replaced by its kind in brackets, and the length column, if there is one, set anew where the text changed; all other columns as they are. Null texts stay null."""
+    """docs with every span in its text replaced by its kind in brackets, and the length column, if there is one, set anew where the text changed; all other columns as they are.
+
+    Null and empty texts stay as they are, with their lengths; null ids and repeated rows stay; of overlapping spans the
+    one that starts first, and of these the longest, gives the name for all; an empty table gives no rows. Texts take
+    time in proportion to their length.
+    """
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
