@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, UPPER, cut, spread
+from .common import SPACES, UPPER, cut
 
 SYMBOLS = "#*$%&|<>"
 #: Labelled rows, least by hash, from which rules are learned.
@@ -201,15 +201,21 @@ def judge(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id
     """Per document: doc_id, the BASE counts, base_failed, kept.
 
     Null and empty texts have no words and fail the base rules; null ids stay; repeated rows stay rows of their own;
-    an empty table gives no rows, and without labels the base rules alone decide. Other columns are not looked at.
+    an empty table gives no rows, and without labels the base rules alone decide. A very long text is split into its
+    words in one task, some 60 bytes a word, and repeated threes are sorted: n log n in its words. Other columns are
+    not looked at.
     """
     rules = learn(labelled_sample(docs, labels, sample_rows, id_col, text_col))
-    stats = with_statistics(spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))))
+    stats = with_statistics(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
     return stats.select("doc_id", *BASE, base_failed().alias("base_failed"), (~base_failed() & verdict(rules)).alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that `judge` keeps, all columns as they are."""
+    """The documents that `judge` keeps, all columns as they are.
+
+    Null and empty texts go, as they fail the base rules; null ids stay; of repeated rows all stay or all go; an empty
+    table gives no rows; columns may have any names. Long texts cost what they cost in `judge`.
+    """
     rules = learn(labelled_sample(docs, labels, sample_rows, id_col, text_col))
     p = "_quality_"
     while any(c.lower().startswith(p) for c in docs.columns):

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, new_path, spread
+from .common import cut, free_name, new_path
 
 SEED = 42
 #: Nodes of one tile: a unit compares at most the square of this.
@@ -92,7 +92,7 @@ def fingerprints(docs: DataFrame, words: int = 3, n_words: int = 1, distinct: bo
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64())], ["doc_id", "text_hash", "node", "fp", "n"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
-    return spread(rows).mapInArrow(run, "doc_id long, text_hash long, node long, fp binary, n long")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, node long, fp binary, n long")
 
 
 def neighbours(parts: int, radius: int) -> list[tuple[int, ...]]:

@@ -13,8 +13,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread
-
 #: Words whose counts are kept per Python worker, and the longest kept.
 CACHE_WORDS, CACHE_CHARS = 500_000, 40
 
@@ -91,7 +89,8 @@ def count_tokens(docs: DataFrame, vocabulary: str, mark: str = "▁", id_col: st
     """Per document: doc_id, n_words, n_tokens: greedy longest-match pieces of each word with `mark` before it.
 
     Null and empty texts count 0; null ids stay; repeated rows stay rows of their own; an empty table gives no
-    rows. Other columns are not looked at.
+    rows. A very long text is one string in one task, and takes time in proportion to its length. Other columns are
+    not looked at.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,4 +115,4 @@ def count_tokens(docs: DataFrame, vocabulary: str, mark: str = "▁", id_col: st
                 tokens.append(sum(counts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], ["doc_id", "n_words", "n_tokens"])
 
-    return spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(run, "doc_id long, n_words long, n_tokens long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_words long, n_tokens long")
