@@ -10,16 +10,15 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
-from html import escape
-from html.parser import HTMLParser
+from collections.abc import Iterator, Sequence
+from html import unescape
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, spread
+from .common import new_path, utf8
 
 #: Samples in a row of the picture, and bytes to which a payload is padded: 24 rows of 24.
 ROW, TILE = 24, 576
@@ -31,9 +30,60 @@ PARTS = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("t
 PARTS_DDL = "array<struct<position:int,kind:string,text:string,digest:string,caption:string>>"
 
 
-class _Interleaver(HTMLParser):
+#: Elements whose content is text up to their end tag, and those of them whose text has character references.
+_RAW = frozenset(("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"))
+_REFERENCES = frozenset(("textarea", "title"))
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+_ATTRIBUTE = re.compile(r"""[\s/]*+(?:([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s>]*+)))?)?""")
+
+
+def tokens(html: str) -> Iterator[tuple[str, str, dict[str, str]]]:
+    """("text", text, {}), ("start", tag, attributes) and ("end", tag, {}) in order, as browsers cut a page up.
+
+    Every character is passed a bounded number of times: a tag, comment or quote without an end runs to the end of the
+    page, and nothing is tried again behind it.
+    """
+    at, n = 0, len(html)
+    while at < n:
+        mark = html.find("<", at)
+        if mark < 0:
+            mark = n
+        if mark > at:
+            yield "text", unescape(html[at:mark]), {}
+        if mark == n:
+            return
+        at = mark
+        if html.startswith("<!--", at):
+            end = html.find("-->", at + 2)  # <!--> is whole
+            at = end + 3 if end >= 0 else n
+        elif html.startswith(("<!", "<?"), at) or (html.startswith("</", at) and not _NAME.match(html, at + 2)):
+            end = html.find(">", at)
+            at = end + 1 if end >= 0 else n
+        elif m := _NAME.match(html, at + (2 if html.startswith("</", at) else 1)):
+            kind, tag, found = ("end" if html[at + 1] == "/" else "start"), m[0].lower(), {}
+            at = m.end()
+            while at < n and html[at] != ">":
+                m = _ATTRIBUTE.match(html, at)
+                at = m.end()
+                if m[1]:
+                    found.setdefault(m[1].lower(), unescape(next((v for v in m.groups()[1:] if v is not None), "")))
+            if at >= n:
+                return
+            at += 1
+            yield kind, tag, found if kind == "start" else {}
+            if kind == "start" and tag in _RAW:
+                close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, at)
+                end = close.start() if close else n
+                if end > at:
+                    yield "text", unescape(html[at:end]) if tag in _REFERENCES else html[at:end], {}
+                at = end
+        else:
+            yield "text", "<", {}
+            at += 1
+
+
+class _Interleaver:
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
         self.parts: list[dict] = []
         self.held: list[str] = []
         self.skip = self.figure = 0
@@ -50,14 +100,13 @@ class _Interleaver(HTMLParser):
         self.parts.append({"position": len(self.parts), "kind": kind, "text": text, "digest": digest, "caption": caption})
         return self.parts[-1]
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
+    def start(self, tag: str, attributes: dict[str, str]) -> None:
         if tag in _SKIP:
             self.skip += 1
         elif tag in ("img", "video", "audio", "source") and not self.skip:
-            named = dict(attrs)
-            if found := _SRC.fullmatch(named.get("src") or ""):
+            if found := _SRC.fullmatch(attributes.get("src", "")):
                 self._close()
-                part = self._add("media", None, found[1], named.get("alt") or None)
+                part = self._add("media", None, found[1], attributes.get("alt") or None)
                 if self.figure:
                     self.waiting.append(part)
         elif tag == "figcaption":
@@ -67,55 +116,72 @@ class _Interleaver(HTMLParser):
             self._close()
             self.figure += tag == "figure"
 
-    def handle_endtag(self, tag: str) -> None:
+    def end(self, tag: str) -> None:
         if tag in _SKIP:
             self.skip = max(0, self.skip - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            said, self.caption = " ".join("".join(self.caption).split()), None
-            for part in self.waiting:
-                part["caption"] = said or part["caption"]
+        elif tag == "figcaption":
+            self._caption()
         elif tag in _BREAK:
             self._close()
             if tag == "figure":
+                self._caption()  # left open, it ends with its figure
                 self.figure, self.waiting = max(0, self.figure - 1), []
 
-    def handle_data(self, data: str) -> None:
-        if self.skip:
-            return
-        (self.held if self.caption is None else self.caption).append(data)
+    def _caption(self) -> None:
+        if self.caption is not None:
+            said, self.caption = " ".join("".join(self.caption).split()), None
+            for part in self.waiting:
+                part["caption"] = said or part["caption"]
 
-    def done(self) -> list[dict]:
-        self.close()
-        self._close()
-        return self.parts
+    def text(self, text: str) -> None:
+        if not self.skip:
+            (self.held if self.caption is None else self.caption).append(text)
 
 
 def parse(html: str | None) -> list[dict]:
     """The parts of a page in order; null and empty pages have none. Text ends at block tags and at references."""
-    parser = _Interleaver()
-    if html:
-        parser.feed(html)
-    return parser.done()
-
-
-def interleave(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """(id, parts): one row a page, whatever it holds. Ids may be null or repeated."""
+    reader = _Interleaver()
+    for kind, said, attributes in tokens(html or ""):
+        if kind == "text":
+            reader.text(said)
+        elif kind == "start":
+            reader.start(said, attributes)
+        else:
+            reader.end(said)
+    reader._caption()
+    reader._close()
+    return reader.parts
+
+
+def interleave(pages: DataFrame, id_col: str, html_col: str, keep: Sequence[str] = ()) -> DataFrame:
+    """(id, *keep, parts): one row a page, whatever it holds.
+
+    Null and empty pages have no parts; broken markup is read as far as it goes; ids may be null or repeated, and
+    repeated rows stay rows of their own; an empty table gives no rows. A page is parsed in one task, whatever its
+    length. Of the other columns only those in keep are looked at.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([parse(h.as_py()) for h in batch.column(1)], PARTS)], ["id", "parts"])
+            *kept, html = batch.columns
+            for at in range(0, batch.num_rows, 256):
+                parts = pa.array([parse(h.as_py()) for h in html[at : at + 256]], PARTS)
+                yield pa.RecordBatch.from_arrays([*(c[at : at + 256] for c in kept), parts], ["id", *keep, "parts"])
 
-    return pages.select(F.col(id_col).cast("long").alias("id"), F.col(html_col).alias("html")).mapInArrow(run, f"id long, parts {PARTS_DDL}")
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), *keep, F.col(html_col).alias("html"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    return rows.mapInArrow(run, f"{kinds}, parts {PARTS_DDL}")
 
 
 def references(sequences: DataFrame) -> DataFrame:
-    """One row for each media reference: id, position, digest, caption."""
-    parts = sequences.select("id", F.explode("parts").alias("p")).filter("p.kind = 'media'")
-    return parts.select("id", "p.position", "p.digest", "p.caption")
+    """One row for each media reference: id, what interleave kept, position, digest, caption. Pages without one give no row; a digest that stands twice in a page is two references."""
+    kept = [c for c in sequences.columns if c != "parts"]
+    parts = sequences.select(*kept, F.explode("parts").alias("p")).filter("p.kind = 'media'")
+    return parts.select(*kept, "p.position", "p.digest", "p.caption")
 
 
 def resolve(refs: DataFrame, media: DataFrame) -> DataFrame:
-    """Joins references with what `media` holds for their digest, once a digest; unknown digests keep nulls.
+    """Joins references with what `media` holds for their digest, once a digest; unknown and null digests keep nulls. An empty table on either side loses no reference; media may hold any columns but d, dh and those of refs.
 
     The join has a second key, a hash of the digest, so that the media, one a digest by an exchange on the digest
     alone, are exchanged once more for it: adaptive execution splits skewed digests only between two such exchanges.
@@ -149,28 +215,41 @@ def feature(samples: np.ndarray) -> str:
     return f"n={n};sum={total};squares={squares};step={step};levels=" + ",".join(map(str, levels.tolist()))
 
 
-STORED = "doc_id long, n_bytes long, digest string, picture binary, parts " + PARTS_DDL
+def payload(text: Column) -> Column:
+    """The text's bytes (none for null), padded with bytes 255 as `pad` does."""
+    octets = F.coalesce(utf8(text), F.lit(b""))
+    tiles = F.greatest(F.lit(1), F.ceil(F.octet_length(octets) / TILE))
+    return F.rpad(octets, (tiles * TILE).cast("int"), F.lit(b"\xff"))
 
 
-def picture_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each text as a page that shows it and its picture: doc_id, n_bytes, digest, picture, parts (the page, parsed, with the lengths of its texts in their place)."""
+def picture(octets: Column) -> Column:
+    """What `to_picture` gives, of a column of payloads."""
+    head = F.concat(F.lit(f"P5\n{ROW} "), (F.octet_length(octets) / ROW).cast("int").cast("string"), F.lit("\n255\n"))
+    return F.concat(utf8(head), octets)
+
+
+def escaped(text: Column) -> Column:
+    """The text as it stands in a page."""
+    out = F.coalesce(text, F.lit(""))
+    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        out = F.replace(out, F.lit(mark), F.lit(name))
+    return out
+
+
+def illustrated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_bytes, html): each text as a page that shows it and, in a figure, its picture."""
+    n = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
+    digest = F.sha2(payload(F.col(text_col)), 256)
+    html = F.concat(F.lit("<article><p>"), escaped(F.col(text_col)), F.lit('</p><figure><img src="sha256:'), digest, F.lit('" alt=""><figcaption>'), n.cast("string"), F.lit(" bytes</figcaption></figure></article>"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), n.alias("n_bytes"), html.alias("html"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for doc, scalar in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = scalar.as_py() or ""
-                octets = text.encode()
-                payload = pad(octets)
-                digest = hashlib.sha256(payload).hexdigest()
-                page = f'<article><p>{escape(text)}</p><figure><img src="sha256:{digest}" alt=""><figcaption>{len(octets)} bytes</figcaption></figure></article>'
-                parts = [p | {"text": None if p["text"] is None else str(len(p["text"]))} for p in parse(page)]
-                rows.append((doc, len(octets), digest, to_picture(payload), parts))
-            for k in range(0, len(rows), 256):
-                part = rows[k : k + 256]
-                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in part], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.binary(), PARTS))], ["doc_id", "n_bytes", "digest", "picture", "parts"])
 
-    return spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(run, STORED)
+def store_pictures(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+    """(digest, picture) of every text, by way of files at path."""
+    octets = docs.select(payload(F.col(text_col)).alias("payload"))
+    pictures = octets.select(F.sha2("payload", 256).alias("digest"), picture(F.col("payload")).alias("picture"))
+    pictures.write.option("parquet.block.size", 16 << 20).option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema("digest string, picture binary").parquet(path)
 
 
 def inspect(media: DataFrame) -> DataFrame:
@@ -190,16 +269,13 @@ def inspect(media: DataFrame) -> DataFrame:
 
 
 def store_and_resolve(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stores every text's picture, reads the pictures back, and joins what they hold to the references of the parsed pages.
+    """Stores every text's picture, reads the pictures back, and joins what they hold to the references of the parsed pages: doc_id, n_bytes, position, caption, digest, and what `inspect` gives.
 
     A null text is an empty one: one tile of 255. Null ids stay, repeated rows stay rows of their own, and an empty
-    table gives no rows. Other columns are not looked at.
+    table gives no rows. Of equal texts all pictures are stored, and one is joined. A very long text is one page and
+    one picture in one task, some ten times its bytes of memory. Other columns are not looked at.
     """
-    spark = docs.sparkSession
-    path = path or new_path(spark, "pictures")
+    stored = store_pictures(docs, path or new_path(docs.sparkSession, "pictures"), text_col)
     # pictures stay with the rows they came from: nothing but digests and figures moves
-    picture_pages(docs, id_col, text_col).write.option("parquet.block.size", 16 << 20).option("compression", "zstd").parquet(path)
-    stored = spark.read.schema(STORED).parquet(path)
-    refs = stored.select("doc_id", "n_bytes", F.explode("parts").alias("p")).filter("p.kind = 'media'")
-    refs = refs.select("doc_id", "n_bytes", F.col("p.position").alias("position"), F.col("p.digest").alias("digest"), F.col("p.caption").alias("caption"))
-    return resolve(refs, inspect(stored))
+    refs = references(interleave(illustrated(docs, id_col, text_col), "doc_id", "html", ("n_bytes",)))
+    return resolve(refs, inspect(stored)).withColumnRenamed("id", "doc_id")

@@ -17,6 +17,8 @@ from sieveline.llm import mixing as X
 from sieveline.llm import sharding as S
 from sieveline.llm import simhash as N
 
+from tests.conftest import DATA
+
 from .helpers import HARD, frame, pairs, table_of, text
 
 
@@ -232,6 +234,80 @@ def test_pages_resolve(spark):
     assert sorted((str(r["id"]), r["position"], r["value"]) for r in got.collect()) == [("1", 1, 7), ("None", 0, None)]
 
 
+@settings(max_examples=400, deadline=None)
+@given(html=st.lists(st.sampled_from(["<", ">", "</", "<!", "<![", "<!--", "-->", "]]>", "<![CDATA[", "<![foo bar]>", "<?", "/>", "p", "figure", "figcaption", "img src=", '"sha256:', "'", '"', "=", "&#x", "&amp", "&#99999999999;", " ", "x", "<script>", "</script", "<style", "é", "\n", "<!DOCTYPE [", "<!ELEMENT ["]), max_size=30).map("".join))
+def test_broken_markup_is_read(html):
+    parts = D.parse(html)
+    assert [p["position"] for p in parts] == list(range(len(parts)))
+
+
+def test_unknown_sections():
+    assert [p["text"] for p in D.parse("a<![foo bar]>x<![CDATA[y]]>z<![endif]-->w<![open")] == ["axzw"]
+    assert [p["text"] for p in D.parse("1 < 2 <b a='>' c=\">\" d=>3</b x><title>a &lt;b> c</TITLE >d<script>e</script f>g<!-->h<p")] == ["1 < 2 3a <b> cdgh"]
+
+
+def test_long_broken_pages_take_linear_time():
+    import time
+
+    began = time.time()
+    for t in ("<", "<a", "<!", "<a ", "</", "<![", "&#", "<!--", '<a b="', "<a b='", "<?", "<script>", "<a =", "<a/", "x&amp;<p>"):
+        D.parse(t * 200_000)
+    assert time.time() - began < 60
+
+
+@settings(max_examples=200, deadline=None)
+@given(parts=st.lists(st.sampled_from(["a", " ", "&amp;", "<b>", "</b>", "<p>", "</p>", "<br/>", "<!-- <i> -->", "<i class='x y' id=z checked>", "</i>", "<script>var a = '<p>';</script>", "<!DOCTYPE html>", "&eacute;", "<img alt=\"q>\" src=x>"]), max_size=20))
+def test_tokens_equal_the_standard_parser(parts):
+    """On well-formed markup."""
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            said.append(("start", tag, {k: v or "" for k, v in attrs}))
+
+        def handle_endtag(self, tag):
+            said.append(("end", tag, {}))
+
+        def handle_startendtag(self, tag, attrs):
+            self.handle_starttag(tag, attrs)
+
+        def handle_data(self, data):
+            said.append(("text", data, {}))
+
+    def joined(tokens):
+        out = []
+        for t in tokens:
+            if t[0] == "text" and out and out[-1][0] == "text":
+                out[-1] = ("text", out[-1][1] + t[1], {})
+            else:
+                out.append(t)
+        return out
+
+    said = []
+    reader = Plain(convert_charrefs=True)
+    reader.feed("".join(parts))
+    reader.close()
+    assert joined(D.tokens("".join(parts))) == joined(said)
+
+
+def test_real_pages(spark):
+    """Every page of the table, with a picture put into it, against a plain reading of its text."""
+    pages = spark.read.parquet(f"{DATA}/sf0.001/pages.parquet")
+    digest = hashlib.sha256(b"y").hexdigest()
+    with_media = pages.withColumn("html", F.concat(F.replace("html", F.lit("<article>"), F.lit(f'<figure><img src="sha256:{digest}"><figcaption>seen</figcaption></figure><article>')), F.lit("<![odd")))
+    got = table_of(D.interleave(with_media, "page_id", "html", ("url",)))
+    assert len(got) == pages.count() and all(r["url"] for r in got)
+    for r in got:
+        media = [p for p in r["parts"] if p["kind"] == "media"]
+        assert [(p["digest"], p["caption"]) for p in media] == [(digest, "seen")]
+        assert [p["position"] for p in r["parts"]] == list(range(len(r["parts"])))
+        texts = [p["text"] for p in r["parts"] if p["kind"] == "text"]
+        assert len(texts) > 3 and not any("track(" in t or "margin:0" in t for t in texts)
+    refs = D.references(D.interleave(with_media, "page_id", "html"))
+    known = spark.createDataFrame([(digest, 5)], "digest string, value int")
+    assert [r["value"] for r in D.resolve(refs, known).collect()] == [5] * pages.count()
+
+
 @settings(max_examples=50, deadline=None)
 @given(octets=st.binary(max_size=2000))
 def test_pictures_round_trip(octets):
@@ -240,14 +316,22 @@ def test_pictures_round_trip(octets):
     assert D.from_picture(D.to_picture(payload)) == payload
 
 
+def plain_feature(p):
+    step = sum(abs(p[k] - p[k + 1]) for k in range(len(p) - 1) if (k + 1) % 24)
+    levels = [sum(32 * j <= x < 32 * j + 32 for x in p) for j in range(8)]
+    return f"n={len(p)};sum={sum(p)};squares={sum(x * x for x in p)};step={step};levels=" + ",".join(map(str, levels))
+
+
 def test_media_of_hard_rows(spark):
     got = table_of(D.store_and_resolve(frame(spark)))
     assert len(got) == len(HARD)
     want = []
     for i, t in HARD:
         p = D.pad((t or "").encode())
-        want.append((str(i), len((t or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:])))
-    assert sorted((str(r["doc_id"]), r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in got) == sorted(want)
+        form = D.to_picture(p)
+        want.append((str(i), len((t or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(form), hashlib.sha256(form).hexdigest(), plain_feature(p), int(bool((t or "").strip())), f"{len((t or '').encode())} bytes"))
+    columns = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    assert sorted((str(r["doc_id"]), *(r[c] for c in columns)) for r in got) == sorted(want)
     assert D.store_and_resolve(frame(spark, [])).count() == 0
 
 
