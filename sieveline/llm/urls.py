@@ -18,12 +18,11 @@ from .common import cut, lower_ascii
 
 #: (host, path, verdict): a rule fits its host and all subdomains where the path begins with its own.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
+#: At most this: the scores of all runs, 41 to the 4th of 12 bytes each, are then 34 MB, which every task can hold.
 ORDER = 3
-#: Characters after folding: letters, one digit, marks of URLs, one for all others, one for the edges.
-MARKS = "./-_?=&%#:+@"
-ALPHABET = 26 + 1 + len(MARKS) + 1 + 1
-#: Scores of so many different runs of characters are sent to every task; beyond, they are joined by shuffle.
-BROADCAST_RUNS = 300_000
+#: Characters after folding, by code from 1: letters, one digit, marks of URLs, one for all others. 0 is the edge: before the first character of a context, or the end as a last character.
+FOLDED = "abcdefghijklmnopqrstuvwxyz0./-_?=&%#:+@~"
+ALPHABET = len(FOLDED) + 1
 BINS = 40
 
 
@@ -45,19 +44,29 @@ def decide(host_: Column, path_: Column, rules: Sequence[tuple[str, str, str]] =
     return rule, verdict
 
 
-def runs(url: Column, order: int = ORDER) -> Column:
-    """Every character of the folded URL behind its context of `order` characters; none for null and empty URLs."""
+def codes(url: Column, order: int = ORDER) -> Column:
+    """The codes of the folded URL's characters, behind `order` edges and before one; null for null and empty URLs."""
     folded = F.regexp_replace(lower_ascii(F.regexp_replace(url, r"(?s)^.*?://", "")), "[0-9]", "0")
     folded = F.regexp_replace(folded, r"(?s)[^a-z0./\-_?=&%#:+@]", "~")
-    chars = F.split(F.concat(F.lit("^" * order), folded, F.lit("$")), "")
-    return F.when(F.length(folded) > 0, chars)
+    edge = F.lit(0)
+    each = F.transform(F.split(folded, ""), lambda c: F.when(c != "", F.position(c, F.lit(FOLDED))).otherwise(edge))
+    each = F.slice(each, F.lit(1), F.length(folded))
+    return F.when(F.length(folded) > 0, F.concat(F.array_repeat(edge, order), each, F.array(edge)))
+
+
+def spell(run: int, order: int = ORDER) -> str:
+    """The characters that a run stands for: ^ and $ are the edges."""
+    digits = [run // ALPHABET**k % ALPHABET for k in range(order, -1, -1)]
+    return "".join((f"^{FOLDED}" if k < order else f"${FOLDED}")[d] for k, d in enumerate(digits))
 
 
 def _explode(rows: DataFrame, order: int, outer: bool = False) -> DataFrame:
-    """One row for each character, `run` being the character behind its context."""
-    rows = rows.withColumn("_chars", runs(F.col("url"), order))
-    pieces = F.transform(F.sequence(F.lit(order), F.array_size("_chars") - 1), lambda i: F.concat(*[F.get("_chars", i - k) for k in range(order, -1, -1)]))
-    rows = rows.withColumn("_runs", F.filter(F.when(F.array_size("_chars") > order, pieces), lambda r: F.length(r) == order + 1)).drop("_chars")
+    """One row for each character: `run` is the number that the codes of its context and its own are the digits of."""
+    if order > ORDER:
+        raise ValueError(f"contexts of over {ORDER} characters have more runs than every task can hold")
+    rows = rows.withColumn("_codes", codes(F.col("url"), order))
+    number = lambda i: sum((F.get("_codes", i - k) * ALPHABET**k for k in range(1, order + 1)), F.get("_codes", i))
+    rows = rows.withColumn("_runs", F.transform(F.sequence(F.lit(order), F.array_size("_codes") - 1), number)).drop("_codes")
     # for a plain explode the optimizer would add a filter on the array and move it below these steps, inlined in each other
     rows = rows.withColumn("run", F.explode_outer("_runs")).drop("_runs")
     return rows if outer else rows.filter(F.col("run").isNotNull())
@@ -69,23 +78,17 @@ def run_scores(counted: DataFrame, seen: DataFrame, order: int = ORDER) -> DataF
     chance = {c: F.lit(1.0 / ALPHABET) for c in "ab"}
     for k in range(order + 1):
         # counts of the last k + 1 characters, and of their first k with any character after
-        tail = counted.groupBy(F.substring("run", order + 1 - k, k + 1).alias("t")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-        context = tail.groupBy(F.substring("t", 1, k).alias("h")).agg(*[x for c in "ab" for x in (F.sum(c).alias(f"n{c}"), F.count_if(F.col(c) > 0).alias(f"t{c}"))])
+        last = lambda run: F.pmod(run, F.lit(ALPHABET ** (k + 1)))  # noqa: B023, E731
+        first = lambda t: F.floor(t / ALPHABET).cast("int")
+        tail = counted.groupBy(last(F.col("run")).alias("t")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
         if k:
-            out = out.join(tail, F.substring(out["run"], order + 1 - k, k + 1) == F.col("t"), "left").join(context, F.substring(out["run"], order + 1 - k, k) == F.col("h"), "left")
+            context = tail.groupBy(first(F.col("t")).alias("h")).agg(*[x for c in "ab" for x in (F.sum(c).alias(f"n{c}"), F.count_if(F.col(c) > 0).alias(f"t{c}"))])
+            out = out.join(tail, last(out["run"]) == F.col("t"), "left").join(context, first(last(out["run"])) == F.col("h"), "left")
             got = {c: (F.coalesce(F.col(c), F.lit(0)), F.coalesce(F.col(f"n{c}"), F.lit(0)), F.coalesce(F.col(f"t{c}"), F.lit(0))) for c in "ab"}
         else:  # no more rows than the alphabet has characters
             singles = {r["t"]: r for r in tail.collect()}
-            whole = {c: (sum(r[c] for r in singles.values()), sum(r[c] > 0 for r in singles.values())) for c in "ab"}
-            last = F.substring(F.col("run"), order + 1, 1)
-
-            def count(c: str) -> Column:
-                col = F.lit(0)
-                for t, r in singles.items():
-                    col = F.when(last == t, F.lit(r[c])).otherwise(col)
-                return col
-
-            got = {c: (count(c), F.lit(whole[c][0]), F.lit(whole[c][1])) for c in "ab"}
+            table = {c: [singles[t][c] if t in singles else 0 for t in range(ALPHABET)] for c in "ab"}
+            got = {c: (F.get(F.array(*map(F.lit, x)), last(F.col("run"))), F.lit(sum(x)), F.lit(sum(n > 0 for n in x))) for c, x in table.items()}
         chance = {c: F.when(n + t > 0, (x + t * chance[c]) / (n + t)).otherwise(chance[c]) for c, (x, n, t) in got.items()}
         out = out.select("run", *[p.alias(f"p{c}") for c, p in chance.items()])
         chance = {c: F.col(f"p{c}") for c in "ab"}
@@ -93,8 +96,8 @@ def run_scores(counted: DataFrame, seen: DataFrame, order: int = ORDER) -> DataF
 
 
 def _scored(rows: DataFrame, scores: DataFrame, keys: list[str], order: int) -> DataFrame:
-    """rows by keys, with the mean delta over a URL's characters; 0 for a URL without any."""
-    joined = _explode(rows, order, outer=True).join(scores, "run", "left")
+    """rows by keys, with the mean delta over a URL's characters; 0 for a URL without any. All of a URL's characters are in one task, so that what is exchanged is a row a URL."""
+    joined = _explode(rows, order, outer=True).join(F.broadcast(scores), "run", "left")
     return joined.groupBy(*keys).agg(F.coalesce(F.avg(F.coalesce("delta", F.when(F.col("run").isNotNull(), 0.0))), F.lit(0.0)).alias("score"))
 
 
@@ -103,7 +106,8 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
 
     Null URLs and those without :// have an empty host and path, which no rule fits; a null or empty URL scores 0.
     Where rules decide no URL, or all alike, the threshold is 0: at or above it a URL is allowed. Null ids stay;
-    repeated rows stay rows of their own; an empty table gives no rows. Other columns are not looked at.
+    repeated rows stay rows of their own; an empty table gives no rows. A very long URL is so many rows within one
+    task, which keeps one sum for them. Other columns are not looked at.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"))
     _, ruled = decide(host(F.col("url")), path(F.col("url")), rules)
@@ -112,8 +116,6 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     counted = cut(learned.groupBy("run").agg(F.count_if(F.col("label") == "allow").alias("a"), F.count_if(F.col("label") == "block").alias("b")))
     seen = _explode(rows.select("url"), order).select("run").distinct()
     scores = cut(run_scores(counted, seen, order))
-    if scores.count() <= BROADCAST_RUNS:
-        scores = F.broadcast(scores)
     # a hash of the URL stands for it here: only counts by score leave
     held = _scored(labelled.filter("held").withColumn("rid", F.monotonically_increasing_id()), scores, ["rid", "label"], order)
     spot = F.greatest(F.least(F.floor(F.col("score") * BINS), F.lit(100 * BINS)), F.lit(-100 * BINS))

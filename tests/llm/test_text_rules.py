@@ -239,12 +239,22 @@ def test_url_scores_equal_the_definition(spark):
     counted = U._explode(rows, order).groupBy("run").agg(F.count_if(F.col("label") == "allow").alias("a"), F.count_if(F.col("label") == "block").alias("b"))
     test = "http://aq.net/zé"
     seen = U._explode(spark.createDataFrame([(test,)], "url string"), order).select("run").distinct()
-    got = {r["run"]: r["delta"] for r in U.run_scores(counted, seen, order).collect()}
+    got = {U.spell(r["run"], order): r["delta"] for r in U.run_scores(counted, seen, order).collect()}
     assert set(got) == set(runs(test))
     for g, delta in got.items():
         assert delta == pytest.approx(math.log(ca(g[:-1], g[-1])) - math.log(cb(g[:-1], g[-1])), abs=1e-9)
 
 
+def test_runs_are_bounded(spark):
+    """Whatever the characters, a run is a number below the bound that the broadcast relies on."""
+    urls = spark.createDataFrame([("http://" + "".join(map(chr, range(1, 400))),), ("@@@@~~~~",), ("",), (None,)], "url string")
+    got = [r["run"] for r in U._explode(urls, 3).collect()]
+    assert len(got) == 399 + 1 + 8 + 1
+    assert all(0 <= x < U.ALPHABET**4 for x in got) and U.ALPHABET**4 < 3_000_000
+    with pytest.raises(ValueError, match="contexts"):
+        U._explode(urls, 4)
+
+
 def test_calibration():
     assert U.calibrate([]) == 0.0 and U.calibrate([(1, 2, 0)]) == 0.0
     assert U.calibrate([(-40, 0, 5), (-4, 0, 5), (8, 5, 0)]) == 0.0 and U.calibrate([(-40, 0, 5), (4, 1, 5), (8, 5, 0)]) == 5 / U.BINS
