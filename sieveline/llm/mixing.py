@@ -11,12 +11,12 @@ Sums along a stream take two steps, slices of the hash first, so that no task ho
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, n_words
+from .common import cut, free_name, n_words
 
 #: Weights of the sources by code point, null last, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -59,33 +59,38 @@ def invert(share: Column, schedule: Column) -> Column:
     return F.when(need <= first, within(a, b, need)).otherwise(0.5 + within(b, c, need - first))
 
 
-def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: Sequence[float] = WEIGHTS, schedules: Sequence[Sequence[float]] = SCHEDULES, seed: int = 17, slice_rows: int = 1000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Per document: doc_id, source, text_hash, size, source_size, target, taken, copies, position (of its first copy, null if none), positions, in the order of position.
+def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: Sequence[float] = WEIGHTS, schedules: Sequence[Sequence[float]] = SCHEDULES, seed: int = 17, slice_rows: int = 1000, carry: Mapping[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Per document: doc_id, size, source_size, target, taken, source, copies, position (of its first copy, null if none), positions.
+
+    carry: columns of docs, by the names that they get, which come along through the one exchange that the running
+    sums need. The order of the rows is left to the caller.
 
     Null texts have size 0; null sources are a source, the last; null ids stay; repeated rows are documents of
     their own, which may change places among themselves. A document without words takes nothing
-    and has no position. An empty table gives no rows. Other columns are not looked at.
+    and has no position. An empty table gives no rows. A very long text costs its length once for its words and its
+    checksum. Other columns are not looked at.
     """
-    rows = cut(
-        docs.select(
-            F.col(id_col).cast("long").alias("doc_id"),
-            F.col(source_col).cast("string").alias("source"),
-            n_words(F.col(text_col)).alias("size"),
-            F.xxhash64(F.col(text_col)).alias("text_hash"),
-            F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("long").cast("string"), F.col(text_col))).alias("h"),
-        )
+    carry = dict(carry or {})
+    placed = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.col(source_col).cast("string").alias("source"),
+        n_words(F.col(text_col)).alias("size"),
+        F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("long").cast("string"), F.col(text_col))).alias("h"),
+        *[F.col(c).alias(name) for name, c in carry.items()],
     )
+    rows = cut(placed.drop(*carry))
+    placed = placed if carry else rows  # what is carried is read once more rather than written
     n = rows.count()
     # slices are ranges of the hash, so that the order is the hash's whatever their number; there are about as many as a slice has rows, where these are more than slice_rows
     slices = max(1, n // max(slice_rows, math.isqrt(n)))
-    placed = rows.withColumn("slice", F.shiftright(F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * F.lit(slices), 32))
-    sizes = placed.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
+    sliced = lambda df: df.withColumn("slice", F.shiftright(F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * F.lit(slices), 32))
+    sizes = sliced(rows).groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
     before = cut(sizes.withColumn("before", F.sum("slice_size").over(Window.partitionBy("source").orderBy("slice")) - F.col("slice_size")))
     targets = source_targets(before.groupBy("source").agg(F.sum("slice_size").alias("source_size")), share, most, weights)
     kinds = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in schedules])
     targets = targets.withColumn("schedule", F.element_at(kinds, (F.col("rank") % len(schedules) + 1).cast("int")))
     offsets = before.withColumnRenamed("source", "s").join(targets, F.col("s").eqNullSafe(F.col("source"))).select(F.col("s"), F.col("slice").alias("k"), "before", "source_size", "target", "schedule")
-    stream = placed.withColumn("upto", F.sum("size").over(Window.partitionBy("source", "slice").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)))
+    stream = sliced(placed).withColumn("upto", F.sum("size").over(Window.partitionBy("source", "slice").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)))
     joined = stream.join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("slice") == F.col("k")))
     start = F.col("before") + F.col("upto") - F.col("size")
     limit = F.floor("target")
@@ -95,7 +100,27 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: Sequenc
     taken = F.aggregate("starts", F.lit(0).cast("long"), lambda acc, u: acc + F.least(F.col("size"), F.col("limit") - u))
     positions = F.transform("starts", lambda u: F.round(invert(u / F.col("target"), F.col("schedule")), 9))
     out = joined.withColumn("taken", taken).withColumn("positions", positions).withColumn("copies", F.size("starts"))
-    return out.select("doc_id", "source", "text_hash", "size", "source_size", "target", "taken", "copies", F.get("positions", F.lit(0)).alias("position"), "positions").orderBy(F.col("position").asc_nulls_last(), "doc_id")
+    return out.select("doc_id", "size", "source_size", "target", "taken", "source", "copies", F.get("positions", F.lit(0)).alias("position"), "positions", *carry)
+
+
+def in_order(mixed: DataFrame) -> DataFrame:
+    """The rows of `mix` range-sorted by position; documents without one come last."""
+    return mixed.orderBy(F.col("position").asc_nulls_last(), "doc_id")
+
+
+def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """docs as often as the mix takes them, range-sorted by position, all columns as they are.
+
+    Texts move twice: to their slice, and to their place. No key but the slice, some thousand rows of a hash order,
+    gathers rows, so that repeated rows and hot sources make no task longer. Documents that the mix leaves out, those
+    without words among them, have no row. Null ids, texts and sources are dealt with as in `mix`; columns may have any
+    names; an empty table gives no rows.
+    """
+    names = {free_name(docs, f"_mix_{k}"): c for k, c in enumerate(docs.columns)}
+    place = free_name(docs, "_mix_place")
+    taken = mix(docs, carry=names, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    copies = taken.select(F.explode("positions").alias(place), *names)
+    return copies.repartitionByRange(place).sortWithinPartitions(place).select(*[F.col(n).alias(c) for n, c in names.items()])
 
 
 #: The rows of `mix` over documents with its parameters as they are, in DuckDB's SQL.

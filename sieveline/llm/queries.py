@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import read_table
 from .media import store_and_resolve
-from .mixing import MIX_SQL, mix
+from .mixing import MIX_SQL, in_order, mix
 from .packing import Capacities, pack
 from .pii import detect
 from .planes import encode_and_read
@@ -35,7 +35,7 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(read_table(spark, sf_dir, "documents")).drop("positions", "text_hash")
+    return in_order(mix(read_table(spark, sf_dir, "documents"))).drop("positions")
 
 
 def op3_url_language_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,7 +48,7 @@ def test_targets(spark, sizes):
 
 def test_mix(spark):
     rows = [*HARD, *[(100 + k, text(k, k % 90)) for k in range(400)]]
-    got = table_of(X.mix(frame(spark, rows), slice_rows=20))
+    got = table_of(X.in_order(X.mix(frame(spark, rows), slice_rows=20)))
     again = table_of(X.mix(frame(spark, rows).repartition(7), slice_rows=20))
     key = lambda r: (str(r["doc_id"]), str(r["source"]), r["size"], r["taken"])
     assert sorted(map(key, got)) == sorted(map(key, again))
@@ -66,6 +66,38 @@ def test_mix(spark):
     assert X.mix(frame(spark, [])).count() == 0
 
 
+def test_mix_equals_its_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/sf0.001/documents.parquet'")
+    want = con.execute(X.MIX_SQL)
+    names = [c[0] for c in want.description]
+    got = X.mix(spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")).drop("positions")
+    assert sorted(got.columns) == sorted(names) and got.columns[:5] == ["doc_id", "size", "source_size", "target", "taken"]
+    plain = lambda v: round(v, 6) if isinstance(v, float) else v
+    assert sorted(repr([plain(r[c]) for c in names]) for r in got.collect()) == sorted(repr([plain(v) for v in r]) for r in want.fetchall())
+
+
+def test_mixture_carries_whole_rows(spark):
+    """Copies as often as the mix takes them, in the order of their positions, with every column; also for many equal rows."""
+    rows = [*HARD, *[(100 + k, text(k, 1 + k % 60)) for k in range(200)], *[(7777, text(5, 30))] * 150]
+    docs = frame(spark, rows)
+    mixed = table_of(X.mix(docs, slice_rows=20, carry={"kept_text": "text"}))
+    out = X.mixture(docs, slice_rows=20)
+    assert out.columns == docs.columns
+    got = table_of(out)
+    want = defaultdict(int)
+    for r in mixed:
+        want[(str(r["doc_id"]), r["kept_text"])] += r["copies"]
+    have = defaultdict(int)
+    for r in got:
+        have[(str(r["doc_id"]), r["text"])] += 1
+        assert r["size"] == "x" and r["lang"] == "en"
+    assert have == {k: n for k, n in want.items() if n}
+    assert X.mixture(frame(spark, [])).count() == 0
+
+
 def test_positions_follow_the_schedule(spark):
     rows = spark.createDataFrame([(k / 50, s) for k in range(50) for s in ([1.5, 1.0, 0.5], [1.0, 1.0, 1.0], [0.0, 1.0, 2.0])], "share double, schedule array<double>")
     for r in rows.withColumn("t", X.invert(F.col("share"), F.col("schedule"))).collect():
