@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -87,6 +87,57 @@ def read_segment(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     return docs, np.concatenate(ids) if ids else np.empty(0, "<u4")
 
 
+def document_index(payload: bytes) -> np.ndarray:
+    """What a segment holds: known, doc_id and n of each document, without reading any block."""
+    return np.frombuffer(payload, DOC, HEAD.unpack_from(payload)[2], HEAD.size)
+
+
+def read_document(payload: bytes, number: int) -> np.ndarray:
+    """The ids of one document of a segment, by its place in the document index. Only the blocks that hold them are decompressed: the block index says where these lie."""
+    magic, code, n_docs, block, n_ids = HEAD.unpack_from(payload)
+    if magic != b"SLP1":
+        raise ValueError("not a segment of token planes")
+    if not 0 <= number < n_docs:
+        raise IndexError(f"document {number} of {n_docs}")
+    kind = next(k for k, v in KINDS.items() if v == code)
+    width = 4 if kind == "bytes" else 32
+    docs = np.frombuffer(payload, DOC, n_docs, HEAD.size)
+    start = int(docs["n"][:number].sum())
+    stop = start + int(docs["n"][number])
+    if start == stop:
+        return np.empty(0, "<u4")
+    n_blocks = -(-n_ids // block)
+    table = np.frombuffer(payload, "<u4", n_blocks * (1 + width), HEAD.size + docs.nbytes).reshape(n_blocks, 1 + width)
+    sizes = table[:, 1:].astype(np.int64)
+    first, last = start // block, (stop - 1) // block
+    at = HEAD.size + docs.nbytes + table.nbytes + int(sizes[:first].sum())
+    unpack = zstandard.ZstdDecompressor().decompress
+    ids = []
+    for k in range(first, last + 1):
+        planes = []
+        for size in sizes[k].tolist():
+            planes.append(unpack(payload[at : at + size]))
+            at += size
+        ids.append(from_planes(planes, int(table[k, 0]), kind))
+    return np.concatenate(ids)[start - first * block : stop - first * block]
+
+
+def find_documents(segments: DataFrame, ids: Sequence[int]) -> DataFrame:
+    """(doc_id, ids array<long>) of the documents with these ids, as often as they occur. Of a segment only the blocks of such documents are decompressed."""
+    wanted = np.array(sorted(set(ids)), np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for scalar in batch.column(0):
+                payload = scalar.as_py()
+                docs = document_index(payload)
+                for k in np.flatnonzero((docs["known"] == 1) & np.isin(docs["doc_id"], wanted)).tolist():
+                    found = read_document(payload, k).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([int(docs["doc_id"][k])], pa.int64()), pa.array([found], pa.list_(pa.int64()))], ["doc_id", "ids"])
+
+    return segments.select("payload").mapInArrow(run, "doc_id long, ids array<long>")
+
+
 SEGMENT = "shard int, segment int, ids_before long, n_docs long, n_ids long, payload binary"
 
 
@@ -154,7 +205,8 @@ def encode_and_read(docs: DataFrame, tokenizer: str, path: str | None = None, **
     """Writes docs to a dataset of token planes and reads every document back from it.
 
     Null and empty texts hold the end id alone; null ids come first and stay null; repeated rows stay rows of
-    their own. An empty table gives no rows. Other columns are not looked at.
+    their own. An empty table gives no rows. A very long text is a segment by itself, held whole by one task. Other
+    columns are not looked at.
     """
     spark = docs.sparkSession
     path = path or new_path(spark, "token-planes")

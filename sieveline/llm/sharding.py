@@ -98,10 +98,11 @@ def contiguous_cuts(groups: DataFrame, shards: int) -> list[int]:
 def shard_documents(docs: DataFrame, shards: int = 8, slot_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
-    Equal texts stay together: a group is never split, so one group larger than its share is a shard by itself.
+    Equal texts stay together: a group is never split, so one group larger than its share is a shard by itself. Groups
+    go by a 64-bit hash; different texts that meet in one are one group, which at most makes shards less equal by a text.
     A null text is a group of its own with the size and checksum of no bytes; null ids stay; repeated rows get slots
     of their own; an empty table gives no rows. Slots are gapless from 0 in each shard, counted in slices of about
-    slot_rows rows. Other columns are not looked at.
+    slot_rows rows. Of a text only its size and its sums are kept, whatever its length. Other columns are not looked at.
     """
     text = utf8(F.col(text_col))
     rows = cut(

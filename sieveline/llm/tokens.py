@@ -2,11 +2,13 @@
 
 The vocabulary's pattern lets a space join only the piece after it, so a text without white space runs that
 hold an inner space splits before each space into parts that are encoded independently. Such parts repeat,
-and their ids are kept per Python worker; other texts are encoded whole.
+and their ids are kept per Python worker; other texts are encoded whole. So are all texts where the vocabulary's
+file is not of the kind that this holds for.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 from itertools import islice
@@ -28,6 +30,21 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def separable(config: dict) -> bool:
+    """Whether a tokenizer's own file says that parts between spaces can be encoded by themselves: byte-level BPE with the usual pattern, nothing before or behind it, added tokens that begin with < alone."""
+    before, model = config.get("pre_tokenizer") or {}, config.get("model") or {}
+    return (
+        not any(config.get(k) for k in ("normalizer", "truncation", "padding", "post_processor"))
+        and before.get("type") == "ByteLevel"
+        and before.get("add_prefix_space") is False
+        and before.get("use_regex") is True
+        and model.get("type") == "BPE"
+        and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        and all(t["content"].startswith("<") and not t["lstrip"] and not t["rstrip"] for t in config.get("added_tokens") or ())
+        and set(_byte_letters().values()) <= set(model.get("vocab") or ())
+    )
+
+
 class Encoder:
     """Little-endian unsigned 32-bit ids of texts; add_special_tokens is off."""
 
@@ -36,6 +53,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.by_parts = separable(json.loads(self.tokenizer.to_str()))
         self.cache: dict[str, bytes] = {}  # ids of " " + part
         self.bare: dict[str, bytes] = {}  # ids of part, without a space before it
 
@@ -85,7 +103,7 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if _RUN.search(text):
+        if not self.by_parts or _RUN.search(text):
             return self._direct(text)
         first, *rest = text.split(" ")
         ids = list(map(self.cache.get, rest))

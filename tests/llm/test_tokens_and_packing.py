@@ -12,8 +12,8 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from sieveline.llm.packing import Capacities, best_fit, pack
-from sieveline.llm.planes import encode_and_read, from_planes, read_segment, to_planes, write_segment
-from sieveline.llm.tokens import Encoder
+from sieveline.llm.planes import encode_and_read, find_documents, from_planes, read_document, read_segment, to_planes, write_dataset, write_segment
+from sieveline.llm.tokens import Encoder, separable
 from sieveline.llm.wordpiece import LongestMatch, count_tokens, sentence_pieces
 
 from .helpers import HARD, frame, table_of, text
@@ -169,6 +169,47 @@ def test_segments_round_trip(docs, kind, block):
     assert ids.tolist() == [v for _, x in docs for v in x]
 
 
+@settings(max_examples=40, deadline=None)
+@given(docs=st.lists(st.lists(st.integers(0, 2**32 - 1), max_size=50), min_size=1, max_size=8), kind=st.sampled_from(["bytes", "bits"]), block=st.sampled_from([1, 7, 64]))
+def test_one_document_by_the_index(docs, kind, block):
+    payload = write_segment([(k, np.array(x, "<u4").tobytes()) for k, x in enumerate(docs)], kind, block)
+    for k, x in enumerate(docs):
+        assert read_document(payload, k).tolist() == x
+    with pytest.raises(IndexError):
+        read_document(payload, len(docs))
+
+
+def test_index_spares_other_blocks():
+    """A block that is not asked for may be damaged."""
+    payload = bytearray(write_segment([(0, np.arange(100, dtype="<u4").tobytes()), (1, np.arange(100, dtype="<u4").tobytes())], "bytes", 100))
+    payload[-4:] = b"xxxx"
+    assert read_document(bytes(payload), 0).tolist() == list(range(100))
+    with pytest.raises(Exception):  # noqa: B017
+        read_document(bytes(payload), 1)
+
+
+def test_documents_are_found(spark, library, tmp_path):
+    write_dataset(frame(spark), str(tmp_path / "planes"), PATH, segment_ids=500)
+    segments = spark.read.parquet(str(tmp_path / "planes"))
+    got = sorted((r["doc_id"], r["ids"]) for r in table_of(find_documents(segments, [7, 8, 2, 999])))
+    assert got == sorted((i, [*ids_of(library, t), 2]) for i, t in HARD if i in (7, 8, 2))
+
+
+def test_other_vocabularies_are_encoded_whole(library, mine):
+    import json
+
+    assert mine.by_parts
+    config = json.loads(library.to_str())
+    assert separable(config)
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {**config["pre_tokenizer"], "add_prefix_space": True}}, {"pre_tokenizer": None}, {"added_tokens": [{**config["added_tokens"][0], "content": "ab"}]}, {"model": {**config["model"], "ignore_merges": True}}):
+        assert not separable({**config, **change})
+    other = public_tokenizers.path("word_bpe_49k.json")
+    theirs, own = Tokenizer.from_file(other), Encoder(other)
+    assert not own.by_parts
+    for _, t in HARD:
+        assert np.frombuffer(own.encode(t or ""), "<u4").tolist() == theirs.encode(t or "", add_special_tokens=False).ids
+
+
 def test_planes_are_exact():
     x = np.array([0, 1, 2**31, 2**32 - 1, 50256], "<u4")
     for kind in ("bytes", "bits"):
