@@ -63,7 +63,7 @@ def op4_longest_match_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_duplicates(read_table(spark, sf_dir, "documents"), words=3, n_words=1, radius=2, parts=4)
+    found = near_duplicates(read_table(spark, sf_dir, "documents"), words=3, n_words=1, radius=2, parts=8)
     return found.select("doc_id", F.lpad(F.lower(F.hex("node")), 16, "0").alias("fingerprint"), "component_id")
 
 

@@ -96,11 +96,11 @@ def fingerprints(docs: DataFrame, words: int = 3, n_words: int = 1, distinct: bo
 
 
 def neighbours(parts: int, radius: int) -> list[tuple[int, ...]]:
-    """Differences of part counts of absolute sum at most radius, one of each pair of opposites, and zero."""
+    """Differences of part counts of absolute sum at most radius."""
     out: list[tuple[int, ...]] = [()]
     for _ in range(parts):
         out = [(*d, x) for d in out for x in range(-radius, radius + 1) if sum(map(abs, d)) + abs(x) <= radius]
-    return [d for d in out if d >= tuple([0] * parts)]
+    return out
 
 
 def _forest(a: np.ndarray, b: np.ndarray | None, ids_a: np.ndarray, ids_b: np.ndarray | None, radius: int) -> list[tuple[int, int]]:
@@ -145,21 +145,26 @@ def links(nodes: DataFrame, radius: int, parts: int, n_words: int = 1, size_rati
     parts: parts of the fingerprint whose counts make a cell (0: the cell is the size class alone). size_ratio: nodes
     whose n differ by more than this factor need not be compared.
     """
-    bits = 64 * n_words
+    # a cell is a number: a field for each part's count, wide enough that no step to a neighbour leaves it, and the size class above them
+    width = (64 * n_words // max(parts, 1) + 2 * radius).bit_length()
+    if parts * width > 54:
+        raise ValueError("so many parts and so large a radius have no room in a cell's number")
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             octets = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-            counts = np.bitwise_count(octets).reshape(batch.num_rows, max(parts, 1), -1).sum(axis=2).astype(np.int32)
-            band = np.zeros(batch.num_rows, np.int32)
+            cell = np.zeros(batch.num_rows, np.int64)
+            if parts:
+                counts = np.bitwise_count(octets).reshape(batch.num_rows, parts, -1).sum(axis=2).astype(np.int64) + radius
+                cell = counts @ (1 << (width * np.arange(parts, dtype=np.int64)))
             if size_ratio:
-                band = np.floor(np.log(np.maximum(batch.column(2).to_numpy(), 1)) / -math.log(size_ratio) + 1e-9).astype(np.int32)
-            cell = [",".join(map(str, [*(row if parts else ()), s])) for row, s in zip(counts.tolist(), band.tolist(), strict=True)]
+                band = np.floor(np.log(np.maximum(batch.column(2).to_numpy(), 1)) / -math.log(size_ratio) + 1e-9).astype(np.int64)
+                cell += (band + 1) << (parts * width)
             yield pa.RecordBatch.from_arrays([pa.array(cell), batch.column(0), batch.column(1)], ["cell", "node", "fp"])
 
-    placed = nodes.select("node", "fp", "n").mapInArrow(cells, "cell string, node long, fp binary")
+    placed = nodes.select("node", "fp", "n").mapInArrow(cells, "cell long, node long, fp binary")
     # a cell's nodes are dealt to enough tiles beforehand; a tile is the unit that is gathered
     counted = cut(placed)
     room = counted.groupBy("cell").agg(F.count("*").alias("nodes")).select(F.col("cell").alias("c"), F.ceil(F.col("nodes") / (tile / 2)).cast("int").alias("tiles"))
@@ -173,44 +178,22 @@ def links(nodes: DataFrame, radius: int, parts: int, n_words: int = 1, size_rati
                 rows.append((np.array([m["node"] for m in members], "<i8").tobytes(), b"".join(m["fp"] for m in members)))
             yield pa.RecordBatch.from_arrays([*list(batch.columns)[:3], pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["cell", "tile", "tiles", "ids", "fps"])
 
-    tiles = cut(packed.mapInArrow(gather, "cell string, tile int, tiles int, ids binary, fps binary"))
-    steps = neighbours(parts, radius) if parts else [()]
-    bands = (0,) if not size_ratio else (-1, 0, 1)
-
-    def partner_cells(cell: str) -> list[str]:
-        *own, band = map(int, cell.split(","))
-        out = []
-        for d in steps:
-            for s in bands:
-                if (*d, s) < tuple([0] * (parts + 1)):
-                    continue  # the other cell looks for this one
-                to = [x + y for x, y in zip(own, d, strict=True)]
-                if all(0 <= x <= bits // parts for x in to) and band + s >= 0:
-                    out.append(",".join(map(str, [*to, band + s])))
-        return out
-
-    # keys first: which tile meets which, a row a unit; tiles then meet by cell and number, so that a cell with very
-    # many nodes is as many keys as it has tiles
-    present = tiles.select("cell", "tiles").distinct()
+    tiles = cut(packed.mapInArrow(gather, "cell long, tile int, tiles int, ids binary, fps binary"))
+    bands = (-1, 0, 1) if size_ratio else (0,)
+    # one of each pair of opposite steps, and none
+    steps = sorted({x for d in neighbours(parts, radius) for s in bands if (x := sum(c << (width * p) for p, c in enumerate(d)) + (s << (parts * width))) >= 0})
 
-    def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            want, own, own_tiles = [], [], []
-            for cell, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = partner_cells(cell)
-                want += found
-                own += [cell] * len(found)
-                own_tiles += [n] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(want, pa.string()), pa.array(own, pa.string()), pa.array(own_tiles, pa.int32())], ["want", "own", "own_tiles"])
-
-    met = present.mapInArrow(seek, "want string, own string, own_tiles int").join(present.toDF("cell", "tiles"), F.col("want") == F.col("cell"))
-    keys = met.select("own", "want", "tiles", F.explode(F.sequence(F.lit(0), F.col("own_tiles") - 1)).alias("number")).select("own", "want", "number", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
+    # keys first: which cell meets which, then, from each tile's own row, which tile meets which; tiles then meet by
+    # cell and number, so that a cell with very many nodes is as many keys as it has tiles
+    present = tiles.select("cell", "tiles").distinct()
+    met = present.select(F.col("cell").alias("own"), F.explode(F.array(*[F.lit(x).cast("long") for x in steps])).alias("step")).withColumn("want", F.col("own") + F.col("step"))
+    met = met.join(present, F.col("want") == F.col("cell")).select("own", "want", "tiles")
+    keys = tiles.select(F.col("cell").alias("own"), F.col("tile").alias("number")).join(met, "own").select("own", "number", "want", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
     keys = keys.filter((F.col("own") != F.col("want")) | (F.col("number") <= F.col("tile")))
     mine = tiles.select(F.col("cell").alias("own"), F.col("tile").alias("number"), F.col("ids").alias("own_ids"), F.col("fps").alias("own_fps"))
     theirs = tiles.select(F.col("cell").alias("want"), "tile", "ids", "fps")
-    # units are few bytes and much work: their partitions must not be merged by size
-    n_parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    units = keys.join(mine, ["own", "number"]).repartition(n_parts, "want", "tile").join(theirs.repartition(n_parts, "want", "tile"), ["want", "tile"])
+    # no exchange by hand: adaptive execution may split a tile that very many others meet
+    units = keys.join(mine, ["own", "number"]).join(theirs, ["want", "tile"])
     units = units.select((F.col("own") == F.col("want")).alias("same_cell"), "number", "own_ids", "own_fps", "tile", "ids", "fps")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,8 +278,7 @@ def similar_links(docs: DataFrame, nodes: DataFrame, groups: DataFrame, words: i
     keys = tiles.filter(F.col("tile") < F.col("tiles") - 1).select("root", "tile", F.explode(F.sequence(F.col("tile") + 1, F.col("tiles") - 1)).alias("other"))
     several = tiles.filter("tiles > 1")
     theirs = several.select("root", F.col("tile").alias("other"), *(F.col(c).alias(f"other_{c}") for c in parts))
-    n_parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    across = keys.join(several.select("root", "tile", *parts), ["root", "tile"]).repartition(n_parts, "root", "other").join(theirs.repartition(n_parts, "root", "other"), ["root", "other"])
+    across = keys.join(several.select("root", "tile", *parts), ["root", "tile"]).join(theirs, ["root", "other"])
     columns = [*parts, *(f"other_{c}" for c in parts)]
     units = tiles.select(*parts, *(F.lit(None).cast("binary").alias(f"other_{c}") for c in parts)).unionByName(across.select(*columns))
 
@@ -346,7 +328,7 @@ def components(edges: DataFrame) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, n_words: int = 1, radius: int = 2, parts: int = 4, distinct: bool = False, size_ratio: float | None = None, tile: int = TILE, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 3, n_words: int = 1, radius: int = 2, parts: int = 8, distinct: bool = False, size_ratio: float | None = None, tile: int = TILE, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
     """Per document: doc_id, text_hash, node, fp, n, root, component_id (the smallest doc_id reachable over fingerprints at most radius bits apart), is_first (its row is the one that stays).
 
     similarity: only pairs whose sets of shingles have at least this Jaccard similarity are links; the radius then
@@ -354,8 +336,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, n_words: int = 1, radius: i
 
     A null text is an empty one: both have fingerprint zero, which links like any other. Null ids come first where
     they are compared by is_first, and don't count for component_id unless a component has no other. Of repeated
-    rows each gets a row, and is_first marks all that equal the one that stays. An empty table gives no rows. Other
-    columns are not looked at.
+    rows each gets a row, and is_first marks all that equal the one that stays. An empty table gives no rows. A very
+    long text is shingled whole in one task, some 100 bytes a word. Other columns are not looked at.
     """
     rows = cut(fingerprints(docs, words, n_words, distinct, id_col, text_col, by_set=similarity is not None))
     nodes = cut(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.min("n").alias("n"), F.min("doc_id").alias("smallest"), F.min(F.struct("doc_id", "text_hash")).alias("stays")))
@@ -378,6 +360,10 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, n_words: int = 4, radi
     The radius only chooses the pairs whose sets are compared. Sets of similarity 0.8 differ in 39 of 256 bits on
     average, with a deviation of 6 (the smallest, 4 shingles of 5, in 48), and unrelated texts in 128 with a deviation
     of 8: a radius of 72 is 5 deviations (the smallest sets: 3.8) from the former and 7 from the latter.
+
+    The row that stays is the one of the smallest id (null first), and of these of the smallest hash of its text;
+    of repeated rows one stays. Null and empty texts equal each other and nothing else, so one of them stays. Columns
+    may have any names; an empty table gives no rows. Very long texts cost what they cost in near_duplicates.
     """
     found = near_duplicates(docs, words, n_words, radius, parts, True, similarity, tile, id_col, text_col, similarity)
     key, place, number, stay_id, stay_hash = (free_name(docs, f"_dup_{x}") for x in ("key", "hash", "number", "stay_id", "stay_hash"))

@@ -367,6 +367,17 @@ def test_media_of_hard_rows(spark):
     assert D.store_and_resolve(frame(spark, [])).count() == 0
 
 
+def test_written_folders_can_be_cleared(spark):
+    import os
+
+    from sieveline.llm.common import clear, new_path
+
+    path = new_path(spark, "cleared")
+    spark.range(3).write.parquet(path)
+    place = path.removeprefix("file://")
+    assert os.path.isdir(place) and clear(spark, [path]) == 1 and not os.path.exists(place) and clear(spark, [path]) == 0
+
+
 def test_pipeline(spark, tmp_path):
     """Each stage on what its predecessor kept."""
     import corpus_pipeline as C
@@ -418,6 +429,34 @@ def test_similarity_and_radius_agree():
     assert missed <= 1 and far == 0 and math.isclose(320 / 400, 0.8)
 
 
+def test_recall_against_all_pairs_of_a_table(spark):
+    """The classes of sf0.01 by sharing five-word shingles, every pair with a common shingle looked at."""
+    docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    cut = lambda t: {b" ".join(w[k : k + 5]) for w in [(t or "").encode().lower().split()] for k in range(max(1, len(w) - 4))}
+    sets = [cut(t) for _, t in rows]
+    holders, common, parent = defaultdict(list), defaultdict(int), list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for k, own in enumerate(sets):
+        for s in own:
+            for other in holders[s]:
+                common[(other, k)] += 1
+            holders[s].append(k)
+    pairs_found = [(a, b) for (a, b), n in common.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)]
+    for a, b in pairs_found:
+        p, q = root(a), root(b)
+        parent[max(p, q)] = min(p, q)
+    want = {min(i for (i, _), k in zip(rows, range(len(rows))) if root(k) == r) for r in {root(k) for k in range(len(rows))}}
+    kept = {r["doc_id"] for r in N.drop_near_duplicates(docs).select("doc_id").collect()}
+    assert len(pairs_found) >= 50 and any(sets[a] != sets[b] for a, b in pairs_found)
+    assert kept == want
+
+
 @pytest.mark.parametrize("tile", [3, 2048])
 def test_only_pairs_of_the_contracts_similarity_go(spark, tile):
     """Pairs at 0.5 to 0.79 stay, those from 0.8 up go, also in long chains and in small sets; components are those of all pairs."""
