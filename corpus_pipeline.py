@@ -1,23 +1,23 @@
 """A training corpus from raw documents: five stages, each written as Parquet and read again by the next.
 
 Every stage takes (spark, docs, sf_dir) and returns the columns of documents, but the last, which returns pieces of
-packed sequences. Nulls, ties and repeated rows are dealt with as the operators' docstrings say; an empty table
-passes through all stages.
+packed sequences. Nulls, ties, repeated rows and very long texts are dealt with as the docstrings of the operators
+that the stages call say; an empty table passes through all stages, and further columns of documents stay as they are.
+What the stages wrote is read by the frame that `run` returns; `sieveline.llm.common.clear` takes it away.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from sieveline.llm.common import free_name, new_path, read_table
-from sieveline.llm.mixing import mix
+from sieveline.llm.common import new_path, read_table
+from sieveline.llm.mixing import mixture as mix_documents
 from sieveline.llm.packing import Capacities, pack
 from sieveline.llm.pii import mask_documents
 from sieveline.llm.quality import keep_good
-from sieveline.llm.queries import vocabulary
+from sieveline.llm.queries import WISHED, vocabulary
 from sieveline.llm.simhash import drop_near_duplicates
 
 
@@ -38,20 +38,12 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's target takes them, in the order of training."""
-    mixed = mix(docs)
-    key, source, text, number, nth, places, place = (free_name(docs, f"_mix_{x}") for x in ("key", "source", "hash", "number", "nth", "places", "place"))
-    # equal rows of one id and text are told apart by number on both sides
-    left = docs.withColumn(number, F.row_number().over(Window.partitionBy("doc_id", "source", F.xxhash64("text")).orderBy(F.lit(0))))
-    right = mixed.select(F.col("doc_id").alias(key), F.col("source").alias(source), F.col("text_hash").alias(text), F.col("positions").alias(places))
-    right = right.withColumn(nth, F.row_number().over(Window.partitionBy(key, source, text).orderBy(F.lit(0))))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & F.col("source").eqNullSafe(F.col(source)) & (F.xxhash64("text") == F.col(text)) & (F.col(number) == F.col(nth))
-    copies = left.join(right, same).withColumn(place, F.explode(places))
-    return copies.repartitionByRange(place).sortWithinPartitions(place).select(*docs.columns)
+    return mix_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 ids."""
-    return pack(docs, vocabulary(), Capacities(2048, 2048, 2048 * 2048), end_id=0)
+    """Sequences of at most 2048 ids, with no more documents and attention cost than wished where that costs no sequence."""
+    return pack(docs, vocabulary(), Capacities(2048, 2048, 2048 * 2048), end_id=0, wished=WISHED)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
