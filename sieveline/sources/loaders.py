@@ -2,26 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+import csv
+import io
+import sys
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import clean_str, iso_from_epoch_ms, label_priority, map_binary_label, map_label_basic, normalize_language
 from .catalog import ADDRESS, LICENSE, RANK, RAW
+from .shared import exists
 
 
 def with_ordinal(df: DataFrame) -> DataFrame:
-    """Numbers rows from 1 in file order, for a frame straight from a scan: its partitions follow the files. Their counts come to the driver, nothing else."""
-    part = F.spark_partition_id()
-    counts = {r["p"]: r["count"] for r in df.groupBy(part.alias("p")).count().collect()}
-    before, at = [], 0
-    for p in range(max(counts, default=0) + 1):
-        before.append(at)
-        at += counts.get(p, 0)
-    within = F.monotonically_increasing_id() - F.shiftleft(part.cast("long"), 33)
-    return df.withColumn("ordinal", within + F.element_at(F.array(*[F.lit(x).cast("long") for x in before]), part + 1) + 1)
+    """Adds file and ordinal, a row's place in its file from 1, to a frame straight from a scan that gives each file to one task. A row a file meets the rows: its first number in its task."""
+    numbered = df.withColumn("file", F.col("_metadata.file_path")).withColumn("_place", F.monotonically_increasing_id())
+    first = numbered.groupBy(F.col("file").alias("_file")).agg(F.min("_place").alias("_first"))
+    return numbered.join(first, F.col("file") == F.col("_file")).withColumn("ordinal", F.col("_place") - F.col("_first") + 1).drop("_place", "_file", "_first")
 
 
 def read_csv(spark: SparkSession, path: str | Sequence[str], sep: str = ",", header: bool = True, names: Sequence[str] | None = None, encoding: str = "UTF-8") -> DataFrame:
@@ -42,7 +43,7 @@ def pick(df: DataFrame, *names: str) -> Column:
 
 def raw(df: DataFrame, source: str, **columns: Column) -> DataFrame:
     """df as raw records of a source; columns that are not given are null."""
-    columns = {"source": F.lit(source), "source_id": F.col("ordinal").cast("string"), "source_url": F.lit(ADDRESS.get(source)), "license": F.lit(LICENSE.get(source)), "source_rank": F.lit(RANK.get(source)), "ordinal": F.col("ordinal"), **columns}
+    columns = {"source": F.lit(source), "part": F.lit(0), "file": F.col("file") if "file" in df.columns else F.lit(""), "source_id": F.col("ordinal").cast("string"), "source_url": F.lit(ADDRESS.get(source)), "license": F.lit(LICENSE.get(source)), "source_rank": F.lit(RANK.get(source)), "ordinal": F.col("ordinal"), **columns}
     out = df.select(*[columns.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in RAW.fields])
     return out.filter(F.col("text").isNotNull())
 
@@ -79,21 +80,32 @@ def nested_json(spark: SparkSession, path: str, source: str = "nus_sms") -> Data
     """smsCorpus.message[]: a text is a scalar, or an object that holds it under $."""
     schema = "smsCorpus struct<message:array<struct<`@id`:string,text:string>>>"
     df = spark.read.schema(schema).option("multiLine", True).json(path)
-    m = df.select(F.posexplode("smsCorpus.message").alias("at", "m")).select((F.col("at") + 1).cast("long").alias("ordinal"), "m.*")
+    m = df.select(F.col("_metadata.file_path").alias("file"), F.posexplode("smsCorpus.message").alias("at", "m")).select("file", (F.col("at") + 1).cast("long").alias("ordinal"), "m.*")
     text = F.when(F.col("text").startswith("{"), F.coalesce(F.get_json_object("text", "$.$"), F.get_json_object("text", "$['$']"))).otherwise(F.col("text"))
     ham = F.lit("ham")
     return raw(m, source, text=clean_str(text), canonical_label=ham, original_label=ham, label_mapping_rule=F.lit("implicit_ham"), source_id=F.coalesce(clean_str(F.col("`@id`")), F.col("ordinal").cast("string")), language_hint=F.lit("en"))
 
 
-#: Cells read of a record without a header.
-CELLS = 256
+def records(spark: SparkSession, path: str | Sequence[str], batch: int = 4096) -> DataFrame:
+    """(file, ordinal, cells): the records of header-less CSV files, of any number of cells, trimmed. A file is read whole by one task, as a quoted cell may hold line breaks; what isn't UTF-8 becomes replacement characters, and a mark at the beginning goes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        csv.field_size_limit(sys.maxsize)
+        names = ["file", "ordinal", "cells"]
+        for files in batches:
+            for name, content in zip(*files.columns, strict=True):
+                lines = io.TextIOWrapper(io.BytesIO(content.as_py()), "utf-8-sig", errors="replace", newline="")
+                rows = enumerate(csv.reader(lines), 1)
+                while part := list(islice(rows, batch)):
+                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(part)), pa.array([k for k, _ in part], pa.int64()), pa.array([[c.strip() for c in cells] for _, cells in part], pa.list_(pa.string()))], names)
+
+    paths = list(path) if not isinstance(path, str) else path
+    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(run, "file string, ordinal long, cells array<string>")
 
 
 def positional_csv(spark: SparkSession, path: str | Sequence[str], source: str = "exais_sms") -> DataFrame:
-    """Records without a header: the label is the first cell that is one, the text the cells from the eighth on, or else the cell with most letters, the time the first cell with a slash and a colon. Files in the order of their names."""
-    df = with_ordinal(read_csv(spark, path, header=False, names=[f"c{k}" for k in range(CELLS)]))
-    cells = F.filter(F.transform(F.array(*[F.col(f"c{k}") for k in range(CELLS)]), lambda c: F.trim(F.regexp_replace(c, "^\ufeff", ""))), lambda c: c.isNotNull())
-    df = df.select("ordinal", cells.alias("cells"))
+    """Records without a header: the label is the first cell that is one, the text the cells from the eighth on, or else the cell with most letters, the time the first cell with a slash and a colon."""
+    df = records(spark, path)
     label = F.get(F.filter("cells", lambda c: F.lower(c).isin("spam", "ham")), F.lit(0))
     letters = lambda c: F.length(F.regexp_replace(c, r"(?U)[^\p{IsAlphabetic}]", ""))
     rest = F.array_join(F.filter(F.slice("cells", F.lit(8), F.greatest(F.size("cells") - 7, F.lit(0))), lambda c: c != ""), " ")
@@ -104,7 +116,7 @@ def positional_csv(spark: SparkSession, path: str | Sequence[str], source: str =
 
 
 def binary_csv(spark: SparkSession, path: str, source: str = "malicious_benign_sms_mms") -> DataFrame:
-    df = with_ordinal(read_csv(spark, path).select("message", "label", "ai_generated"))
+    df = with_ordinal(read_csv(spark, path)).select("file", "ordinal", "message", "label", "ai_generated")
     label, ai = pick(df, "label"), pick(df, "ai_generated")
     canonical = map_binary_label(label, "spam")
     flag = F.when(F.lower(ai).isin("1", "true"), 1).otherwise(0)
@@ -152,30 +164,47 @@ LOADERS: Mapping[str, Callable[[SparkSession, str], DataFrame]] = {
     "mishra_soni_2022": lambda s, p: labeled_csv(s, p, "mishra_soni_2022", ("LABEL", "label"), ("TEXT", "text"), "en"),
     "mishra_extended": lambda s, p: labeled_csv(s, p, "mishra_extended", ("LABEL", "label"), ("TEXT", "text"), "en"),
     "hosseinpour_2025": priority_csv,
+    "kaggle_spam_ham": lambda s, p: labeled_csv(s, p, "kaggle_spam_ham", ("target",), ("text",)),
+    "kaggle_phishing": phishing_csv,
     "agarwal_2025": translated_csv,
     "uci_sms_spam": lambda s, p: labeled_csv(s, p, "uci_sms_spam", ("label",), ("text",), "en", sep="\t", header=False, names=("label", "text")),
     "nus_sms": nested_json,
-    "kaggle_spam_ham": lambda s, p: labeled_csv(s, p, "kaggle_spam_ham", ("target",), ("text",)),
-    "kaggle_phishing": phishing_csv,
-    "exais_sms": positional_csv,
     "spanish_spam_ham": lambda s, p: labeled_csv(s, p, "spanish_spam_ham", ("tipo",), ("mensaje",), "es"),
+    "exais_sms": positional_csv,
     "malicious_benign_sms_mms": binary_csv,
     "smishing_4c": typed_csv,
     "mimics_3500": classed_csv,
 }
 
+#: Where each source lies below a folder of raw files.
+PLACES: Mapping[str, Sequence[str]] = {
+    "mishra_soni_2022": ("mishra_soni_20_06_2022.csv",),
+    "mishra_extended": ("mishra_extended_10191.csv",),
+    "hosseinpour_2025": ("hosseinpour_2025_combined.csv",),
+    "kaggle_spam_ham": ("kaggle_unknown_combined_spam_ham.csv",),
+    "kaggle_phishing": ("kaggle_unknown_phishing_categories.csv",),
+    "agarwal_2025": ("agarwal_2025_fishing_smishing.csv",),
+    "uci_sms_spam": ("almeida_2011_uci_sms_spam/SMSSpamCollection",),
+    "nus_sms": ("nus_2015_sms_corpus_en.json",),
+    "spanish_spam_ham": ("spanish_spam_ham/train.csv", "spanish_spam_ham/test.csv"),
+    "exais_sms": ("onashoga_2015_exais_sms_spam/USER *.csv",),
+    "malicious_benign_sms_mms": ("malicious_benign_sms_mms/dataset_v3_undersampled_stratified_full.csv",),
+    "smishing_4c": ("smishing_4C.csv",),
+    "mimics_3500": ("mimics_3500_v1.csv",),
+}
+
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path or pattern finds a file, in whatever store it lies."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return len(p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) or []) > 0
+def paths_below(folder: str) -> dict[str, list[str]]:
+    """The paths of all sources below a folder of raw files."""
+    return {name: [f"{folder.rstrip('/')}/{p}" for p in places] for name, places in PLACES.items()}
 
 
 def read_sources(spark: SparkSession, paths: Mapping[str, str | Sequence[str]]) -> DataFrame:
-    """All sources as one table, in catalog order; a source whose path finds nothing is left out."""
+    """All sources as one table, in the order of `catalog.RECORD_ORDER`; a path that finds nothing is left out."""
     out = spark.createDataFrame([], RAW)
     for name in sorted(paths, key=lambda n: RANK.get(n, len(RANK))):
         each = [paths[name]] if isinstance(paths[name], str) else list(paths[name])
-        for path in filter(lambda p: exists(spark, p), each):
-            out = out.unionByName(LOADERS[name](spark, path))
+        for k, path in enumerate(each):
+            if exists(spark, path):
+                out = out.unionByName(LOADERS[name](spark, path).withColumn("part", F.lit(k)))
     return out

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sieveline.sources import loaders as L
+from sieveline.sources.catalog import RECORD_ORDER, SOURCES
 from sieveline.sources import writers as W
 from sieveline.streaming.incremental import run_available
 
@@ -73,6 +74,43 @@ def test_positional(spark, tmp_path):
     assert got == [("win now", "spam", "03/12/2014 10:08", "1"), ("send", "ham", None, "2")]
 
 
+def test_records_of_any_width(spark, tmp_path):
+    """300 cells of text, and the reader's replacement of broken bytes."""
+    long = ",".join(["SMS", "in", "", "", "1/2/2014 10:08", "5", "HAM", *(f"w{k}" for k in range(300))])
+    (tmp_path / "USER 1.csv").write_bytes(long.encode() + b'\n\nSMS,in,,,,1,spam,"two\nlines, ""q"" \xff",end\n')
+    got = rows(L.positional_csv(spark, str(tmp_path / "USER *.csv")), "text", "source_id", "canonical_label")
+    assert got == [(" ".join(f"w{k}" for k in range(300)), "1", "ham"), ('two lines, "q" \ufffd end', "3", "spam")]
+
+
+def test_places_are_counted_by_file_in_the_order_of_names(spark, tmp_path):
+    """A small first file and a large second one, which a scan packs the other way round."""
+    put(tmp_path / "USER 1.csv", "".join(f"SMS,in,,,,1,ham,first {k}\n" for k in range(3)))
+    put(tmp_path / "USER 10.csv", "".join(f"SMS,in,,,,1,ham,tenth {k}\n" for k in range(5)))
+    put(tmp_path / "USER 2.csv", "".join(f"SMS,in,,,,1,ham,{'second ' * 200}{k}\n" for k in range(400)))
+    got = L.positional_csv(spark, str(tmp_path / "USER *.csv")).orderBy(*RECORD_ORDER).collect()
+    assert [r["text"] for r in got[:8]] == [f"first {k}" for k in range(3)] + [f"tenth {k}" for k in range(5)]
+    assert [r["source_id"] for r in got] == [str(k + 1) for n in (3, 5, 400) for k in range(n)]
+
+
+def test_places_of_csv_with_a_header(spark, tmp_path):
+    put(tmp_path / "b1.csv", "target,text\n" + "".join(f"ham,small {k}\n" for k in range(2)))
+    put(tmp_path / "b2.csv", "target,text\n" + "".join(f"ham,{'large ' * 100}{k}\n" for k in range(200)))
+    got = L.LOADERS["kaggle_spam_ham"](spark, str(tmp_path / "b*.csv")).orderBy(*RECORD_ORDER).collect()
+    assert [r["source_id"] for r in got] == [str(k + 1) for n in (2, 200) for k in range(n)] and got[0]["text"] == "small 0"
+
+
+def test_sources_stand_in_the_order_of_loading(spark, tmp_path):
+    assert list(L.LOADERS) == [n for n, _, _ in SOURCES] == list(L.PLACES)
+    folder = tmp_path / "raw"
+    (folder / "spanish_spam_ham").mkdir(parents=True)
+    put(folder / "spanish_spam_ham" / "train.csv", "mensaje,tipo\nuno,ham\n")
+    put(folder / "spanish_spam_ham" / "test.csv", "mensaje,tipo\ncero,ham\n")
+    put(folder / "kaggle_unknown_combined_spam_ham.csv", "target,text\nspam,x\n")
+    put(folder / "agarwal_2025_fishing_smishing.csv", "text,translation,language,time\ny,,en,\n")
+    got = L.read_sources(spark, L.paths_below(str(folder))).orderBy(*RECORD_ORDER).collect()
+    assert [(r["source"], r["text"]) for r in got] == [("kaggle_spam_ham", "x"), ("agarwal_2025", "y"), ("spanish_spam_ham", "uno"), ("spanish_spam_ham", "cero")]
+
+
 def test_reports(spark):
     smish = lambda **x: json.dumps({"message_id": 3, "raw": {"smish": x}})
     lines = [smish(messageContent="a", timeSubmitted=1700000000123, upvotes=2), "", "{broken", smish(messageContent="", rawText="b", downvotes="1", messageID="m"), smish(messageContent=" ")]
@@ -83,7 +121,7 @@ def test_reports(spark):
 def test_missing_sources_are_left_out(spark, tmp_path):
     p = put(tmp_path / "a.csv", "target,text\nspam,x\n")
     got = L.read_sources(spark, {"kaggle_spam_ham": p, "uci_sms_spam": str(tmp_path / "none.tsv")})
-    assert [(r["source"], r["source_rank"]) for r in got.collect()] == [("kaggle_spam_ham", 6)]
+    assert [(r["source"], r["source_rank"]) for r in got.collect()] == [("kaggle_spam_ham", 3)]
 
 
 def test_master_round_trip(spark, tmp_path):
@@ -95,6 +133,42 @@ def test_master_round_trip(spark, tmp_path):
     assert W.output_name("x", dedupe=False, with_ai=True) == "x_nodedupe_with_ai.csv"
 
 
+def test_small_writers(spark, tmp_path):
+    df = spark.createDataFrame([("train", 'a "b",\nc', 1), ("val", "d", 2), ("test", None, 3)], "split string, text string, n int")
+    W.write_splits(df, str(tmp_path / "splits"))
+    back = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(str(tmp_path / "splits"))
+    assert {r["split"]: r["n"] for r in back.collect()} == {"train": "1", "val": "2", "test": "3"} and (tmp_path / "splits" / "split=val").is_dir()
+    W.write_json_lines(df, str(tmp_path / "lines"))
+    W.write_json_lines(df.limit(1), str(tmp_path / "lines"))
+    said = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "lines")).collect()]
+    assert len(said) == 4 and sum(x["n"] == 1 for x in said) == 2 and not any("text" in x for x in said if x["n"] == 3)
+    W.write_audit(df, str(tmp_path / "audit"))
+    assert '"n"' in "".join(p.read_text() for p in (tmp_path / "audit").glob("*.csv"))
+    counts = W.write_subset(spark.createDataFrame([("ham", "x"), ("ham", "y"), ("spam", "z"), (None, "w")], "canonical_label string, text string"), str(tmp_path / "subset"))
+    assert [tuple(r) for r in counts.collect()] == [(None, 4), ("ham", 2), ("", 1), ("spam", 1)]
+    assert [tuple(r) for r in W.write_subset(df.select("n"), str(tmp_path / "subset2")).collect()] == [(None, 3)]
+
+
+def test_windows_close_behind_the_watermark(spark, tmp_path):
+    from sieveline.streaming.incremental import windowed_counts
+
+    src = str(tmp_path / "events")
+    schema = "event_type string, ts timestamp, value double"
+    spark.sql("SELECT * FROM VALUES ('a', timestamp'2024-01-01 00:05:00', 1.0D), ('a', timestamp'2024-01-01 00:50:00', 2.5D), ('b', timestamp'2024-01-01 01:10:00', 1.0D), ('a', timestamp'2024-01-01 03:00:00', 7.0D) AS t(event_type, ts, value)").coalesce(1).write.parquet(src)
+    q = windowed_counts(spark.readStream.schema(schema).parquet(src)).writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = sorted((str(r["window"]["start"]), r["event_type"], r["n"], r["total"]) for r in spark.read.parquet(str(tmp_path / "o")).collect())
+    assert got == [("2024-01-01 00:00:00", "a", 2, 3.5), ("2024-01-01 01:00:00", "b", 1, 1.0)]
+
+
+def test_stream_folds_fonts(spark, tmp_path):
+    src, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    df = spark.createDataFrame([(1, "Pay Now"), (2, "Ｐａｙ Ｎｏｗ"), (3, "𝐩ay now")], "i int, text string").coalesce(1)
+    df.write.parquet(src)
+    run_available(spark, src, df.schema, out, state)
+    assert spark.read.parquet(out).count() == 1
+
+
 def test_stream_resumes_and_refuses_other_options(spark, tmp_path):
     src, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     df = spark.createDataFrame([(1, "Hello"), (2, "hello "), (3, "x")], "i int, text string")
