@@ -7,11 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import bound
+
 STOP_WORDS = {
     "en": "the of and to in is that it for was on are as with his they at be this have from or had by not but what all were we when your can said there use an each which she do how their if will".split(),
     "fr": "le la les de des du un une et est en que qui dans pour par sur pas plus au aux avec ce cette il elle nous vous ne se son sa ses mais ou leur sont".split(),
     "de": "der die das und ist in den von zu mit sich des auf für nicht ein eine als auch es an werden aus er hat dass sie nach bei einer um am sind noch wie einem über".split(),
     "es": "el la los las de del y en que un una es por con para no se su al lo como más pero sus le ya o este sí porque esta entre cuando muy sin sobre también".split(),
+    "it": "il di che è non per sono della dei gli nel alla più anche questo ho hai ma perché molto come delle degli tuo tua".split(),
+    "pt": "não uma com são você ao dos das foi mais mas seu sua ou quando muito nos já eu também só pelo pela até isso ela entre era depois sem mesmo aos".split(),
+    "nl": "het een van ik je niet zijn op te aan met voor maar als dan nog naar heb om hij er bij ook uit wat jij deze wordt".split(),
+    "id": "yang dan di dengan untuk dari ini itu tidak anda pada ke akan bisa saya atau ada kami kamu sudah juga silakan".split(),
 }
 
 
@@ -20,12 +26,21 @@ def _one_of(words: list[str]) -> Callable[[Column], Column]:
 
 
 def detect_language(text: Column) -> tuple[Column, Column]:
-    """(language, confidence): the language with most function words and its share of all that were found; unknown and 0 for none. Ties go to the first listed."""
+    """(language, confidence): the language with most function words and its share of all that were found; unknown and 0 for none, and for texts of fewer than two characters. Ties go to the first listed.
+
+    Words are compared in lower case to begin with, so that a second look at texts in capitals can't find more.
+    """
     words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[^\p{IsAlphabetic}]+")
-    hits = {k: F.size(F.filter(words, _one_of(v))) for k, v in STOP_WORDS.items()}
-    best = F.greatest(*hits.values())
-    total = sum(hits.values(), F.lit(0))
-    name = F.lit("unknown")
-    for k in reversed(hits):
-        name = F.when(hits[k] == best, k).otherwise(name)
-    return F.when(best > 0, name).otherwise("unknown"), F.when(best > 0, F.round(best / total, 4)).otherwise(0.0)
+
+    def best(ws: Column) -> Column:
+        return F.array(*[F.size(F.filter(ws, _one_of(v))) for v in STOP_WORDS.values()])
+
+    def named(hits: Column) -> Column:
+        top, total = F.array_max(hits), F.aggregate(hits, F.lit(0), lambda a, x: a + x)
+        at = F.array_position(hits, top).cast("int") - 1
+        name = F.get(F.array(*map(F.lit, STOP_WORDS)), at)
+        known = (top > 0) & (F.length(F.trim(F.coalesce(text, F.lit("")))) >= 2)
+        return F.struct(F.when(known, name).otherwise("unknown").alias("language"), F.when(known, F.round(top / total, 4)).otherwise(0.0).alias("confidence"))
+
+    found = bound(bound(words, best), named)
+    return found["language"], found["confidence"]

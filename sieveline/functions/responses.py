@@ -69,6 +69,36 @@ def few_shot_prompt(text: Column, examples: Column) -> Column:
     return F.concat(F.lit("Here are some examples of messages and their correct labels:\n\n"), shown, F.lit("Now classify the following message:\nMessage: "), text, F.lit("\n"))
 
 
+#: The five ways of asking: name, examples, persona, reasoning.
+PROMPTS = (
+    ("zero-shot_basic_direct", "zero-shot", "basic", "direct"),
+    ("zero-shot_expert_direct", "zero-shot", "expert", "direct"),
+    ("zero-shot_expert_cot", "zero-shot", "expert", "cot"),
+    ("few-shot_expert_cot", "few-shot", "expert", "cot"),
+    ("dynamic-few-shot_expert_cot", "dynamic-few-shot", "expert", "cot"),
+)
+
+
+def prompt(name: str, text: Column, fixed: Column, near: Column) -> Column:
+    """The whole prompt of one of PROMPTS: what the model is, then the message, with the fixed examples or the nearest ones (arrays of structs (text, label)) where the way of asking has any."""
+    _, examples, persona, reasoning = next(p for p in PROMPTS if p[0] == name)
+    asked = {"zero-shot": zero_shot_prompt(text), "few-shot": few_shot_prompt(text, fixed), "dynamic-few-shot": few_shot_prompt(text, near)}[examples]
+    return F.concat(F.lit(system_prompt(persona, reasoning) + "\n\n"), asked)
+
+
+def annotation_prompt(text: Column) -> Column:
+    """Asks for theme, urgency and language of a message, out of the closed sets; our own wording."""
+    asked = f'Read the text message and answer with a JSON object of three keys: "theme" (one of {", ".join(THEMES)}), "urgency_level" (one of {", ".join(URGENCY_LEVELS)}) and "language" (two letters). Write nothing else.'
+    return F.concat(F.lit(asked + "\n\n"), zero_shot_prompt(text))
+
+
+def annotation(response: Column) -> tuple[Column, Column, Column]:
+    """(theme, urgency, language) of a model's answer; unknown, none and unknown where it can't be parsed."""
+    j = annotation_json(response)
+    said = lambda key, default: F.coalesce(F.get_json_object(j, f"$.{key}"), F.when(j.isNull(), default))
+    return said("theme", "unknown"), said("urgency_level", "none"), said("language", "unknown")
+
+
 def system_prompt(persona: str = "expert", reasoning: str = "direct") -> str:
     """Our own wording of the task for a model: persona `expert` or `basic`, reasoning `cot` or `direct`."""
     who = "You are a security analyst who knows the tricks of mobile fraud. " if persona == "expert" else ""

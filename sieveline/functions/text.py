@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import functools
+from collections.abc import Callable, Mapping
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # ---- fixed values ----
@@ -22,7 +25,7 @@ EMAIL_PHRASES = (
     "copyright ©",
     "all rights reserved",
 )
-#: Language names and three-letter codes by two-letter code.
+#: Language names and three-letter codes that libraries use, by two-letter code.
 LANGUAGES = {
     "en": ("english", "eng"),
     "es": ("spanish", "castilian", "spa"),
@@ -55,12 +58,43 @@ LANGUAGES = {
     "ur": ("urdu", "urd"),
     "ca": ("catalan", "valencian", "cat"),
 }
+#: (pattern, what stands for it), in order.
+VIEW_STEPS = (
+    (r"<\s*([A-Z_][A-Z0-9_]*)\s*>", " $1_token "),
+    (r"(?i)https?://\S+|www\.\S+", " url_token "),
+    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", " email_address_token "),
+    (r"\+?\d[\d\s-]{6,}\d", " phone_number_token "),
+    (r"\b\d{4,}\b", " number_token "),
+)
 # ---- end of fixed values ----
 
 #: White space as Unicode has it, with the four separators that count as such in the source texts.
 SPACE = r"(?U)[\s\x1c-\x1f]+"
 
 
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of c, with c worked out once however often f names it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
+def once(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """df with columns that are worked out once: a plain column would be repeated wherever a later step names it."""
+    names = list(columns)
+    (holder,) = free(df, "_once")
+    held = F.explode_outer(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in names], held.alias(holder)).withColumns({n: F.col(holder)[n] for n in names}).drop(holder)
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, each behind as many underscores as it takes to differ from df's columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, SPACE, " "))
 
@@ -92,10 +126,23 @@ def label_priority(spam: Column, smishing: Column) -> tuple[Column, Column]:
     return label, rule
 
 
+@functools.cache
+def language_names() -> dict[str, str]:
+    """Two-letter code by English name and by three-letter code, for every language that Java's locales know, and by the names and codes that libraries use besides."""
+    out: dict[str, str] = {}
+    jvm = SparkSession.getActiveSession().sparkContext._jvm
+    locale = jvm.java.util.Locale
+    for code in locale.getISOLanguages():
+        own = locale.forLanguageTag(code)
+        out[own.getDisplayLanguage(locale.ENGLISH).lower()] = code
+        out[own.getISO3Language().lower()] = code
+    return out | {name: code for code, names in LANGUAGES.items() for name in names}
+
+
 def normalize_language(c: Column) -> Column:
     """Two letters pass; known names and three-letter codes become two; anything else is lower-cased."""
     w = F.nullif(F.lower(F.trim(c)), F.lit(""))
-    known = F.create_map(*[F.lit(x) for code, names in LANGUAGES.items() for n in names for x in (n, code)])
+    known = F.create_map(*[F.lit(x) for pair in language_names().items() for x in pair])
     return F.when(F.length(w) == 2, w).otherwise(F.coalesce(F.try_element_at(known, w), w))
 
 
@@ -135,11 +182,15 @@ def ai_flag(c: Column) -> Column:
 
 def is_valid_message(c: Column) -> Column:
     """Not empty, not longer than a message can be, and without the phrases of mails."""
-    low = F.lower(c)
-    mail = F.lit(False)
-    for phrase in EMAIL_PHRASES:
-        mail = mail | F.contains(low, F.lit(phrase))
-    return F.coalesce((F.length(c) > 0) & (F.length(c) <= MAX_MESSAGE_CHARS) & ~mail, F.lit(False))
+
+    def mail(low: Column) -> Column:
+        out = F.lit(False)
+        for phrase in EMAIL_PHRASES:
+            out = out | F.contains(low, F.lit(phrase))
+        return out
+
+    short = lambda x: (F.length(x) > 0) & (F.length(x) <= MAX_MESSAGE_CHARS) & ~bound(F.lower(x), mail)
+    return F.coalesce(bound(c, short), F.lit(False))
 
 
 def is_pre_anonymized(raw: Column) -> Column:
@@ -159,20 +210,9 @@ def collapse_tokens(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)(<[a-zA-Z0-9_]+>)(?:\s*\1)+", "$1")
 
 
-def dedupe_key(c: Column) -> Column:
-    """SHA-256 of the folded text; empty for empty. The text should have been through NFKC before (`functions.arrow.nfkc`)."""
-    folded = collapse(F.lower(F.regexp_replace(c, r"(?U)\s*<OBF_[A-Z_]+>", "")))
-    return F.when(F.coalesce(c, F.lit("")) == "", "").otherwise(F.sha2(folded, 256))
-
-
-#: (pattern, what stands for it), in order.
-VIEW_STEPS = (
-    (r"<\s*([A-Z_][A-Z0-9_]*)\s*>", " $1_token "),
-    (r"(?i)https?://\S+|www\.\S+", " url_token "),
-    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", " email_address_token "),
-    (r"\+?\d[\d\s-]{6,}\d", " phone_number_token "),
-    (r"\b\d{4,}\b", " number_token "),
-)
+def folded_key(c: Column) -> Column:
+    """SHA-256 of the text in lower case with single spaces; empty for empty."""
+    return F.when(F.coalesce(c, F.lit("")) == "", "").otherwise(F.sha2(collapse(F.lower(c)), 256))
 
 
 def normalize_text(c: Column) -> Column:
@@ -187,6 +227,27 @@ def injected_text(urgency: Column, theme: Column, norm: Column) -> Column:
     return F.concat(F.lit("[URGENCIA: "), F.coalesce(urgency, F.lit("Desconocida")), F.lit("] [TEMA: "), F.coalesce(theme, F.lit("General")), F.lit("] "), norm)
 
 
+VIEWS = ("raw", "anonymized", "norm", "injected")
+
+
+def view_columns(df: DataFrame, view: str = "norm") -> tuple[Column, str]:
+    """(text, view) of a master table for models: an unknown view is norm, a missing column the next that there is."""
+    view = view if view in VIEWS else "norm"
+    raw = F.coalesce(F.col("text_raw" if "text_raw" in df.columns else "text"), F.lit(""))
+    anonymized = F.coalesce(F.col("text_anonymized"), F.lit("")) if "text_anonymized" in df.columns else raw
+    norm = normalize_text(anonymized)
+    told = {"urgency_level", "theme"} <= set(df.columns)
+    injected = injected_text(F.nullif(F.col("urgency_level"), F.lit("")), F.nullif(F.col("theme"), F.lit("")), norm) if told else norm
+    return {"raw": raw, "anonymized": anonymized, "norm": norm, "injected": injected}[view], view
+
+
+def with_view(df: DataFrame, view: str = "norm") -> DataFrame:
+    """Labelled rows of a master table with text_view, the text that a model sees; rows without a known label or with an empty text go."""
+    label = F.lower(F.trim("canonical_label"))
+    rows = df.filter(F.col("canonical_label").isin(*CLASS_ORDER)).withColumn("canonical_label", label)
+    return once(rows, {"text_view": view_columns(df, view)[0]}).filter(F.length("text_view") > 0)
+
+
 def label_id(c: Column) -> Column:
     """The place in CLASS_ORDER; null outside."""
     return F.nullif(F.array_position(F.array(*map(F.lit, CLASS_ORDER)), c) - 1, F.lit(-1)).cast("int")

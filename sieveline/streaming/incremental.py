@@ -12,13 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import clean_str, dedupe_key, is_valid_message
+from ..functions.arrow import message_key
+from ..functions.text import clean_str, is_valid_message, once
 from ..sources.writers import check_options
 
 
 def distinct_messages(stream: DataFrame, text_col: str = "text", time_col: str | None = None, within: str | None = None) -> DataFrame:
     """Cleaned, valid messages by key, the first that arrives."""
-    rows = stream.withColumn("text_clean", clean_str(F.col(text_col))).filter(is_valid_message(F.col("text_clean"))).withColumn("dedupe_key", dedupe_key(F.col("text_clean")))
+    rows = once(stream, {"text_clean": clean_str(F.col(text_col))})
+    rows = rows.filter(is_valid_message(F.col("text_clean"))).withColumn("dedupe_key", message_key(F.col("text_clean")))
     if time_col and within:
         return rows.withWatermark(time_col, within).dropDuplicatesWithinWatermark(["dedupe_key"])
     return rows.dropDuplicates(["dedupe_key"])

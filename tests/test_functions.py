@@ -1,6 +1,8 @@
 """Functions on literal rows."""
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sieveline.functions import arrow as A
@@ -54,9 +56,9 @@ def test_normalize_text(spark):
     assert got == ["see url_token url_token now", "mail email_address_token or phone_number_token", "pin number_token <not token>", ""]
 
 
-def test_dedupe_key_folds_case_and_space(spark):
-    a, b, c, d = apply(spark, ["Hello  World", "hello world <OBF_ZWSP>", "", None], X.dedupe_key)
-    assert a == b and len(a) == 64 and c == d == ""
+def test_key_folds_case_space_tags_and_fonts(spark):
+    a, b, c, d, e, f = apply(spark, ["Hello  World", "hello world <OBF_ZWSP>", "", None, "Ｈｅｌｌｏ World", "𝐇ello\u00a0world"], A.message_key)
+    assert a == b == e == f and len(a) == 64 and c == d == ""
 
 
 def test_tokens_and_ngrams(spark):
@@ -76,8 +78,17 @@ def test_tokens_and_ngrams(spark):
         ("[LINK] [username] <acc> 0000000000", "<URL> <PERSON> <ACCOUNT_NUMBER> <PHONE>", []),
     ],
 )
-def test_repair(given, want, tags):
-    assert A.repair(given) == (want, tags)
+def test_repair(spark, given, want, tags):
+    row = A.with_repairs(spark.createDataFrame([(given, "x")], "v string, tags_ string"), "v").first()
+    assert (row["text_repaired"], row["tags"]) == (want, tags) and row["v"] == given
+
+
+def test_repairs_of_many_rows(spark):
+    """Steps one after the other, each on what the last left; nulls and texts without anything stay."""
+    given = [None, "", "plain text", "а" + chr(0x200B) + "\\n[url]", "x. A B C D\t\nE.F.G.H ok\n\n", "ｆull <Name>", " a\tb ", "café – “ok” 5€", "A\u00a0B\u00a0C\u00a0D", "W_I_N-N.E.R", "0000000000 00000000001"]
+    want = [(None, []), ("", []), ("plain text", []), ("a <URL>", ["<OBF_ZWSP>", "<OBF_HOMOGLYPH>"]), ("x. ABCD EFGH ok", ["<OBF_SPACING>", "<OBF_PUNCTUATION>", "<OBF_NEWLINE>"]), ("full <PERSON>", ["<OBF_FONT>"]), ("a b", []), ("café – “ok” 5€", []), ("A B C D", ["<OBF_SPACING>", "<OBF_FONT>"]), ("WINNER", ["<OBF_PUNCTUATION>"]), ("<PHONE> 00000000001", [])]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(given)], "i int, v string")
+    assert [(r["text_repaired"], r["tags"]) for r in A.with_repairs(df, "v").orderBy("i").collect()] == want
 
 
 @pytest.mark.parametrize(
@@ -106,9 +117,57 @@ def test_model_spans_yield_to_patterns():
     assert A.mask("Ann, a@b.com", ((0, 3, "private_person"), (5, 12, "secret"), (0, 3, "no such label"))) == ("<PERSON>, <EMAIL>", 2)
 
 
+def plain_spans(text):
+    """By definition: every pattern over the whole text, each span against all that were chosen."""
+    found = sorted((m.start() - m.end(), m.start(), k, m.end(), token) for k, (token, p) in enumerate(A._MASKS) for m in p.finditer(text))
+    chosen = []
+    for _, a, _, b, token in found:
+        if all(b <= s or e <= a for s, e, _ in chosen):
+            chosen.append((a, b, token))
+    return sorted(chosen)
+
+
+@settings(max_examples=2000, deadline=None)
+@given(t=st.lists(st.sampled_from(["http://", "https://", "://", "a", "é", ".", "@", "b.co", "-", "+", " ", "\n", "_", ":", "8080/", "/", "12", "1234", "5", "(", ")", "ab3x", "x|", "550e8400-e29b-41d4-a716-446655440000", "1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa", "0x" + "aB" * 20, "192.168.", "ES91", "2100", "٣", "%", "deadbeef", "-abcd"]), max_size=14).map("".join))
+def test_spans_equal_the_patterns(t):
+    assert A.mask_spans(t) == plain_spans(t)
+
+
+def test_masks_take_linear_time():
+    import time
+
+    began = time.time()
+    for t in ("a.", "http://", "a@", "1", "a-", "http://x:", "://", "1.2.3.4 ", "a@b.co ", ".", "A1", "-", "x@a.", "<URL> "):
+        A.mask(t * 50_000)
+    assert time.time() - began < 60
+
+
+def test_model_spans_by_column(spark):
+    rows = [(0, "Ann, a@b.com", [(0, 3, "B-private_person"), (5, 12, "secret")]), (1, "no digits here", [(3, 9, "private_date")]), (2, "Ann", None), (3, None, []), (4, "Ann", [(0, 3, "unknown"), (None, 3, "secret"), None])]
+    df = spark.createDataFrame(rows, "i int, v string, s array<struct<start:int,end:int,label:string>>")
+    got = [(r["text_masked"], r["n_entities"]) for r in A.with_masks(df, "v", spans="s").orderBy("i").collect()]
+    assert got == [("<PERSON>, <EMAIL>", 2), ("no <DATE> here", 1), ("Ann", 0), (None, 0), ("Ann", 0)]
+    assert apply(spark, ["%41ｂ\x07", None], A.prepared) == ["Ab", None]
+
+
 def test_arrow_columns(spark):
-    assert apply(spark, ["ａb", None, "x"], A.nfkc) == ["ab", None, "x"]
-    assert [r["text"] for r in apply(spark, ["http://a.b/c", None], A.masked)] == ["<URL>", None]
+    assert apply(spark, ["ａb", None, "x", "e\u0301", "½ “q”", "é"], A.nfkc) == ["ab", None, "x", "é", "1⁄2 “q”", "é"]
+    df = spark.createDataFrame([(0, "http://a.b/c"), (1, None), (2, "plain"), (3, "deadbeef-abcd-abcd-abcd-abcdefabcdef")], "i int, v string")
+    assert [r["text_masked"] for r in A.with_masks(df, "v").orderBy("i").collect()] == ["<URL>", None, "plain", "<UUID>"]
+
+
+def test_stable_characters_are_stable():
+    import re
+    import unicodedata
+
+    kept = re.compile(A._STABLE)
+    stable = [chr(k) for k in range(0x3000) if kept.match(chr(k))]
+    assert len(stable) > 200 and all(unicodedata.normalize("NFKC", f"{a}{b}") == f"{a}{b}" for a in stable for b in "aé´" if b in stable)
+
+
+def test_names_that_clash(spark):
+    df = spark.createDataFrame([("P.A.Y.P.A.L", "k", "m")], "v string, _repair_0 string, _mask_found string")
+    assert A.with_masks(A.with_repairs(df, "v"), "text_repaired").first().asDict() == {"v": "P.A.Y.P.A.L", "_repair_0": "k", "_mask_found": "m", "text_repaired": "PAYPAL", "tags": ["<OBF_PUNCTUATION>"], "text_masked": "PAYPAL", "n_entities": 0}
 
 
 @pytest.mark.parametrize(
