@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
-from ..functions.responses import override_language, validated_annotation
+from ..functions.responses import annotation, annotation_prompt, override_language, validated_annotation
+from ..sources.adapters import answer
+from ..sources.shared import exists
+from ..sources.writers import as_text
 
 
 def needs_annotation(df: DataFrame) -> DataFrame:
@@ -44,3 +49,50 @@ def latest(df: DataFrame, id_col: str, order: str) -> DataFrame:
 
 def pending(planned: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return planned.join(done.select(*keys), keys, "left_anti")
+
+
+#: Themes and domains that mark a row for another try.
+FAILED = ("ERROR", "ERROR_PARSING", "ERROR_INFERENCE")
+
+
+def enriched(rows: DataFrame, call: Callable[[Sequence[str]], Sequence[str]], records: DataFrame, model: str, version: str, date: str, batch: int = 128) -> DataFrame:
+    """Master rows (text columns) with annotations of a model and the best domain record of each message.
+
+    A row with a theme is not asked about again. A call that fails marks its rows' theme ERROR_INFERENCE, so that a
+    later run tries them anew. records: (domain, age_days, hidden, country), one row a domain.
+    """
+    todo = needs_annotation(rows).filter(F.trim("text") != "")
+    asked = answer(todo.select("message_id", annotation_prompt(F.col("text")).alias("prompt")), call, "message_id", "prompt", batch)
+    theme, urgency, language = annotation(F.col("response"))
+    failed = F.col("response").startswith("ERROR:")
+    answers = asked.select("message_id", theme.alias("theme"), urgency.alias("urgency"), language.alias("language"), failed.alias("_failed"))
+    out = annotate(rows, answers.drop("_failed"))
+    known = answers.select(F.col("message_id").alias("_asked"), "_failed")
+    named = best_domain(rows, records).select(F.col("id").alias("_id"), "domain", "tld", "age_days", "hidden", "country")
+    out = out.join(known, F.col("message_id") == F.col("_asked"), "left").join(named, F.col("message_id") == F.col("_id"), "left")
+    hit, found, lost = F.col("_asked").isNotNull(), F.col("_id").isNotNull(), F.coalesce("_failed", F.lit(False))
+    set_to = {
+        "theme": F.when(lost, "ERROR_INFERENCE").otherwise(F.col("theme")),
+        "llm_model": F.when(hit, model).otherwise(F.col("llm_model")),
+        "prompt_version": F.when(hit, version).otherwise(F.col("prompt_version")),
+        "llm_annotation_date": F.when(hit, date).otherwise(F.col("llm_annotation_date")),
+        "whois_domain": F.when(found, F.col("domain")).otherwise(F.col("whois_domain")),
+        "whois_tld": F.when(found, F.col("tld")).otherwise(F.col("whois_tld")),
+        "whois_age_days": F.when(found, F.when(F.col("age_days") >= 0, F.col("age_days").cast("string")).otherwise("")).otherwise(F.col("whois_age_days")),
+        "whois_hidden": F.when(found, F.col("hidden").cast("int").cast("string")).otherwise(F.col("whois_hidden")),
+        "whois_country": F.when(found, F.col("country")).otherwise(F.col("whois_country")),
+    }
+    return out.withColumns(set_to).select(*rows.columns)
+
+
+def run_enrichment(spark: SparkSession, master: DataFrame, path: str, call: Callable[[Sequence[str]], Sequence[str]], records: DataFrame, model: str, version: str, date: str) -> DataFrame:
+    """Enriches what path (Parquet) lacks or holds with an error, appends it, and returns one row a message, the last of each."""
+    before = spark.read.parquet(path) if exists(spark, path) else None
+    todo, attempt = master, 0
+    if before is not None:
+        good = before.filter(~F.col("whois_domain").isin(*FAILED) & ~F.col("theme").isin(*FAILED))
+        todo = pending(master, good, ["message_id"])
+        attempt = before.agg(F.max("attempt")).first()[0] + 1
+    new = enriched(as_text(todo), call, records, model, version, date)
+    new.withColumn("attempt", F.lit(attempt)).write.mode("append").parquet(path)
+    return latest(spark.read.parquet(path), "message_id", "attempt").drop("attempt")

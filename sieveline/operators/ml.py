@@ -9,14 +9,20 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterable, Iterator, Mapping
+from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Estimator, Pipeline, Transformer
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, NGram, Normalizer, RegexTokenizer, SQLTransformer, Word2Vec
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, HashingTF, NGram, Normalizer, RegexTokenizer, SQLTransformer, Word2Vec
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import CLASS_ORDER, label_id
+from ..sources.shared import exists, shared_dir
+from ..sources.writers import append_rows
 from .metrics import balanced_weights, confusion, scores
 from .sampling import hash_order, stratified_split
 
@@ -42,22 +48,44 @@ def bow(vocabulary: int = VOCABULARY) -> list:
 
 
 def tfidf(vocabulary: int = VOCABULARY) -> list:
-    """Logarithmic counts, inverse document frequencies, unit length."""
-    return [*_grams(), _counts("counts", vocabulary), _Sublinear(inputCol="counts", outputCol="logs"), IDF(inputCol="logs", outputCol="weighted"), Normalizer(p=2.0, inputCol="weighted", outputCol="features")]
+    """Logarithmic counts, smooth inverse document frequencies plus one, unit length; all of them sparse."""
+    return [*_grams(), _counts("counts", vocabulary), _Sublinear(inputCol="counts", outputCol="logs"), _SmoothIdf(inputCol="logs", outputCol="weighted"), Normalizer(p=2.0, inputCol="weighted", outputCol="features")]
+
+
+def sublinear(vectors: pa.StructArray) -> pa.StructArray:
+    """1 + ln of each positive count; dense vectors stay dense and sparse ones sparse."""
+    kind, size, indices, values = vectors.flatten()
+    counts = values.values.to_numpy()
+    logs = np.where(counts > 0, 1 + np.log(np.maximum(counts, 1e-300)), 0.0)
+    held = pa.ListArray.from_arrays(values.offsets, pa.array(logs), type=values.type, mask=values.is_null())
+    return pa.StructArray.from_arrays([kind, size, indices, held], fields=list(vectors.type), mask=vectors.is_null())
 
 
 class _Sublinear(SQLTransformer):
-    """1 + ln of each count, as a column expression over the vector's arrays."""
+    """`sublinear` of a column of vectors, batch by batch. Columns that were only steps towards the counts stay behind."""
 
     def __init__(self, inputCol: str, outputCol: str):  # noqa: N803
         super().__init__(statement="SELECT * FROM __THIS__")
         self._input, self._output = inputCol, outputCol
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        from pyspark.ml.functions import array_to_vector, vector_to_array
+        kept = [c for c in dataset.columns if c not in ("text", "words", "pairs", "grams", self._input)]
+        rows = dataset.select(*kept, F.col(self._input).alias(self._output))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                *others, counts = batch.columns
+                yield pa.RecordBatch.from_arrays([*others, sublinear(counts)], schema=batch.schema)
+
+        return rows.mapInArrow(run, rows.schema)
+
 
-        logs = F.transform(vector_to_array(self._input), lambda x: F.when(x > 0, 1 + F.log(x)).otherwise(0.0))
-        return dataset.withColumn(self._output, array_to_vector(logs))
+class _SmoothIdf(IDF):
+    """ln((n + 1) / (df + 1)) + 1 for each term, as a product with one vector, which keeps sparse vectors sparse."""
+
+    def fit(self, dataset: DataFrame, params: object = None) -> ElementwiseProduct:
+        found = IDF(inputCol=self.getInputCol(), outputCol=self.getOutputCol()).fit(dataset)
+        return ElementwiseProduct(scalingVec=Vectors.dense(found.idf.toArray() + 1.0), inputCol=self.getInputCol(), outputCol=self.getOutputCol())
 
 
 def w2v(dimensions: int = DIMENSIONS, iterations: int = 5) -> list:
@@ -106,25 +134,82 @@ def predictions(model: Transformer, df: DataFrame) -> DataFrame:
     return model.transform(df).select("id", "split", name("label").alias("true_label"), name("prediction").alias("predicted_label"))
 
 
+@dataclass(frozen=True)
+class Settings:
+    """What the operators are run with where a caller doesn't take their own defaults."""
+
+    encoder: Mapping[str, object] = field(default_factory=dict)
+    classifier: Mapping[str, object] = field(default_factory=dict)
+
+
+def _settings(settings: Mapping[str, object] | None) -> Settings:
+    given = dict(settings or {})
+    return Settings({k: v for k, v in given.items() if k in ("vocabulary", "dimensions")}, {k: v for k, v in given.items() if k in ("trees", "depth", "iterations")})
+
+
 def evaluate(df: DataFrame, encoder: str, classifier: str, settings: Mapping[str, object] | None = None) -> tuple[DataFrame, float]:
-    """(predictions on validation and test, seconds of fitting) of one combination."""
-    settings = dict(settings or {})
+    """(predictions on validation and test, seconds of encoding and fitting) of one combination."""
+    (_, _, out, fitted, _) = next(_evaluated(df, encoder, [classifier], settings))
+    return out, fitted
+
+
+def _evaluated(df: DataFrame, encoder: str, classifiers: Iterable[str], settings: Mapping[str, object] | None) -> Iterator[tuple[str, str, DataFrame, float, float]]:
+    """(encoder, classifier, predictions, seconds of encoding and fitting, seconds of predicting) of each classifier on one encoding, which is kept as long as it is needed. Predictions are written to the shared folder."""
+    shared_dir(df.sparkSession)
+    own = _settings(settings)
     train = df.filter("split = 'train'")
-    stages = ENCODERS[encoder](**{k: v for k, v in settings.items() if k in ("vocabulary", "dimensions")})
-    final = CLASSIFIERS[classifier](sparse=encoder in SPARSE, n_rows=train.count(), **{k: v for k, v in settings.items() if k in ("trees", "depth", "iterations")})
     began = time.time()
-    encoded = Pipeline(stages=stages).fit(train)
+    encoded = Pipeline(stages=ENCODERS[encoder](**own.encoder)).fit(train)
     rows = encoded.transform(df).select("id", "split", "label", "weight", "features").persist()
-    model = final.fit(rows.filter("split = 'train'"))
-    seconds = time.time() - began
-    return predictions(model, rows.filter("split != 'train'")), seconds
+    try:
+        n_train = rows.filter("split = 'train'").count()
+        encoding = time.time() - began
+        for c in classifiers:
+            began = time.time()
+            model = CLASSIFIERS[c](sparse=encoder in SPARSE, n_rows=n_train, **own.classifier).fit(rows.filter("split = 'train'"))
+            fitted = time.time()
+            out = predictions(model, rows.filter("split != 'train'")).checkpoint()
+            yield encoder, c, out, encoding + fitted - began, time.time() - fitted
+    finally:
+        rows.unpersist()
+
 
+#: A row of the results, and a cell of the confusions.
+RESULT = "dataset string, encoder string, classifier string, n_train long, n_val long, n_test long, val_macro_f1 double, val_accuracy double, test_macro_f1 double, test_accuracy double, test_f1_ham double, test_f1_spam double, test_f1_smishing double, fit_time_s double, predict_time_s double"
+CELL = "dataset string, encoder string, classifier string, true_label string, predicted_label string, count long"
 
-def run_grid(df: DataFrame, encoders: Iterable[str] = tuple(ENCODERS), classifiers: Iterable[str] = tuple(CLASSIFIERS), done: Iterable[tuple[str, str]] = (), settings: Mapping[str, object] | None = None) -> Iterator[tuple[str, str, DataFrame, DataFrame]]:
-    """(encoder, classifier, scores by split, confusion of the test) of each combination that is not done yet, one after the other, so that a run can stop and go on."""
+
+def run_grid(df: DataFrame, encoders: Iterable[str] = tuple(ENCODERS), classifiers: Iterable[str] = tuple(CLASSIFIERS), done: Iterable[tuple[str, str]] = (), settings: Mapping[str, object] | None = None, dataset: str = "all") -> Iterator[tuple[dict, list[dict]]]:
+    """(result, confusion of the test) of each combination that is not done yet, as rows of RESULT and CELL, one after the other, so that a run can stop and go on. Rows of an encoder are encoded once for all its classifiers."""
     skip = set(done)
+    sizes = {r["split"]: r["count"] for r in df.groupBy("split").count().collect()}
     for e in encoders:
-        for c in classifiers:
-            if (e, c) not in skip:
-                out, _ = evaluate(df, e, c, settings)
-                yield e, c, scores(out, by=("split",)), confusion(out.filter("split = 'test'"))
+        todo = [c for c in classifiers if (e, c) not in skip]
+        for _, c, out, fit, predict in _evaluated(df, e, todo, settings) if todo else ():
+            of = {r["split"]: r for r in scores(out, by=("split",)).collect()}
+            value = lambda split, name: of[split][name] if split in of else 0.0  # noqa: B023, E731
+            name = {"dataset": dataset, "encoder": e, "classifier": c}
+            row = name | {f"n_{s}": sizes.get(s, 0) for s in ("train", "val", "test")} | {f"{s}_{m}": value(s, m) for s in ("val", "test") for m in ("macro_f1", "accuracy")} | {f"test_f1_{k}": value("test", f"f1_{k}") for k in CLASS_ORDER}
+            cells = [name | r.asDict() for r in confusion(out.filter("split = 'test'")).collect()]
+            yield row | {"fit_time_s": fit, "predict_time_s": predict}, cells
+
+
+def write_grid(df: DataFrame, folder: str, settings: Mapping[str, object] | None = None, dataset: str = "all", **grid: Iterable[str]) -> DataFrame:
+    """Runs what a folder's results lack, appends each combination's result and confusion as it ends, and returns all results, the best test macro F1 first."""
+    spark = df.sparkSession
+    results, confusions = f"{folder.rstrip('/')}/results", f"{folder.rstrip('/')}/confusion_matrices"
+    done = [(r["encoder"], r["classifier"]) for r in read_results(spark, results).filter(F.col("dataset") == dataset).collect()] if exists(spark, results) else []
+    for row, cells in run_grid(df, done=done, settings=settings, dataset=dataset, **grid):
+        append_rows(spark.createDataFrame(cells, CELL), confusions)
+        append_rows(spark.createDataFrame([row], RESULT), results)  # last: a result stands for a whole combination
+    return read_results(spark, results).orderBy("dataset", F.desc("test_macro_f1"), "encoder", "classifier")
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(RESULT).option("header", True).csv(path)
+
+
+def scored_predictions(results: DataFrame, dataset: str, by: tuple[str, ...] = ("model_key",)) -> tuple[DataFrame, DataFrame]:
+    """(results, confusions) of a table of predictions made elsewhere, such as fine-tuned transformers': true_label, predicted_label and the columns in by. Confusions have every cell of every group."""
+    named = lambda df: df.withColumn("dataset", F.lit(dataset))
+    return named(scores(results, by=by)), named(confusion(results, by=by))

@@ -11,8 +11,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Slices of the hash order: its first two digits.
-SLICE = 2
+#: Slices of the hash order: its first four digits, so that a slice is a 65,536th of a class, and a class's slices are one short window.
+SLICE = 4
 
 
 def hash_order(seed: int, *ids: Column) -> Column:
@@ -26,9 +26,9 @@ def ranked(df: DataFrame, by: list[str], order: Column, rank: str = "rank") -> D
     upto = Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     before = before.withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0)))
     # nulls in `by` are a group too
-    before = before.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_s").alias("_by_s"), "_before")
+    before = before.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_s").alias("_slice_key"), "_before")
     inner = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_s").orderBy("_h")))
-    same = F.col("_s") == F.col("_by_s")
+    same = F.col("_s") == F.col("_slice_key")
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
     return inner.join(before, same).withColumn(rank, (F.col("_r") + F.col("_before")).cast("long")).select(*df.columns, rank)

@@ -1,6 +1,6 @@
 """Every registered query with its SQL, by name."""
 
-from . import curation, evaluation  # noqa: F401
+from . import assembly, curation, evaluation  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

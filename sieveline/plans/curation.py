@@ -8,25 +8,26 @@ from pyspark.sql import functions as F
 from ..functions import arrow as A
 from ..functions import text as X
 from ..functions.dates import normalize_timestamp
-from ..functions.language import detect_language
+from ..functions.language import STOP_WORDS, detect_language
 from ..operators.dedupe import first_wins, unseen
 from ..sources.catalog import SOURCES
 from ..sources.loaders import report_lines
-from .registry import CLEANED, LABELED, labeled, query, table
+from .registry import CLEANED, LABELED, OBFUSCATION_SQL, labeled, query, table
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").withColumn("clean", X.clean_str(F.col("text")))
+    """Documents with their cleaned text, worked out once however often it is named."""
+    return X.once(table(spark, sf_dir, "documents"), {"clean": X.clean_str(F.col("text"))})
 
 
-def keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cleaned(spark, sf_dir).withColumn("dedupe_key", X.dedupe_key(F.col("clean")))
+def keyed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("dedupe_key", A.message_key(F.col("clean")))
 
 
 @query(f"""WITH {CLEANED}, firsts AS (SELECT *, row_number() OVER (PARTITION BY dedupe_key ORDER BY doc_id) AS r FROM keyed WHERE length(clean) <= 1600 AND {" AND ".join(f"NOT contains(lower(clean), '{p}')" for p in X.EMAIL_PHRASES)})
 SELECT source, lang, count(*) AS n_messages, sum(length(clean)) AS n_clean_chars FROM firsts WHERE r = 1 GROUP BY source, lang""")
 def curated_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = keyed(spark, sf_dir).filter(X.is_valid_message(F.col("clean")))
+    rows = keyed(cleaned(spark, sf_dir).filter(X.is_valid_message(F.col("clean"))))
     # the text stays behind: only its key and length meet the others
     rows = rows.select("doc_id", "source", "lang", F.length("clean").alias("chars"), "dedupe_key")
     return first_wins(rows, "dedupe_key", "doc_id").groupBy("source", "lang").agg(F.count("*").alias("n_messages"), F.sum("chars").alias("n_clean_chars"))
@@ -44,15 +45,15 @@ def valid_message_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {CLEANED} SELECT min(doc_id) AS doc_id, dedupe_key FROM keyed GROUP BY dedupe_key")
 def dedupe_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return first_wins(keyed(spark, sf_dir).select("doc_id", "dedupe_key"), "dedupe_key", "doc_id")
+    return first_wins(keyed(cleaned(spark, sf_dir)).select("doc_id", "dedupe_key"), "dedupe_key", "doc_id")
 
 
 @query(rf"""WITH {CLEANED}, ledger AS (SELECT sha256(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS k FROM (SELECT text FROM benchmark UNION ALL SELECT text FROM conversations))
 SELECT doc_id, dedupe_key FROM keyed WHERE dedupe_key NOT IN (SELECT k FROM ledger)""")
 def dedupe_ledger_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = table(spark, sf_dir, "benchmark").select("text").unionByName(table(spark, sf_dir, "conversations").select("text"))
-    ledger = texts.select(X.dedupe_key(X.clean_str(F.col("text"))).alias("dedupe_key"))
-    return unseen(keyed(spark, sf_dir).select("doc_id", "dedupe_key"), ledger, "dedupe_key").select("doc_id", "dedupe_key")
+    ledger = keyed(X.once(texts, {"clean": X.clean_str(F.col("text"))})).select("dedupe_key")
+    return unseen(keyed(cleaned(spark, sf_dir)).select("doc_id", "dedupe_key"), ledger, "dedupe_key").select("doc_id", "dedupe_key")
 
 
 @query(r"""SELECT d.doc_id,
@@ -140,16 +141,22 @@ def pii_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def anonymize_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repair, mask, status: needs positions and NFKC, which SQL lacks."""
-    rows = cleaned(spark, sf_dir).select("doc_id", "text", A.repaired(F.col("clean")).alias("r"))
-    rows = rows.select("doc_id", "text", "r.*", A.masked(F.col("r.text")).alias("m")).toDF("doc_id", "raw", "text", "tags", "m")
-    status = X.anonymization_status(F.col("raw"), F.col("text"), F.col("m.text"))
-    return rows.select("doc_id", F.col("m.text").alias("text_anonymized"), F.col("m.entities").alias("n_entities"), F.array_join("tags", ",").alias("obfuscation_tags"), status.alias("anonymization_status"))
+    rows = A.with_masks(A.with_repairs(cleaned(spark, sf_dir), "clean", "repaired"), "repaired", "text_anonymized")
+    status = X.anonymization_status(F.col("text"), F.col("repaired"), F.col("text_anonymized"))
+    return rows.select("doc_id", "text_anonymized", "n_entities", F.array_join("tags", ",").alias("obfuscation_tags"), status.alias("anonymization_status"))
 
 
 @query()
+def masking_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the masker's 16 patterns replaced, by source: messages, spans, messages without any, spans a message."""
+    rows = A.with_masks(A.with_repairs(cleaned(spark, sf_dir), "clean", "repaired"), "repaired").select("source", F.col("n_entities").alias("n"))
+    return rows.groupBy("source").agg(F.count("*").alias("messages"), F.sum("n").alias("replaced"), F.round(F.avg((F.col("n") == 0).cast("double")), 9).alias("fallback_rate"), F.round(F.avg("n"), 9).alias("mean_entities"))
+
+
+@query(f"WITH {CLEANED} SELECT count(*) AS total, " + ", ".join(f"count(*) FILTER (WHERE {c}) AS {n}" for n, c in OBFUSCATION_SQL.items()) + " FROM cleaned")
 def clean_obfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many documents each repair touches."""
-    rows = cleaned(spark, sf_dir).select(A.repaired(F.col("clean"))["tags"].alias("tags"))
+    rows = A.with_repairs(cleaned(spark, sf_dir).select("clean"), "clean").select("tags")
     return rows.agg(F.count("*").alias("total"), *[F.count_if(F.array_contains("tags", t)).alias(t.strip("<>").lower()) for t in A.TAGS])
 
 
@@ -202,9 +209,17 @@ def report_lines_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report_lines(lines, "reports", "https://example.org/").select("text", "source_id", "original_label", "timestamp_original")
 
 
-@query()
+def _language_sql() -> str:
+    hits = ", ".join("CAST(len(list_filter(ws, lambda w: w IN (" + ", ".join(f"'{w}'" for w in words) + "))) AS INTEGER)" for words in STOP_WORDS.values())
+    names = ", ".join(f"'{n}'" for n in STOP_WORDS)
+    return f"""WITH w AS (SELECT lang, text, regexp_split_to_array(lower(text), '[^\\p{{L}}]+') AS ws FROM documents), h AS (SELECT lang, text, [{hits}] AS h FROM w),
+t AS (SELECT lang, list_max(h) > 0 AND length(trim(text)) >= 2 AS known, [{names}][list_position(h, list_max(h))] AS name, round(list_max(h) / list_sum(h), 4) AS share FROM h)
+SELECT lang, CASE WHEN known THEN name ELSE 'unknown' END AS detected, count(*) AS n, round(avg(CASE WHEN known THEN share ELSE 0.0 END), 4) AS mean_confidence FROM t GROUP BY 1, 2"""
+
+
+@query(_language_sql())
 def language_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detected against given language: a profile of function words, for which there is no other engine."""
+    """Detected against given language: a profile of function words."""
     found, sure = detect_language(F.col("text"))
     rows = table(spark, sf_dir, "documents").select("lang", found.alias("detected"), sure.alias("confidence"))
     return rows.groupBy("lang", "detected").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 4).alias("mean_confidence"))
@@ -227,9 +242,10 @@ def vocabulary_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.explode_outer(words).alias("word")).filter("word is not null").groupBy("word").agg(F.count("*").alias("df")).filter("df >= 2")
 
 
-@query(f"WITH w AS (SELECT lang, {_WORDS} AS ws FROM documents), g AS (SELECT lang, unnest(list_concat(ws, list_transform(generate_series(1, greatest(len(ws) - 1, 0)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS gram FROM w) SELECT lang, gram, count(*) AS n FROM g GROUP BY lang, gram HAVING count(*) >= 20")
+@query(f"WITH w AS (SELECT lang, {_WORDS} AS ws FROM documents), g AS (SELECT lang, unnest(list_concat(ws, list_transform(generate_series(1, greatest(len(ws) - 1, 0)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS gram FROM w) SELECT lang, gram, count(*) AS n FROM g GROUP BY lang, gram HAVING count(*) >= 2")
 def bigrams_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bigrams_all(spark, sf_dir).filter("n >= 20")
+    """The grams that a vocabulary may take: seen twice."""
+    return bigrams_all(spark, sf_dir).filter("n >= 2")
 
 
 @query(f"WITH w AS (SELECT lang, {_WORDS} AS ws FROM documents), g AS (SELECT lang, unnest(list_concat(ws, list_transform(generate_series(1, greatest(len(ws) - 1, 0)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS gram FROM w) SELECT lang, gram, count(*) AS n FROM g GROUP BY lang, gram")

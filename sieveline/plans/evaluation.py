@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import responses as R
 from ..functions import text as X
 from ..functions import urls as U
+from ..functions.arrow import with_repairs
 from ..functions.text import CLASS_ORDER
 from ..operators import metrics as M
 from ..operators import ml
@@ -17,8 +16,9 @@ from ..operators.enrich import annotate, best_domain, latest, pending
 from ..operators.sampling import class_cap, hash_order, stratified_sample, stratified_split
 from ..operators.similarity import top_similar
 from ..operators.subset import Subset
+from ..sources.shared import new_path
 from ..streaming.incremental import distinct_messages
-from .registry import JUDGED, LABELED, judged, labeled, query, table
+from .registry import JUDGED, LABELED, OBFUSCATION_SQL, judged, labeled, query, table
 
 # ---- URLs ----
 
@@ -180,9 +180,14 @@ def metrics_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(M.scores(judged(spark, sf_dir), by=("lang",)).filter("n_samples >= 10"))
 
 
-@query(_scores_sql("", "WHERE regexp_matches(text, '[*#%&]{3}')"))
+_OBFUSCATED = _scores_sql("", "WHERE " + " OR ".join(OBFUSCATION_SQL.values())).replace("FROM judged", r"FROM (SELECT *, nullif(trim(regexp_replace(text, '\s+', ' ', 'g')), '') AS clean FROM judged)")
+
+
+@query(_OBFUSCATED)
 def metrics_obfuscated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(M.scores(judged(spark, sf_dir).filter(F.rlike("text", F.lit("[*#%&]{3}")))))
+    """Scores over the messages in which the repairs found anything."""
+    rows = with_repairs(X.once(judged(spark, sf_dir), {"clean": X.clean_str(F.col("text"))}), "clean", "repaired", "obfuscation_tags")
+    return _rounded(M.scores(rows.filter(F.size("obfuscation_tags") > 0)))
 
 
 @query("WITH c AS (SELECT quality, count(*) AS n FROM labels GROUP BY quality) SELECT quality, n, round(sum(n) OVER () / (count(*) OVER () * n), 9) AS weight FROM c")
@@ -193,6 +198,7 @@ def balanced_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- samples and splits ----
 
 _HASH = "md5('42|' || doc_id)"
+HAM_CAP = 20_000
 
 
 @query(f"WITH {LABELED} SELECT doc_id, canonical_label AS label FROM labeled WHERE canonical_label IN ('ham', 'spam') AND lang IN ('en', 'fr') AND length(text) BETWEEN 100 AND 1600")
@@ -202,10 +208,10 @@ def subset_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("canonical_label", "label")
 
 
-@query(f"WITH {LABELED}, r AS (SELECT *, row_number() OVER (PARTITION BY canonical_label, source ORDER BY {_HASH}) AS k FROM labeled WHERE canonical_label IS NOT NULL) SELECT doc_id, source, canonical_label FROM r WHERE canonical_label <> 'ham' OR k <= 5")
+@query(f"WITH {LABELED}, r AS (SELECT *, row_number() OVER (PARTITION BY canonical_label, source ORDER BY {_HASH}) AS k FROM labeled WHERE canonical_label IS NOT NULL) SELECT doc_id, source, canonical_label FROM r WHERE canonical_label <> 'ham' OR k <= {HAM_CAP}")
 def ham_cap_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = labeled(spark, sf_dir).filter("canonical_label is not null").select("doc_id", "source", "canonical_label")
-    return class_cap(rows, "canonical_label", "ham", "source", 5, hash_order(42, F.col("doc_id")))
+    return class_cap(rows, "canonical_label", "ham", "source", HAM_CAP, hash_order(42, F.col("doc_id")))
 
 
 _QUOTAS = f"""{LABELED}, r AS (SELECT doc_id, canonical_label, row_number() OVER (PARTITION BY canonical_label ORDER BY {_HASH}) AS k FROM labeled WHERE canonical_label IS NOT NULL),
@@ -259,6 +265,7 @@ def _grid(encoder: str, classifier: str, name: str):
         rows = labeled(spark, sf_dir).select(F.col("doc_id").alias("id"), X.normalize_text(F.col("text")).alias("text"), "canonical_label")
         df = ml.prepare(rows).persist()
         out, _ = ml.evaluate(df, encoder, classifier)
+        df.unpersist()
         return _rounded(M.scores(out, by=("split",)))
 
     run.__name__ = name
@@ -276,10 +283,7 @@ for _e in ml.ENCODERS:
 def stream_dedupe_available_now(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The build as a stream over the documents, all that is there and no more."""
     schema = table(spark, sf_dir, "documents").schema
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp()
-    import uuid
-
-    place = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    place = new_path(spark, "stream")
     feed = spark.readStream.schema(schema).option("pathGlobFilter", "documents*.parquet").parquet(sf_dir) if not sf_dir.rstrip("/").endswith(".parquet") else spark.readStream.schema(schema).parquet(sf_dir)
     out = distinct_messages(feed).select("dedupe_key")
     out.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()

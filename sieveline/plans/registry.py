@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrow import HOMOGLYPHS
+from ..sources.shared import read_table as table
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -24,6 +27,22 @@ JUDGED = (
 CLEANED = r"""cleaned AS (SELECT *, nullif(trim(regexp_replace(text, '\s+', ' ', 'g')), '') AS clean FROM documents),
 keyed AS (SELECT *, sha256(lower(clean)) AS dedupe_key FROM cleaned)"""
 
+#: Whether `clean` holds letters set apart by spaces, or by marks, and the text with each such run as one word.
+SPACED_SQL = r"regexp_matches(clean, '\b([a-zA-Z]\s){3,}[a-zA-Z]\b')"
+DOTTED_SQL = r"regexp_matches(clean, '\b([a-zA-Z][.\-_]){3,}[a-zA-Z]\b')"
+_TIGHT = r"list_reduce(list_prepend(clean, regexp_extract_all(clean, '\b(?:[a-zA-Z]\s){3,}[a-zA-Z]\b')), lambda t, m: replace(t, m, replace(m, ' ', '')))"
+REPAIRED = rf"list_reduce(list_prepend({_TIGHT}, regexp_extract_all({_TIGHT}, '\b(?:[a-zA-Z][.\-_]){{3,}}[a-zA-Z]\b')), lambda t, m: replace(t, m, regexp_replace(m, '[.\-_]', '', 'g')))"
+
+#: Whether each repair finds anything in `clean`, which has single spaces; the last for the common ranges of characters that NFKC changes.
+OBFUSCATION_SQL = {
+    "obf_zwsp": r"regexp_matches(clean, '[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{FEFF}\x{AD}]')",
+    "obf_homoglyph": "regexp_matches(clean, '[" + "".join(HOMOGLYPHS) + "]')",
+    "obf_spacing": SPACED_SQL,
+    "obf_punctuation": DOTTED_SQL,
+    "obf_newline": "false",
+    "obf_font": r"regexp_matches(clean, '[\x{2100}-\x{214F}\x{2460}-\x{24FF}\x{3000}\x{FB00}-\x{FB06}\x{FF01}-\x{FFEF}\x{1D400}-\x{1D7FF}]')",
+}
+
 
 def query(sql: str | None = None) -> Callable:
     """Registers a function (spark, sf_dir) under its name, with the SQL that must give the same rows."""
@@ -37,10 +56,6 @@ def query(sql: str | None = None) -> Callable:
     return put
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     label = F.when(F.col("toxic") == 1, "smishing").when(F.col("quality") == 0, "spam").when(F.col("quality") == 1, "ham")

@@ -1,0 +1,275 @@
+"""The build from files to the master table, the enrichment run, views, the results of models."""
+
+import json
+import math
+import os
+import shutil
+import subprocess
+import sys
+
+import pytest
+from pyspark.ml.linalg import DenseVector, SparseVector
+from pyspark.sql import functions as F
+
+from sieveline.functions import text as X
+from sieveline.operators import build as B
+from sieveline.operators import enrich as E
+from sieveline.operators import ml
+from sieveline.operators.sampling import class_cap, hash_order
+from sieveline.sources import adapters as A
+from sieveline.sources.catalog import MASTER_COLUMNS
+from sieveline.sources.writers import as_text, read_master
+
+from .conftest import HERE
+from .test_sources import put
+
+
+def raw_folder(path):
+    (path / "malicious_benign_sms_mms").mkdir(parents=True)
+    put(path / "kaggle_unknown_combined_spam_ham.csv", 'target,text\nham,"See you  at 5"\nspam,WIN A P.R.I.Z.E at http://x.co/ab3x now\nspam,other words\nham,"' + "x" * 1700 + '"\nham,all rights reserved here\n')
+    put(path / "agarwal_2025_fishing_smishing.csv", "text,translation,language,time\nsee you at 5,,en,2014-12-31 10:08\nＳｅｅ you at 5,,en,\nDas ist der Hund und die Katze,,German,\n")
+    put(path / "malicious_benign_sms_mms" / "dataset_v3_undersampled_stratified_full.csv", "message,label,ai_generated\nmade up,1,1\nreal one,1,0\nother words,0,0\n")
+    return path
+
+
+def test_build(spark, tmp_path):
+    from sieveline.sources.loaders import paths_below
+
+    raw = raw_folder(tmp_path / "raw")
+    path = B.run(spark, paths_below(str(raw)), str(tmp_path / "out"))
+    assert path.endswith("/master_v1.csv")
+    got = {r["text_raw"]: r for r in read_master(spark, path).collect()}
+    assert set(got) == {"See you at 5", "WIN A P.R.I.Z.E at http://x.co/ab3x now", "other words", "Das ist der Hund und die Katze", "real one"}
+    assert all(list(r.asDict()) == list(MASTER_COLUMNS) for r in got.values())
+    prize = got["WIN A P.R.I.Z.E at http://x.co/ab3x now"]
+    assert (prize["text"], prize["text_anonymized"], prize["obfuscation_tags"], prize["anonymization_status"]) == ("WIN A PRIZE at http://x.co/ab3x now", "WIN A PRIZE at <URL> now", "<OBF_PUNCTUATION>", "anonymized")
+    first = got["See you at 5"]
+    assert (first["reference"], first["canonical_label"], first["source_id"], first["label_mapping_rule"], first["anonymization_status"]) == ("kaggle_spam_ham", "ham", "1", "ham->ham", "raw")
+    assert got["other words"]["reference"] == "kaggle_spam_ham" and got["real one"]["is_ai_generated"] == "0" and got["real one"]["label_mapping_rule"] == "label==1->spam"
+    german = got["Das ist der Hund und die Katze"]
+    assert (german["language"], german["language_confidence"], german["label_mapping_rule"], german["license"]) == ("de", "0.83", "implicit_smishing", "research_use")
+    assert {r["reference"]: r["written"] for r in B.summary(spark, path).collect()} == {None: 5, "kaggle_spam_ham": 3, "agarwal_2025": 1, "malicious_benign_sms_mms": 1}
+
+
+def test_build_goes_on(spark, tmp_path):
+    from sieveline.sources.loaders import paths_below
+
+    raw = raw_folder(tmp_path / "raw")
+    out = str(tmp_path / "out")
+    path = B.run(spark, paths_below(str(raw)), out, resume=True)
+    before = {r["message_id"] for r in read_master(spark, path).collect()}
+    put(raw / "smishing_4C.csv", "TEXT-ENG,TYPE,SLANG,COMPANY,Length_value,Num_writing_errors,Phone,URL\nreal  ONE,,,,,,,\nbrand new,,,,,,,\n")
+    B.run(spark, paths_below(str(raw)), out, resume=True)
+    after = read_master(spark, path).collect()
+    assert len(after) == len(before) + 1 and {r["text"] for r in after if r["message_id"] not in before} == {"brand new"}
+    with pytest.raises(ValueError, match="differ"):
+        B.run(spark, paths_below(str(raw)), out, B.Build(day_first=True), resume=True)
+
+
+def test_build_options(spark, tmp_path):
+    from sieveline.sources.loaders import paths_below, read_sources
+
+    raw = read_sources(spark, paths_below(str(raw_folder(tmp_path / "raw"))))
+    assert B.build(raw, B.Build(dedupe=False)).count() == 8
+    kept = B.build(raw, B.Build(exclude_ai=False)).filter("is_ai_generated = '1'").collect()
+    assert [r["text"] for r in kept] == ["made up"]
+    named = raw.withColumn("found", F.when(F.col("text").startswith("Das"), F.array(F.struct(F.lit(12).alias("start"), F.lit(16).alias("end"), F.lit("private_person").alias("label")))))
+    masked = B.build(named, B.Build(spans="found")).filter("text like 'Das%'").first()
+    assert masked["text_anonymized"] == "Das ist der <PERSON> und die Katze" and masked["anonymization_status"] == "anonymized"
+    assert B.build(raw.limit(0)).count() == 0
+
+
+def test_cleaning_is_worked_out_once(spark, tmp_path):
+    """However often a step names the cleaned text, its expression stands in the plan once."""
+    from sieveline.plans.curation import cleaned, keyed
+
+    df = keyed(cleaned(spark, "/root/testdata/sf0.001").filter(X.is_valid_message(F.col("clean")))).select("doc_id", "dedupe_key", F.length("clean").alias("n"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("x1c-") == 2  # the cleaning's, and the key's own
+
+
+def test_views(spark):
+    rows = spark.createDataFrame([("1", "ham", "A 12345", "B <URL>", "bank", "high"), ("2", "Ham", "x", "y", "", ""), ("3", "spam", "", "", "", None), ("4", None, "x", "y", "", "")], "message_id string, canonical_label string, text_raw string, text_anonymized string, theme string, urgency_level string")
+    view = lambda df, v: {r["message_id"]: r["text_view"] for r in X.with_view(df, v).collect()}
+    assert view(rows, "raw") == {"1": "A 12345"} and view(rows, "anonymized") == {"1": "B <URL>"}
+    assert view(rows, "norm") == view(rows, "no such view") == {"1": "b url_token"}
+    assert view(rows, "injected") == {"1": "[URGENCIA: high] [TEMA: bank] b url_token", "3": "[URGENCIA: Desconocida] [TEMA: General] "}
+    bare = rows.select("message_id", "canonical_label", F.col("text_raw").alias("text"))
+    assert view(bare, "anonymized") == {"1": "A 12345"} and view(bare, "injected") == {"1": "a number_token"}
+
+
+def test_languages_of_names(spark):
+    names = X.language_names()
+    assert len(names) > 350 and names["estonian"] == "et" and names["zul"] == "zu" and names["castilian"] == "es" and names["ger"] == "de"
+
+
+def test_short_texts_have_no_language(spark):
+    from sieveline.functions.language import detect_language
+
+    df = spark.createDataFrame([(0, "y"), (1, " a "), (2, "THE CAT AND THE DOG"), (3, "non è il tuo"), (4, "você não está só")], "i int, t string")
+    got = [tuple(r) for r in df.orderBy("i").select(*detect_language(F.col("t"))).collect()]
+    assert got[:2] == [("unknown", 0.0)] * 2 and [g[0] for g in got[2:]] == ["en", "it", "pt"]
+
+
+def test_capped_classes(spark):
+    """Against one window over each source."""
+    from pyspark.sql import Window
+
+    rows = spark.range(600).select("id", F.when(F.col("id") % 5 == 0, "spam").otherwise("ham").alias("l"), F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id") % 7).alias("s"))
+    h = hash_order(42, F.col("id"))
+    got = {r["id"] for r in class_cap(rows, "l", "ham", "s", 9, h).collect()}
+    want = {r["id"] for r in rows.withColumn("r", F.row_number().over(Window.partitionBy("s", "l").orderBy(h))).filter("l = 'spam' or r <= 9").collect()}
+    assert got == want and len(got) == 120 + 8 * 9
+
+
+# ---- enrichment ----
+
+
+def test_enrichment_goes_on_and_retries(spark, tmp_path):
+    texts = ["verify at http://a.com/x", "hello", "broken line", "", "see b.org and http://a.com"]
+    master = as_text(spark.createDataFrame([(f"m{k}", t) for k, t in enumerate(texts)], "message_id string, text string")).coalesce(1)
+    records = spark.createDataFrame([("a.com", 10, False, "ES"), ("b.org", -1, True, "FR")], "domain string, age_days int, hidden boolean, country string")
+    path, calls = str(tmp_path / "enriched"), str(tmp_path / "calls")
+
+    def model(prompts):
+        with open(calls, "a") as f:
+            f.write("".join("x\n" for _ in prompts))
+        if any("broken" in p for p in prompts):
+            raise RuntimeError("out of memory")
+        return [json.dumps({"theme": "Banking", "urgency_level": "HIGH", "language": "ENG"}) for _ in prompts]
+
+    first = {r["message_id"]: r for r in E.run_enrichment(spark, master, path, model, records, "m", "v1", "2024-01-01").collect()}
+    assert {r["theme"] for i, r in first.items() if i != "m3"} == {"ERROR_INFERENCE"} and first["m3"]["theme"] == ""
+    assert (first["m0"]["whois_domain"], first["m0"]["whois_age_days"], first["m0"]["whois_hidden"]) == ("a.com", "10", "0")
+    assert (first["m4"]["whois_domain"], first["m4"]["whois_country"]) == ("a.com", "ES")
+    again = {r["message_id"]: r for r in E.run_enrichment(spark, master.filter("text != 'broken line'").unionByName(master.filter("text = 'broken line'").withColumn("text", F.lit("mended"))), path, model, records, "m", "v1", "2024-01-02").collect()}
+    assert len(again) == 5 and {r["theme"] for i, r in again.items() if i != "m3"} == {"banking"} and again["m2"]["urgency_level"] == "high"
+    assert again["m0"]["language"] == "en" and again["m0"]["llm_annotation_date"] == "2024-01-02"
+    n = len(open(calls).read().split())
+    third = E.run_enrichment(spark, master, path, model, records, "m", "v1", "2024-01-03").collect()
+    assert len(third) == 5 and len(open(calls).read().split()) == n
+
+
+def test_ids_of_answers_are_exact(spark):
+    rows = spark.createDataFrame([(2**53 + 1, "Message: hi"), (None, "Message: win"), (2**60 + 1, None)], "id long, p string").coalesce(1)
+    assert sorted((str(r["id"]), r["response"]) for r in A.answer(rows, A.keyword_model, "id", "p").collect()) == sorted([(str(2**53 + 1), '{"label": "ham"}'), ("None", '{"label": "spam"}'), (str(2**60 + 1), "")])
+
+
+def test_service_is_read_to_its_end_and_goes_on(spark, tmp_path):
+    folder = str(tmp_path / "service")
+
+    def service(last, down=()):
+        def fetch(i):
+            if i in down:
+                raise OSError("down")
+            return json.dumps({"message_id": i}) if i <= last and i % 10 else None
+
+        return fetch
+
+    read = lambda fetch: A.read_service(spark, fetch, folder, pages=2, page=20, empty=15)
+    assert read(service(97, down=(33,))) == 97
+    ids = lambda: sorted(json.loads(r["value"])["message_id"] for r in spark.read.text(f"{folder}/records").collect())
+    assert ids() == [i for i in range(1, 98) if i % 10 and i != 33]
+    assert [r["message_id"] for r in spark.read.option("header", True).csv(f"{folder}/failed_ids").collect()] == ["33"]
+    assert read(service(135)) == 135 and ids() == [i for i in range(1, 136) if i % 10 and i != 33]
+    assert read(service(135)) == 135 and len(ids()) == len(set(ids()))
+
+
+# ---- models ----
+
+
+def labelled(spark, n=240):
+    words = {"ham": "dinner home love see tonight", "spam": "offer sale win free prize", "smishing": "bank verify account link blocked"}
+    rows = [(k, " ".join(w[(k * j) % 5] for j in range(1, 7)) + f" word{k % 9}", c) for k in range(n) for c in [("ham", "spam", "smishing")[k % 3]] for w in [words[c].split()]]
+    return ml.prepare(spark.createDataFrame(rows, "id long, text string, canonical_label string"))
+
+
+def test_tfidf_by_definition(spark):
+    texts = ["a1 b1 b1 b1 c1", "b1 c1", "a1 a1 d1", "b1 b1 e1 e1", ""]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id long, text string")
+    model = ml.Pipeline(stages=ml.tfidf(50)).fit(df)
+    out = model.transform(df).select("id", "features").collect()
+    assert all(isinstance(r["features"], SparseVector) for r in out)
+    vocabulary = model.stages[3].vocabulary
+    grams = [t.split() + [f"{a} {b}" for a, b in zip(t.split(), t.split()[1:])] for t in texts]
+    df_of = {g: sum(g in x for x in grams) for x in grams for g in x}
+    assert set(vocabulary) == {g for g, n in df_of.items() if n >= 2}
+    for r in out:
+        own = grams[r["id"]]
+        want = [(1 + math.log(own.count(g))) * (math.log(6 / (1 + df_of[g])) + 1) if g in own else 0.0 for g in vocabulary]
+        size = math.sqrt(sum(x * x for x in want)) or 1.0
+        assert r["features"].toArray().tolist() == pytest.approx([x / size for x in want], abs=1e-12)
+
+
+def test_sublinear_keeps_the_kind_of_vector(spark):
+    rows = spark.createDataFrame([(1, SparseVector(4, [1, 3], [1.0, math.e])), (2, DenseVector([0.0, 1.0, 0.0, math.e])), (3, None)], ["id", "c"])
+    got = [r["l"] for r in ml._Sublinear("c", "l").transform(rows).orderBy("id").collect()]
+    assert got == [SparseVector(4, [1, 3], [1.0, 2.0]), DenseVector([0.0, 1.0, 0.0, 2.0]), None]
+
+
+@pytest.mark.parametrize("encoder", ["w2v", "fasttext"])
+def test_dense_and_hashed_encoders_tell_classes_apart(spark, encoder):
+    out, seconds = ml.evaluate(labelled(spark), encoder, "logreg", {"dimensions": 64, "iterations": 30})
+    rows = out.collect()
+    assert {r["split"] for r in rows} == {"val", "test"} and seconds > 0
+    assert sum(r["true_label"] == r["predicted_label"] for r in rows) >= 0.9 * len(rows)
+
+
+def test_word_vectors_of_unknown_words_are_zero(spark):
+    model = ml.Pipeline(stages=ml.w2v(8)).fit(labelled(spark))
+    got = model.transform(spark.createDataFrame([("zzz qqq",), ("",)], "text string")).select("features").collect()
+    assert all(not r["features"].toArray().any() for r in got)
+
+
+def test_grid_writes_results_and_goes_on(spark, tmp_path):
+    df = labelled(spark).persist()
+    folder = str(tmp_path / "grid")
+    settings = {"vocabulary": 200, "iterations": 10}
+    first = ml.write_grid(df, folder, settings, encoders=("bow",), classifiers=("nb",)).collect()
+    assert [(r["encoder"], r["classifier"], r["n_train"], r["n_val"], r["n_test"]) for r in first] == [("bow", "nb", 192, 24, 24)] and first[0]["test_macro_f1"] > 0.9
+    both = ml.write_grid(df, folder, settings, encoders=("bow",), classifiers=("nb", "logreg")).collect()
+    assert sorted((r["encoder"], r["classifier"]) for r in both) == [("bow", "logreg"), ("bow", "nb")]
+    assert both[0]["test_macro_f1"] >= both[1]["test_macro_f1"] and all(r["fit_time_s"] > 0 and r["predict_time_s"] > 0 for r in both)
+    cells = spark.read.schema(ml.CELL).option("header", True).csv(f"{folder}/confusion_matrices").collect()
+    assert len(cells) == 18 and sum(r["count"] for r in cells) == 48
+    df.unpersist()
+
+
+def test_predictions_from_elsewhere(spark):
+    rows = spark.createDataFrame([("m1", "ham", "ham"), ("m1", "spam", "ham"), ("m2", "ham", "ham")], "model_key string, true_label string, predicted_label string")
+    results, cells = ml.scored_predictions(rows, "d")
+    assert {r["model_key"]: r["accuracy"] for r in results.collect()} == {"m1": 0.5, "m2": 1.0}
+    assert cells.count() == 18 and {r["dataset"] for r in cells.collect()} == {"d"}
+
+
+def test_nothing_else_needs_the_training_operators(tmp_path):
+    """Without the two folders, and with or without the pipeline's file, the queries and their SQL are there."""
+    copy = tmp_path / "copy"
+    shutil.copytree(HERE, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", ".pytest_cache"))
+    shutil.rmtree(copy / "sieveline" / "llm", ignore_errors=True)
+    shutil.rmtree(copy / "tests" / "llm", ignore_errors=True)
+    ask = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert set(s) <= set(q) and len(q) > 60, len(q); assert not any(n.startswith('op') and n[2].isdigit() or n == 'pipeline' for n in q)"
+    for _ in range(2):
+        said = subprocess.run([sys.executable, "-B", "-c", ask], cwd=copy, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, capture_output=True, text=True, timeout=120)
+        assert said.returncode == 0, said.stderr
+        (copy / "corpus_pipeline.py").unlink(missing_ok=True)
+
+
+def test_sources_can_be_shipped(tmp_path):
+    """What executors of a cluster get imports from the archive alone."""
+    import __spark_entry__ as entry
+
+    class Context:
+        master, environment, files = "spark://there", {}, []
+
+        def addPyFile(self, path):  # noqa: N802
+            self.files.append(path)
+
+    class Session:
+        sparkContext = Context()  # noqa: N815
+
+    entry._ship(Session())
+    entry._ship(Session())
+    assert len(Context.files) == 1
+    said = subprocess.run([sys.executable, "-c", "import sieveline.operators.build as b; print(b.__file__)"], cwd=tmp_path, env={**{k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, "PYTHONPATH": Context.files[0]}, capture_output=True, text=True, timeout=120)
+    assert Context.files[0] in said.stdout, said.stderr
