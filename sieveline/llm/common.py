@@ -2,65 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import clear, new_path, read_table, shared_dir
+
+__all__ = ["clear", "cut", "free_name", "lower_ascii", "n_words", "new_path", "numbered", "read_table", "shared_dir", "utf8"]
+
 #: Word characters of every contract: anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share. Where none is set, a local session gets one of its own; on a cluster that would be another folder on every machine, so it is an error."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="sieveline-"))
-        found = sc.getCheckpointDir()
-    elif not sc.getCheckpointDir():
-        sc.setCheckpointDir(found)
-    return found
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it from there: its lineage ends, and a lost executor costs only a read."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-#: Folders that operators of this process wrote for frames that read them later.
-_written: set[str] = set()
-
-
-def new_path(spark: SparkSession, kind: str) -> str:
-    """A folder for files that a returned frame reads from; `clear` takes them away."""
-    path = f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
-    _written.add(path)
-    return path
-
-
-def clear(spark: SparkSession, paths: Iterable[str] | None = None) -> int:
-    """Deletes the given folders of new_path, or all that this process has asked for, and says how many there were. To be called when the frames that read from them have been used."""
-    gone = 0
-    jvm = spark.sparkContext._jvm
-    for path in sorted(_written if paths is None else _written.intersection(paths)):
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        gone += bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True))
-        _written.discard(path)
-    return gone
-
-
 def utf8(text: Column) -> Column:
     return F.encode(text, "UTF-8")
 

@@ -89,9 +89,12 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: Sequenc
     targets = source_targets(before.groupBy("source").agg(F.sum("slice_size").alias("source_size")), share, most, weights)
     kinds = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in schedules])
     targets = targets.withColumn("schedule", F.element_at(kinds, (F.col("rank") % len(schedules) + 1).cast("int")))
-    offsets = before.withColumnRenamed("source", "s").join(targets, F.col("s").eqNullSafe(F.col("source"))).select(F.col("s"), F.col("slice").alias("k"), "before", "source_size", "target", "schedule")
-    stream = sliced(placed).withColumn("upto", F.sum("size").over(Window.partitionBy("source", "slice").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)))
-    joined = stream.join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("slice") == F.col("k")))
+    # a null-safe comparison would be one of other keys than the window's, and so a second exchange of what is carried
+    named, none = F.coalesce("source", F.lit("")), F.col("source").isNull()
+    offsets = before.withColumnRenamed("source", "s").join(targets, F.col("s").eqNullSafe(F.col("source"))).select(named.alias("s"), none.alias("t"), F.col("slice").alias("k"), "before", "source_size", "target", "schedule")
+    stream = sliced(placed).withColumn("named", named).withColumn("none", none)
+    stream = stream.withColumn("upto", F.sum("size").over(Window.partitionBy("named", "none", "slice").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)))
+    joined = stream.join(offsets, (F.col("named") == F.col("s")) & (F.col("none") == F.col("t")) & (F.col("slice") == F.col("k")))
     start = F.col("before") + F.col("upto") - F.col("size")
     limit = F.floor("target")
     starts = F.transform(F.sequence(F.lit(0), F.lit(max(0, int(-(-most // 1)) - 1))), lambda k: start + k * F.col("source_size"))

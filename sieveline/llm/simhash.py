@@ -366,8 +366,10 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, n_words: int = 4, radi
     may have any names; an empty table gives no rows. Very long texts cost what they cost in near_duplicates.
     """
     found = near_duplicates(docs, words, n_words, radius, parts, True, similarity, tile, id_col, text_col, similarity)
-    key, place, number, stay_id, stay_hash = (free_name(docs, f"_dup_{x}") for x in ("key", "hash", "number", "stay_id", "stay_hash"))
-    stays = found.filter("is_first").select(F.col("doc_id").alias(stay_id), F.col("text_hash").alias(stay_hash)).distinct()
-    marked = docs.withColumn(key, F.col(id_col).cast("long")).withColumn(place, F.xxhash64(F.col(text_col)))
-    kept = marked.join(stays, F.col(key).eqNullSafe(F.col(stay_id)) & (F.col(place) == F.col(stay_hash)), "left_semi")
-    return kept.withColumn(number, F.row_number().over(Window.partitionBy(key, place).orderBy(key))).filter(F.col(number) == 1).select(*docs.columns)
+    key, none, place, number, stay_id, stay_none, stay_hash = (free_name(docs, f"_dup_{x}") for x in ("key", "none", "hash", "number", "stay_id", "stay_none", "stay_hash"))
+    # a null id is told apart by a key of its own: a null-safe comparison would not share the window's exchange of whole rows
+    whole = lambda c: F.coalesce(c.cast("long"), F.lit(0).cast("long"))
+    stays = found.filter("is_first").select(whole(F.col("doc_id")).alias(stay_id), F.col("doc_id").isNull().alias(stay_none), F.col("text_hash").alias(stay_hash)).distinct()
+    marked = docs.withColumn(key, whole(F.col(id_col))).withColumn(none, F.col(id_col).cast("long").isNull()).withColumn(place, F.xxhash64(F.col(text_col)))
+    kept = marked.join(stays, (F.col(key) == F.col(stay_id)) & (F.col(none) == F.col(stay_none)) & (F.col(place) == F.col(stay_hash)), "left_semi")
+    return kept.withColumn(number, F.row_number().over(Window.partitionBy(key, none, place).orderBy(key))).filter(F.col(number) == 1).select(*docs.columns)
