@@ -2,31 +2,65 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+#: Queries that meet a block's vectors in one product, which bounds its memory.
+QUERY_ROWS = 256
 
 
-def normalized(v: Column) -> Column:
-    size = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: F.when(size > 0, x.cast("double") / size).otherwise(0.0))
+def unit_rows(vectors: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+    """Vectors as rows of length one and of the given width, filled up with zeros; null vectors and those of zeros alone are zeros."""
+    out = np.zeros((len(vectors), width))
+    for k, v in enumerate(vectors.to_pylist()):
+        if v:
+            row = np.array([0.0 if x is None else x for x in v], dtype=np.float64)
+            out[k, : len(row)] = row
+    size = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return np.divide(out, size, out=np.zeros_like(out), where=size > 0)
+
+
+def _best(own: np.ndarray, ids: np.ndarray, similar: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best of one query's row: the most similar to nine digits, ties by id, not the query itself."""
+    value = np.where(ids == own, -np.inf, np.round(similar, 9))
+    least = np.partition(value, -k)[-k] if len(value) > k else -np.inf
+    near = np.flatnonzero((value >= least) & (value > -np.inf))
+    return near[np.lexsort((ids[near], -value[near]))[:k]]
 
 
 def top_similar(queries: DataFrame, vectors: DataFrame, k: int = 3, id_col: str = "vec_id", vector_col: str = "embedding", blocks: int | None = None) -> DataFrame:
     """(query_id, vec_id, similarity, rank): cosine, ties by id, a vector not with itself.
 
-    Queries meet the vectors block by block: each block's best k are chosen before blocks meet, so what moves is
-    queries x blocks x k rows. The query set is stated by the caller, and bounded. There are as many blocks as the
-    shuffle has partitions unless the caller says otherwise.
+    Queries meet the vectors block by block, as products of matrices: each block's best k are chosen before blocks
+    meet, so what moves is queries x blocks x k rows. The query set is stated by the caller, and bounded: a task holds
+    all of it beside one block. There are as many blocks as the shuffle has partitions unless the caller says
+    otherwise. Vectors shorter than others are filled up with zeros.
     """
     blocks = blocks or max(8, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    q = queries.select(F.col(id_col).alias("query_id"), normalized(F.col(vector_col)).alias("q"))
-    q = q.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    v = vectors.select(F.col(id_col).alias("vec_id"), normalized(F.col(vector_col)).alias("v")).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    pairs = q.join(v, "block").filter("query_id != vec_id").select("query_id", "block", "vec_id", dot(F.col("q"), F.col("v")).alias("similarity"))
+    kind = vectors.schema[id_col].dataType.simpleString()
+    q = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("q")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    v = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("v")).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        asked, held, similar = [], [], []
+        if left.num_rows and right.num_rows:
+            width = max(pc.max(pc.list_value_length(c)).as_py() or 0 for c in (left["q"], right["v"]))
+            ids, rows = right["vec_id"].to_numpy(), unit_rows(right["v"], width)
+            own = left["query_id"].to_numpy()
+            for at in range(0, len(own), QUERY_ROWS):
+                part = unit_rows(left["q"].slice(at, QUERY_ROWS), width) @ rows.T
+                for one, row in zip(own[at : at + QUERY_ROWS], part, strict=True):
+                    best = _best(one, ids, row, k)
+                    asked += [one] * len(best)
+                    held.append(ids[best])
+                    similar.append(row[best])
+        join = lambda parts: np.concatenate(parts) if parts else []
+        return pa.table({"query_id": pa.array(asked, left.schema.field("query_id").type), "vec_id": pa.array(join(held), right.schema.field("vec_id").type), "similarity": pa.array(join(similar), pa.float64())})
+
+    near = q.groupBy("block").cogroup(v.groupBy("block")).applyInArrow(meet, f"query_id {kind}, vec_id {kind}, similarity double")
     order = [F.round("similarity", 9).desc(), F.col("vec_id")]
-    near = pairs.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "block").orderBy(*order))).filter(F.col("r") <= k)
     best = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= k)
     return best.select("query_id", "vec_id", "similarity", "rank")

@@ -91,3 +91,19 @@ def test_top_similar(spark):
     rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(6)] + [(9, [0.0, 0.0])], "vec_id int, embedding array<double>")
     got = [(r["query_id"], r["vec_id"]) for r in top_similar(rows.filter("vec_id = 5"), rows, k=2).orderBy("rank").collect()]
     assert got == [(5, 4), (5, 3)]
+
+
+def test_top_similar_equals_all_pairs(spark):
+    """Ties, zero vectors, nulls and short vectors among them."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.integers(-2, 3, 4).astype(float).tolist()) for i in range(120)] + [(200, [1.0]), (201, None), (202, [0.0] * 4), (203, [2.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    unit = {i: (lambda x: x / np.linalg.norm(x) if np.linalg.norm(x) else x)(np.array(((v or []) + [0.0] * 4)[:4])) for i, v in rows}
+    want = {q: [v for _, v in sorted((-round(float(unit[q] @ unit[v]), 9), v) for v in unit if v != q)[:3]] for q in unit if q % 20 == 0 or q > 199}
+    got = {}
+    for r in top_similar(df.filter("vec_id % 20 = 0 or vec_id > 199"), df, k=3, blocks=5).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got == want
+    assert top_similar(df.limit(0), df).count() == 0 and top_similar(df, df.limit(0)).count() == 0
