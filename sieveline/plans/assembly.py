@@ -15,14 +15,15 @@ from ..operators import build as B
 from ..operators import metrics as M
 from ..operators import ml
 from ..operators.enrich import enriched
+from ..operators.sampling import hash_order, ranked, stratified_split
 from ..operators.subset import Subset
 from ..sources.adapters import answer, keyword_model
 from ..sources.catalog import LICENSE, RANK, RAW
 from ..sources.loaders import positional_csv
 from ..sources.shared import new_path
-from ..sources.writers import as_text, write_subset
+from ..sources.writers import append_rows, as_text, read_master, write_json_lines, write_master, write_splits, write_subset
 from .curation import _NORM
-from .evaluation import _RECORDS, _rounded
+from .evaluation import _QUOTAS, _RECORDS, _rounded
 from .registry import DOTTED_SQL, JUDGED, LABELED, REPAIRED, SPACED_SQL, judged, labeled, query, table
 
 # ---- the build ----
@@ -192,3 +193,88 @@ def subset_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A subset, written, and how many rows of each label it has."""
     rows = labeled(spark, sf_dir).withColumnsRenamed({"lang": "language", "source": "reference"})
     return write_subset(Subset(labels=("ham", "spam"), languages=("en", "fr")).apply(rows), new_path(spark, "subset"))
+
+
+# ---- what is written and read back ----
+
+
+@query(f"SELECT * EXCLUDE (dedupe_key) FROM ({_BUILT})")
+def master_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The master table as CSV, written in two goes and read back."""
+    path = new_path(spark, "master")
+    rows = build_first_wins(spark, sf_dir)
+    even = F.crc32("source_id") % 2 == 0
+    write_master(rows.filter(even), path)
+    write_master(rows.filter(~even), path, "append")
+    names = [c for c in rows.columns if c != "dedupe_key"]
+    return read_master(spark, f"{path}-absent", path).select(*[F.coalesce(c, F.lit("")).alias(c) for c in names])
+
+
+@query(f"WITH {_QUOTAS} SELECT CAST(doc_id AS VARCHAR) AS doc_id, r.canonical_label, CASE WHEN k <= n - away THEN 'train' WHEN k <= n - test THEN 'val' ELSE 'test' END AS split FROM r JOIN q ON r.canonical_label = q.canonical_label")
+def splits_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three splits as files of their own."""
+    path = new_path(spark, "splits")
+    rows = labeled(spark, sf_dir).select("doc_id", "canonical_label")
+    write_splits(stratified_split(rows, "canonical_label", CLASS_ORDER, hash_order(42, F.col("doc_id"))), path)
+    return spark.read.schema("doc_id string, canonical_label string, split string").option("header", True).csv(path)
+
+
+@query(f"WITH {JUDGED}, m AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS model_key FROM judged) {_by_model('m')}")
+def results_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results appended model by model, and read as one table."""
+    path = new_path(spark, "results")
+    rows = judged(spark, sf_dir).withColumn("model_key", F.when(F.col("doc_id") % 2 == 0, "even").otherwise("odd"))
+    for model in ("even", "odd"):
+        append_rows(ml.scored_predictions(rows.filter(F.col("model_key") == model), "documents")[0].drop("dataset"), path)
+    return _rounded(spark.read.schema(f"model_key string, n_samples long, accuracy double, macro_f1 double, {', '.join(f'f1_{c} double' for c in CLASS_ORDER)}").option("header", True).csv(path))
+
+
+@query("SELECT doc_id, lang, n_chars, md5(text) AS text_md5 FROM documents")
+def json_lines_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "lines")
+    write_json_lines(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", "text"), path)
+    return spark.read.schema("doc_id long, lang string, n_chars long, text string").json(path).select("doc_id", "lang", "n_chars", F.md5("text").alias("text_md5"))
+
+
+# ---- orders, cases, encoders ----
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY md5('42|' || doc_id)) AS place FROM documents")
+def shuffle_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows in the order of a seeded hash, their places counted in slices."""
+    rows = table(spark, sf_dir, "documents").select("doc_id").withColumn("every", F.lit(0))
+    return ranked(rows, ["every"], hash_order(42, F.col("doc_id")), "place").drop("every")
+
+
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'pre_anonymized' WHEN 1 THEN 'anonymized' WHEN 2 THEN 'pre_anonymized' ELSE 'raw' END AS status, doc_id % 4 IN (0, 2) AS is_pre_anonymized FROM documents")
+def status_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of two reasons the tokens that a message came with are told first."""
+    k = F.col("doc_id") % 4
+    raw = F.when(k.isin(0, 2), F.concat(F.col("lang"), F.lit(" <PHONE_1> now"))).otherwise(F.concat(F.col("lang"), F.lit(" <Phone> < PHONE>")))
+    masked = F.when(k.isin(1, 2), F.lit("<URL>")).otherwise(F.col("lang"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.anonymization_status(raw, F.col("lang"), masked).alias("status"), X.is_pre_anonymized(raw).alias("is_pre_anonymized"))
+
+
+_GRAMS = r"""t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS ws FROM documents),
+g AS (SELECT doc_id, unnest(list_concat(ws, list_transform(generate_series(1, greatest(len(ws) - 1, 0)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS gram FROM t),
+n AS (SELECT doc_id, gram, count(*) AS tf, count(*) OVER (PARTITION BY gram) AS df FROM g GROUP BY doc_id, gram), v AS (SELECT * FROM n WHERE df >= 2)"""
+
+
+def _encoded(spark: SparkSession, sf_dir: str, encoder: str) -> DataFrame:
+    """doc_id and the values of its vector, over a vocabulary that nothing is left out of."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ml.Pipeline(stages=ml.ENCODERS[encoder](vocabulary=1 << 22)).fit(rows).transform(rows).select("doc_id", F.unwrap_udt("features")["values"].alias("x"))
+
+
+@query(f"WITH {_GRAMS} SELECT d.doc_id, count(gram) AS n_terms, CAST(coalesce(sum(tf), 0) AS DOUBLE) AS n_grams FROM documents d LEFT JOIN v ON d.doc_id = v.doc_id GROUP BY d.doc_id")
+def bow_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many terms of the vocabulary a document has, and how often."""
+    return _encoded(spark, sf_dir, "bow").select("doc_id", F.size("x").cast("long").alias("n_terms"), F.aggregate("x", F.lit(0.0), lambda a, x: a + x).alias("n_grams"))
+
+
+@query(f"""WITH {_GRAMS}, w AS (SELECT doc_id, (1 + ln(tf)) * (ln((1.0 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS w FROM v),
+u AS (SELECT doc_id, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS u FROM w) SELECT d.doc_id, count(u) AS n_terms, round(max(u), 6) AS largest, round(min(u), 6) AS least FROM documents d LEFT JOIN u ON d.doc_id = u.doc_id GROUP BY d.doc_id""")
+def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest and the least weight of each document's terms."""
+    rows = _encoded(spark, sf_dir, "tfidf")
+    return rows.select("doc_id", F.size("x").cast("long").alias("n_terms"), F.round(F.array_max("x"), 6).alias("largest"), F.round(F.array_min("x"), 6).alias("least"))
