@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, UPPER, cut
+from .common import SPACES, cut
 
 SYMBOLS = "#*$%&|<>"
 #: Labelled rows, least by hash, from which rules are learned.
@@ -36,8 +36,8 @@ RATIOS = {
 }
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.length(F.translate(text, chars, ""))
+def _count(text: Column, pattern: str) -> Column:
+    return F.regexp_count(text, F.lit(pattern)).cast("long")
 
 
 def with_statistics(df: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame:
@@ -51,18 +51,20 @@ def with_statistics(df: DataFrame, text_col: str = "text", prefix: str = "") ->
     keep = df.columns
     text = F.coalesce(F.col(text_col), F.lit(""))
     trimmed = F.btrim(text, F.lit(SPACES))
-    lines = F.filter(F.split(text, "\n", -1), lambda x: _without(x, SPACES) > 0)
+    lines = F.filter(F.split(text, "\n", -1), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
     df = df.select(
         *keep,
         F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+", -1)).alias(p + "words"),
         lines.alias(p + "lines"),
-        _without(text, SPACES).cast("long").alias(p + "word_chars"),
-        (F.length(text) - _without(text, SYMBOLS)).cast("long").alias(p + "n_symbols"),
-        (F.length(text) - _without(text, UPPER)).cast("long").alias(p + "n_upper"),
-        (F.length(text) - _without(text, "!")).cast("long").alias(p + "n_bangs"),
+        (F.length(text) - _count(text, r"[\x20\x09-\x0D]")).alias(p + "word_chars"),
+        _count(text, f"[{SYMBOLS}]").alias(p + "n_symbols"),
+        _count(text, "[A-Z]").alias(p + "n_upper"),
+        (F.length(text) - F.length(F.replace(text, F.lit("!"), F.lit("")))).cast("long").alias(p + "n_bangs"),
     )
     counts = [p + c for c in ("word_chars", "n_symbols", "n_upper", "n_bangs")]
-    threes = F.transform(col("words"), lambda w, i: F.xxhash64(w, F.get(col("words"), i + 1), F.get(col("words"), i + 2)))
+    # each word is hashed once, and threes are hashes of hashes
+    df = df.select(*keep, *counts, col("words"), col("lines"), F.transform(col("words"), lambda w: F.xxhash64(w)).alias(p + "hashes"))
+    threes = F.transform(col("hashes"), lambda h, i: F.xxhash64(h, F.get(col("hashes"), i + 1), F.get(col("hashes"), i + 2)))
     df = df.select(
         *keep,
         *counts,
