@@ -27,6 +27,8 @@ from .metrics import balanced_weights, confusion, scores
 from .sampling import hash_order, stratified_split
 
 VOCABULARY, LEAST_DOCUMENTS, DIMENSIONS = 50_000, 2, 100
+#: Classifiers that pass over the rows very many times, and how many rows a task has then at least.
+ITERATIVE, ROWS_A_TASK = frozenset(("logreg", "svm")), 5_000
 #: A fit ends when a step gains less than this share, or after its iterations.
 TOLERANCE = 1e-4
 
@@ -169,7 +171,10 @@ def _evaluated(df: DataFrame, encoder: str, classifiers: Iterable[str], settings
         encoding = time.time() - began
         for c in classifiers:
             began = time.time()
-            model = CLASSIFIERS[c](sparse=encoder in SPARSE, n_rows=n_train, **own.classifier).fit(rows.filter("split = 'train'"))
+            seen = rows.filter("split = 'train'")
+            # each iteration is a job: tasks of fewer rows would be all overhead
+            seen = seen.coalesce(max(1, -(-n_train // ROWS_A_TASK))) if c in ITERATIVE else seen
+            model = CLASSIFIERS[c](sparse=encoder in SPARSE, n_rows=n_train, **own.classifier).fit(seen)
             fitted = time.time()
             out = predictions(model, rows.filter("split != 'train'")).checkpoint()
             yield encoder, c, out, encoding + fitted - began, time.time() - fitted
