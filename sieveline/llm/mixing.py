@@ -59,7 +59,7 @@ def invert(share: Column, schedule: Column) -> Column:
     return F.when(need <= first, within(a, b, need)).otherwise(0.5 + within(b, c, need - first))
 
 
-def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: Sequence[float] = WEIGHTS, schedules: Sequence[Sequence[float]] = SCHEDULES, seed: int = 17, slice_rows: int = 1000, carry: Mapping[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: Sequence[float] = WEIGHTS, schedules: Sequence[Sequence[float]] = SCHEDULES, seed: int = 17, slice_rows: int = 250, carry: Mapping[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken, source, copies, position (of its first copy, null if none), positions.
 
     carry: columns of docs, by the names that they get, which come along through the one exchange that the running
