@@ -45,6 +45,10 @@ def separable(config: dict) -> bool:
     )
 
 
+def _edged(part: str) -> bool:
+    return not part or part[0].isspace() or part[-1].isspace()
+
+
 class Encoder:
     """Little-endian unsigned 32-bit ids of texts; add_special_tokens is off."""
 
@@ -53,8 +57,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.by_parts = separable(json.loads(self.tokenizer.to_str()))
+        with open(path, encoding="utf-8") as file:
+            self.by_parts = separable(json.load(file))
         self.cache: dict[str, bytes] = {}  # ids of " " + part
+        self.edges: dict[str, bytes] = {}  # the same of parts that are empty, or begin or end with white space
         self.bare: dict[str, bytes] = {}  # ids of part, without a space before it
 
     def _direct(self, text: str) -> bytes:
@@ -93,24 +99,33 @@ class Encoder:
         return ids
 
     def _spaced(self, part: str) -> bytes:
-        ids = self._split(" " + part)
-        if len(part) <= CACHE_CHARS:
-            if len(self.cache) >= CACHE_PARTS:
-                self.cache = dict(islice(self.cache.items(), CACHE_PARTS // 2))
-            self.cache[part] = ids
+        kept = self.edges if _edged(part) else self.cache
+        ids = kept.get(part)
+        if ids is None:
+            ids = self._split(" " + part)
+            if len(part) <= CACHE_CHARS:
+                if len(kept) >= CACHE_PARTS:
+                    for old in list(islice(reversed(kept), CACHE_PARTS // 2)):
+                        del kept[old]
+                kept[part] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if not self.by_parts or _RUN.search(text):
+        if not self.by_parts:
             return self._direct(text)
         first, *rest = text.split(" ")
         ids = list(map(self.cache.get, rest))
-        if None in ids:
-            for k, i in enumerate(ids):
-                if i is None:
-                    ids[k] = self._part(" " + rest[k])
+        try:
+            return (self._part(first) if first else b"") + b"".join(ids)
+        except TypeError:  # some are not kept
+            unknown = [k for k, i in enumerate(ids) if i is None]
+        # where a run holds an inner space, parts on both its sides have edges of white space, which are never in the cache
+        if any(_edged(rest[k]) for k in unknown) and _RUN.search(text):
+            return self._direct(text)
+        for k in unknown:
+            ids[k] = self._spaced(rest[k])
         return (self._part(first) if first else b"") + b"".join(ids)
 
 
