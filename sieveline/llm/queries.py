@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, utf8
+from .infill import INFILL_SQL, fill_in_middle, restore
 from .media import store_and_resolve
 from .mixing import MIX_SQL, in_order, mix
 from .packing import Capacities, pack
@@ -72,6 +73,12 @@ def op10_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle(read_table(spark, sf_dir, "documents"))
+    digests = {"output_sha256": F.sha2(utf8(F.col("output")), 256), "restored_sha256": F.sha2(utf8(restore(F.col("output"), F.col("form"))), 256)}
+    return out.withColumns(digests).select("doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"), *digests)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_curriculum_mix": op2_curriculum_mix,
@@ -83,7 +90,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minimax_shards": op8_minimax_shards,
     "op9_simhash_components": op9_simhash_components,
     "op10_interleaved_media": op10_interleaved_media,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 
 #: The other queries need models, tokenizers, hashes or positions of matches that SQL lacks; the tests compare them with brute force.
-ORACLE: dict[str, str] = {"op2_curriculum_mix": MIX_SQL}
+ORACLE: dict[str, str] = {"op2_curriculum_mix": MIX_SQL, "op11_fill_in_middle": INFILL_SQL}

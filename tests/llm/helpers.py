@@ -48,3 +48,26 @@ def table_of(df):
 
 def pairs(n):
     return itertools.combinations(range(n), 2)
+
+
+def same_as_sql(got, sql, folder, tables=("documents",)):
+    """Holds a query's rows against DuckDB's of its SQL over the same folder, floats to six digits."""
+    import glob
+    import os
+
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("SET timezone = 'UTC'")
+    for t in tables:
+        path = f"{folder}/{t}.parquet"
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path + '/*.parquet' if os.path.isdir(path) and glob.glob(path + '/*.parquet') else path}'")
+    found = con.execute(sql)
+    said = [c[0] for c in found.description]
+    names = sorted(got.columns)
+    assert sorted(said) == names
+    plain = lambda v: round(v, 6) if isinstance(v, float) else v
+    want = sorted(repr([plain(r[said.index(c)]) for c in names]) for r in found.fetchall())
+    have = sorted(repr([plain(r[c]) for c in names]) for r in got.collect())
+    assert len(have) == len(want)
+    assert [(a, b) for a, b in zip(have, want, strict=True) if a != b][:3] == []
