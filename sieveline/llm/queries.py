@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import read_table, utf8
 from .infill import INFILL_SQL, fill_in_middle, restore
+from .licenses import scan, scan_sql
 from .media import store_and_resolve
 from .mixing import MIX_SQL, in_order, mix
 from .packing import Capacities, pack
@@ -79,6 +80,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns(digests).select("doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"), *digests)
 
 
+def op12_license_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(read_table(spark, sf_dir, "documents")).drop("found")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_curriculum_mix": op2_curriculum_mix,
@@ -91,7 +96,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash_components": op9_simhash_components,
     "op10_interleaved_media": op10_interleaved_media,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_license_containment": op12_license_containment,
 }
 
 #: The other queries need models, tokenizers, hashes or positions of matches that SQL lacks; the tests compare them with brute force.
-ORACLE: dict[str, str] = {"op2_curriculum_mix": MIX_SQL, "op11_fill_in_middle": INFILL_SQL}
+ORACLE: dict[str, str] = {"op2_curriculum_mix": MIX_SQL, "op11_fill_in_middle": INFILL_SQL, "op12_license_containment": scan_sql()}
