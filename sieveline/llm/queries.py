@@ -18,6 +18,7 @@ from .planes import encode_and_read
 from .quality import judge
 from .sharding import shard_documents
 from .simhash import near_duplicates
+from .tries import TRIE_SQL, prefix_trie
 from .urls import judge_urls
 from .wordpiece import count_tokens
 
@@ -84,6 +85,10 @@ def op12_license_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(read_table(spark, sf_dir, "documents")).drop("found")
 
 
+def op13_patricia_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_curriculum_mix": op2_curriculum_mix,
@@ -97,7 +102,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_interleaved_media": op10_interleaved_media,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_license_containment": op12_license_containment,
+    "op13_patricia_prefix_trie": op13_patricia_prefix_trie,
 }
 
 #: The other queries need models, tokenizers, hashes or positions of matches that SQL lacks; the tests compare them with brute force.
-ORACLE: dict[str, str] = {"op2_curriculum_mix": MIX_SQL, "op11_fill_in_middle": INFILL_SQL, "op12_license_containment": scan_sql()}
+ORACLE: dict[str, str] = {
+    "op2_curriculum_mix": MIX_SQL,
+    "op11_fill_in_middle": INFILL_SQL,
+    "op12_license_containment": scan_sql(),
+    "op13_patricia_prefix_trie": TRIE_SQL,
+}
