@@ -1,98 +1,111 @@
 """Minimax contiguous partition: groups of equal texts, in the order of their hash, are cut into shards of nearly equal bytes.
 
-The smallest feasible capacity of a shard is found by binary search, each capacity checked greedily. The search
-needs no group beyond those near a cut: totals of hash ranges bound the capacity from both sides, the greedy cuts
-of the two bounds leave narrow windows, and the groups in these alone come to the driver.
+The smallest feasible capacity of a shard is found by binary search, each capacity checked greedily. The driver
+knows the groups as ranges of the hash with their totals. Ranges taken as whole bound the capacity from above, ranges
+that may be cut anywhere from below, and only ranges in which a cut may fall for a capacity between the bounds are
+opened, the largest first, until every such range is a single group. A round fetches at most FETCH totals, whatever
+the sizes of the groups.
 """
 
 from __future__ import annotations
 
 import bisect
+from collections.abc import Callable
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, numbered, utf8
 
-#: Hash ranges whose totals the driver holds at most: 2 to this power.
-RANGE_BITS = 20
-
-
-def greedy_cuts(sums: list[int], capacity: int, shards: int) -> list[int] | None:
-    """Ends of the shards in prefix sums when each takes as many groups as fit; None if `shards` don't hold all."""
-    ends, base, at = [], 0, 0
-    for _ in range(shards):
-        at = bisect.bisect_right(sums, base + capacity, at)
-        ends.append(at)
-        if at == len(sums):
-            return ends + [at] * (shards - len(ends))
-        base = sums[at - 1] if at else 0
-    return None
-
-
-def smallest_capacity(sums: list[int], sizes_max: int, shards: int, low: int = 0, high: int | None = None) -> int:
-    """Binary search over capacities; sums: prefix sums of ordered atomic groups."""
-    total = sums[-1] if sums else 0
-    low, high = max(low, sizes_max, -(-total // shards)), total if high is None else high
-    while low < high:
-        mid = (low + high) // 2
-        if greedy_cuts(sums, mid, shards) is None:
-            low = mid + 1
-        else:
-            high = mid
-    return low
-
-
-def _runs(parts: DataFrame, bits: int, chosen: list[int] | None = None) -> list[tuple[int, int, int]]:
-    """(range, last hash or None, bytes) in hash order: whole ranges, but the chosen ones by group."""
-    spot = F.shiftrightunsigned(F.col("h").bitwiseXOR(F.lit(-(2**63))), 64 - bits) if bits else F.lit(0).cast("long")
-    parts = parts.withColumn("spot", spot)
+#: Totals of hash ranges that a round brings to the driver at most, and the bits by which it opens a range.
+FETCH, OPENED_BITS = 1 << 14, 6
+
+
+class Ranges:
+    """Hash ranges in order. rows: (bits, spot, bytes, groups), a range being the hashes that begin with `bits` bits of value `spot`."""
+
+    def __init__(self, rows: list[tuple[int, int, int, int]]):
+        self.rows = sorted(rows, key=lambda r: r[1] << (64 - r[0]))
+        self.ends = list(accumulate(r[2] for r in self.rows))
+        self.total = self.ends[-1]
+
+    def whole(self, capacity: int, shards: int) -> list[int]:
+        """Where each shard ends, in bytes, if no range is cut; a range above the capacity stops all further ones."""
+        at, out = 0, []
+        for _ in range(shards):
+            k = bisect.bisect_right(self.ends, at + capacity)
+            at = max(at, self.ends[k - 1] if k else 0)
+            out.append(at)
+        return out
+
+    def anywhere(self, capacity: int, shards: int) -> list[int]:
+        """The furthest that each shard can end if ranges of several groups may be cut anywhere."""
+        at, out = 0, []
+        for _ in range(shards):
+            at = min(at + capacity, self.total)
+            k = bisect.bisect_left(self.ends, at)
+            if self.rows[k][3] == 1 and self.ends[k] > at:
+                at = self.ends[k] - self.rows[k][2]
+            out.append(at)
+        return out
+
+    def smallest(self, ends: Callable[[int, int], list[int]], shards: int, low: int) -> int:
+        """The smallest capacity from low on at which the last shard's end is the end of all."""
+        high = max(low, self.total)
+        while low < high:
+            mid = (low + high) // 2
+            low, high = (low, mid) if ends(mid, shards)[-1] == self.total else (mid + 1, high)
+        return low
+
+    def undecided(self, shards: int, largest: int) -> tuple[int, list[tuple[int, int, int, int]]]:
+        """(a feasible capacity, ranges of several groups in which the cuts of the smallest one may fall). With no such range the capacity is the smallest."""
+        low = self.smallest(self.anywhere, shards, max(largest, -(-self.total // shards)))
+        high = self.smallest(self.whole, shards, low)
+        found: set[int] = set()
+        for a, b in zip(self.whole(low, shards - 1), self.anywhere(high, shards - 1), strict=True):
+            found.update(range(bisect.bisect_right(self.ends, a), min(bisect.bisect_left(self.ends, b) + 1, len(self.ends))))
+        return high, [self.rows[k] for k in found if self.rows[k][3] > 1]
+
+
+def _totals(groups: DataFrame, chosen: list[tuple[int, int, int, int]] | None = None) -> list[tuple[int, int, int, int]]:
+    """Totals of first ranges, or of the ranges that the chosen ones are opened into."""
+    place = F.col("h").bitwiseXOR(F.lit(-(2**63)))
+    spot = lambda bits: F.shiftrightunsigned(place, 64 - bits)
     if chosen is None:
-        rows = parts.groupBy("spot").agg(F.sum("bytes").alias("b")).collect()
-        return sorted((r["spot"], None, r["b"]) for r in rows)
-    rows = parts.filter(F.col("spot").isin(chosen)).select("spot", "h", "bytes").collect()
-    return sorted((r["spot"], r["h"], r["bytes"]) for r in rows)
+        bits = FETCH.bit_length() - 1
+        rows = groups.select(F.lit(bits).alias("bits"), spot(bits).alias("spot"), "bytes")
+    else:
+        parts = []
+        for bits in sorted({r[0] for r in chosen}):
+            finer = min(64, bits + OPENED_BITS)
+            value = F.when(spot(bits).isin([r[1] for r in chosen if r[0] == bits]), F.struct(F.lit(finer).alias("bits"), (spot(finer) if finer < 64 else place).alias("spot")))
+            parts.append(value)
+        rows = groups.select(F.coalesce(*parts).alias("at"), "bytes").filter("at is not null").select("at.bits", "at.spot", "bytes")
+    found = rows.groupBy("bits", "spot").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n")).collect()
+    return [(r["bits"], r["spot"] & (2**64 - 1), r["bytes"], r["n"]) for r in found]
+
+
+def cuts_by_totals(totals: Callable[[list[tuple[int, int, int, int]] | None], list[tuple[int, int, int, int]]], shards: int, largest: int) -> list[int]:
+    """The hashes that end shards 0 to shards - 2. totals: those of first ranges (None), or of what the given ranges are opened into."""
+    ranges = Ranges(totals(None))
+    while True:
+        capacity, open_ = ranges.undecided(shards, largest)
+        if not open_:
+            break
+        chosen = set(sorted(open_, key=lambda r: -r[2])[: FETCH >> OPENED_BITS])
+        ranges = Ranges([r for r in ranges.rows if r not in chosen] + totals(list(chosen)))
+    out = []
+    for at in ranges.whole(capacity, shards)[:-1]:
+        k = bisect.bisect_right(ranges.ends, at) - 1  # the last range of the shard
+        out.append(((ranges.rows[k][1] + 1) << (64 - ranges.rows[k][0])) - 1 - 2**63 if k >= 0 else -(2**63))
+    return out
 
 
 def contiguous_cuts(groups: DataFrame, shards: int) -> list[int]:
-    """The hashes that end shards 0 to shards - 2. groups: h long (the order), bytes long."""
-    n, largest = groups.agg(F.count("*"), F.max("bytes")).first()
-    if not n:
-        return []
-    bits = max(0, min(RANGE_BITS, (n // 64).bit_length()))
-    totals = _runs(groups, bits)
-    sums, at = [], 0
-    for _, _, b in totals:
-        at += b
-        sums.append(at)
-    low = max(largest, -(-at // shards))
-    high = smallest_capacity(sums, max(b for _, _, b in totals), shards)
-    # a greedy cut moves right with the capacity: those of the two bounds hold between them any cut in question
-    base_low = base_high = 0
-    inside: set[int] = set()
-    for _ in range(shards):
-        i, j = bisect.bisect_right(sums, base_low + low), bisect.bisect_right(sums, base_high + high)
-        inside.update(range(max(0, i - 1), min(j + 1, len(sums))))
-        base_low, base_high = (sums[i - 1] if i else 0), (sums[j] if j < len(sums) else at)
-    fine = _runs(groups, bits, [totals[k][0] for k in sorted(inside)]) if bits or n > 1 else _runs(groups, 0, [0])
-    opened = {totals[k][0] for k in inside}
-    runs = sorted([r for r in totals if r[0] not in opened] + fine, key=lambda r: (r[0], -(2**63) if r[1] is None else r[1]))
-    sums, at = [], 0
-    for _, _, b in runs:
-        at += b
-        sums.append(at)
-    capacity = smallest_capacity(sums, max(b for _, _, b in runs), shards, low, high)
-    ends = greedy_cuts(sums, capacity, shards)
-    out = []
-    for k in ends[:-1]:
-        spot, h, _ = runs[k - 1] if k else (None, None, None)
-        if k == 0:
-            out.append(-(2**63))
-        elif h is not None:
-            out.append(h)
-        else:  # the end of a whole range
-            out.append(((spot + 1) << (64 - bits)) - 1 - 2**63 if bits else 2**63 - 1)
-    return out
+    """The hashes that end shards 0 to shards - 2. groups: h long (the order), bytes long, one row an h."""
+    largest = groups.agg(F.max("bytes")).first()[0]
+    return [] if largest is None else cuts_by_totals(lambda chosen: _totals(groups, chosen), shards, largest)
 
 
 def shard_documents(docs: DataFrame, shards: int = 8, slot_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
