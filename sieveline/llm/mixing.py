@@ -63,7 +63,8 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: Sequenc
     """Per document: doc_id, size, source_size, target, taken, source, copies, position (of its first copy, null if none), positions.
 
     carry: columns of docs, by the names that they get, which come along through the one exchange that the running
-    sums need. The order of the rows is left to the caller.
+    sums need; docs is then read twice, and must give the same rows in the same partitions both times, as tables do.
+    The order of the rows is left to the caller.
 
     Null texts have size 0; null sources are a source, the last; null ids stay; repeated rows are documents of
     their own, which may change places among themselves. A document without words takes nothing
@@ -76,23 +77,38 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: Sequenc
         F.col(source_col).cast("string").alias("source"),
         n_words(F.col(text_col)).alias("size"),
         F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("long").cast("string"), F.col(text_col))).alias("h"),
+        F.monotonically_increasing_id().alias("row"),
         *[F.col(c).alias(name) for name, c in carry.items()],
     )
     rows = cut(placed.drop(*carry))
     placed = placed if carry else rows  # what is carried is read once more rather than written
     n = rows.count()
     # slices are ranges of the hash, so that the order is the hash's whatever their number; there are about as many as a slice has rows, where these are more than slice_rows
-    slices = max(1, n // max(slice_rows, math.isqrt(n)))
-    sliced = lambda df: df.withColumn("slice", F.shiftright(F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * F.lit(slices), 32))
+    room = max(slice_rows, math.isqrt(n))
+    slices = max(1, n // room)
+    # equal rows, which no hash tells apart: a hash with more rows than a slice should have is dealt to slices of its own by the rows' places; there are n / room such hashes at most, no more than the root of n where that is large
+    many = cut(rows.groupBy("source", "h").agg(F.count("*").alias("rows")).filter(F.col("rows") > room))
+    # a null-safe comparison would be one of other keys than the window's, and so a second exchange of what is carried
+    named, none = F.coalesce("source", F.lit("")), F.col("source").isNull()
+    slice_of = F.shiftright(F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * F.lit(slices), 32)
+    hot = many.groupBy(named.alias("hot_s"), none.alias("hot_t"), slice_of.alias("hot_k")).agg(F.sort_array(F.collect_list(F.struct("h", F.ceil(F.col("rows") / room).alias("parts")))).alias("hot"))
+
+    def sliced(df: DataFrame) -> DataFrame:
+        """With named, none and slice, a struct of three numbers in the order of the hash: the hash's range, the place before, at or after a hash of many rows in it, and the part of these."""
+        df = df.withColumn("named", named).withColumn("none", none).withColumn("k", slice_of)
+        df = df.join(F.broadcast(hot), (F.col("named") == F.col("hot_s")) & (F.col("none") == F.col("hot_t")) & (F.col("k") == F.col("hot_k")), "left")
+        own = F.get(F.filter("hot", lambda x: x["h"] == F.col("h")), F.lit(0))["parts"]
+        at = F.coalesce(2 * F.size(F.filter("hot", lambda x: x["h"] < F.col("h"))) + F.when(own.isNotNull(), 1).otherwise(0), F.lit(0))
+        part = F.coalesce(F.pmod(F.col("row"), own), F.lit(0))
+        return df.withColumn("slice", F.struct(F.col("k").alias("k"), F.when(F.col("hot").isNull(), 0).otherwise(at).cast("long").alias("at"), part.cast("long").alias("part"))).drop("hot_s", "hot_t", "hot_k", "hot", "k")
+
     sizes = sliced(rows).groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
     before = cut(sizes.withColumn("before", F.sum("slice_size").over(Window.partitionBy("source").orderBy("slice")) - F.col("slice_size")))
     targets = source_targets(before.groupBy("source").agg(F.sum("slice_size").alias("source_size")), share, most, weights)
     kinds = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in schedules])
     targets = targets.withColumn("schedule", F.element_at(kinds, (F.col("rank") % len(schedules) + 1).cast("int")))
-    # a null-safe comparison would be one of other keys than the window's, and so a second exchange of what is carried
-    named, none = F.coalesce("source", F.lit("")), F.col("source").isNull()
     offsets = before.withColumnRenamed("source", "s").join(targets, F.col("s").eqNullSafe(F.col("source"))).select(named.alias("s"), none.alias("t"), F.col("slice").alias("k"), "before", "source_size", "target", "schedule")
-    stream = sliced(placed).withColumn("named", named).withColumn("none", none)
+    stream = sliced(placed)
     stream = stream.withColumn("upto", F.sum("size").over(Window.partitionBy("named", "none", "slice").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)))
     joined = stream.join(offsets, (F.col("named") == F.col("s")) & (F.col("none") == F.col("t")) & (F.col("slice") == F.col("k")))
     start = F.col("before") + F.col("upto") - F.col("size")
@@ -115,7 +131,8 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     """docs as often as the mix takes them, range-sorted by position, all columns as they are.
 
     Texts move twice: to their slice, and to their place. No key but the slice, some thousand rows of a hash order,
-    gathers rows, so that repeated rows and hot sources make no task longer. Documents that the mix leaves out, those
+    gathers rows, and repeated rows are dealt to slices of their own, so that neither they nor hot sources make a task
+    longer. Documents that the mix leaves out, those
     without words among them, have no row. Null ids, texts and sources are dealt with as in `mix`; columns may have any
     names; an empty table gives no rows.
     """
