@@ -123,7 +123,11 @@ def read_document(payload: bytes, number: int) -> np.ndarray:
 
 
 def find_documents(segments: DataFrame, ids: Sequence[int]) -> DataFrame:
-    """(doc_id, ids array<long>) of the documents with these ids, as often as they occur. Of a segment only the blocks of such documents are decompressed."""
+    """(doc_id, ids array<long>) of the documents with these ids, as often as they occur. Of a segment only the blocks of such documents are decompressed.
+
+    Documents whose id is null are never found, ids that no document has give no row, no ids and an empty table give
+    none at all. A document's ids are one array, however long. Other columns are not looked at.
+    """
     wanted = np.array(sorted(set(ids)), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +170,8 @@ def encode_segments(docs: DataFrame, tokenizer: str, end_id: int | None = 2, kin
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     tie = F.crc32(F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")))
-    ordered = rows.withColumn("tie", tie).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    # equal rows are told apart by their places, so that very many of them are several ranges
+    ordered = rows.withColumn("tie", tie).withColumn("place", F.monotonically_increasing_id()).repartitionByRange("doc_id", "tie", "place").sortWithinPartitions("doc_id", "tie")
     return ordered.select("doc_id", "text").mapInArrow(run, SEGMENT)
 
 
