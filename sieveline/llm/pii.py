@@ -34,23 +34,26 @@ KEY_PREFIXES = ("AKIA", "ghp_", "sk-")
 _SECRET = re.compile(r"(?i:token|password|passwd|secret|api[_-]?key)\x20{0,3}[=:]\x20{0,3}[\"']?([A-Za-z0-9+/_-]{8,}+)")
 _DIGITS = re.compile(r"[0-9]")
 
-#: Words that raise a kind's score when they stand within WINDOW characters before or after, and by how much.
+#: Words that raise a kind's score when they stand within WINDOW characters before or after, and by how much. Whole words count, plurals among them.
 CONTEXT = {
-    "email": ("mail", "contact", "write", "@"),
+    "email": ("mail", "email", "contact", "write"),
     "ip": ("ip", "address", "server", "host"),
     "card": ("card", "visa", "credit", "payment"),
-    "phone": ("phone", "call", "tel", "fax", "mobile"),
+    "phone": ("phone", "telephone", "call", "tel", "fax", "mobile"),
     "iban": ("iban", "account", "bank", "transfer"),
     "ssn": ("ssn", "social", "security"),
     "mac": ("mac", "device", "ethernet", "wifi"),
     "key": ("key", "aws", "access"),
-    "secret": ("token", "password", "secret"),
+    "secret": ("token", "password", "passwd", "secret", "apikey"),
 }
 WINDOW, RAISE = 40, 0.35
-#: Words that lower any score: examples and placeholders.
-AGAINST, LOWER = ("example", "sample", "dummy", "version"), 0.2
-#: Scores by kind before context: a valid checksum or an unmistakable prefix stands alone, a bare shape does not.
-SCORES = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.3, "mac": 0.6, "key": 0.9, "secret": 0.6}
+#: Words that lower a score, of examples and placeholders: not so far that a shape which stands alone goes for them. What a checksum, a prefix or its own label confirms keeps its score.
+AGAINST, LOWER, CONFIRMED = ("example", "sample", "dummy", "version"), 0.1, frozenset(("card", "iban", "key", "secret"))
+#: Scores by kind before context: a valid checksum, an unmistakable prefix or a label (which secrets' pattern asks for) stands alone, a bare shape does not.
+SCORES = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.3, "mac": 0.6, "key": 0.9, "secret": 0.65}
+_NEAR = re.compile(r"[a-z0-9]+")
+#: The same without a plural's s, as the words nearby are compared.
+_CONTEXT = {kind: frozenset(w.removesuffix("s") for w in words) for kind, words in CONTEXT.items()}
 
 
 @dataclass(frozen=True)
@@ -141,8 +144,14 @@ def added_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def score(text: str, kind: str, start: int, end: int) -> float:
-    near = (text[max(0, start - WINDOW) : start] + " " + text[end : end + WINDOW]).lower()
-    s = SCORES[kind] + RAISE * any(w in near for w in CONTEXT[kind]) - LOWER * any(w in near for w in AGAINST)
+    a, b = max(0, start - WINDOW), min(len(text), end + WINDOW)
+    # words that the window's edges cut in two are none
+    while a and a < start and text[a - 1].isalnum() and text[a].isalnum():
+        a += 1
+    while b < len(text) and b > end and text[b - 1].isalnum() and text[b].isalnum():
+        b -= 1
+    near = {w.removesuffix("s") for w in _NEAR.findall(f"{text[a:start]} {text[end:b]}".lower())}
+    s = SCORES[kind] + RAISE * (not near.isdisjoint(_CONTEXT[kind])) - LOWER * (kind not in CONFIRMED and not near.isdisjoint(AGAINST))
     return round(min(1.0, max(0.0, s)), 2)
 
 
