@@ -1,13 +1,13 @@
 """Best-fit packing of documents into training sequences under several capacities at once.
 
 Documents are tokenised where they are read; only their lengths move. Pieces are dealt into blocks of a bounded
-number of documents by a salt of their place in the input (so that equal rows spread), and each block is packed
+number of pieces by a salt of their place in the input (so that equal rows spread), and each block is packed
 by itself: pieces by decreasing size, each into the open sequence that the score selects among those with room in
 every capacity. Sequences that stay below `refill` of the token capacity are opened again and packed once more in
 blocks `merge` times as large, so that what is lost at the blocks' edges falls with their size, not their number.
 
 Capacities that are wished for but must not cost a sequence (`wished`: fewer documents, less attention) hold in the
-first pass alone: where they leave a sequence under-filled, the second pass goes by the binding ones.
+first pass of a packing of its own; it is taken where it has no more sequences than the packing without them.
 """
 
 from __future__ import annotations
@@ -113,11 +113,11 @@ def pack_pieces(items: DataFrame, n_blocks: int, capacities: Capacities, weights
         number = (np.int64(block["block"][0].as_py()) << 32) + np.int64(base) + bins
         return block.drop_columns("block").append_column("sequence_id", pa.array(number)).append_column("offset", pa.array(offsets)).append_column("filled", pa.array(filled[bins]))
 
-    blocked = items.withColumn("block", F.pmod(F.xxhash64("salt"), F.lit(n_blocks)))
+    blocked = items.withColumn("block", F.pmod(F.xxhash64("salt", "piece"), F.lit(n_blocks)))
     return blocked.groupBy("block").applyInArrow(run, f"{PIECES}, sequence_id long, offset long, filled long")
 
 
-def pack(docs: DataFrame, tokenizer: str, capacities: Capacities = Capacities(), end_id: int | None = 0, weights=(1.0, 0.1, 0.1), score: str = "norm", block_docs: int = 2048, merge: int = 16, refill: float = 0.97, wished: Capacities | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacities: Capacities = Capacities(), end_id: int | None = 0, weights=(1.0, 0.1, 0.1), score: str = "norm", block_docs: int = 2048, merge: int = 16, refill: float = 0.999, wished: Capacities | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Packs documents into sequences: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null and empty texts are a piece of the end id alone. Null ids stay null, whatever ids stand beside them, and
@@ -125,12 +125,22 @@ def pack(docs: DataFrame, tokenizer: str, capacities: Capacities = Capacities(),
     is encoded in one go by one task, about 20 bytes of memory a character, and its pieces are spread like others. An
     empty table gives no rows. Other columns are not looked at.
     """
-    n_blocks = max(1, -(-docs.count() // block_docs))
-    first = cut(pack_pieces(pieces(docs, tokenizer, capacities.tokens, end_id, id_col, text_col), n_blocks, wished or capacities, weights, score))
+    items = cut(pieces(docs, tokenizer, capacities.tokens, end_id, id_col, text_col))
+    n_blocks = max(1, -(-items.count() // block_docs))
+
+    def packed(first_pass: Capacities) -> DataFrame:
+        first = cut(pack_pieces(items, n_blocks, first_pass, weights, score))
+        if n_blocks == 1 and first_pass == capacities:
+            return first.select(*out)
+        low = F.col("filled") < refill * capacities.tokens
+        again = first.filter(low).drop("sequence_id", "offset", "filled")
+        second = pack_pieces(again, -(-n_blocks // merge), capacities, weights, score, base=1 << 31)
+        return cut(first.filter(~low).select(*out).unionByName(second.select(*out)))
+
     out = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-    if n_blocks == 1 and not wished:
-        return first.select(*out)
-    low = F.col("filled") < refill * capacities.tokens
-    again = first.filter(low).drop("sequence_id", "offset", "filled")
-    second = pack_pieces(again, -(-n_blocks // merge), capacities, weights, score, base=1 << 31)
-    return first.filter(~low).select(*out).unionByName(second.select(*out))
+    plain = packed(capacities)
+    if wished is None:
+        return plain
+    better = packed(wished)
+    n = [df.select("sequence_id").distinct().count() for df in (better, plain)]
+    return better if n[0] <= n[1] else plain
