@@ -66,6 +66,31 @@ def test_mix(spark):
     assert X.mix(frame(spark, [])).count() == 0
 
 
+def test_equal_rows_are_dealt_to_many_tasks(spark):
+    """A hash that most rows share, in the order of the SQL all the same."""
+    rows = [(7, "one two three")] * 6000 + [(100 + k, text(k, k % 40)) for k in range(900)]
+    docs = spark.createDataFrame([(i, t, "a" if k % 3 else None) for k, (i, t) in enumerate(rows)], "doc_id long, text string, source string").repartition(3)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        for made in (X.mix(docs), X.mix(docs, carry={"whole": "text"}).drop("whole")):
+            tasks = made.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.sum("taken").alias("s")).agg(F.max("n"), F.max("s")).first()[0]
+            assert tasks < 1500
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    made = X.mix(docs, slice_rows=20).drop("positions").toPandas()
+    import duckdb
+
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    want = con.execute(X.MIX_SQL).df()
+    columns = sorted(made.columns)
+    plain = lambda df: sorted(repr([None if v != v else round(v, 6) if isinstance(v, float) else v for v in r]) for r in df[columns].astype(object).itertuples(index=False))
+    assert plain(made) == plain(want)
+
+
 def test_mix_equals_its_sql(spark):
     import duckdb
 
@@ -126,11 +151,40 @@ def brute_capacity(sizes, shards):
 @settings(max_examples=100, deadline=None)
 @given(sizes=st.lists(st.integers(1, 60), min_size=1, max_size=40), shards=st.integers(1, 9))
 def test_smallest_capacity(sizes, shards):
-    sums = np.cumsum(sizes).tolist()
-    c = S.smallest_capacity(sums, max(sizes), shards)
-    assert c == brute_capacity(sizes, shards)
-    ends = S.greedy_cuts(sums, c, shards)
-    assert len(ends) == shards and ends[-1] == len(sizes)
+    ranges = S.Ranges([(64, k, s, 1) for k, s in enumerate(sizes)])
+    capacity, open_ = ranges.undecided(shards, max(sizes))
+    assert capacity == brute_capacity(sizes, shards) and not open_
+    ends = ranges.whole(capacity, shards)
+    assert len(ends) == shards and ends[-1] == sum(sizes)
+
+
+@pytest.mark.parametrize("large", [(), (0.1,), (0.34,), (0.02, 0.08, 0.08), (0.05,) * 9, (0.12,) * 6])
+def test_driver_holds_a_bounded_number_of_totals(large):
+    """Groups of any share of the bytes, 200,000 others: what a round fetches, and that the capacity is the smallest."""
+    rng = np.random.default_rng(len(large))
+    h = np.sort(rng.integers(0, 2**64, 200_000, np.uint64))
+    sizes = rng.integers(1, 5000, len(h))
+    for k, share in enumerate(large):
+        sizes[(k * 7919 + 4321) % len(h)] = int(share * sizes.sum() / max(0.05, 1 - sum(large)))
+    fetched = []
+
+    def totals(chosen):
+        out, ranges = [], [(0, 0)] if chosen is None else [(r[0], r[1]) for r in chosen]
+        for bits, spot in ranges:
+            finer = S.FETCH.bit_length() - 1 if chosen is None else min(64, bits + S.OPENED_BITS)
+            lo, hi = np.searchsorted(h, np.array([spot << (64 - bits), ((spot + 1) << (64 - bits)) - 1], np.uint64)) if bits else (0, len(h))
+            hi += bool(bits and hi < len(h) and int(h[hi]) == ((spot + 1) << (64 - bits)) - 1)
+            keys, at = np.unique(h[lo:hi] >> np.uint64(64 - finer), return_index=True)
+            sums, counts = np.add.reduceat(sizes[lo:hi], at), np.diff(np.r_[at, hi - lo])
+            out += [(finer, int(a), int(b), int(c)) for a, b, c in zip(keys, sums, counts, strict=True)]
+        fetched.append(len(out))
+        return out
+
+    cuts = S.cuts_by_totals(totals, 8, int(sizes.max()))
+    assert max(fetched) <= S.FETCH and len(fetched) <= 12
+    load = np.bincount(np.searchsorted(np.array(cuts, np.int64), (h ^ np.uint64(1 << 63)).view(np.int64)), weights=sizes)
+    whole = S.Ranges([(64, int(a), int(b), 1) for a, b in zip(h, sizes, strict=True)])
+    assert load.max() == whole.undecided(8, int(sizes.max()))[0]
 
 
 @pytest.mark.parametrize("n", [0, 1, 3, 100, 3000])

@@ -124,6 +124,25 @@ def test_account_numbers_among_tokens(number, before, after):
     assert [(s.start, s.end) for s in found] == [(len(before), len(before) + len(number))]
 
 
+@pytest.mark.parametrize(
+    ("said", "kinds"),
+    [
+        ("api_key=abc12345xyz version 2", ["secret"]),
+        ("for example passwd: hunter2hunter2", ["secret"]),
+        ("00:1A:2B:3C:4D:5E sample", ["mac"]),
+        ("antisocial 123-45-6789", []),
+        ("insecurity 123-45-6789 socials", ["ssn"]),
+        ("social 123-45-6789", ["ssn"]),
+        ("SSN: 123-45-6789 (sample)", ["ssn"]),
+        ("s" * 60 + "ocial 123-45-6789", []),
+        ("x" * 33 + " social 123-45-6789", ["ssn"]),
+        ("AKIA" + "A1" * 8 + " dummy example", ["key"]),
+    ],
+)
+def test_words_nearby_are_whole_and_drop_no_secret(said, kinds):
+    assert [s.kind for s in P.find(said)] == kinds
+
+
 def test_neighbouring_account_numbers():
     one, two = "BE68 5390 0754 7034", "AT611904300234573201"
     t = f"{one} {two} 2024"

@@ -9,10 +9,11 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sieveline.llm.packing import Capacities, best_fit, pack
-from sieveline.llm.planes import encode_and_read, find_documents, from_planes, read_document, read_segment, to_planes, write_dataset, write_segment
+from sieveline.llm.packing import Capacities, best_fit, pack, pack_pieces, pieces
+from sieveline.llm.planes import encode_and_read, encode_segments, find_documents, from_planes, read_document, read_segment, to_planes, write_dataset, write_segment
 from sieveline.llm.tokens import Encoder, separable
 from sieveline.llm.wordpiece import LongestMatch, count_tokens, sentence_pieces
 
@@ -113,6 +114,22 @@ def test_wished_capacities_cost_no_sequence(spark, library):
     assert len({r["sequence_id"] for r in got}) <= count(None) + 1
 
 
+def test_wishes_cost_no_sequence_of_a_whole_table(spark):
+    """4,936 is what the ids of all documents fill at least."""
+    from sieveline.llm.queries import QUERIES
+    from tests.conftest import DATA
+
+    got = QUERIES["op1_best_fit_packing"](spark, f"{DATA}/sf0.1").groupBy("sequence_id").agg(F.sum("length").alias("n"))
+    n, most, every = got.agg(F.count("*"), F.max("n"), F.sum("n")).first()
+    assert most <= 2048 and -(-every // 2048) <= n <= 4937
+
+
+def test_pieces_of_one_text_are_dealt_to_blocks(spark):
+    items = pieces(spark.createDataFrame([(1, text(1, 60_000))], "doc_id long, text string"), PATH, 2048)
+    blocks = pack_pieces(items, 8, Capacities()).select("sequence_id").distinct().collect()
+    assert len({r["sequence_id"] >> 32 for r in blocks}) > 4
+
+
 def test_large_ids_beside_nulls(spark, library):
     rows = [(2**53 + 1, "a b"), (None, "c"), (2**60 + 1, "d e f"), (-(2**63), None), (2**63 - 1, "")]
     got = table_of(pack(frame(spark, rows).coalesce(1), PATH))
@@ -210,6 +227,19 @@ def test_other_vocabularies_are_encoded_whole(library, mine):
         assert np.frombuffer(own.encode(t or ""), "<u4").tolist() == theirs.encode(t or "", add_special_tokens=False).ids
 
 
+def test_equal_rows_are_several_ranges(spark):
+    rows = spark.createDataFrame([(5, "equal rows of one document")] * 3000 + [(k, text(k, 9)) for k in range(300)], "doc_id long, text string").repartition(5)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        found = encode_segments(rows, PATH, segment_ids=1000).groupBy("shard").agg(F.sum("n_docs").alias("n")).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sum(r["n"] for r in found) == 3300 and max(r["n"] for r in found) < 800
+
+
 def test_planes_are_exact():
     x = np.array([0, 1, 2**31, 2**32 - 1, 50256], "<u4")
     for kind in ("bytes", "bits"):
