@@ -70,10 +70,11 @@ def test_equal_rows_are_dealt_to_many_tasks(spark):
     """A hash that most rows share, in the order of the SQL all the same."""
     rows = [(7, "one two three")] * 6000 + [(100 + k, text(k, k % 40)) for k in range(900)]
     docs = spark.createDataFrame([(i, t, "a" if k % 3 else None) for k, (i, t) in enumerate(rows)], "doc_id long, text string, source string").repartition(3)
-    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
     try:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
         spark.conf.set("spark.sql.shuffle.partitions", "64")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
         for made in (X.mix(docs), X.mix(docs, carry={"whole": "text"}).drop("whole")):
             tasks = made.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.sum("taken").alias("s")).agg(F.max("n"), F.max("s")).first()[0]
             assert tasks < 1500
