@@ -11,8 +11,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import language
 from .functions.text import CLASS_ORDER, VIEWS, with_view
-from .operators import build, enrich, ml, prompting
+from .operators import build, enrich, ml, prompting, tagger
 from .operators.sampling import class_cap, hash_order, stratified_split
 from .operators.subset import Subset
 from .sources.loaders import paths_below, report_lines
@@ -32,10 +33,24 @@ def table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def run_build(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
-    options = build.Build(dedupe=not a.no_dedupe, exclude_ai=not a.keep_ai_generated, day_first=a.day_first)
+    options = build.Build(dedupe=not a.no_dedupe, exclude_ai=not a.keep_ai_generated, span_model=a.span_model, language_model=a.language_model, day_first=a.day_first)
     return build.summary(spark, build.run(spark, paths_below(a.raw_dir), a.output, options, a.resume))
 
 
+def run_train_languages(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    labelled = spark.read.parquet(a.input)
+    model = language.train_languages(labelled)
+    model.save(spark, a.output)
+    return labelled.select("lang", language.detect_language(F.col("text"), model)[0].alias("detected")).groupBy("lang", "detected").count()
+
+
+def run_train_spans(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    examples = spark.read.parquet(a.input)
+    model = tagger.train(examples, bits=a.bits, passes=a.passes)
+    model.save(spark, a.output)
+    return tagger.span_scores(examples.withColumn("found", tagger.span_column(model)(F.col("text"))))
+
+
 def run_reports(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     rows = report_lines(spark.read.text(a.input), a.source, a.address)
     rows.write.mode("overwrite").options(header=True, quote='"', escape='"', emptyValue="").csv(a.output)
@@ -105,6 +120,12 @@ def parser() -> argparse.ArgumentParser:
     p = command("build", run_build, "the master table from a folder of raw files", "--raw-dir")
     for flag, about in (("--no-dedupe", "keep equal messages"), ("--resume", "go on from an earlier run"), ("--keep-ai-generated", "keep generated messages"), ("--day-first", "read slash dates day first")):
         p.add_argument(flag, action="store_true", help=about)
+    p.add_argument("--span-model", help="a model of train-spans, whose spans are masked too")
+    p.add_argument("--language-model", help="a model of train-languages")
+    p = command("train-languages", run_train_languages, "a language model from Parquet of text, lang; prints how its texts are told")
+    p = command("train-spans", run_train_spans, "a model of private spans from Parquet of text, spans (start, end, label); prints its scores on them")
+    p.add_argument("--bits", type=int, default=tagger.BITS)
+    p.add_argument("--passes", type=int, default=tagger.PASSES)
     p = command("reports", run_reports, "reports in lines of JSON as a table")
     p.add_argument("--source", default="reports")
     p.add_argument("--address", default="")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import urls as U
 from ..functions.responses import annotation, annotation_prompt, override_language, validated_annotation
 from ..sources.adapters import answer
-from ..sources.shared import exists
+from ..sources.shared import exists, new_path
 from ..sources.writers import as_text
 
 
@@ -59,10 +59,14 @@ def enriched(rows: DataFrame, call: Callable[[Sequence[str]], Sequence[str]], re
     """Master rows (text columns) with annotations of a model and the best domain record of each message.
 
     A row with a theme is not asked about again. A call that fails marks its rows' theme ERROR_INFERENCE, so that a
-    later run tries them anew. records: (domain, age_days, hidden, country), one row a domain.
+    later run tries them anew. Answers are written once, to the shared folder, whatever is made of them. records:
+    (domain, age_days, hidden, country), one row a domain.
     """
+    spark = rows.sparkSession
     todo = needs_annotation(rows).filter(F.trim("text") != "")
-    asked = answer(todo.select("message_id", annotation_prompt(F.col("text")).alias("prompt")), call, "message_id", "prompt", batch)
+    said = new_path(spark, "annotations")
+    answer(todo.select("message_id", annotation_prompt(F.col("text")).alias("prompt")), call, "message_id", "prompt", batch).write.parquet(said)
+    asked = spark.read.schema("message_id string, response string").parquet(said)
     theme, urgency, language = annotation(F.col("response"))
     failed = F.col("response").startswith("ERROR:")
     answers = asked.select("message_id", theme.alias("theme"), urgency.alias("urgency"), language.alias("language"), failed.alias("_failed"))

@@ -1,8 +1,8 @@
 """Encoders and classifiers on MLlib, and the grid that evaluates their combinations.
 
-Where MLlib has no equal of what the published numbers used, the nearest is taken: skip-gram in place of CBOW word
-vectors, hashed character n-grams in place of subword vectors, trees of at most 30 levels, one-vs-rest for the
-linear SVM. Results are comparable in shape, not in the last digit.
+Where MLlib has no equal of what the published numbers used, the nearest is taken: trees of at most 30 levels,
+one-vs-rest for the linear SVM. Word vectors are our own (`embeddings`), averaged over tasks in each pass. Results are
+comparable in shape, not in the last digit.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml import Estimator, Pipeline, Transformer
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, HashingTF, NGram, Normalizer, RegexTokenizer, SQLTransformer, Word2Vec
+from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, SQLTransformer
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from ..functions.text import CLASS_ORDER, label_id
 from ..sources.shared import exists, shared_dir
 from ..sources.writers import append_rows
+from .embeddings import BUCKETS, WordVectors
 from .metrics import balanced_weights, confusion, scores
 from .sampling import hash_order, stratified_split
 
@@ -93,17 +94,17 @@ class _SmoothIdf(IDF):
 
 
 def w2v(dimensions: int = DIMENSIONS, iterations: int = 5) -> list:
-    return [_words(gaps=True), Word2Vec(vectorSize=dimensions, windowSize=5, minCount=2, maxIter=iterations, seed=42, inputCol="words", outputCol="features")]
+    """Means of word vectors; words that have none don't count."""
+    return [_words(gaps=True), WordVectors(options={"dimensions": dimensions, "passes": iterations})]
 
 
-def subword(dimensions: int = 4096) -> list:
-    """Counts of hashed character n-grams of 3 to 5."""
-    grams = "flatten(transform(sequence(3, 5), n -> transform(sequence(1, greatest(length(text) - n + 1, 1)), i -> substring(text, i, n))))"
-    return [SQLTransformer(statement=f"SELECT *, {grams} AS pieces FROM __THIS__"), HashingTF(numFeatures=dimensions, inputCol="pieces", outputCol="hashed"), Normalizer(p=2.0, inputCol="hashed", outputCol="features")]
+def subword(dimensions: int = DIMENSIONS, iterations: int = 5) -> list:
+    """Means of vectors that words share by their character n-grams, so that every word has one."""
+    return [_words(gaps=True), WordVectors(options={"dimensions": dimensions, "passes": iterations, "buckets": BUCKETS})]
 
 
 ENCODERS: Mapping[str, Callable[..., list]] = {"bow": bow, "tfidf": tfidf, "w2v": w2v, "fasttext": subword}
-SPARSE = frozenset(("bow", "tfidf", "fasttext"))
+SPARSE = frozenset(("bow", "tfidf"))
 
 
 def nb(sparse: bool = True, **_: object) -> Estimator:

@@ -4,33 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.responses import PROMPTS, label_of_response, prompt
 from ..functions.text import CLASS_ORDER
 from ..sources.adapters import answer
-from ..sources.shared import exists, new_path
+from ..sources.shared import exists, new_path, shared_dir
 from ..sources.writers import append_rows
 from .metrics import confusion, scores
-from .similarity import top_similar
+from .terms import document_frequencies, nearest, term_counts, tfidf
 
-#: Examples a prompt shows, and the dimensions that words are hashed to for finding them.
-EXAMPLES, DIMENSIONS = 3, 512
+#: Examples that a prompt shows.
+EXAMPLES = 3
 
 SCORES = "dataset string, model_key string, n_samples long, accuracy double, macro_f1 double, " + ", ".join(f"f1_{c} double" for c in CLASS_ORDER)
 
 
 def nearest_examples(test: DataFrame, train: DataFrame, k: int = EXAMPLES) -> DataFrame:
-    """(id, examples): the k training messages most like each test message by hashed TF-IDF, as structs (text, label), the nearest first. Both: (id long, text, label); the test rows are the stated queries and bounded, ids differ between the two."""
-    words = [RegexTokenizer(inputCol="text", outputCol="words", pattern=r"(?U)\b\w\w+\b", gaps=False), HashingTF(numFeatures=DIMENSIONS, inputCol="words", outputCol="counts"), IDF(inputCol="counts", outputCol="weighted"), Normalizer(inputCol="weighted", outputCol="unit")]
-    model = Pipeline(stages=words).fit(train)
-    rows = lambda df: model.transform(df).select("id", vector_to_array("unit").alias("v"))
-    found = top_similar(rows(test), rows(train), k, "id", "v")
-    shown = found.join(train.select(F.col("id").alias("vec_id"), "text", "label"), "vec_id")
+    """(id, examples): the k training messages most like each test message by the cosine of their TF-IDF over all words of the training messages, as structs (text, label), the nearest first. Both: (id long, text, label). Test messages that share no word with any training message have no row."""
+    shared_dir(train.sparkSession)
+    counts = term_counts(train.select("id", "text"), pairs=False).checkpoint()
+    known, n = document_frequencies(counts), train.count()
+    rows = tfidf(counts, known, n, sublinear=False).checkpoint()
+    found = nearest(tfidf(term_counts(test.select("id", "text"), pairs=False), known, n, sublinear=False), rows, k)
+    shown = found.join(train.select("id", "text", "label"), "id")
     near = shown.groupBy(F.col("query_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("rank", "text", "label"))).alias("e"))
     return near.select("id", F.transform("e", lambda e: F.struct(e["text"].alias("text"), e["label"].alias("label"))).alias("examples"))
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import responses as R
@@ -17,10 +18,11 @@ from ..operators import ml
 from ..operators.enrich import enriched
 from ..operators.sampling import hash_order, ranked, stratified_split
 from ..operators.subset import Subset
-from ..sources.adapters import answer, keyword_model
+from ..operators.terms import document_frequencies, kept_counts, nearest, term_counts, tfidf
+from ..sources.adapters import answer
 from ..sources.catalog import LICENSE, RANK, RAW
 from ..sources.loaders import positional_csv
-from ..sources.shared import new_path
+from ..sources.shared import new_path, shared_dir
 from ..sources.writers import append_rows, as_text, read_master, write_json_lines, write_master, write_splits, write_subset
 from .curation import _NORM
 from .evaluation import _QUOTAS, _RECORDS, _rounded
@@ -45,8 +47,9 @@ def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-_BUILT = f"""WITH {LABELED}, raw AS (SELECT doc_id, text AS t, canonical_label, '{LATER}' AS reference, {RANK[LATER]} AS rank, '{LICENSE[LATER]}' AS license, 0 AS ai FROM labeled
-  UNION ALL SELECT doc_id, '  ' || replace(text, ' ', '   ') || ' ', canonical_label, '{EARLIER}', {RANK[EARLIER]}, '{LICENSE[EARLIER]}', CASE WHEN doc_id % 10 = 9 THEN 1 ELSE 0 END FROM labeled WHERE doc_id % 3 = 0),
+_RAW = f"""WITH {LABELED}, raw AS (SELECT doc_id, text AS t, canonical_label, '{LATER}' AS reference, {RANK[LATER]} AS rank, '{LICENSE[LATER]}' AS license, 0 AS ai FROM labeled
+  UNION ALL SELECT doc_id, '  ' || replace(text, ' ', '   ') || ' ', canonical_label, '{EARLIER}', {RANK[EARLIER]}, '{LICENSE[EARLIER]}', CASE WHEN doc_id % 10 = 9 THEN 1 ELSE 0 END FROM labeled WHERE doc_id % 3 = 0)"""
+_BUILT = f"""{_RAW},
 c AS (SELECT *, nullif(trim(regexp_replace(t, '\\s+', ' ', 'g')), '') AS clean FROM raw WHERE ai = 0),
 v AS (SELECT * FROM c WHERE length(clean) <= 1600 AND {" AND ".join(f"NOT contains(lower(clean), '{p}')" for p in X.EMAIL_PHRASES)}),
 r AS (SELECT *, {REPAIRED} AS text, concat_ws(',', CASE WHEN {SPACED_SQL} THEN '<OBF_SPACING>' END, CASE WHEN {DOTTED_SQL} THEN '<OBF_PUNCTUATION>' END) AS obfuscation_tags FROM v),
@@ -68,6 +71,32 @@ def build_master(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.build(raw_records(spark, sf_dir)).drop("dedupe_key")
 
 
+class ShortWords:
+    """Stands in for a span model: a word of four letters and more behind one of four short ones."""
+
+    def spans(self, text: str) -> list[tuple[int, int, str]]:
+        return [(*m.span(1), "private_person") for m in re.finditer(r"\b(?:[Ww]ith|[Bb]y|[Ff]or|[Tt]he) ([a-z]{4,})\b", text)]
+
+
+@query(rf"""WITH b AS ({_BUILT}), m AS (SELECT message_id, reference, text, NOT regexp_full_match(text, '[A-Za-z ,.!?;'']*') AS other, regexp_replace(text, '\b((?:[Ww]ith|[Bb]y|[Ff]or|[Tt]he) )[a-z]{{4,}}\b', '\1<PERSON>', 'g') AS masked FROM b)
+SELECT message_id, reference, CASE WHEN NOT other THEN masked END AS text_anonymized, CASE WHEN other THEN NULL WHEN masked = text THEN 'raw' ELSE 'anonymized' END AS status FROM m""")
+def build_with_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The build with a model's spans masked beside the patterns'. SQL tells what becomes of messages of ASCII letters, spaces and plain marks, in which no pattern finds anything; the others are worked out too, and come back without their text."""
+    rows = B.build(raw_records(spark, sf_dir), model=ShortWords())
+    plain = F.rlike("text", F.lit("^[A-Za-z ,.!?;']*$"))
+    return rows.select("message_id", "reference", F.when(plain, F.col("text_anonymized")).alias("text_anonymized"), F.when(plain, F.col("anonymization_status")).alias("status"))
+
+
+@query(f"""WITH raws AS ({_RAW} SELECT reference, count(*) AS seen FROM raw GROUP BY reference), done AS (SELECT reference, count(*) AS written FROM ({_BUILT}) GROUP BY reference),
+j AS (SELECT raws.reference, seen, coalesce(written, 0) AS written FROM raws LEFT JOIN done USING (reference)) SELECT reference, CAST(sum(seen) AS BIGINT) AS seen, CAST(sum(written) AS BIGINT) AS written FROM j GROUP BY ROLLUP (reference)""")
+def build_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records read and rows written by source, of a build that was run twice: the second run finds nothing new."""
+    folder = new_path(spark, "build")
+    raw = raw_records(spark, sf_dir)
+    B.run_records(raw, folder, resume=True)
+    return B.summary(spark, B.run_records(raw, folder, resume=True))
+
+
 @query(r"""SELECT conv_id % 3 AS folder, row_number() OVER (PARTITION BY conv_id % 3 ORDER BY conv_id, turn) AS ordinal, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text,
   CASE WHEN role = 'user' THEN 'ham' ELSE 'spam' END AS canonical_label FROM conversations""")
 def ordinals_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,17 +153,23 @@ def _prompt_sql() -> str:
     few = "'Here are some examples of messages and their correct labels:' || chr(10) || chr(10) || {} || 'Now classify the following message:' || chr(10) || 'Message: ' || text || chr(10)"
     asked = {"zero-shot": "'Message: ' || text || chr(10)", "few-shot": few.format("fixed"), "dynamic-few-shot": few.format("near")}
     parts = [f"SELECT doc_id, '{n}' AS name, {_literal(R.system_prompt(p, r) + chr(10) * 2)} || {asked[e]} AS prompt FROM documents, ex" for n, e, p, r in R.PROMPTS]
-    return f"WITH ex AS (SELECT {shots.format('ASC')} AS fixed, {shots.format('DESC')} AS near FROM (SELECT * FROM benchmark ORDER BY item_id LIMIT 3)), p AS ({' UNION ALL '.join(parts)}) SELECT doc_id, name, length(prompt) AS n_chars, md5(prompt) AS prompt_md5 FROM p"
+    return f"ex AS (SELECT {shots.format('ASC')} AS fixed, {shots.format('DESC')} AS near FROM (SELECT * FROM benchmark ORDER BY item_id LIMIT 3)), p AS ({' UNION ALL '.join(parts)})"
 
 
-@query(_prompt_sql())
+@query(f"WITH {_prompt_sql()} SELECT doc_id, name, length(prompt) AS n_chars, md5(prompt) AS prompt_md5 FROM p")
 def prompt_build_personas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in the five ways of asking: persona, reasoning, examples."""
     rows = _prompts(spark, sf_dir, table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "name", F.length("prompt").cast("long").alias("n_chars"), F.md5("prompt").alias("prompt_md5"))
 
 
-_SAID = "CASE WHEN regexp_matches(lower(text), 'http|verify|account|password') THEN 'smishing' WHEN regexp_matches(lower(text), 'win|free|offer|sale') THEN 'spam' ELSE 'ham' END"
+def length_model(prompts: Sequence[str]) -> list[str]:
+    """Stands in for a model that heeds the whole prompt: a label by its length, said in three ways by its last digit."""
+    out = []
+    for p in prompts:
+        label = CLASS_ORDER[len(p) % 3]
+        out.append((f'{{"label": "{label}"}}', f'```json\n{{"label": "{label.upper()}"}}\n```', f"<think>ham, spam or smishing?</think>It is {label}.")[len(p) % 10 % 3])
+    return out
 
 
 def _f1(c: str) -> str:
@@ -146,14 +181,14 @@ def _by_model(source: str) -> str:
     return f"SELECT model_key, count(*) AS n_samples, round(avg(CASE WHEN true_label = predicted_label THEN 1.0 ELSE 0.0 END), 9) AS accuracy, round(({' + '.join(map(_f1, CLASS_ORDER))}) / 3, 9) AS macro_f1, {names} FROM {source} GROUP BY model_key"
 
 
-@query(f"""WITH {LABELED}, a AS (SELECT canonical_label AS true_label, {_SAID} AS predicted_label FROM labeled WHERE canonical_label IS NOT NULL),
-m AS (SELECT a.*, 'words_' || n AS model_key FROM a, (VALUES {", ".join(f"('{p[0]}')" for p in R.PROMPTS)}) t(n)) {_by_model("m")}""")
+@query(f"""WITH {LABELED}, {_prompt_sql()}, m AS (SELECT canonical_label AS true_label, 'lengths_' || name AS model_key, CASE length(prompt) % 3 WHEN 0 THEN '{CLASS_ORDER[0]}' WHEN 1 THEN '{CLASS_ORDER[1]}' ELSE '{CLASS_ORDER[2]}' END AS predicted_label
+  FROM p JOIN labeled USING (doc_id) WHERE canonical_label IS NOT NULL) {_by_model("m")}""")
 def llm_prompt_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A model's answers in the five ways of asking, parsed and scored. The model is a stand-in that goes by words of the message, so that all ways agree."""
+    """A model's answers in the five ways of asking, parsed and scored. The model is a stand-in that goes by the whole prompt, so that each way has results of its own."""
     rows = labeled(spark, sf_dir).filter("canonical_label is not null").select("doc_id", "text", F.col("canonical_label").alias("true_label"))
     asked = _prompts(spark, sf_dir, rows).select(F.struct("doc_id", "name", "true_label").alias("id"), "prompt")
-    said = answer(asked, keyword_model, "id", "prompt").select("id.*", R.label_of_response(F.col("response")).alias("predicted_label"))
-    return _rounded(M.scores(said.withColumn("model_key", F.concat(F.lit("words_"), "name")), by=("model_key",)))
+    said = answer(asked, length_model, "id", "prompt").select("id.*", R.label_of_response(F.col("response")).alias("predicted_label"))
+    return _rounded(M.scores(said.withColumn("model_key", F.concat(F.lit("lengths_"), "name")), by=("model_key",)))
 
 
 @query(f"WITH {JUDGED}, m AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS model_key FROM judged) {_by_model('m')}")
@@ -260,21 +295,45 @@ g AS (SELECT doc_id, unnest(list_concat(ws, list_transform(generate_series(1, gr
 n AS (SELECT doc_id, gram, count(*) AS tf, count(*) OVER (PARTITION BY gram) AS df FROM g GROUP BY doc_id, gram), v AS (SELECT * FROM n WHERE df >= 2)"""
 
 
-def _encoded(spark: SparkSession, sf_dir: str, encoder: str) -> DataFrame:
-    """doc_id and the values of its vector, over a vocabulary that nothing is left out of."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return ml.Pipeline(stages=ml.ENCODERS[encoder](vocabulary=1 << 22)).fit(rows).transform(rows).select("doc_id", F.unwrap_udt("features")["values"].alias("x"))
+def _terms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(ids, counts of words and pairs, the terms that two documents have)."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    counts = term_counts(rows)
+    return rows.select(F.col("id").alias("doc_id")), counts, document_frequencies(counts, 2)
 
 
 @query(f"WITH {_GRAMS} SELECT d.doc_id, count(gram) AS n_terms, CAST(coalesce(sum(tf), 0) AS DOUBLE) AS n_grams FROM documents d LEFT JOIN v ON d.doc_id = v.doc_id GROUP BY d.doc_id")
 def bow_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many terms of the vocabulary a document has, and how often."""
-    return _encoded(spark, sf_dir, "bow").select("doc_id", F.size("x").cast("long").alias("n_terms"), F.aggregate("x", F.lit(0.0), lambda a, x: a + x).alias("n_grams"))
+    """How many terms of the vocabulary a document has, and how often. No term that two documents have is left out."""
+    ids, counts, known = _terms(spark, sf_dir)
+    per = kept_counts(counts, known).groupBy(F.col("id").alias("k")).agg(F.count("*").alias("n"), F.sum("tf").alias("tf"))
+    found = ids.join(per, F.col("doc_id") == F.col("k"), "left")
+    return found.select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_terms"), F.coalesce("tf", F.lit(0)).cast("double").alias("n_grams"))
 
 
 @query(f"""WITH {_GRAMS}, w AS (SELECT doc_id, (1 + ln(tf)) * (ln((1.0 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS w FROM v),
 u AS (SELECT doc_id, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS u FROM w) SELECT d.doc_id, count(u) AS n_terms, round(max(u), 6) AS largest, round(min(u), 6) AS least FROM documents d LEFT JOIN u ON d.doc_id = u.doc_id GROUP BY d.doc_id""")
 def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The largest and the least weight of each document's terms."""
-    rows = _encoded(spark, sf_dir, "tfidf")
-    return rows.select("doc_id", F.size("x").cast("long").alias("n_terms"), F.round(F.array_max("x"), 6).alias("largest"), F.round(F.array_min("x"), 6).alias("least"))
+    ids, counts, known = _terms(spark, sf_dir)
+    weights = tfidf(counts, known, ids.count())
+    per = weights.groupBy(F.col("id").alias("k")).agg(F.count("*").alias("n"), F.round(F.max("weight"), 6).alias("largest"), F.round(F.min("weight"), 6).alias("least"))
+    found = ids.join(per, F.col("doc_id") == F.col("k"), "left")
+    return found.select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_terms"), "largest", "least")
+
+
+@query(f"""WITH n AS (SELECT doc_id, text FROM documents), t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM n), c AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM c GROUP BY term), w AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1.0 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS w FROM c JOIN f USING (term)), u AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS u FROM w),
+p AS (SELECT a.doc_id AS query_id, b.doc_id AS id, round(sum(a.u * b.u), 9) AS s FROM u a JOIN u b ON a.term = b.term AND a.doc_id <> b.doc_id WHERE a.doc_id % 100 = 0 GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM p) SELECT query_id, rank, round(s, 6) AS similarity FROM r WHERE rank <= 3""")
+def tfidf_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three documents most like each of the stated query set, every document whose id is divisible by 100, by all their words."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    counts = term_counts(rows, pairs=False)
+    weights = tfidf(counts, document_frequencies(counts), rows.count())
+    shared_dir(spark)
+    weights = weights.checkpoint()
+    # four, as the nearest is the document itself unless another is equal to it
+    found = nearest(weights.filter("id % 100 = 0"), weights, 4).filter("query_id != id")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
+    return found.withColumn("rank", place).filter("rank <= 3").select("query_id", "rank", F.round("similarity", 6).alias("similarity"))

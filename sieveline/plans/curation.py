@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrow as A
 from ..functions import text as X
 from ..functions.dates import normalize_timestamp
-from ..functions.language import STOP_WORDS, detect_language
+from ..functions.language import ADDED, GRAMS, LENGTHS, train_languages
 from ..operators.dedupe import first_wins, unseen
 from ..sources.catalog import SOURCES
 from ..sources.loaders import report_lines
-from .registry import CLEANED, LABELED, OBFUSCATION_SQL, labeled, query, table
+from .registry import CLEANED, DOTTED_SQL, LABELED, OBFUSCATION_SQL, REPAIRED, SPACED_SQL, labeled, query, table
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +22,8 @@ def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keyed(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("dedupe_key", A.message_key(F.col("clean")))
+    """rows with the key that the build has for them, that of the repaired text."""
+    return A.with_repairs(rows, "clean", "repaired", "tags").withColumn("dedupe_key", A.message_key(F.col("repaired")))
 
 
 @query(f"""WITH {CLEANED}, firsts AS (SELECT *, row_number() OVER (PARTITION BY dedupe_key ORDER BY doc_id) AS r FROM keyed WHERE length(clean) <= 1600 AND {" AND ".join(f"NOT contains(lower(clean), '{p}')" for p in X.EMAIL_PHRASES)})
@@ -48,7 +50,7 @@ def dedupe_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_wins(keyed(cleaned(spark, sf_dir)).select("doc_id", "dedupe_key"), "dedupe_key", "doc_id")
 
 
-@query(rf"""WITH {CLEANED}, ledger AS (SELECT sha256(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS k FROM (SELECT text FROM benchmark UNION ALL SELECT text FROM conversations))
+@query(rf"""WITH {CLEANED}, others AS (SELECT nullif(trim(regexp_replace(text, '\s+', ' ', 'g')), '') AS clean FROM (SELECT text FROM benchmark UNION ALL SELECT text FROM conversations)), ledger AS (SELECT sha256(lower({REPAIRED})) AS k FROM others)
 SELECT doc_id, dedupe_key FROM keyed WHERE dedupe_key NOT IN (SELECT k FROM ledger)""")
 def dedupe_ledger_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = table(spark, sf_dir, "benchmark").select("text").unionByName(table(spark, sf_dir, "conversations").select("text"))
@@ -160,6 +162,37 @@ def clean_obfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count("*").alias("total"), *[F.count_if(F.array_contains("tags", t)).alias(t.strip("<>").lower()) for t in A.TAGS])
 
 
+#: What each repair finds, what it makes of it, and its tag.
+_HIDDEN = (
+    ("p\u200bay", "pay", "<OBF_ZWSP>"),
+    ("p\u0430y", "pay", "<OBF_HOMOGLYPH>"),
+    ("A M A Z O N", "AMAZON", "<OBF_SPACING>"),
+    ("P.A.Y.P.A.L", "PAYPAL", "<OBF_PUNCTUATION>"),
+    ("one\n\ntwo", "one two", "<OBF_NEWLINE>"),
+    ("\uff26\uff32\uff25\uff25", "FREE", "<OBF_FONT>"),
+    ("[LINK]", "<URL>", None),
+    ("one\\ttwo", "one two", None),
+    ("plain", "plain", None),
+)
+
+
+def _repairs_sql() -> str:
+    fixed = " ".join(f"WHEN {k} THEN '{after}'" for k, (_, after, _) in enumerate(_HIDDEN))
+    given = lambda tag: next(f"doc_id % {len(_HIDDEN)} = {k}" for k, (*_, t) in enumerate(_HIDDEN) if t == tag)
+    natural = {"<OBF_SPACING>": SPACED_SQL, "<OBF_PUNCTUATION>": DOTTED_SQL}
+    tags = ", ".join(f"CASE WHEN {given(t)}{' OR ' + natural[t] if t in natural else ''} THEN '{t}' END" for t in A.TAGS)
+    return f"WITH {CLEANED} SELECT doc_id, md5({REPAIRED} || ' -- ' || CASE doc_id % {len(_HIDDEN)} {fixed} END || ' --') AS repaired_md5, concat_ws(',', {tags}) AS tags FROM cleaned WHERE clean IS NOT NULL"
+
+
+@query(_repairs_sql())
+def repairs_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with one kind of obfuscation at its end, repaired: the text and its tags."""
+    end = F.get(F.array(*[F.lit(before) for before, *_ in _HIDDEN]), F.pmod("doc_id", F.lit(len(_HIDDEN))).cast("int"))
+    rows = cleaned(spark, sf_dir).filter("clean is not null").select("doc_id", F.concat("clean", F.lit(" -- "), end, F.lit(" --")).alias("said"))
+    out = A.with_repairs(rows, "said", "repaired", "tags")
+    return out.select("doc_id", F.md5("repaired").alias("repaired_md5"), F.array_join("tags", ",").alias("tags"))
+
+
 @query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS whole, strftime(ts, '%H:%M:%S') AS clock, strftime(ts, '%Y-%m-%dT%H:%M:00') AS slashed FROM events")
 def timestamp_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_id", *[F.date_format("ts", f).alias(k) for k, f in (("a", "yyyy-MM-dd HH:mm:ss"), ("b", "'today' HH:mm:ss"), ("c", "M/d/yyyy HH:mm"))])
@@ -210,19 +243,28 @@ def report_lines_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _language_sql() -> str:
-    hits = ", ".join("CAST(len(list_filter(ws, lambda w: w IN (" + ", ".join(f"'{w}'" for w in words) + "))) AS INTEGER)" for words in STOP_WORDS.values())
-    names = ", ".join(f"'{n}'" for n in STOP_WORDS)
-    return f"""WITH w AS (SELECT lang, text, regexp_split_to_array(lower(text), '[^\\p{{L}}]+') AS ws FROM documents), h AS (SELECT lang, text, [{hits}] AS h FROM w),
-t AS (SELECT lang, list_max(h) > 0 AND length(trim(text)) >= 2 AS known, [{names}][list_position(h, list_max(h))] AS name, round(list_max(h) / list_sum(h), 4) AS share FROM h)
-SELECT lang, CASE WHEN known THEN name ELSE 'unknown' END AS detected, count(*) AS n, round(avg(CASE WHEN known THEN share ELSE 0.0 END), 4) AS mean_confidence FROM t GROUP BY 1, 2"""
+    spelt = " UNION ALL ".join(f"SELECT doc_id, lang, unnest(list_transform(range(1, greatest(length(said) - {n} + 2, 1)), lambda k: substr(said, k, {n}))) AS gram FROM d" for n in LENGTHS)
+    return rf"""WITH d AS (SELECT doc_id, lang, ' ' || trim(regexp_replace(text, '[^\p{{L}}]+', ' ', 'g')) || ' ' AS said FROM documents WHERE regexp_matches(text, '\p{{L}}')),
+g AS (SELECT doc_id, lang, gram, count(*) AS n FROM ({spelt}) GROUP BY ALL), top AS (SELECT gram FROM g GROUP BY gram ORDER BY sum(n) DESC, gram LIMIT {GRAMS}),
+c AS (SELECT gram, lang, sum(n) AS n FROM g SEMI JOIN top USING (gram) GROUP BY gram, lang), l AS (SELECT lang, sum(n) AS total FROM c GROUP BY lang),
+w AS (SELECT top.gram, l.lang AS label, ln(coalesce(c.n, 0) + {ADDED}) - ln(total + {ADDED} * (SELECT count(*) FROM top)) AS w FROM top CROSS JOIN l LEFT JOIN c ON c.gram = top.gram AND c.lang = l.lang),
+s AS (SELECT doc_id, lang, label, sum(n * w) AS score, sum(n) AS n FROM g JOIN w USING (gram) GROUP BY ALL), b AS (SELECT doc_id, lang, arg_max(label, score) AS detected, max(score) / min(n) AS mean FROM s GROUP BY doc_id, lang)
+SELECT lang, detected, count(*) AS n, round(avg(mean), 4) AS mean_score FROM b GROUP BY lang, detected"""
 
 
 @query(_language_sql())
 def language_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detected against given language: a profile of function words."""
-    found, sure = detect_language(F.col("text"))
-    rows = table(spark, sf_dir, "documents").select("lang", found.alias("detected"), sure.alias("confidence"))
-    return rows.groupBy("lang", "detected").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 4).alias("mean_confidence"))
+    """Detected against given language, by weights learned from all documents; the mean score is a letter sequence's."""
+    rows = table(spark, sf_dir, "documents").select("lang", "text")
+    model = train_languages(rows)
+
+    @F.pandas_udf("detected string, score double")
+    def scored(texts: pd.Series) -> pd.DataFrame:
+        found = [model.scores(t) if t is not None else (None, 0) for t in texts]
+        return pd.DataFrame([(model.languages[int(s.argmax())], float(s.max()) / n) if n else (None, None) for s, n in found], columns=["detected", "score"])
+
+    told = rows.select("lang", scored(F.col("text")).alias("s")).select("lang", "s.*").filter("detected is not null")
+    return told.groupBy("lang", "detected").agg(F.count("*").alias("n"), F.round(F.avg("score"), 4).alias("mean_score"))
 
 
 @query(f"WITH {CLEANED} SELECT lang, count(*) AS n, bit_xor(('0x' || substr(md5(clean), 1, 15))::BIGINT) AS fingerprint FROM keyed WHERE clean IS NOT NULL GROUP BY lang")

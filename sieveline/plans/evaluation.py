@@ -14,11 +14,11 @@ from ..operators import metrics as M
 from ..operators import ml
 from ..operators.enrich import annotate, best_domain, latest, pending
 from ..operators.sampling import class_cap, hash_order, stratified_sample, stratified_split
-from ..operators.similarity import top_similar
+from ..operators.similarity import VectorIndex, top_similar
 from ..operators.subset import Subset
 from ..sources.shared import new_path
 from ..streaming.incremental import distinct_messages
-from .registry import JUDGED, LABELED, OBFUSCATION_SQL, judged, labeled, query, table
+from .registry import CLEANED, JUDGED, LABELED, OBFUSCATION_SQL, judged, labeled, query, table
 
 # ---- URLs ----
 
@@ -76,10 +76,13 @@ def whois_best_record(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- responses and annotations ----
 
-_RESPONSE = """CASE doc_id % 6 WHEN 0 THEN '{"label": "Spam"}' WHEN 1 THEN '```json' || chr(10) || '{"label": "ham"}' || chr(10) || '```' WHEN 2 THEN '<think>smishing?</think>{"label":"ham"}' WHEN 3 THEN 'not smishing but spam' WHEN 4 THEN 'ERROR: out of memory' ELSE '' END"""
+#: Words of the message, which stand in each answer.
+_SAID = "substr(regexp_replace(text, '[^A-Za-z ]+', ''), 1, 60)"
+_RESPONSE = f"""CASE doc_id % 8 WHEN 0 THEN '{{"why": "' || {_SAID} || '", "label": "Spam"}}' WHEN 1 THEN '```json' || chr(10) || '{{"label": "ham", "why": "' || {_SAID} || '"}}' || chr(10) || '```' WHEN 2 THEN '<think>smishing? ' || {_SAID} || '</think>{{"label":"ham"}}'
+  WHEN 3 THEN {_SAID} || ' not smishing but spam' WHEN 4 THEN 'ERROR: out of memory ' || {_SAID} WHEN 5 THEN {_SAID} WHEN 6 THEN 'SPAM: ' || {_SAID} ELSE '{{"label": "smishing", "why": "' || {_SAID} END"""
 
 
-@query("SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'spam' WHEN 3 THEN 'smishing' ELSE 'ham' END AS label FROM documents")
+@query("SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'spam' WHEN 3 THEN 'smishing' WHEN 6 THEN 'spam' WHEN 7 THEN 'smishing' ELSE 'ham' END AS label FROM documents")
 def response_label_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", F.expr(_RESPONSE.replace("chr(10)", "'\\n'")).alias("response"))
     return rows.select("doc_id", R.label_of_response(F.col("response")).alias("label"))
@@ -257,6 +260,18 @@ def similarity_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_similar(rows.filter("vec_id % 100 = 0"), rows).withColumn("similarity", F.round("similarity", 6))
 
 
+@query(f"""WITH p AS (SELECT a.vec_id AS query_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_DOT} / ({_SIZE.format("a")} * {_SIZE.format("b")}), 9) DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)
+SELECT count(*) AS wanted, true AS enough FROM p WHERE rank <= 3""")
+def index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the three best of each stated query there are, and whether the index finds nine tenths of them."""
+    rows = table(spark, sf_dir, "embeddings")
+    asked = rows.filter("vec_id % 100 = 0")
+    exact = top_similar(asked, rows).select("query_id", "vec_id")
+    found = VectorIndex.fit(rows).search(asked, rows).select("query_id", "vec_id", F.lit(True).alias("hit"))
+    both = exact.join(found, ["query_id", "vec_id"], "left")
+    return both.agg(F.count("*").alias("wanted"), (F.count("hit") >= 0.9 * F.count("*")).alias("enough"))
+
+
 # ---- models and streams ----
 
 
@@ -279,7 +294,7 @@ for _e in ml.ENCODERS:
         query()(_grid(_e, _c, f"ml_grid_{_c}" if _FIRST[_c] == _e else f"ml_grid_{_e}_{_c}"))
 
 
-@query(r"SELECT DISTINCT sha256(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS dedupe_key FROM documents WHERE length(trim(regexp_replace(text, '\s+', ' ', 'g'))) <= 1600 AND " + " AND ".join(f"NOT contains(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), '{p}')" for p in X.EMAIL_PHRASES))
+@query(f"WITH {CLEANED} SELECT DISTINCT dedupe_key FROM keyed WHERE length(clean) <= 1600 AND " + " AND ".join(f"NOT contains(lower(clean), '{p}')" for p in X.EMAIL_PHRASES))
 def stream_dedupe_available_now(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The build as a stream over the documents, all that is there and no more."""
     schema = table(spark, sf_dir, "documents").schema

@@ -23,16 +23,16 @@ JUDGED = (
   CASE WHEN contains(text, '@') OR contains(text, '=') THEN 'smishing' WHEN regexp_matches(text, '[*#|!]') THEN 'spam' ELSE 'ham' END AS predicted_label
   FROM labeled WHERE canonical_label IS NOT NULL)"""
 )
-#: Cleaned text and key of every document.
-CLEANED = r"""cleaned AS (SELECT *, nullif(trim(regexp_replace(text, '\s+', ' ', 'g')), '') AS clean FROM documents),
-keyed AS (SELECT *, sha256(lower(clean)) AS dedupe_key FROM cleaned)"""
-
 #: Whether `clean` holds letters set apart by spaces, or by marks, and the text with each such run as one word.
 SPACED_SQL = r"regexp_matches(clean, '\b([a-zA-Z]\s){3,}[a-zA-Z]\b')"
 DOTTED_SQL = r"regexp_matches(clean, '\b([a-zA-Z][.\-_]){3,}[a-zA-Z]\b')"
 _TIGHT = r"list_reduce(list_prepend(clean, regexp_extract_all(clean, '\b(?:[a-zA-Z]\s){3,}[a-zA-Z]\b')), lambda t, m: replace(t, m, replace(m, ' ', '')))"
 REPAIRED = rf"list_reduce(list_prepend({_TIGHT}, regexp_extract_all({_TIGHT}, '\b(?:[a-zA-Z][.\-_]){{3,}}[a-zA-Z]\b')), lambda t, m: replace(t, m, regexp_replace(m, '[.\-_]', '', 'g')))"
 
+#: Cleaned text and key of every document: the key is the repaired text's.
+CLEANED = rf"""cleaned AS (SELECT *, nullif(trim(regexp_replace(text, '\s+', ' ', 'g')), '') AS clean FROM documents),
+keyed AS (SELECT *, sha256(lower({REPAIRED})) AS dedupe_key FROM cleaned)"""
+
 #: Whether each repair finds anything in `clean`, which has single spaces; the last for the common ranges of characters that NFKC changes.
 OBFUSCATION_SQL = {
     "obf_zwsp": r"regexp_matches(clean, '[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{FEFF}\x{AD}]')",

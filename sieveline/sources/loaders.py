@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import csv
-import io
 import sys
 from collections.abc import Callable, Iterator, Mapping, Sequence
-from itertools import islice
+from itertools import chain, groupby, islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,10 +24,10 @@ def with_ordinal(df: DataFrame) -> DataFrame:
     return numbered.join(first, F.col("file") == F.col("_file")).withColumn("ordinal", F.col("_place") - F.col("_first") + 1).drop("_place", "_file", "_first")
 
 
-def read_csv(spark: SparkSession, path: str | Sequence[str], sep: str = ",", header: bool = True, names: Sequence[str] | None = None, encoding: str = "UTF-8") -> DataFrame:
-    """Everything as text; quoted fields may span lines; records with too many fields are left out, missing ones are null."""
+def read_csv(spark: SparkSession, path: str | Sequence[str], sep: str = ",", header: bool = True, names: Sequence[str] | None = None, encoding: str = "UTF-8", below: bool = False) -> DataFrame:
+    """Everything as text; quoted fields may span lines; records with too many fields are left out, missing ones are null. below: files of folders further down too."""
     paths = list(path) if not isinstance(path, str) else path
-    options = dict(header=header, sep=sep, multiLine=True, quote='"', escape='"', encoding=encoding, mode="PERMISSIVE", columnPruning=False, nullValue="\u0000", emptyValue="", maxCharsPerColumn=-1)
+    options = dict(header=header, sep=sep, multiLine=True, quote='"', escape='"', encoding=encoding, mode="PERMISSIVE", columnPruning=False, nullValue="\u0000", emptyValue="", maxCharsPerColumn=-1, recursiveFileLookup=below)
     names = list(names or [c.lstrip("\ufeff") for c in spark.read.options(**options).csv(paths).columns])
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "_extra"]])
     return spark.read.options(**options).schema(schema).csv(paths).filter(F.col("_extra").isNull()).drop("_extra")
@@ -87,20 +86,22 @@ def nested_json(spark: SparkSession, path: str, source: str = "nus_sms") -> Data
 
 
 def records(spark: SparkSession, path: str | Sequence[str], batch: int = 4096) -> DataFrame:
-    """(file, ordinal, cells): the records of header-less CSV files, of any number of cells, trimmed. A file is read whole by one task, as a quoted cell may hold line breaks; what isn't UTF-8 becomes replacement characters, and a mark at the beginning goes."""
+    """(file, ordinal, cells): the records of header-less CSV files, of any number of cells, trimmed. A file is read in splits, whose lines one task then puts together in their order, as a quoted cell may hold line breaks; that task holds a batch of records and no more. What isn't UTF-8 becomes replacement characters, and a mark at the beginning goes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         csv.field_size_limit(sys.maxsize)
-        names = ["file", "ordinal", "cells"]
-        for files in batches:
-            for name, content in zip(*files.columns, strict=True):
-                lines = io.TextIOWrapper(io.BytesIO(content.as_py()), "utf-8-sig", errors="replace", newline="")
-                rows = enumerate(csv.reader(lines), 1)
-                while part := list(islice(rows, batch)):
-                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(part)), pa.array([k for k, _ in part], pa.int64()), pa.array([[c.strip() for c in cells] for _, cells in part], pa.list_(pa.string()))], names)
+        lines = (x for b in batches for x in zip(b.column(0).to_pylist(), b.column(1), strict=True))
+        for name, own in groupby(lines, key=lambda x: x[0]):
+            said = (line.as_py().decode("utf-8", "replace") + "\n" for _, line in own)
+            first = next(said).removeprefix("\ufeff")
+            rows = enumerate(csv.reader(chain([first], said)), 1)
+            while part := list(islice(rows, batch)):
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array([k for k, _ in part], pa.int64()), pa.array([[c.strip() for c in cells] for _, cells in part], pa.list_(pa.string()))], ["file", "ordinal", "cells"])
 
     paths = list(path) if not isinstance(path, str) else path
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(run, "file string, ordinal long, cells array<string>")
+    lines = spark.read.option("lineSep", "\n").text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("line"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("place"))
+    ordered = lines.repartition("file").sortWithinPartitions("file", "start", "place").select("file", "line")
+    return ordered.mapInArrow(run, "file string, ordinal long, cells array<string>")
 
 
 def positional_csv(spark: SparkSession, path: str | Sequence[str], source: str = "exais_sms") -> DataFrame:

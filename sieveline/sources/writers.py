@@ -23,10 +23,10 @@ def write_master(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def read_master(spark: SparkSession, *paths: str) -> DataFrame:
-    """The first of the paths that exists: the enriched table, else the plain one."""
+    """The first of the paths that exists: the enriched table, else the plain one. A build's batches below it are one table."""
     from .loaders import read_csv
 
-    return read_csv(spark, next(p for p in paths if exists(spark, p)))
+    return read_csv(spark, next(p for p in paths if exists(spark, p)), below=True)
 
 
 def output_name(prefix: str = "master_v1", dedupe: bool = True, privacy: bool = False, with_ai: bool = False) -> str:

@@ -12,15 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.arrow import message_key
+from ..functions.arrow import message_key, with_repairs
 from ..functions.text import clean_str, is_valid_message, once
 from ..sources.writers import check_options
 
 
 def distinct_messages(stream: DataFrame, text_col: str = "text", time_col: str | None = None, within: str | None = None) -> DataFrame:
-    """Cleaned, valid messages by key, the first that arrives."""
+    """Cleaned (text_clean) and repaired (text_repaired, tags), valid messages by the key that the build has for them, the first that arrives."""
     rows = once(stream, {"text_clean": clean_str(F.col(text_col))})
-    rows = rows.filter(is_valid_message(F.col("text_clean"))).withColumn("dedupe_key", message_key(F.col("text_clean")))
+    rows = with_repairs(rows.filter(is_valid_message(F.col("text_clean"))), "text_clean", "text_repaired", "tags")
+    rows = rows.withColumn("dedupe_key", message_key(F.col("text_repaired")))
     if time_col and within:
         return rows.withWatermark(time_col, within).dropDuplicatesWithinWatermark(["dedupe_key"])
     return rows.dropDuplicates(["dedupe_key"])

@@ -47,8 +47,8 @@ def test_build(spark, tmp_path):
     assert (first["reference"], first["canonical_label"], first["source_id"], first["label_mapping_rule"], first["anonymization_status"]) == ("kaggle_spam_ham", "ham", "1", "ham->ham", "raw")
     assert got["other words"]["reference"] == "kaggle_spam_ham" and got["real one"]["is_ai_generated"] == "0" and got["real one"]["label_mapping_rule"] == "label==1->spam"
     german = got["Das ist der Hund und die Katze"]
-    assert (german["language"], german["language_confidence"], german["label_mapping_rule"], german["license"]) == ("de", "0.83", "implicit_smishing", "research_use")
-    assert {r["reference"]: r["written"] for r in B.summary(spark, path).collect()} == {None: 5, "kaggle_spam_ham": 3, "agarwal_2025": 1, "malicious_benign_sms_mms": 1}
+    assert (german["language"], german["language_confidence"], german["label_mapping_rule"], german["license"]) == ("de", "0.99", "implicit_smishing", "research_use")
+    assert {r["reference"]: (r["seen"], r["written"]) for r in B.summary(spark, path).collect()} == {None: (11, 5), "kaggle_spam_ham": (5, 3), "agarwal_2025": (3, 1), "malicious_benign_sms_mms": (3, 1)}
 
 
 def test_build_goes_on(spark, tmp_path):
@@ -66,6 +66,71 @@ def test_build_goes_on(spark, tmp_path):
         B.run(spark, paths_below(str(raw)), out, B.Build(day_first=True), resume=True)
 
 
+@pytest.mark.parametrize("lost", ["write_master", "keys", "counts"])
+def test_a_run_that_stops_repeats_no_row(spark, tmp_path, monkeypatch, lost):
+    """Stopped before or after any of the three writes of a batch, and resumed."""
+    from sieveline.sources.loaders import paths_below
+
+    raw, out = raw_folder(tmp_path / "raw"), str(tmp_path / "out")
+    path = B.run(spark, paths_below(str(raw)), out, resume=True)
+    put(raw / "smishing_4C.csv", "TEXT-ENG,TYPE,SLANG,COMPANY,Length_value,Num_writing_errors,Phone,URL\nreal  ONE,,,,,,,\nbrand new,,,,,,,\n")
+
+    class Stopped(Exception):
+        pass
+
+    def stop(*_):
+        raise Stopped
+
+    with monkeypatch.context() as m:
+        if lost == "write_master":
+            m.setattr(B, "write_master", stop)
+        elif lost == "keys":
+            m.setattr(B.Ledger, "write", stop)
+        else:
+            batch = B._batch
+            m.setattr(B, "_batch", lambda p, n: stop() if p.endswith(".progress") and n == 1 and not p.endswith("_SUCCESS") and B.done_reading else batch(p, n))
+            m.setattr(B, "done_reading", False, raising=False)
+            m.setattr(B, "write_master", lambda df, p, f=B.write_master: (f(df, p), setattr(B, "done_reading", True)))
+        with pytest.raises(Stopped):
+            B.run(spark, paths_below(str(raw)), out, resume=True)
+    assert B.batches(spark, path) == 1
+    B.run(spark, paths_below(str(raw)), out, resume=True)
+    rows = [r["message_id"] for r in read_master(spark, path).collect()]
+    assert len(rows) == len(set(rows)) == 6 and B.batches(spark, path) == 2
+    assert {r["reference"]: (r["seen"], r["written"]) for r in B.summary(spark, path).collect()} == {None: (13, 6), "kaggle_spam_ham": (5, 3), "agarwal_2025": (3, 1), "malicious_benign_sms_mms": (3, 1), "smishing_4c": (2, 1)}
+    B.run(spark, paths_below(str(raw)), out)  # anew: nothing of before is left
+    assert read_master(spark, path).count() == 6 and B.batches(spark, path) == 1
+
+
+def test_ledger_lies_as_rows_meet_it(spark, tmp_path):
+    """A resumed build's plan has no exchange of the ledger, in a session that never saw it either."""
+    from sieveline.operators.dedupe import Ledger, unseen
+
+    ledger = Ledger(spark, f"{tmp_path}/keys", buckets=8)
+    ledger.write(spark.range(0, 500).selectExpr("cast(id as string) as k"), 0)
+    ledger.write(spark.range(500, 900).selectExpr("cast(id as string) as k"), 1)
+    ledger.write(spark.range(500, 600).selectExpr("cast(id as string) as k"), 1)  # again, in place of what it had
+    other = Ledger(spark.newSession(), f"{tmp_path}/keys", buckets=8)
+    assert other.keys(1).count() == 500 and other.keys(2).count() == 600
+    rows = spark.range(0, 1000).selectExpr("cast(id as string) as dedupe_key", "id * 2 as v")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        left = unseen(rows, ledger.keys(2), "dedupe_key")
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+        assert sorted(r["v"] // 2 for r in left.collect()) == list(range(600, 1000))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+class Dog:
+    """A rule in place of a span model."""
+
+    def spans(self, text):
+        return [(text.index("Hund"), text.index("Hund") + 4, "private_person")] if "Hund" in text else []
+
+
 def test_build_options(spark, tmp_path):
     from sieveline.sources.loaders import paths_below, read_sources
 
@@ -73,8 +138,7 @@ def test_build_options(spark, tmp_path):
     assert B.build(raw, B.Build(dedupe=False)).count() == 8
     kept = B.build(raw, B.Build(exclude_ai=False)).filter("is_ai_generated = '1'").collect()
     assert [r["text"] for r in kept] == ["made up"]
-    named = raw.withColumn("found", F.when(F.col("text").startswith("Das"), F.array(F.struct(F.lit(12).alias("start"), F.lit(16).alias("end"), F.lit("private_person").alias("label")))))
-    masked = B.build(named, B.Build(spans="found")).filter("text like 'Das%'").first()
+    masked = B.build(raw, model=Dog()).filter("text like 'Das%'").first()
     assert masked["text_anonymized"] == "Das ist der <PERSON> und die Katze" and masked["anonymization_status"] == "anonymized"
     assert B.build(raw.limit(0)).count() == 0
 
@@ -85,7 +149,7 @@ def test_cleaning_is_worked_out_once(spark, tmp_path):
 
     df = keyed(cleaned(spark, "/root/testdata/sf0.001").filter(X.is_valid_message(F.col("clean")))).select("doc_id", "dedupe_key", F.length("clean").alias("n"))
     plan = df._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("x1c-") == 2  # the cleaning's, and the key's own
+    assert plan.count("x1c-") == 4  # the cleaning's, the key's own, and the two ends of a repair's
 
 
 def test_views(spark):
@@ -138,13 +202,16 @@ def test_enrichment_goes_on_and_retries(spark, tmp_path):
             raise RuntimeError("out of memory")
         return [json.dumps({"theme": "Banking", "urgency_level": "HIGH", "language": "ENG"}) for _ in prompts]
 
+    sent = lambda: open(calls).read().split().count("x") if os.path.exists(calls) else 0
     first = {r["message_id"]: r for r in E.run_enrichment(spark, master, path, model, records, "m", "v1", "2024-01-01").collect()}
     assert {r["theme"] for i, r in first.items() if i != "m3"} == {"ERROR_INFERENCE"} and first["m3"]["theme"] == ""
+    assert sent() == 4  # each message is asked about once; the empty one is not
     assert (first["m0"]["whois_domain"], first["m0"]["whois_age_days"], first["m0"]["whois_hidden"]) == ("a.com", "10", "0")
     assert (first["m4"]["whois_domain"], first["m4"]["whois_country"]) == ("a.com", "ES")
     again = {r["message_id"]: r for r in E.run_enrichment(spark, master.filter("text != 'broken line'").unionByName(master.filter("text = 'broken line'").withColumn("text", F.lit("mended"))), path, model, records, "m", "v1", "2024-01-02").collect()}
     assert len(again) == 5 and {r["theme"] for i, r in again.items() if i != "m3"} == {"banking"} and again["m2"]["urgency_level"] == "high"
     assert again["m0"]["language"] == "en" and again["m0"]["llm_annotation_date"] == "2024-01-02"
+    assert sent() == 8
     n = len(open(calls).read().split())
     third = E.run_enrichment(spark, master, path, model, records, "m", "v1", "2024-01-03").collect()
     assert len(third) == 5 and len(open(calls).read().split()) == n
