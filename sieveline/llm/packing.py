@@ -78,11 +78,11 @@ def best_fit(lengths: np.ndarray, capacities: Capacities, weights=(1.0, 0.1, 0.1
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long"
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each piece of at most `capacity` ids: only longer documents are cut, into full pieces but the first."""
+def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text", cache_parts: int | None = None) -> DataFrame:
+    """One row for each piece of at most `capacity` ids: only longer documents are cut, into full pieces but the first. cache_parts: parts of texts whose ids a Python worker keeps, the encoder's number unless given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer, cache_parts).encode
         end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
         salt = TaskContext.get().partitionId() << 40
         for batch in batches:
@@ -117,7 +117,7 @@ def pack_pieces(items: DataFrame, n_blocks: int, capacities: Capacities, weights
     return blocked.groupBy("block").applyInArrow(run, f"{PIECES}, sequence_id long, offset long, filled long")
 
 
-def pack(docs: DataFrame, tokenizer: str, capacities: Capacities = Capacities(), end_id: int | None = 0, weights=(1.0, 0.1, 0.1), score: str = "norm", block_docs: int = 2048, merge: int = 16, refill: float = 0.999, wished: Capacities | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacities: Capacities = Capacities(), end_id: int | None = 0, weights=(1.0, 0.1, 0.1), score: str = "norm", block_docs: int = 2048, merge: int = 16, refill: float = 0.999, wished: Capacities | None = None, id_col: str = "doc_id", text_col: str = "text", cache_parts: int | None = None) -> DataFrame:
     """Packs documents into sequences: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null and empty texts are a piece of the end id alone. Null ids stay null, whatever ids stand beside them, and
@@ -125,7 +125,7 @@ def pack(docs: DataFrame, tokenizer: str, capacities: Capacities = Capacities(),
     is encoded in one go by one task, about 20 bytes of memory a character, and its pieces are spread like others. An
     empty table gives no rows. Other columns are not looked at.
     """
-    items = cut(pieces(docs, tokenizer, capacities.tokens, end_id, id_col, text_col))
+    items = cut(pieces(docs, tokenizer, capacities.tokens, end_id, id_col, text_col, cache_parts))
     n_blocks = max(1, -(-items.count() // block_docs))
 
     def packed(first_pass: Capacities) -> DataFrame:

@@ -13,7 +13,7 @@ import re
 from array import array
 from itertools import islice
 
-#: Parts kept per Python worker, about 200 bytes each. Beyond them the later half goes: frequent parts come early.
+#: Parts kept per Python worker unless the caller says otherwise, about 250 bytes each. Beyond them the later half goes: frequent parts come early.
 CACHE_PARTS = 800_000
 #: Parts longer than this are not kept.
 CACHE_CHARS = 40
@@ -52,9 +52,11 @@ def _edged(part: str) -> bool:
 class Encoder:
     """Little-endian unsigned 32-bit ids of texts; add_special_tokens is off."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, parts: int | None = None):
         from tokenizers import Tokenizer
 
+        self.parts = CACHE_PARTS if parts is None else parts
+
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         with open(path, encoding="utf-8") as file:
@@ -93,7 +95,7 @@ class Encoder:
         if ids is None:
             ids = self._split(part)
             if len(part) <= CACHE_CHARS:
-                if len(self.bare) >= CACHE_PARTS // 8:
+                if len(self.bare) >= self.parts // 8:
                     self.bare.clear()
                 self.bare[part] = ids
         return ids
@@ -104,8 +106,8 @@ class Encoder:
         if ids is None:
             ids = self._split(" " + part)
             if len(part) <= CACHE_CHARS:
-                if len(kept) >= CACHE_PARTS:
-                    for old in list(islice(reversed(kept), CACHE_PARTS // 2)):
+                if len(kept) >= self.parts:
+                    for old in list(islice(reversed(kept), self.parts // 2)):
                         del kept[old]
                 kept[part] = ids
         return ids
@@ -129,11 +131,11 @@ class Encoder:
         return (self._part(first) if first else b"") + b"".join(ids)
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int | None], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder for each Python worker and vocabulary."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, parts: int | None = None) -> Encoder:
+    """One encoder for each Python worker, vocabulary and number of parts kept."""
+    if (path, parts) not in _encoders:
+        _encoders[path, parts] = Encoder(path, parts)
+    return _encoders[path, parts]
