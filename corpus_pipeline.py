@@ -43,9 +43,12 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 2048 ids, with no more documents and attention cost than wished where that costs no sequence."""
-    return pack(docs, vocabulary(), Capacities(2048, 2048, 2048 * 2048), end_id=0, wished=WISHED)
+    return pack(docs, vocabulary(), Capacities(2048, 2048, 2048 * 2048), end_id=0, wished=WISHED, cache_parts=CACHE_PARTS)
 
 
+#: Parts of texts whose ids a Python worker keeps: half of what the operator keeps alone, as workers hold what earlier stages left in them.
+CACHE_PARTS = 400_000
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality rules", quality),
     ("near duplicates", near_duplicates),
