@@ -35,9 +35,9 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def free_name(df: DataFrame, name: str) -> str:
-    """A column name that df does not have."""
-    taken = {c.lower() for c in df.columns}
+def free_name(df: DataFrame, name: str, *others: DataFrame) -> str:
+    """A column name that df, and the others, do not have."""
+    taken = {c.lower() for x in (df, *others) for c in x.columns}
     while name.lower() in taken:
         name = f"_{name}"
     return name

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, utf8
+from .common import free_name, new_path, utf8
 
 #: Samples in a row of the picture, and bytes to which a payload is padded: 24 rows of 24.
 ROW, TILE = 24, 576
@@ -158,8 +158,11 @@ def interleave(pages: DataFrame, id_col: str, html_col: str, keep: Sequence[str]
 
     Null and empty pages have no parts; broken markup is read as far as it goes; ids may be null or repeated, and
     repeated rows stay rows of their own; an empty table gives no rows. A page is parsed in one task, whatever its
-    length. Of the other columns only those in keep are looked at.
+    length. Of the other columns only those in keep are looked at; these may not be named id, html or parts, which is
+    an error.
     """
+    if taken := {"id", "html", "parts"}.intersection(c.lower() for c in keep):
+        raise ValueError(f"kept columns may not be named {', '.join(sorted(taken))}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,13 +184,16 @@ def references(sequences: DataFrame) -> DataFrame:
 
 
 def resolve(refs: DataFrame, media: DataFrame) -> DataFrame:
-    """Joins references with what `media` holds for their digest, once a digest; unknown and null digests keep nulls. An empty table on either side loses no reference; media may hold any columns but d, dh and those of refs.
+    """Joins references with what `media` holds for their digest, once a digest; unknown and null digests keep nulls. An empty table on either side loses no reference. Of a column that both have, that of refs stays.
 
     The join has a second key, a hash of the digest, so that the media, one a digest by an exchange on the digest
     alone, are exchanged once more for it: adaptive execution splits skewed digests only between two such exchanges.
     """
-    known = media.dropDuplicates(["digest"]).withColumnRenamed("digest", "d").withColumn("dh", F.xxhash64("d"))
-    return refs.withColumn("rh", F.xxhash64("digest")).join(known, (F.col("rh") == F.col("dh")) & (F.col("digest") == F.col("d")), "left").drop("d", "dh", "rh")
+    taken = {c.lower() for c in refs.columns}
+    held = media.select("digest", *[f"`{c}`" for c in media.columns if c.lower() not in taken])
+    d, dh, rh = (free_name(refs, f"_media_{x}", held) for x in ("digest", "hash", "own"))
+    known = held.dropDuplicates(["digest"]).withColumnRenamed("digest", d).withColumn(dh, F.xxhash64(d))
+    return refs.withColumn(rh, F.xxhash64("digest")).join(known, (F.col(rh) == F.col(dh)) & (F.col("digest") == F.col(d)), "left").drop(d, dh, rh)
 
 
 def pad(octets: bytes) -> bytes:

@@ -530,3 +530,12 @@ def test_only_pairs_of_the_contracts_similarity_go(spark, tile):
     assert sum(0.56 <= j < 0.8 for j in seen) >= 10 and sum(j >= 0.8 for j in seen) >= 5
     want = sorted(min(i for (i, _), r in zip(rows, roots) if r == root) for root in set(roots))
     assert sorted(r["doc_id"] for r in table_of(N.drop_near_duplicates(frame(spark, rows), tile=tile))) == want
+
+
+def test_media_columns_may_have_any_names(spark):
+    refs = spark.createDataFrame([(1, "a", 0), (2, "b", 1), (3, None, 2)], "id long, digest string, position int")
+    media = spark.createDataFrame([("a", 7, 8, 9, "x"), ("c", 1, 1, 1, "y")], "digest string, d int, dh int, position int, _media_hash string")
+    got = sorted((r["id"], r["digest"], r["position"], r["d"], r["dh"], r["_media_hash"]) for r in D.resolve(refs, media).collect())
+    assert got == [(1, "a", 0, 7, 8, "x"), (2, "b", 1, None, None, None), (3, None, 2, None, None, None)]
+    with pytest.raises(ValueError, match="parts"):
+        D.interleave(refs, "id", "digest", ("Parts",))
