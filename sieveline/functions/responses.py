@@ -24,6 +24,10 @@ PROMPTS = (
     ("few-shot_expert_cot", "few-shot", "expert", "cot"),
     ("dynamic-few-shot_expert_cot", "dynamic-few-shot", "expert", "cot"),
 )
+#: What stands around a message and its examples.
+MESSAGE, EXAMPLE, LABEL = "Message: ", "Example Message: ", "Label: "
+BEFORE_EXAMPLES = "Here are some examples of messages and their correct labels:"
+BEFORE_MESSAGE = "Now classify the following message:"
 # ---- end of fixed values ----
 
 
@@ -68,13 +72,13 @@ def override_language(language: Column, confidence: Column, annotated: Column) -
 
 
 def zero_shot_prompt(text: Column) -> Column:
-    return F.concat(F.lit("Message: "), text, F.lit("\n"))
+    return F.concat(F.lit(MESSAGE), text, F.lit("\n"))
 
 
 def few_shot_prompt(text: Column, examples: Column) -> Column:
     """examples: array of structs (text, label), in order."""
-    shown = F.array_join(F.transform(examples, lambda e: F.concat(F.lit("Example Message: "), e["text"], F.lit("\nLabel: "), e["label"], F.lit("\n\n"))), "")
-    return F.concat(F.lit("Here are some examples of messages and their correct labels:\n\n"), shown, F.lit("Now classify the following message:\nMessage: "), text, F.lit("\n"))
+    shown = F.array_join(F.transform(examples, lambda e: F.concat(F.lit(EXAMPLE), e["text"], F.lit(f"\n{LABEL}"), e["label"], F.lit("\n\n"))), "")
+    return F.concat(F.lit(f"{BEFORE_EXAMPLES}\n\n"), shown, F.lit(f"{BEFORE_MESSAGE}\n{MESSAGE}"), text, F.lit("\n"))
 
 
 def prompt(name: str, text: Column, fixed: Column, near: Column) -> Column:

@@ -66,6 +66,8 @@ VIEW_STEPS = (
     (r"\+?\d[\d\s-]{6,}\d", " phone_number_token "),
     (r"\b\d{4,}\b", " number_token "),
 )
+#: Rules of two binary columns, as they are named: smishing, spam, its opposite, neither.
+PRIORITY_RULES = ("smishing_label==1->smishing", "spam_label==1->spam", "spam_label==0->ham", "else->unlabeled")
 # ---- end of fixed values ----
 
 #: White space as Unicode has it, with the four separators that count as such in the source texts.
@@ -122,7 +124,8 @@ def label_priority(spam: Column, smishing: Column) -> tuple[Column, Column]:
     """(label, rule) of two binary columns: smishing first, then spam, then its explicit opposite; else unlabeled."""
     spam, smishing = F.trim(F.coalesce(spam, F.lit(""))), F.trim(F.coalesce(smishing, F.lit("")))
     label = F.when(smishing == "1", "smishing").when(spam == "1", "spam").when(spam == "0", "ham")
-    rule = F.when(smishing == "1", "smishing_label==1->smishing").when(spam == "1", "spam_label==1->spam").when(spam == "0", "spam_label==0->ham").otherwise("else->unlabeled")
+    first, second, third, none = PRIORITY_RULES
+    rule = F.when(smishing == "1", first).when(spam == "1", second).when(spam == "0", third).otherwise(none)
     return label, rule
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import responses as R
@@ -21,7 +21,7 @@ from ..operators.subset import Subset
 from ..operators.terms import document_frequencies, kept_counts, nearest, term_counts, tfidf
 from ..sources.adapters import answer
 from ..sources.catalog import LICENSE, RANK, RAW
-from ..sources.loaders import positional_csv
+from ..sources.loaders import positional_csv, read_sources
 from ..sources.shared import new_path, shared_dir
 from ..sources.writers import append_rows, as_text, read_master, write_json_lines, write_master, write_splits, write_subset
 from .curation import _NORM
@@ -111,6 +111,73 @@ def ordinals_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.regexp_extract("file", "folder=([0-9]+)", 1).cast("long").alias("folder"), "ordinal", "text", "canonical_label")
 
 
+# ---- sources ----
+
+
+def _put_files(rows: DataFrame, path: str, cells: dict[str, Column], **options) -> str:
+    """Writes rows as three CSV files of these cells, each in the order of doc_id, and returns their pattern."""
+    files = rows.select("folder", "doc_id", *[c.cast("string").alias(n) for n, c in cells.items()]).repartition(3, "folder").sortWithinPartitions("folder", "doc_id").drop("doc_id")
+    files.write.partitionBy("folder").options(**(dict(header=True, quoteAll=True, escape='"', emptyValue="") | options)).csv(path)
+    return f"{path}/folder=*/*.csv"
+
+
+def _put_corpus(rows: DataFrame, path: str) -> str:
+    """Writes rows as files of nested JSON, fifty messages each; a text is a scalar or an object."""
+    ident = F.col("doc_id").cast("string").alias("@id")
+    one = F.when(F.col("doc_id") % 2 == 0, F.to_json(F.struct(ident, F.col("text").alias("text")))).otherwise(F.to_json(F.struct(ident, F.struct(F.col("text").alias("$")).alias("text"))))
+    put = rows.withColumn("folder", F.floor(F.col("doc_id") / 50)).groupBy("folder").agg(F.array_join(F.collect_list(one), ",").alias("m"))
+    put.select("folder", F.concat(F.lit('{"smsCorpus":{"message":['), "m", F.lit("]}}")).alias("value")).write.partitionBy("folder").text(path)
+    return f"{path}/folder=*/*.txt"
+
+
+def _sources_sql() -> str:
+    word, clean = "upper(l[1]) || l[2:]", r"nullif(trim(regexp_replace({}, '\s+', ' ', 'g')), '')"
+    row = "SELECT '{}' AS source, folder, {} AS source_id, md5({}) AS text_md5, {} AS canonical_label, {} AS original_label, {} AS label_mapping_rule, {} AS hint, {} AS ai FROM b {}"
+    k, some, none = "CAST(k AS VARCHAR)", "WHERE l IS NOT NULL AND t IS NOT NULL", "NULL"
+    rule = "CASE l WHEN 'smishing' THEN 'smishing_label==1->smishing' WHEN 'spam' THEN 'spam_label==1->spam' WHEN 'ham' THEN 'spam_label==0->ham' ELSE 'else->unlabeled' END"
+    pair = "'spam_label=' || CASE l WHEN 'spam' THEN '1' WHEN 'ham' THEN '0' WHEN 'smishing' THEN '0' ELSE '' END || ';smishing_label=' || CASE l WHEN 'smishing' THEN '1' WHEN 'ham' THEN '0' WHEN 'spam' THEN '0' ELSE '' END"
+    binary = "CASE l WHEN 'ham' THEN '0' ELSE '1' END"
+    parts = [
+        *(row.format(n, k, "t", "l", word, none, hint, none, some) for n, hint in (("mishra_soni_2022", "'en'"), ("kaggle_spam_ham", none), ("uci_sms_spam", "'en'"), ("spanish_spam_ham", "'es'"))),
+        row.format("hosseinpour_2025", k, "t", "l", pair, rule, none, none, "WHERE t IS NOT NULL"),
+        row.format("kaggle_phishing", k, "t", "'smishing'", "'phishing:' || lang", "'implicit_smishing'", none, none, "WHERE t IS NOT NULL"),
+        row.format("agarwal_2025", k, "t", "'smishing'", "'smishing'", "'implicit_smishing'", "lang", none, "WHERE t IS NOT NULL"),
+        row.format("malicious_benign_sms_mms", k, "t", f"CASE {binary} WHEN '1' THEN 'spam' ELSE 'ham' END", f"'label=' || {binary} || ';ai_generated=' || CASE WHEN doc_id % 4 = 0 THEN '1' ELSE '0' END", f"'label==' || {binary} || '->' || CASE {binary} WHEN '1' THEN 'spam' ELSE 'ham' END", "'en'", "CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END", some),
+        row.format("smishing_4c", k, "t", "'smishing'", "coalesce(l, 'unknown') || ' [SLANG=' || lang || ';COMPANY=;Length_value=' || length(text) || ';Num_writing_errors=0;Phone=;URL=]'", "'implicit_smishing'", "'en'", none, "WHERE t IS NOT NULL"),
+        row.format("mimics_3500", k, clean.format(r"regexp_replace(text, '[^\x{00}-\x{FF}]', '?', 'g')"), "'smishing'", "'7class=' || coalesce(l, 'unknown') || ';13class=unknown;dataset=' || src", none, "'en'", none, "WHERE t IS NOT NULL"),
+        row.format("nus_sms", "CAST(doc_id AS VARCHAR)", "t", "'ham'", "'ham'", "'implicit_ham'", "'en'", none, "WHERE t IS NOT NULL").replace("folder,", "doc_id // 50 AS folder,"),
+    ]
+    return f"WITH {LABELED}, b AS (SELECT *, source AS src, canonical_label AS l, doc_id % 3 AS folder, {clean.format('text')} AS t, row_number() OVER (PARTITION BY doc_id % 3 ORDER BY doc_id) AS k FROM labeled) " + " UNION ALL ".join(parts)
+
+
+@query(_sources_sql())
+def sources_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in the files of eleven sources, each read by its loader: what the loader makes of labels, rules, hints and places."""
+    rows = labeled(spark, sf_dir).withColumn("folder", F.col("doc_id") % 3)
+    label, blank = F.col("canonical_label"), F.lit("")
+    word = F.initcap(label)
+    flag = lambda one, zero: F.when(label == one, "1").when(label.isin("ham", zero), "0")
+    early = F.col("doc_id") % 5 == 0
+    shapes = {
+        "mishra_soni_2022": {"LABEL": word, "TEXT": F.col("text"), "URL": blank},
+        "kaggle_spam_ham": {"target": word, "text": F.col("text")},
+        "uci_sms_spam": {"label": word, "text": F.col("text")},
+        "spanish_spam_ham": {"mensaje": F.col("text"), "tipo": word},
+        "hosseinpour_2025": {"message": F.col("text"), "spam label": flag("spam", "smishing"), "smishing label": flag("smishing", "spam")},
+        "kaggle_phishing": {"label": F.lit("phishing"), "category": F.col("lang"), "text": F.col("text")},
+        "agarwal_2025": {"text": F.when(early, "").otherwise(F.col("text")), "translation": F.when(early, F.col("text")).otherwise("other"), "language": F.upper("lang"), "time": F.lit("2024-01-02 03:04")},
+        "malicious_benign_sms_mms": {"id": F.col("doc_id"), "message": F.col("text"), "label": F.when(label == "ham", "0").when(label.isNotNull(), "1"), "ai_generated": F.when(F.col("doc_id") % 4 == 0, "1").otherwise("0")},
+        "smishing_4c": {"TEXT-ENG": F.col("text"), "TYPE": label, "SLANG": F.col("lang"), "COMPANY": blank, "Length_value": F.length("text"), "Num_writing_errors": F.lit(0), "Phone": blank, "URL": blank},
+        "mimics_3500": {"TEXT": F.col("text"), "7_CLASSES": label, "13_CLASSES": blank, "DATASET": F.col("source")},
+    }
+    own = {"uci_sms_spam": {"sep": "\t", "header": False}, "mimics_3500": {"encoding": "ISO-8859-1"}}
+    paths = {name: _put_files(rows, new_path(spark, name), cells, **own.get(name, {})) for name, cells in shapes.items()}
+    paths["nus_sms"] = _put_corpus(rows, new_path(spark, "nus_sms"))
+    read = read_sources(spark, paths)
+    folder = F.regexp_extract("file", "folder=([0-9]+)", 1).cast("long")
+    return read.select("source", folder.alias("folder"), "source_id", F.md5("text").alias("text_md5"), "canonical_label", "original_label", "label_mapping_rule", F.col("language_hint").alias("hint"), F.col("is_ai_generated").alias("ai"))
+
+
 # ---- views, prompts, answers ----
 
 

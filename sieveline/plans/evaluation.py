@@ -217,6 +217,13 @@ def ham_cap_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_cap(rows, "canonical_label", "ham", "source", HAM_CAP, hash_order(42, F.col("doc_id")))
 
 
+@query(f"WITH {LABELED}, r AS (SELECT *, row_number() OVER (PARTITION BY canonical_label, source ORDER BY {_HASH}) AS k FROM labeled WHERE canonical_label IS NOT NULL) SELECT doc_id, source, canonical_label FROM r WHERE canonical_label <> 'ham' OR k <= 3")
+def ham_cap_binds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a cap that holds rows back at any scale: a sampling operator."""
+    rows = labeled(spark, sf_dir).filter("canonical_label is not null").select("doc_id", "source", "canonical_label")
+    return class_cap(rows, "canonical_label", "ham", "source", 3, hash_order(42, F.col("doc_id")))
+
+
 _QUOTAS = f"""{LABELED}, r AS (SELECT doc_id, canonical_label, row_number() OVER (PARTITION BY canonical_label ORDER BY {_HASH}) AS k FROM labeled WHERE canonical_label IS NOT NULL),
 n AS (SELECT canonical_label, count(*) AS n, CASE canonical_label WHEN 'ham' THEN 0 WHEN 'spam' THEN 1 ELSE 2 END AS place FROM r GROUP BY 1), tot AS (SELECT sum(n) AS t, ceil(sum(n) / 5)::BIGINT AS off FROM n),
 a AS (SELECT *, (off * n) // t AS whole, (off * n) % t AS rest FROM n, tot), a2 AS (SELECT *, whole + CASE WHEN row_number() OVER (ORDER BY rest DESC, place) <= off - sum(whole) OVER () THEN 1 ELSE 0 END AS away FROM a),
