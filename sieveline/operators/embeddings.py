@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 VOCABULARY, LEAST, BUCKETS, GRAMS = 50_000, 2, 1 << 16, (3, 6)
 WINDOW, NEGATIVES, RATE, PASSES = 5, 5, 0.05, 5
 #: Texts of a task, and positions whose gradients are added up before the tables change (fewer for small vocabularies).
-TEXTS_A_TASK, BATCH = 1000, 512
+TEXTS_A_TASK, BATCH = 200, 512
+#: How far a batch moves a row at most: rows that very many positions share would run away otherwise.
+REACH = 0.25
 
 
 def grams_of(word: str, lengths: tuple[int, int] = GRAMS) -> list[str]:
@@ -55,8 +57,17 @@ class Rows:
         return self.places[self.starts[words][owner] + at], owner, n
 
 
-def step(inputs: np.ndarray, outputs: np.ndarray, rows: Rows, context: np.ndarray, target: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """Changes both tables by one batch, and returns how often each row of them was changed.
+def _moved(table: np.ndarray, at: np.ndarray, by: np.ndarray, reach: float) -> None:
+    """Adds to rows of a table what belongs to each, no row by more than `reach`."""
+    own, place = np.unique(at, return_inverse=True)
+    total = np.zeros((len(own), table.shape[1]), table.dtype)
+    np.add.at(total, place, by)
+    size = np.sqrt((total * total).sum(axis=1, keepdims=True))
+    table[own] += total * np.minimum(1, reach / np.maximum(size, 1e-12))
+
+
+def step(inputs: np.ndarray, outputs: np.ndarray, rows: Rows, context: np.ndarray, target: np.ndarray, rate: float, reach: float = REACH) -> tuple[np.ndarray, np.ndarray]:
+    """Changes both tables by one batch, no row by more than `reach`, and returns how often each row of them was changed.
 
     context: (positions, words around), -1 for none; target: (positions, 1 + negatives), the first being the word itself.
     The loss is that of a logistic regression for each target; a negative that is the word itself doesn't count. As is
@@ -79,10 +90,10 @@ def step(inputs: np.ndarray, outputs: np.ndarray, rows: Rows, context: np.ndarra
     miss = (wanted - 1 / (1 + np.exp(-np.clip(np.einsum("bd,bkd->bk", hidden, own), -30, 30)))) * rate
     miss[:, 1:][target[:, 1:] == target[:, :1]] = 0
     back = np.einsum("bk,bkd->bd", miss, own)
-    np.add.at(outputs, target.reshape(-1), (miss[:, :, None] * hidden[:, None, :]).reshape(-1, inputs.shape[1]))
+    _moved(outputs, target.reshape(-1), (miss[:, :, None] * hidden[:, None, :]).reshape(-1, inputs.shape[1]), reach)
     share = np.zeros_like(vectors)
     np.add.at(share, place, back[at])
-    np.add.at(inputs, flat, share[owner])
+    _moved(inputs, flat, share[owner], reach)
     seen = np.bincount(place, minlength=len(words))
     return np.bincount(flat, weights=seen[owner], minlength=len(inputs)), np.bincount(target[miss != 0], minlength=len(outputs))
 

@@ -11,7 +11,7 @@ from sieveline.operators import embeddings as V
 from sieveline.operators import ml
 
 
-def naive(inputs, outputs, rows, context, target, rate):
+def naive(inputs, outputs, rows, context, target, rate, reach):
     """The same step, position by position, from the tables before it."""
     a, b = inputs.astype(float).copy(), outputs.astype(float).copy()
     own = lambda w: rows.places[rows.starts[w] : rows.starts[w + 1]]
@@ -28,20 +28,26 @@ def naive(inputs, outputs, rows, context, target, rate):
         for w in words:
             for p in own(w):
                 a[p] += back
+    for new, old in ((a, inputs), (b, outputs)):
+        for k in range(len(new)):
+            size = np.linalg.norm(new[k] - old[k])
+            if size > reach:
+                new[k] = old[k] + (new[k] - old[k]) * reach / size
     return a, b
 
 
+@pytest.mark.parametrize("reach", [1e9, 0.2])
 @pytest.mark.parametrize("buckets", [0, 7])
-def test_a_step_by_definition(buckets):
+def test_a_step_by_definition(buckets, reach):
     rng = np.random.default_rng(1)
     words = ["aa", "abc", "b", "bcd", "zzzz"]
     rows = V.Rows.of(words, buckets)
     inputs, outputs = rng.normal(size=(5 + buckets, 6)), rng.normal(size=(5, 6))
     context = np.array([[0, 1, -1, -1], [1, 1, 2, 4], [-1, -1, -1, 3], [-1, -1, -1, -1]])
     target = np.array([[2, 0, 1], [3, 3, 4], [4, 0, 0], [1, 2, 3]])
-    want = naive(inputs, outputs, rows, context, target, 0.3)
+    want = naive(inputs, outputs, rows, context, target, 0.3, reach)
     got = inputs.copy(), outputs.copy()
-    seen = V.step(*got, rows, context, target, 0.3)
+    seen = V.step(*got, rows, context, target, 0.3, reach)
     assert np.allclose(got[0], want[0]) and np.allclose(got[1], want[1])
     assert (np.abs(got[0] - inputs).sum(axis=1) > 0)[seen[0] == 0].sum() == 0 and (np.abs(got[1] - outputs).sum(axis=1) > 0)[seen[1] == 0].sum() == 0
 
@@ -92,6 +98,15 @@ def test_misspelt_words_lie_near_their_originals(spark):
     assert np.allclose(plain.text(["acount", "pizza", "goal"]), (plain.word("pizza") + plain.word("goal")) / 2)
 
 
+def test_whole_documents_stay_in_reach(spark):
+    """Frequent words and n-grams of real texts, which thousands of positions of a batch share."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.split(F.lower("text"), r"\s+").alias("words"))
+    for buckets in (0, 1 << 12):
+        got = V.learn(rows, dimensions=16, buckets=buckets, passes=3, texts_a_task=50)
+        size = np.linalg.norm(got.table, axis=1)
+        assert np.isfinite(size).all() and 0.05 < np.median(size[: len(got.words)]) and size.max() < 50
+
+
 def test_no_words(spark):
     rows = spark.createDataFrame([(1, None), (2, []), (3, ["", None, "once"])], "id long, words array<string>")
     got = V.learn(rows, dimensions=4)
