@@ -248,7 +248,7 @@ class DeepForest:
     One tree alone takes each row once and tries every feature. A table without rows is an error, as it is for MLlib.
     """
 
-    def __init__(self, trees: int = 200, levels: int = 12, local: int = LOCAL, at_once: int = TREES_AT_ONCE, seed: int = 42):
+    def __init__(self, trees: int = 200, levels: int = 8, local: int = LOCAL, at_once: int = TREES_AT_ONCE, seed: int = 42):
         self.trees, self.levels, self.local, self.at_once, self.seed = trees, levels, local, at_once, seed
 
     def fit(self, df: DataFrame) -> DeepForestModel:
