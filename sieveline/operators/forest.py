@@ -3,7 +3,7 @@
 MLlib grows the tops of all trees from statistics of all rows. What a top's leaf leaves mixed is grown on until it is
 pure or its rows can't be told apart: rows are gathered by leaf, and each leaf becomes a subtree in a task of its own.
 Of a leaf with very many rows about LOCAL a class are gathered; then all of its rows go down the subtree, and what is
-still mixed is grown on in the next round. So no task holds more than some thousand rows, whatever a leaf holds.
+still mixed is grown on in the next round, unless the gathered rows were all equal. So no task holds more than some thousand rows, whatever a leaf holds.
 """
 
 from __future__ import annotations
