@@ -18,13 +18,14 @@ def first_wins(df: DataFrame, key: str, *order: Column | str) -> DataFrame:
     """One row of each key: the least by `order`, which should decide every tie. Rows with an empty or null key all stay.
 
     An aggregate rather than a window: a key's rows are reduced where they are read, so a key with very many rows
-    costs one row a task in the shuffle.
+    costs one row a task in the shuffle. Rows without a key are groups of their own, spread over all tasks, so that df
+    is worked out once.
     """
     names = df.columns
     columns = [F.col(c) if isinstance(c, str) else c for c in order]
-    blank = F.coalesce(F.col(key), F.lit("")) == ""
-    best = df.filter(~blank).groupBy(F.col(key).alias("_key")).agg(F.min_by(F.struct(*names), F.struct(*columns)).alias("_row"))
-    return best.select("_row.*").unionByName(df.filter(blank))
+    alone = F.when(F.coalesce(F.col(key), F.lit("")) == "", F.monotonically_increasing_id())
+    best = df.groupBy(F.col(key).alias("_key"), alone.alias("_alone")).agg(F.min_by(F.struct(*names), F.struct(*columns)).alias("_row"))
+    return best.select("_row.*")
 
 
 def unseen(df: DataFrame, ledger: DataFrame, key: str) -> DataFrame:

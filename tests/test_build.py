@@ -124,6 +124,32 @@ def test_ledger_lies_as_rows_meet_it(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
+def test_a_resumed_build_moves_its_rows_once(spark, tmp_path):
+    """Sources are read once, and one exchange serves the ledger's join and the choice of the first rows."""
+    from sieveline.operators.dedupe import Ledger
+    from sieveline.sources.catalog import RAW
+
+    ledger = Ledger(spark, f"{tmp_path}/keys", buckets=8)
+    ledger.write(spark.range(500).selectExpr("sha2(cast(id as string), 256) as k"), 0)
+    given = [(f"text {k % 40}" if k % 9 else "\u200b", k) for k in range(200)]
+    raw = spark.createDataFrame(given, "text string, ordinal long")
+    raw.select(*[(F.col(f.name) if f.name in raw.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in RAW.fields]).write.parquet(f"{tmp_path}/raw")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        rows = B.distinct(B.messages(spark.read.parquet(f"{tmp_path}/raw")), ledger.keys(1))
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and plan.count("FileScan") == 2 and "Bucketed: true" in plan
+        got = rows.select("text", "dedupe_key", "ordinal").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    first = {}
+    for text, k in given:
+        first.setdefault(text, k)
+    assert sorted(r["ordinal"] for r in got if r["dedupe_key"]) == sorted(k for t, k in first.items() if t != "\u200b")
+    assert sorted(r["ordinal"] for r in got if not r["dedupe_key"]) == list(range(0, 200, 9))  # without a text all stay
+
+
 class Dog:
     """A rule in place of a span model."""
 
