@@ -42,6 +42,12 @@ class Build:
     day_first: bool = False
     #: Buckets of the ledger of keys.
     buckets: int = BUCKETS
+    #: Whether runs of letters set apart are those that SQL tells (`functions.arrow.join_runs`).
+    sql_runs: bool = False
+
+    def said(self) -> dict[str, object]:
+        """The options as they stand beside a build; sql_runs only where it is set, as builds from before it lack it."""
+        return {k: v for k, v in asdict(self).items() if k != "sql_runs" or v}
 
 
 def messages(raw: DataFrame, options: Build = Build()) -> DataFrame:
@@ -49,7 +55,7 @@ def messages(raw: DataFrame, options: Build = Build()) -> DataFrame:
     if options.exclude_ai:
         raw = raw.filter(F.coalesce(F.col("is_ai_generated"), F.lit(0)) == 0)
     rows = once(raw, {"text_raw": clean_str(F.col("text"))}).drop("text")
-    rows = with_repairs(rows.filter(is_valid_message(F.col("text_raw"))), "text_raw", "text", "obfuscation_tags")
+    rows = with_repairs(rows.filter(is_valid_message(F.col("text_raw"))), "text_raw", "text", "obfuscation_tags", options.sql_runs)
     return rows.withColumn("dedupe_key", message_key(F.col("text")))
 
 
@@ -141,7 +147,7 @@ def run_records(raw: DataFrame, folder: str, options: Build = Build(), resume: b
     if n and not options.dedupe:
         raise ValueError("a run without deduplication can't go on from another")
     if resume:
-        check_options(spark, said, asdict(options))
+        check_options(spark, said, options.said())
     else:
         for old in (progress, keys, path):  # the progress first: without it nothing else counts
             if exists(spark, old):

@@ -17,10 +17,10 @@ from ..functions.text import clean_str, is_valid_message, once
 from ..sources.writers import check_options
 
 
-def distinct_messages(stream: DataFrame, text_col: str = "text", time_col: str | None = None, within: str | None = None) -> DataFrame:
-    """Cleaned (text_clean) and repaired (text_repaired, tags), valid messages by the key that the build has for them, the first that arrives."""
+def distinct_messages(stream: DataFrame, text_col: str = "text", time_col: str | None = None, within: str | None = None, sql_runs: bool = False) -> DataFrame:
+    """Cleaned (text_clean) and repaired (text_repaired, tags), valid messages by the key that the build of the same sql_runs has for them, the first that arrives."""
     rows = once(stream, {"text_clean": clean_str(F.col(text_col))})
-    rows = with_repairs(rows.filter(is_valid_message(F.col("text_clean"))), "text_clean", "text_repaired", "tags")
+    rows = with_repairs(rows.filter(is_valid_message(F.col("text_clean"))), "text_clean", "text_repaired", "tags", sql_runs)
     rows = rows.withColumn("dedupe_key", message_key(F.col("text_repaired")))
     if time_col and within:
         return rows.withWatermark(time_col, within).dropDuplicatesWithinWatermark(["dedupe_key"])

@@ -211,3 +211,19 @@ def test_language_override(spark):
 def test_language_detection(spark):
     got = apply(spark, ["the cat is on the table", "der Hund ist nicht auf dem Tisch", "el perro está en la mesa", "le chat est sur la table", "", None], lambda c: detect_language(c)[0])
     assert got == ["en", "de", "es", "fr", "unknown", "unknown"]
+
+
+def test_runs_of_letters_as_sql_tells_them(spark):
+    """A run inside a longer one, and one behind a letter beyond ASCII: the library's own repairs and those of the queries."""
+    import duckdb
+
+    from sieveline.plans.registry import DOTTED_SQL, REPAIRED, SPACED_SQL
+
+    given = ["xx a b c d yy a b c d e zz", "scición y y y los", "a b c d é a b c d", "w.x.y.z or v.w.x.y.z", "A B C D.E.F.G", "u.v.w.x y z a", "plain", "pa a a a a q a a a a a a a"]
+    con = duckdb.connect()
+    want = [con.execute(f"SELECT {REPAIRED}, {SPACED_SQL}, {DOTTED_SQL} FROM (SELECT ? AS clean)", [g]).fetchone() for g in given]
+    df = spark.createDataFrame(list(enumerate(given)), "i int, v string")
+    rows = A.with_repairs(df, "v", sql_runs=True).orderBy("i").collect()
+    assert [(r["text_repaired"], "<OBF_SPACING>" in r["tags"], "<OBF_PUNCTUATION>" in r["tags"]) for r in rows] == want
+    own = [r["text_repaired"] for r in A.with_repairs(df, "v").orderBy("i").collect()]
+    assert own[:2] == ["xx abcd yy abcde zz", "scición y y y los"] and want[0][0] == "xx abcd yy abcd e zz"
