@@ -68,3 +68,23 @@ def test_all_grams_hold_the_rare_ones(spark):
     every, frequent = QUERIES["bigrams_all"](spark, SF), QUERIES["bigrams_count"](spark, SF)
     assert every.filter("n = 1").count() and every.filter("n between 2 and 19").count()
     assert every.filter("n >= 20").exceptAll(frequent).count() == 0 and frequent.exceptAll(every).count() == 0
+
+
+def _documents(spark, path, texts, parts):
+    rows = spark.createDataFrame([(k, t, "en", "src0", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    rows.repartition(parts).write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def test_stream_reads_a_table_that_is_a_folder_of_files(spark, tmp_path):
+    got = QUERIES["stream_dedupe_available_now"](spark, _documents(spark, tmp_path, ["one", "two", "One", "three"], 3))
+    assert got.count() == 3
+
+
+def test_answers_name_no_class_that_only_the_message_names(spark, tmp_path):
+    texts = ["spam smishing"] * 8 + ["lesèpament vi", "Smisheding SPAM"] * 8
+    con = duckdb.connect()
+    where = _documents(spark, tmp_path, texts, 2)
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{where}/documents.parquet/*.parquet'")
+    got = QUERIES["response_label_parse"](spark, where).collect()
+    assert sorted((r["doc_id"], r["label"]) for r in got) == sorted(con.execute(ORACLE["response_label_parse"]).fetchall())
