@@ -123,3 +123,11 @@ def test_encoders_are_dense(spark, encoder):
     rows = texts(spark, 60).select("id", F.array_join("words", " ").alias("text"))
     out = ml.Pipeline(stages=ml.ENCODERS[encoder](10, 1)).fit(rows).transform(rows)
     assert {len(r["features"]) for r in out.select("features").collect()} == {10} and ml.DIMENSIONS == 100
+
+
+def test_more_texts_are_no_more_tasks(spark):
+    """What a pass moves is bounded by the tasks, each of which sends back the rows it changed."""
+    dealt = V.dealt(texts(spark), "words", 2)
+    assert dealt.rdd.getNumPartitions() == V.TASKS and dealt.count() == 900
+    got = V.learn(texts(spark), dimensions=8, passes=2, texts_a_task=7)  # several helpings a task
+    assert np.isfinite(got.table).all() and (got.table != 0).all(axis=1).all()
