@@ -86,3 +86,16 @@ def test_dense_blocks_grow_with_the_rows(spark, monkeypatch):
     monkeypatch.setattr(S, "BLOCK_ROWS", 20)
     monkeypatch.setattr(S, "TILE_ROWS", 5)
     assert key(top_similar(rows.filter("vec_id % 7 = 0"), rows)) == whole and len(whole) == 43 * 3
+
+
+def test_shared_totals_are_the_sums_of_kept_counts(spark):
+    """No text is met by its terms again: only terms are exchanged, reduced where they are read, and one row an id."""
+    texts = ["one two one two three", "two one", None, "", "alone alone", "three alone two one two", "only here only here"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(None, "one here")], "id long, text string")
+    counts = M.term_counts(rows)
+    kept = M.kept_counts(counts, M.document_frequencies(counts, 2)).groupBy("id").agg(F.count("*").alias("n"), F.sum("tf").alias("tf"))
+    want = {r["id"]: (r["n"], r["tf"]) for r in kept.filter("id is not null").collect()}
+    found = M.shared_totals(rows)
+    assert {r["id"]: (r["n"], r["tf"]) for r in found.collect()} == {k: want.get(k, (0, 0)) for k in (*range(len(texts)), None)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "Aggregate [id" not in plan  # by id, of what is to be taken off
