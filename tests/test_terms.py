@@ -99,3 +99,17 @@ def test_shared_totals_are_the_sums_of_kept_counts(spark):
     assert {r["id"]: (r["n"], r["tf"]) for r in found.collect()} == {k: want.get(k, (0, 0)) for k in (*range(len(texts)), None)}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1 and "Aggregate [id" not in plan  # by id, of what is to be taken off
+
+
+def test_counts_of_single_texts_and_ends_of_weights(spark):
+    """Equal to those of any rows, without an exchange for the counts, and with one row an id for the ends."""
+    rows = spark.createDataFrame([(1, "One two one two three"), (2, "two ONE"), (3, None), (4, ""), (5, "three two one é_é")], "id long, text string")
+    found = M.text_counts(rows)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, M.term_counts(rows).collect()))
+    df = M.text_frequencies(rows, 2)
+    assert sorted(map(tuple, df.collect())) == sorted(map(tuple, M.document_frequencies(M.term_counts(rows), 2).collect()))
+    weights = M.tfidf(found, df, 5).groupBy("id").agg(F.count("*"), F.round(F.max("weight"), 9), F.round(F.min("weight"), 9))
+    ends = M.weight_ends(found, df, 5).select("id", "n", F.round("largest", 9), F.round("least", 9))
+    assert sorted(map(tuple, ends.collect())) == sorted(map(tuple, weights.collect()))
+    assert "Window" not in ends._jdf.queryExecution().optimizedPlan().toString()
