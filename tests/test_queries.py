@@ -88,3 +88,11 @@ def test_answers_name_no_class_that_only_the_message_names(spark, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{where}/documents.parquet/*.parquet'")
     got = QUERIES["response_label_parse"](spark, where).collect()
     assert sorted((r["doc_id"], r["label"]) for r in got) == sorted(con.execute(ORACLE["response_label_parse"]).fetchall())
+
+
+def test_iterations_have_no_more_tasks_than_cores(spark):
+    """Each iteration of a fit moves a vector of the vocabulary's width from every task."""
+    from sieveline.operators import ml
+
+    most = max(ml.TASKS, spark.sparkContext.defaultParallelism)
+    assert [ml._tasks(spark, n) for n in (0, 1, 5_000, 5_001, 10_000_000)] == [1, 1, 1, 2, most]
