@@ -96,3 +96,18 @@ def test_draws():
     drawn = W.draws(np.arange(20_000), 3, 4, False)
     assert abs(drawn.mean() - 1) < 0.02 and abs((drawn == 0).mean() - np.exp(-1)) < 0.01
     assert abs(np.corrcoef(drawn.T)[0, 1]) < 0.03 and (W.draws(np.arange(3), 0, 2, True) == 1).all()
+
+
+def test_a_large_node_looks_at_drawn_features_alone(monkeypatch):
+    """Wide sparse rows: no node of many rows has all its entries looked through, and each leaf still ends pure."""
+    random = np.random.default_rng(7)
+    n, width = 400, 20_000
+    index = [np.unique(random.integers(0, width, 300)) for _ in range(n)]
+    row = np.repeat(np.arange(n), [len(i) for i in index])
+    data, y, seen = W.Rows(row, np.concatenate(index), random.random(len(row))), random.integers(0, 3, n), []
+    isin = np.isin
+    monkeypatch.setattr(W.np, "isin", lambda a, b: seen.append(len(a)) or isin(a, b))
+    nodes = W.Nodes(0, np.array([0]), width, *W.grow(data, y, np.ones(n), 3, width, 140, 1))
+    at = nodes.places(np.zeros((n, 1), np.int64), data).ravel()
+    assert all(len(np.unique(y[at == leaf])) == 1 for leaf in np.unique(at))
+    assert max(seen, default=0) < len(row) / 10
