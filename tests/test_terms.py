@@ -113,3 +113,20 @@ def test_counts_of_single_texts_and_ends_of_weights(spark):
     ends = M.weight_ends(found, df, 5).select("id", "n", F.round("largest", 9), F.round("least", 9))
     assert sorted(map(tuple, ends.collect())) == sorted(map(tuple, weights.collect()))
     assert "Window" not in ends._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_each_row_meets_each_query_and_tasks_send_their_best_alone(spark, monkeypatch):
+    """Equal to all pairs, with several passes, several parts of a task, ties and terms in full and in lists."""
+    monkeypatch.setattr(M, "QUERIES_AT_ONCE", 16)
+    monkeypatch.setattr(M, "ROWS_AT_ONCE", 7)
+    rows = corpus(4, 250)
+    own = weights(rows)
+    v = M.vectors_of(made(spark, rows)).repartition(3, "id").checkpoint()
+    assert len(own[250]) == len(own[251]) == 0
+    for dense in (0.2, 2.0):
+        monkeypatch.setattr(M, "DENSE", dense)
+        for k in (1, 3, 400):
+            got = sorted((r["query_id"], r["rank"], r["id"], r["similarity"]) for r in M.nearest_vectors(v, v.filter("id % 10 = 0"), k).collect())
+            want = sorted((a, r, b, s) for a, b, s, r in best({i: w for i, w in own.items() if i % 10 == 0}, own, k))
+            assert [g[:3] for g in got] == [w[:3] for w in want]
+            assert [g[3] for g in got] == pytest.approx([w[3] for w in want], abs=2e-9)
