@@ -1,11 +1,14 @@
 """Functions on literal rows."""
 
+import re
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sieveline.functions import arrow as A
+from sieveline.functions import dates
 from sieveline.functions import responses as R
 from sieveline.functions import text as X
 from sieveline.functions import urls as U
@@ -227,3 +230,16 @@ def test_runs_of_letters_as_sql_tells_them(spark):
     assert [(r["text_repaired"], "<OBF_SPACING>" in r["tags"], "<OBF_PUNCTUATION>" in r["tags"]) for r in rows] == want
     own = [r["text_repaired"] for r in A.with_repairs(df, "v").orderBy("i").collect()]
     assert own[:2] == ["xx abcd yy abcde zz", "scición y y y los"] and want[0][0] == "xx abcd yy abcd e zz"
+
+
+def test_shapes_hold_what_patterns_parse(spark):
+    """Every pattern parses what it writes, in any case, and no text is given to a pattern of another shape."""
+    at = "timestamp'2014-03-02 22:08:09'"
+    for f in (*dates.FORMATS, *dates.MONTH_FIRST, *dates.DAY_FIRST, *dates.NAMED):
+        (said,) = spark.sql(f"SELECT date_format({at}, :f)", {"f": f}).first()
+        for text in (said, said.lower(), said.upper()):
+            assert re.search(dates.shape(f).replace(r"\z", r"\Z"), text), (f, text)
+    plan = spark.range(1).select(normalize_timestamp(F.col("id").cast("string")).alias("t"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("RLIKE") + plan.count("rlike") >= 15
+    odd = ["+12345-01-02", "2014-12-31t10:08:00", "03/02/2014 1:08 pm", "2 ſep 2014", "13/02/2014", "0003/2/2014", "2014-01-02\n", "today 7:05pm", " NaN ", "-2014-01-02"]
+    assert apply(spark, odd, normalize_timestamp) == ["+12345-01-02T00:00:00", "2014-12-31T10:08:00", "2014-03-02T13:08:00", "2014-09-02T00:00:00", "2014-02-13T00:00:00", "2014-03-02T00:00:00", "", "19:05:00", "", "-2014-01-02T00:00:00"]
