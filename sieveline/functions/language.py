@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import lru_cache
 
 import numpy as np
@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 LENGTHS, GRAMS, ADDED = (2, 3), 50_000, 0.5
 #: Below this confidence a text with capitals is looked at again in lower case.
 UNSURE = 0.5
+#: Texts whose n-grams are told together, and cells of a table of n-grams by letters; with more letters n-grams are sorted.
+TEXTS_AT_ONCE, CELLS = 200, 1 << 23
 #: Scales that calibration tries, and one text in so many that it holds out.
 SCALES, HELD_OUT = tuple(2.0**k for k in range(-8, 3)), 10
 
@@ -45,6 +47,41 @@ def grams(text: str, lengths: Sequence[int] = LENGTHS) -> Counter[str]:
     return Counter(said[k : k + n] for n in lengths for k in range(len(said) - n + 1))
 
 
+def spelt(texts: Sequence[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(the different n-grams of texts, which of them each n-gram in the texts is, the text it stands in): those of `grams`."""
+    said = [f" {t or ''} " for t in texts]
+    chars = np.frombuffer("".join(said).encode("utf-32-le"), np.uint32).astype(np.int64)
+    owner = np.repeat(np.arange(len(said)), [len(x) for x in said])
+    kinds, at = _told(chars)
+    letter = np.array([chr(c).isalpha() for c in kinds], bool)[at]
+    kept = letter.copy()
+    kept[1:] |= letter[:-1] | (owner[1:] != owner[:-1])
+    kept[:1] = True
+    kinds, at = _told(np.where(letter, chars, ord(" "))[kept])
+    owner, wide = owner[kept], max(1, len(kinds))
+    names, places, owners = [], [], []
+    for n in LENGTHS:
+        cell, m = np.zeros(max(0, len(at) - n + 1), np.int64), max(0, len(at) - n + 1)
+        for k in range(n):
+            cell = cell * wide + at[k : k + m]
+        whole = owner[:m] == owner[n - 1 :][:m]
+        found, place = _told(cell[whole])
+        spelled = np.stack([kinds[found // wide ** (n - 1 - k) % wide] for k in range(n)], axis=1).astype(np.uint32) if len(found) else np.zeros((0, n), np.uint32)
+        places.append(place + len(names))
+        owners.append(owner[:m][whole])
+        names += spelled.view(f"<U{n}").ravel().tolist()
+    return names, np.concatenate(places), np.concatenate(owners)
+
+
+def _told(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values, ascending, and the place among them of each."""
+    if not len(values) or values.max() >= CELLS:
+        return np.unique(values, return_inverse=True)
+    seen = np.zeros(int(values.max()) + 1, np.int64)
+    seen[values] = 1
+    return np.flatnonzero(seen), (np.cumsum(seen) - 1)[values]
+
+
 @dataclass(frozen=True)
 class LanguageModel:
     """weights: (n-grams, languages), logarithms of what a language's n-grams are made up of."""
@@ -65,6 +102,18 @@ class LanguageModel:
         at, n = np.array(known, np.int64).T
         return n @ self.weights[at], int(n.sum())
 
+    def scores_of(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """`scores` of each text: a row of them, and the n-grams known."""
+        if not self._places:
+            self._places.update((g, k) for k, g in enumerate(self.grams))
+        names, place, owner = spelt(texts)
+        found = np.array([self._places.get(g, -1) for g in names], np.int64)
+        known = found >= 0
+        own = np.zeros((len(names), len(self.languages)))
+        own[known] = self.weights[found[known]]
+        total = [np.bincount(owner, own[place, k], len(texts)) for k in range(len(self.languages))]
+        return np.stack(total, axis=1) if total else np.zeros((len(texts), 0)), np.bincount(owner, known[place], len(texts)).astype(np.int64)
+
     def once(self, text: str) -> tuple[str, float]:
         """(language, probability) of a text as it stands; ties go to the first language."""
         scores, n = self.scores(text)
@@ -104,23 +153,44 @@ def weighted(counts: Mapping[str, Mapping[str, int]], languages: Sequence[str],
     return LanguageModel(tuple(languages), tuple(names), np.log(table + ADDED) - np.log(table.sum(axis=0) + ADDED * len(names)), scale)
 
 
-def gram_counts(labelled: DataFrame, most: int = GRAMS, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(gram, lang, n) of the n-grams that are most frequent in all, ties by themselves. A task sends one row for each n-gram and language it has."""
+def _gram_totals(labelled: DataFrame, text_col: str, lang_col: str, held: Column) -> DataFrame:
+    """(gram, lang, n, other): how often a language's texts have an n-gram, and how often those do that are not held. A task sends one row for each n-gram and language of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            total: dict[str, Counter[str]] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                total.setdefault(lang, Counter()).update(grams(text.as_py()))
-            rows = [(g, lang, n) for lang, found in total.items() for g, n in found.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["gram", "lang", "n"])
-
-    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).dropna()
-    counts = rows.mapInArrow(run, "gram string, lang string, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
+            total: dict[tuple[str, str], np.ndarray] = {}
+            for k in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                part = batch.slice(k, TEXTS_AT_ONCE)
+                langs = part.column(0).dictionary_encode()
+                spoken = langs.indices.to_numpy().astype(np.int64)
+                out = part.column(2).to_numpy(zero_copy_only=False).astype(np.float64)
+                names, place, owner = spelt(part.column(1).to_pylist())
+                cell = place * len(langs.dictionary) + spoken[owner]
+                size = len(names) * len(langs.dictionary)
+                n, less = np.bincount(cell, minlength=size), np.bincount(cell, out[owner], size)
+                spoken_as = langs.dictionary.to_pylist()
+                for c in np.flatnonzero(n).tolist():
+                    g = names[c // len(spoken_as)], spoken_as[c % len(spoken_as)]
+                    had = total.get(g, (0, 0))
+                    total[g] = had[0] + int(n[c]), had[1] + int(n[c] - less[c])
+            columns = [[g for g, _ in total], [x for _, x in total], [n for n, _ in total.values()], [m for _, m in total.values()]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["gram", "lang", "n", "other"])
+
+    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).dropna().withColumn("held", held)
+    return rows.mapInArrow(run, "gram string, lang string, n long, other long").groupBy("gram", "lang").agg(F.sum("n").alias("n"), F.sum("other").alias("other"))
+
+
+def _most(counts: DataFrame, most: int) -> DataFrame:
+    """Of (gram, lang, n) the n-grams that are most frequent in all, ties by themselves."""
     chosen = counts.groupBy(F.col("gram").alias("g")).agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "g").limit(most)
     return counts.join(F.broadcast(chosen), F.col("gram") == F.col("g")).select("gram", "lang", "n")
 
 
+def gram_counts(labelled: DataFrame, most: int = GRAMS, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(gram, lang, n) of the n-grams that are most frequent in all, ties by themselves. A task sends one row for each n-gram and language it has."""
+    return _most(_gram_totals(labelled, text_col, lang_col, F.lit(False)).select("gram", "lang", "n"), most)
+
+
 def _model(counts: DataFrame, scale: float = 1.0) -> LanguageModel:
     """The driver holds `most` n-grams in as many languages as there are."""
     found: dict[str, dict[str, int]] = {}
@@ -137,21 +207,25 @@ def train_languages(labelled: DataFrame, most: int = GRAMS, text_col: str = "tex
     """
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).dropna()
     held = F.pmod(F.xxhash64("text"), F.lit(HELD_OUT)) == 0
-    other = _model(gram_counts(rows.filter(~held), most))
+    counts = _gram_totals(rows, "text", "lang", held).persist()  # n-grams of all texts and of those that are not held out, in one reading
+    other = _model(_most(counts.select("gram", "lang", F.col("other").alias("n")).filter("n > 0"), most))
+    model = _model(_most(counts.select("gram", "lang", "n"), most))
+    counts.unpersist()
 
     def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lost, n = np.zeros(len(SCALES)), 0
         for batch in batches:
-            for text, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                scores, known = other.scores(text.as_py())
-                if known and lang in other.languages:
-                    own = np.array(SCALES)[:, None] * (scores - scores[other.languages.index(lang)])
-                    lost += np.logaddexp.reduce(own, axis=1)
-                    n += 1
+            for k in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                part = batch.slice(k, TEXTS_AT_ONCE)
+                for scores, known, lang in zip(*other.scores_of(part.column(0).to_pylist()), part.column(1).to_pylist(), strict=True):
+                    if known and lang in other.languages:
+                        own = np.array(SCALES)[:, None] * (scores - scores[other.languages.index(lang)])
+                        lost += np.logaddexp.reduce(own, axis=1)
+                        n += 1
         yield pa.RecordBatch.from_arrays([pa.array(range(len(SCALES)), pa.int32()), pa.array(lost), pa.array([n] * len(SCALES), pa.int64())], ["k", "lost", "n"])
 
     found = sorted((r["lost"], r["k"]) for r in rows.filter(held).mapInArrow(losses, "k int, lost double, n long").groupBy("k").agg(F.sum("lost").alias("lost"), F.sum("n").alias("n")).filter("n > 0").collect())
-    return _model(gram_counts(rows, most), SCALES[found[0][1]] if found else 1.0)
+    return replace(model, scale=SCALES[found[0][1]] if found else 1.0)
 
 
 @lru_cache(maxsize=1)

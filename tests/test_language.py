@@ -1,7 +1,9 @@
 """Languages: held-out sentences, training by aggregation, calibration, the second look in lower case."""
 
 import math
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,3 +68,18 @@ def test_confidence_is_calibrated(spark):
     told = test.select("lang", found.alias("found"), sure.alias("sure")).filter("found != 'unknown'").toPandas()
     right = (told["lang"] == told["found"]).mean()
     assert right > 0.85 and abs(told["sure"].mean() - right) < 0.08
+
+
+def test_many_texts_are_told_as_one_is(monkeypatch):
+    """N-grams and scores of texts together are those of each alone, also where there are too many letters for a table."""
+    texts = ["Ça va bien ²½?", None, "", "  1 2 ", "a", "ab\x00c d", "été 漢字 \U0001f600 ǅ x", "the the\nthe"] * 2
+    model = L.default_model()
+    for cells in (L.CELLS, 4):
+        monkeypatch.setattr(L, "CELLS", cells)
+        names, place, owner = L.spelt(texts)
+        for k, t in enumerate(texts):
+            assert Counter(names[p] for p in place[owner == k]) == L.grams(t or "")
+        scores, known = model.scores_of(texts)
+        for t, s, n in zip(texts, scores, known, strict=True):
+            want, m = model.scores(t or "")
+            assert n == m and np.allclose(s, want)
