@@ -56,7 +56,7 @@ def messages(raw: DataFrame, options: Build = Build()) -> DataFrame:
         raw = raw.filter(F.coalesce(F.col("is_ai_generated"), F.lit(0)) == 0)
     rows = once(raw, {"text_raw": clean_str(F.col("text"))}).drop("text")
     rows = with_repairs(rows.filter(is_valid_message(F.col("text_raw"))), "text_raw", "text", "obfuscation_tags", options.sql_runs)
-    return rows.withColumn("dedupe_key", message_key(F.col("text")))
+    return rows.withColumn("dedupe_key", message_key(F.col("text"), settled=True))
 
 
 def distinct(rows: DataFrame, ledger: DataFrame | None = None) -> DataFrame:

@@ -243,3 +243,13 @@ def test_shapes_hold_what_patterns_parse(spark):
     assert plan.count("RLIKE") + plan.count("rlike") >= 15
     odd = ["+12345-01-02", "2014-12-31t10:08:00", "03/02/2014 1:08 pm", "2 ſep 2014", "13/02/2014", "0003/2/2014", "2014-01-02\n", "today 7:05pm", " NaN ", "-2014-01-02"]
     assert apply(spark, odd, normalize_timestamp) == ["+12345-01-02T00:00:00", "2014-12-31T10:08:00", "2014-03-02T13:08:00", "2014-09-02T00:00:00", "2014-02-13T00:00:00", "2014-03-02T00:00:00", "", "19:05:00", "", "-2014-01-02T00:00:00"]
+
+
+def test_keys_of_settled_texts(spark, monkeypatch):
+    """Equal to the keys of any texts, while only texts with tags go through Python."""
+    from sieveline.functions.arrow import message_key
+
+    texts = ["Plain", "été 你", "e <OBF_ZWSP>́", "e<OBF_FONT>́ x", "", None, "<OBF_FONT>"]
+    assert apply(spark, texts, lambda c: message_key(c, settled=True)) == apply(spark, texts, message_key)
+    plan = spark.range(1).select(message_key(F.col("id").cast("string"), settled=True).alias("k"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan and "<OBF_" in plan[plan.index("_nfkc(") :].splitlines()[0]
