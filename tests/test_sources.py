@@ -179,3 +179,13 @@ def test_stream_resumes_and_refuses_other_options(spark, tmp_path):
     assert sorted(r[0] for r in spark.read.parquet(out).select(F.lower(F.trim("text"))).collect()) == ["hello", "new", "x"]
     with pytest.raises(ValueError, match="differ"):
         run_available(spark, src, df.schema, out, state, {"dedupe": False})
+
+
+def test_files_of_the_round_trip_are_dealt_once_and_compressed(spark, tmp_path):
+    """Rows that are dealt by folder are written as they lie, a file a folder, and read back in their order."""
+    from sieveline.plans.assembly import _put_files
+
+    rows = spark.range(60).select(F.col("id").alias("doc_id"), (F.col("id") % 3).alias("folder"), F.concat(F.lit("line\n"), F.col("id").cast("string")).alias("text")).repartition(3, "folder").sortWithinPartitions("folder", "doc_id").persist()
+    found = L.labeled_csv(spark, _put_files(rows, f"{tmp_path}/x", {"label": F.lit("ham"), "text": F.col("text")}), "uci_sms_spam", ("label",), ("text",))
+    assert len(list(tmp_path.glob("x/folder=*/*.csv.gz"))) == 3
+    assert {(r["text"], r["ordinal"]) for r in found.collect()} == {(f"line {k}", k // 3 + 1) for k in range(60)}
