@@ -131,3 +131,29 @@ def test_more_texts_are_no_more_tasks(spark):
     assert dealt.rdd.getNumPartitions() == V.TASKS and dealt.count() == 900
     got = V.learn(texts(spark), dimensions=8, passes=2, texts_a_task=7)  # several helpings a task
     assert np.isfinite(got.table).all() and (got.table != 0).all(axis=1).all()
+
+
+def test_runs_are_added_up():
+    """Runs of one member, of as many as are added up together, and longer ones."""
+    rng = np.random.default_rng(3)
+    place = rng.permutation(np.repeat([2, 5, 7, 9, 11], [1, V.RUN, V.RUN + 1, 3 * V.RUN, 2]))
+    values = rng.normal(size=(len(place), 3))
+    own, order, first, n = V._runs(place)
+    assert own.tolist() == [2, 5, 7, 9, 11] and n.tolist() == [1, V.RUN, V.RUN + 1, 3 * V.RUN, 2]
+    assert np.allclose(V._summed(values, order, first, n), [values[place == k].sum(axis=0) for k in own])
+    none = V._runs(place[:0])
+    assert V._summed(values, none[1], none[2], none[3]).shape == (0, 3)
+
+
+def test_rows_of_tasks_are_averaged_in_parts():
+    """A row's vectors may lie in two parts of a batch, or in two batches; what a row is made of is not looked at one by one."""
+    row = np.repeat(np.arange(50), np.r_[np.ones(25, int), np.full(25, 400)])
+    n, kind = np.arange(1.0, len(row) + 1), (row >= 40).astype(np.int32)
+    table = np.random.default_rng(4).normal(size=(len(row), 3)).astype(np.float32)
+    whole = V.pa.RecordBatch.from_arrays([V.pa.array(kind), V.pa.array(row), V.pa.array(n), V._packed(table)], ["kind", "row", "n", "v"])
+    got = [b for b in V.averaged(iter([whole.slice(0, 7), whole.slice(7, 20), whole.slice(27)]), 3)]
+    rows = [(k, r) for b in got for k, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+    assert rows == [(int(r >= 40), r) for r in range(50)]
+    want = [table[row == r].astype(float).sum(axis=0) / n[row == r].sum() for r in range(50)]
+    assert np.allclose(np.concatenate([V._unpacked(b.column(2), 3) for b in got]), want, atol=1e-6)
+    assert list(V.averaged(iter([]), 3)) == []
