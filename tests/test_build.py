@@ -366,3 +366,28 @@ def test_sources_can_be_shipped(tmp_path):
     assert len(Context.files) == 1
     said = subprocess.run([sys.executable, "-c", "import sieveline.operators.build as b; print(b.__file__)"], cwd=tmp_path, env={**{k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, "PYTHONPATH": Context.files[0]}, capture_output=True, text=True, timeout=120)
     assert Context.files[0] in said.stdout, said.stderr
+
+
+def test_a_vocabulary_is_whole_and_decided(spark):
+    """Terms of one text alone are none, the most frequent come first, and ties go by the term, however the rows lie."""
+    rows = [(1, ["b", "b", "b", "a", "x"]), (2, ["b", "a", "c", "d"]), (3, ["d", "c", "y", "y"]), (4, []), (5, None)]
+    df = spark.createDataFrame(rows, "id int, grams array<string>")
+    for n in (1, 3, 7):
+        model = ml._counts("features", 3).fit(df.repartition(n))
+        assert model.vocabulary == ["b", "a", "c"]
+    whole = ml._counts("features", 50).fit(df)
+    assert whole.vocabulary == ["b", "a", "c", "d"]
+    got = {r["id"]: r["features"].toArray().tolist() for r in whole.transform(df.filter("id < 5")).collect()}
+    assert got == {1: [3, 1, 0, 0], 2: [1, 1, 1, 1], 3: [0, 0, 1, 1], 4: [0, 0, 0, 0]}
+
+
+def test_texts_are_not_read_again_for_weights(spark):
+    """Weights are fitted on counts that are kept, and are those of a pipeline that is fitted on the training rows."""
+    df = labelled(spark).withColumn("split", F.when(F.col("id") % 4 == 0, "test").otherwise("train"))
+    out, kept = ml.encoded(df, ml.tfidf(50))
+    assert len(kept) == 1 and kept[0].storageLevel.useMemory and "text" not in kept[0].columns
+    whole = ml.Pipeline(stages=ml.tfidf(50)).fit(df.filter("split = 'train'")).transform(df)
+    got, want = ({r["id"]: r["features"] for r in x.select("id", "features").collect()} for x in (out, whole))
+    assert got == want and len(got) == df.count()
+    assert ml.encoded(df, ml.bow(50))[1] == []
+    kept[0].unpersist()
