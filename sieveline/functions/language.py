@@ -8,12 +8,13 @@ from dataclasses import dataclass, field, replace
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .arrow import by_parts
+
 #: Lengths of n-grams, n-grams of a model at most (the most frequent), and what is added to each count.
 LENGTHS, GRAMS, ADDED = (2, 3), 50_000, 0.5
 #: Below this confidence a text with capitals is looked at again in lower case.
@@ -133,7 +134,7 @@ class LanguageModel:
         return found[0], round(found[1], 4)
 
     def save(self, spark: SparkSession, path: str) -> None:
-        rows = pd.DataFrame({"gram": list(self.grams), "weights": [w.tolist() for w in self.weights]})
+        rows = pa.table({"gram": pa.array(self.grams, pa.string()), "weights": pa.array([w.tolist() for w in self.weights], pa.list_(pa.float64()))})
         held = spark.createDataFrame(rows, "gram string, weights array<double>")
         held.select("*", F.lit(",".join(self.languages)).alias("languages"), F.lit(self.scale).alias("scale")).coalesce(1).write.mode("overwrite").parquet(path)
 
@@ -253,9 +254,11 @@ def detect_language(text: Column, model: LanguageModel | None = None) -> tuple[C
     """(language, confidence) by a model, or the one that is there without training. Both columns come of one call."""
     model = model or default_model()
 
-    @F.pandas_udf(T.StructType([T.StructField("language", T.StringType()), T.StructField("confidence", T.DoubleType())]))
-    def found(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([model.detect(t) for t in texts], columns=["language", "confidence"])
+    kind = pa.struct([("language", pa.string()), ("confidence", pa.float64())])
+
+    @F.arrow_udf(T.StructType([T.StructField("language", T.StringType()), T.StructField("confidence", T.DoubleType())]))
+    def found(texts: pa.Array) -> pa.Array:
+        return by_parts(lambda part: [dict(zip(("language", "confidence"), model.detect(t), strict=True)) for t in part], kind, texts)
 
     said = found(text)
     return said["language"], said["confidence"]

@@ -253,3 +253,22 @@ def test_keys_of_settled_texts(spark, monkeypatch):
     assert apply(spark, texts, lambda c: message_key(c, settled=True)) == apply(spark, texts, message_key)
     plan = spark.range(1).select(message_key(F.col("id").cast("string"), settled=True).alias("k"))._jdf.queryExecution().optimizedPlan().toString()
     assert "ArrowEvalPython" in plan and "<OBF_" in plan[plan.index("_nfkc(") :].splitlines()[0]
+
+
+def test_a_batch_is_taken_in_parts():
+    """A batch of any size has few of its texts in Python at a time, nulls stay in their places, and an empty batch keeps its type."""
+    import pyarrow as pa
+
+    from sieveline.functions import arrow as A
+
+    sizes = []
+
+    def made(part):
+        sizes.append(len(part))
+        return [None if t is None else t.upper() for t in part]
+
+    given = [None if k % 7 == 0 else f"t{k}" for k in range(2 * A.TEXTS_AT_ONCE + 3)]
+    out = A.by_parts(made, pa.string(), pa.array(given, pa.string()))
+    assert out.to_pylist() == [t and t.upper() for t in given] and sizes == [A.TEXTS_AT_ONCE, A.TEXTS_AT_ONCE, 3]
+    none = A.by_parts(made, pa.string(), pa.array([], pa.string()))
+    assert len(none) == 0 and none.type == pa.string()
