@@ -96,3 +96,18 @@ def test_iterations_have_no_more_tasks_than_cores(spark):
 
     most = max(ml.TASKS, spark.sparkContext.defaultParallelism)
     assert [ml._tasks(spark, n) for n in (0, 1, 5_000, 5_001, 10_000_000)] == [1, 1, 1, 2, most]
+
+
+@pytest.mark.parametrize("name", ["dedupe_first_wins"])
+@pytest.mark.parametrize("others", [["one"], ["one", None], ["one", " "], [], [None]])
+def test_documents_without_a_text_are_what_sql_makes_of_them(spark, tmp_path, name, others):
+    """GROUP BY has one group of unset keys; NOT IN finds nothing where the ledger holds an unset key."""
+    where = str(tmp_path)
+    spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(["one", None, "two", " ", "Two", "", None])], "doc_id long, text string, lang string, source string, n_chars long").write.mode("overwrite").parquet(f"{where}/documents.parquet")
+    spark.createDataFrame([(k, t) for k, t in enumerate(others)], "item_id long, text string").write.parquet(f"{where}/benchmark.parquet")
+    spark.createDataFrame([(1, 0, "user", "two")] if others else [], "conv_id long, turn int, role string, text string").write.parquet(f"{where}/conversations.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{where}/{t}.parquet/*.parquet'")
+    got = [tuple(r) for r in QUERIES[name](spark, where).select("doc_id", "dedupe_key").collect()]
+    assert sorted(got, key=repr) == sorted(con.execute(ORACLE[name]).fetchall(), key=repr)
