@@ -98,7 +98,7 @@ def test_iterations_have_no_more_tasks_than_cores(spark):
     assert [ml._tasks(spark, n) for n in (0, 1, 5_000, 5_001, 10_000_000)] == [1, 1, 1, 2, most]
 
 
-@pytest.mark.parametrize("name", ["dedupe_first_wins"])
+@pytest.mark.parametrize("name", ["dedupe_first_wins", "dedupe_ledger_anti"])
 @pytest.mark.parametrize("others", [["one"], ["one", None], ["one", " "], [], [None]])
 def test_documents_without_a_text_are_what_sql_makes_of_them(spark, tmp_path, name, others):
     """GROUP BY has one group of unset keys; NOT IN finds nothing where the ledger holds an unset key."""
