@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import clean_str, iso_from_epoch_ms, label_priority, map_binary_label, map_label_basic, normalize_language
+from ..functions.text import clean_str, free, iso_from_epoch_ms, label_priority, map_binary_label, map_label_basic, normalize_language, once
 from .catalog import ADDRESS, LICENSE, RANK, RAW
 from .shared import exists
 
@@ -41,7 +41,10 @@ def pick(df: DataFrame, *names: str) -> Column:
 
 
 def raw(df: DataFrame, source: str, **columns: Column) -> DataFrame:
-    """df as raw records of a source; columns that are not given are null."""
+    """df as raw records of a source; columns that are not given are null. Texts are worked out once, for their filter too."""
+    if "text" in columns:
+        (held,) = free(df, "_text")
+        df, columns = once(df, {held: columns["text"]}), columns | {"text": F.col(held)}
     columns = {"source": F.lit(source), "part": F.lit(0), "file": F.col("file") if "file" in df.columns else F.lit(""), "source_id": F.col("ordinal").cast("string"), "source_url": F.lit(ADDRESS.get(source)), "license": F.lit(LICENSE.get(source)), "source_rank": F.lit(RANK.get(source)), "ordinal": F.col("ordinal"), **columns}
     out = df.select(*[columns.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in RAW.fields])
     return out.filter(F.col("text").isNotNull())

@@ -189,3 +189,28 @@ def test_files_of_the_round_trip_are_dealt_once_and_compressed(spark, tmp_path):
     found = L.labeled_csv(spark, _put_files(rows, f"{tmp_path}/x", {"label": F.lit("ham"), "text": F.col("text")}), "uci_sms_spam", ("label",), ("text",))
     assert len(list(tmp_path.glob("x/folder=*/*.csv.gz"))) == 3
     assert {(r["text"], r["ordinal"]) for r in found.collect()} == {(f"line {k}", k // 3 + 1) for k in range(60)}
+
+
+def test_sources_are_written_a_task_a_folder_and_side_by_side(spark, monkeypatch):
+    """Two folders must not share a task, and no source waits for another's files."""
+    import threading
+
+    from sieveline.plans import assembly
+
+    dealt, lock, running, most = set(), threading.Lock(), [0], [0]
+    put = assembly._put_files
+
+    def seen(rows, path, cells, **options):
+        with lock:
+            running[0] += 1
+            most[0] = max(most[0], running[0])
+            if not dealt:
+                dealt.update((r["p"], r["folder"]) for r in rows.select(F.spark_partition_id().alias("p"), "folder").distinct().collect())
+        out = put(rows, path, cells, **options)
+        with lock:
+            running[0] -= 1
+        return out
+
+    monkeypatch.setattr(assembly, "_put_files", seen)
+    assembly.sources_round_trip(spark, "/root/testdata/sf0.001")
+    assert dealt == {(0, 0), (1, 1), (2, 2)} and most[0] > 1
