@@ -111,3 +111,18 @@ def test_a_large_node_looks_at_drawn_features_alone(monkeypatch):
     at = nodes.places(np.zeros((n, 1), np.int64), data).ravel()
     assert all(len(np.unique(y[at == leaf])) == 1 for leaf in np.unique(at))
     assert max(seen, default=0) < len(row) / 10
+
+
+@pytest.mark.parametrize("n, features, tried", [(40, 100, 10), (700, 20, 4), (300, 6, 6), (1, 3, 1)])
+def test_full_rows_grow_the_same_tree_as_entries_do(monkeypatch, n, features, tried):
+    """Vectors without gaps, as means of words are, are split by column, never by sorting entries."""
+    rng = np.random.default_rng(n)
+    x = np.round(rng.normal(size=(n, features)), 1)  # with ties, and zeros among the entries
+    y, w = rng.integers(0, 3, n), rng.integers(1, 4, n).astype(float)
+    data = W.Rows(np.repeat(np.arange(n), features), np.tile(np.arange(features), n), x.ravel())
+    with monkeypatch.context() as m:
+        m.setattr(W, "_matrix", lambda *_: None, raising=False)
+        want = W.grow(data, y, w, 3, features, tried, 5)
+    monkeypatch.setattr(W, "best_split", None)
+    for got, expected in zip(W.grow(data, y, w, 3, features, tried, 5), want, strict=True):
+        assert got.tolist() == expected.tolist()
