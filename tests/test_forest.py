@@ -126,3 +126,23 @@ def test_full_rows_grow_the_same_tree_as_entries_do(monkeypatch, n, features, tr
     monkeypatch.setattr(W, "best_split", None)
     for got, expected in zip(W.grow(data, y, w, 3, features, tried, 5), want, strict=True):
         assert got.tolist() == expected.tolist()
+
+
+def test_gathered_rows_are_sent_by_their_entries(monkeypatch):
+    """Long texts' rows must not be sent thousands at a time."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(W, "ENTRIES_AT_ONCE", 100, raising=False)
+    sizes = [30, 0, 500, 3, 40, 60, 1]
+    lists = lambda kind: pa.array([list(range(n)) for n in sizes], pa.list_(kind))
+    n, trees = len(sizes), 4
+    nodes = W.Nodes(0, np.arange(trees), 600, np.full(trees, -1, np.int32), np.zeros(trees), np.full(trees, -1, np.int32), np.full(trees, -1, np.int32))
+    sent, rates = (type("Sent", (), {"value": v}) for v in (nodes, np.ones(trees * 2)))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([0, 1, 0, 1, 0, 1, 0], pa.int32()), pa.array([1.0] * n), pa.array([[0] * trees] * n, pa.list_(pa.int32())), lists(pa.int32()), lists(pa.float64())], ["key", "label", "weight", "leaves", "indices", "values"])
+    got = list(W._gathered(sent, rates, 2, 1, True)(iter([batch])))
+    assert all(b.num_rows == 1 or sum(map(len, b.column("indices").to_pylist())) <= 100 for b in got)
+    assert sorted((b["node"].as_py(), b["key"].as_py(), len(b["values"])) for g in got for b in _rows(g)) == sorted((t, k, s) for t in range(trees) for k, s in enumerate(sizes))
+
+
+def _rows(batch):
+    return [{c: batch.column(c)[k] for c in ("node", "key", "values")} for k in range(batch.num_rows)]
